@@ -36,6 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on this machine; executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

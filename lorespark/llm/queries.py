@@ -6,16 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.llm.common import read_table
+from lorespark.llm.bpe import encode_decode, token_counts
+from lorespark.llm.common import read_table, vocabulary
+from lorespark.llm.decontaminate import contamination
 from lorespark.llm.jaccard_join import jaccard_components
+from lorespark.llm.token_histogram import length_histogram
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(token_counts(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_bpe": op5_bpe,
+    "op6_token_counts": op6_token_counts,
+    "op7_decontamination": op7_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
