@@ -10,7 +10,17 @@ from lorespark.llm.bpe import encode_decode, token_counts
 from lorespark.llm.common import read_table, vocabulary
 from lorespark.llm.decontaminate import contamination
 from lorespark.llm.jaccard_join import jaccard_components
+from lorespark.llm.language_id import identified
 from lorespark.llm.token_histogram import length_histogram
+from lorespark.llm.toxicity import scored
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(read_table(spark, sf_dir, "documents"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +40,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
