@@ -8,19 +8,54 @@ operator's docstring states.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorespark.llm.common import read_table, written
+from lorespark.llm.bpe import encode_decode
+from lorespark.llm.common import read_table, vocabulary, written
+from lorespark.llm.decontaminate import clean
 from lorespark.llm.jaccard_join import keep_one
+from lorespark.llm.pii import pseudonymised
+from lorespark.llm.toxicity import without_toxic
 from lorespark.session import ship
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; labels outside the held-out fold are learned from."""
+    ship(spark)
+    return without_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id stays."""
+    ship(spark)
     return keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    ship(spark)
+    return clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities become surrogates; n_chars follows the new text."""
+    ship(spark)
+    out = pseudonymised(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: number of tokens and the digests of ids and decoded text."""
+    ship(spark)
+    return encode_decode(docs, vocabulary("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("toxicity", toxicity),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("encoding", encoding),
 ]
 
 #: Model scoring, tree search and tokenization can't be said in SQL; tests compare them with brute force.
