@@ -5,9 +5,648 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "retrieve"
+from lorespark.functions import scalars as S
+from lorespark.operators import kb, requests, retrieve, segment
+from lorespark.plans import derived as D
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FLAGSHIP = "retrieve"
+Query = Callable[[SparkSession, str], DataFrame]
 
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with the DuckDB SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def joined(column: str, by: str = "|"):
+    return F.array_join(column, by).alias(column)
+
+
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+# Scalars
+
+
+@query("slugify", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text[1:80]), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')[1:50], '^-|-$', '', 'g') as slug from documents""")
+def slugify(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", S.slugify(F.substring("text", 1, 80)).alias("slug"))
+
+
+@query("derive_chunk_id", "with " + D.CHUNKS.split(", told as")[0] + r""", x as (select source, seg, heading, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')[1:50] as s from segs)
+select source, seg, regexp_replace(s, '^-|-$', '', 'g') || '-' || sha256(regexp_extract(source, '[^/]*$') || heading)[1:8] as chunk_id from x""")
+def derive_chunk_id(spark, d):
+    return D.segs(spark, d).select("source", F.col("seg").cast("long").alias("seg"), S.chunk_id(F.col("source"), F.col("heading")).alias("chunk_id"))
+
+
+@query("derive_segment_id", "with " + D.SEGS + r""", x as (select source, seg, regexp_replace(regexp_replace(lower('doc-' || heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60] as b, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g'))[1:8] as h from segs)
+select source, seg, regexp_replace(case when b <> '' then b || '-' || h else h end, '-{2,}', '-', 'g') as segment_id from x""")
+def derive_segment_id(spark, d):
+    path = F.array(F.lit("doc"), F.col("heading"))
+    return D.segs(spark, d).select("source", F.col("seg").cast("long").alias("seg"), S.segment_id(path, F.col("content")).alias("segment_id"))
+
+
+@query("root_title", "with " + D.SOURCE_DOCS + r""" select path, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(path, '(?i)\.pdf$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:40], ''), 'document') as title from source_docs""")
+def root_title(spark, d):
+    return D.source_docs(spark, d).select("path", S.root_title(F.col("path")).alias("title"))
+
+
+@query("extraction_strategy", "with " + D.SEGS + r""", n as (select doc_id, count(*) as n from segs group by 1) select s.doc_id, case when strlen(text) * 1000 < 2097152 then 'single' when length(text) > 200 and coalesce(n, 0) >= 1 then 'segmented' else 'single' end as strategy
+from source_docs s left join n using (doc_id)""")
+def extraction_strategy(spark, d):
+    n = D.segs(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    big = F.octet_length("text").cast("long") * 1000 >= 2 * 1024 * 1024
+    strategy = F.when(big & (F.length("text") > 200) & (F.coalesce("n", F.lit(0)) >= 1), "segmented").otherwise("single")
+    return D.source_docs(spark, d).join(n, "doc_id", "left").select("doc_id", strategy.alias("strategy"))
+
+
+TEMPLATE = "Section {{HEADING}} of {{SOURCE}}:\n{{CONTENT}}\n{{MISSING}}end"
+
+
+def render(template: str, values: dict[str, F.Column]):
+    """Literals and columns of a template cut at ``{{KEY}}``; an unknown key is empty."""
+    import re
+
+    parts = re.split(r"\{\{(\w+)\}\}", template)
+    return F.concat(*[F.lit(p) if k % 2 == 0 else values.get(p, F.lit("")) for k, p in enumerate(parts)])
+
+
+@query("render_prompt", "with " + D.SEGS + r""" select source, seg, sha256('Section ' || heading || ' of ' || source || ':' || chr(10) || content || chr(10) || 'end') as prompt_hash from segs""")
+def render_prompt(spark, d):
+    x = render(TEMPLATE, {"HEADING": F.col("heading"), "SOURCE": F.col("source"), "CONTENT": F.col("content")})
+    return D.segs(spark, d).select("source", F.col("seg").cast("long").alias("seg"), F.sha2(x, 256).alias("prompt_hash"))
+
+
+_CLASS = r"""case when status in (401, 403) or m like '%api key%' or m like '%unauthorized%' or m like '%forbidden%' then 'auth' when status = 429 or m like '%rate limit%' or m like '%too many requests%' or m like '%quota%' then 'rate_limit'
+ when m like '%token%' or m like '%context length%' or m like '%maximum context%' or m like '%content too large%' or status = 413 then 'token_limit' when status >= 500 then 'transient' else 'unknown' end"""
+
+
+@query("classify_errors", f"with {D.ERRORS} select event_id, {_CLASS} as class from (select *, lower(message) as m from errs)")
+def classify_errors(spark, d):
+    return D.error_log(spark, d).select("event_id", S.error_class(F.col("message"), F.col("status")).alias("class"))
+
+
+#: What a user is told for each class of error.
+ALERTS = {"auth": "The service isn't set up.", "rate_limit": "Too many requests; try again soon.", "token_limit": "The question is too long.", "transient": "The service is down for now.", "unknown": "Something went wrong."}
+
+
+@query("error_to_alert", f"with {D.ERRORS}, c as (select event_id, {_CLASS} as class from (select *, lower(message) as m from errs)) select event_id, '{{\"type\":\"alert\",\"severity\":\"' || case class when 'transient' then 'warning' when 'rate_limit' then 'warning' else 'danger' end || '\",\"body\":\"' || case class "
+       + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in ALERTS.items()) + " end || '\"}' as alert from c")
+def error_to_alert(spark, d):
+    kind = S.error_class(F.col("message"), F.col("status"))
+    body = F.create_map(*[F.lit(x) for kv in ALERTS.items() for x in kv])[kind]
+    severity = F.when(kind.isin("transient", "rate_limit"), "warning").otherwise("danger")
+    return D.error_log(spark, d).select("event_id", F.to_json(F.struct(F.lit("alert").alias("type"), severity.alias("severity"), body.alias("body"))).alias("alert"))
+
+
+@query("normalize_related", r"""select doc_id, array_to_string(list_transform([' chunk_id:' || source, 'CHUNK_ID:' || lang || ' ', source], lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '(?i)^chunk_id:', '')), '|') as related from documents""")
+def normalize_related(spark, d):
+    ids = F.array(F.concat(F.lit(" chunk_id:"), F.col("source")), F.concat(F.lit("CHUNK_ID:"), F.col("lang"), F.lit(" ")), F.col("source"))
+    return D.table(spark, d, "documents").select("doc_id", F.array_join(S.normalize_related(ids), "|").alias("related"))
+
+
+@query("preview", "select doc_id, case when length(text) > 200 then text[1:200] || '... [truncated]' else text end as preview from documents")
+def preview(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", S.preview(F.col("text"), 200).alias("preview"))
+
+
+@query("noise_filter", "with " + D.DOC_WITH_TOC + r""", l as (select doc_id, unnest(string_split(text, chr(10))) as line from doct) select doc_id, count(*) as kept from l
+where not regexp_matches(regexp_replace(line, '^\s+|\s+$', '', 'g'), '(?i)^(--|--\s*\d+\s*(of|/)\s*\d+\s*--|contents|important links|frequently asked questions|\s*)$') group by 1""")
+def noise_filter(spark, d):
+    return segment.lines_of(D.doc_with_toc(spark, d)).where(~S.is_noise(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@query("valid_requests", f"with {D.LOG} select req_id, case when question = 'signup' or session_id % 17 = 0 then 'bad_request' when strlen(question) * 16000 > 65536 then 'too_large' else 'ok' end as label, case when mode = 'clarify' then 'clarify' else 'answer' end as mode from log")
+def valid_requests(spark, d):
+    x = D.request_log(spark, d)
+    message, session = F.when(F.col("question") != "signup", F.col("question")), F.when(F.col("session_id") % 17 != 0, F.col("session_id"))
+    label = F.when(message.isNull() | session.isNull(), "bad_request").when(F.octet_length("question") * 16000 > 65536, "too_large").otherwise("ok")
+    return x.select("req_id", label.alias("label"), F.coalesce(F.nullif("mode", F.lit("")), F.lit("answer")).alias("mode"))
+
+
+# Sources and sinks
+
+
+@query("page_lines", r"""with x as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer)\b.*?</(script|style|nav|footer)>', '', 'g'), '(?i)</?(p|div|h[1-6]|li|br|tr|article|section)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') as t from pages),
+l as (select page_id, unnest(list_filter(list_transform(string_split(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) as line from x)
+select page_id, count(*) as lines, sum(length(line)) as chars from l group by 1""")
+def page_lines(spark, d):
+    from lorespark.sources.pages import page_lines as lines
+
+    return lines(D.table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("conversation_transcripts", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as transcript from conversations group by 1")
+def conversation_transcripts(spark, d):
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said"))))
+    x = D.table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    return x.select("conv_id", F.array_join(F.transform("t", lambda t: t["said"]), "\n").alias("transcript"))
+
+
+@query("assemble_markdown", "with " + D.MARKDOWN + " select chunk_id, markdown from md")
+def assemble_markdown(spark, d):
+    return D.chunks(spark, d).select("chunk_id", kb.markdown().alias("markdown"))
+
+
+@query("serialize_index", "with " + D.CHUNKS + r""" select chunk_id, array_to_string(list_concat(['  - chunk_id: ' || chunk_id, '    source: ' || source, '    topic: ' || topic, '    summary: >', '      ' || summary, '    triggers:'],
+ list_transform(triggers, lambda t: '      - "' || replace(t, '"', '''') || '"'), ['    has_conditions: ' || cast(has_conditions as varchar), '    related_chunks:', '    status: ' || status, '']), chr(10)) as entry from chunks""")
+def serialize_index(spark, d):
+    return D.chunks(spark, d).select("chunk_id", kb.index_entry().alias("entry"))
+
+
+@query("segment_dump", "with " + D.SEGS + r""" select source, seg, 'Heading: ' || heading || chr(10) || 'Source: ' || source || chr(10) || 'Index: ' || seg || chr(10) || 'Chars: ' || length(content) || chr(10) || '---' || chr(10) || content as dump from segs""")
+def segment_dump(spark, d):
+    dump = F.concat_ws("\n", F.concat(F.lit("Heading: "), "heading"), F.concat(F.lit("Source: "), "source"), F.concat(F.lit("Index: "), F.col("seg").cast("string")), F.concat(F.lit("Chars: "), F.length("content").cast("string")), F.lit("---"), "content")
+    return D.segs(spark, d).select("source", F.col("seg").cast("long").alias("seg"), dump.alias("dump"))
+
+
+# Segmentation
+
+
+_BREAKS = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\f', chr(10) || '<<<PAGE_BREAK>>>' || chr(10), 'g'), '\r?\n[-─═]{{20,}}\r?\n', chr(10) || '<<<PAGE_BREAK>>>' || chr(10), 'g'), '(?i)\r?\n\s*Page \d+\s*\r?\n', chr(10) || '<<<PAGE_BREAK>>>' || chr(10), 'g'), '\r?\n[^\n]{{3,60}}\|[^\n]{{5,30}}\r?\n', chr(10) || '<<<PAGE_BREAK>>>' || chr(10), 'g')"
+_PAGES = r"""pg as (select doc_id, list_filter(list_transform(string_split(""" + _BREAKS.format("text") + r""", '<<<PAGE_BREAK>>>'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from {src})"""
+
+
+@query("split_pages", "with " + D.DOC_WITH_PAGES + ", " + _PAGES.replace("{src}", "docp") + " select doc_id, p as page, l[p + 1] as content from (select doc_id, l, unnest(range(0, len(l))) as p from pg)")
+def split_pages(spark, d):
+    return segment.split_pages(D.doc_with_pages(spark, d)).withColumn("page", F.col("page").cast("long"))
+
+
+@query("fixed_pages", "with " + D.SOURCE_DOCS + ", " + D._FIXED.format(n=7, src="source_docs") + " select doc_id, page, content from fixed")
+def fixed_pages(spark, d):
+    return segment.fixed_pages(D.source_docs(spark, d), 7).withColumn("page", F.col("page").cast("long"))
+
+
+_TOC = D.DOC_WITH_TOC + r""", ln as (select doc_id, i - 1 as line_no, l[i] as line, regexp_replace(l[i], '^\s+|\s+$', '', 'g') as t from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from doct))),
+st as (select doc_id, min(line_no) as s from ln where regexp_matches(t, '(?i)^(contents|table of contents)$') group by 1),
+en as (select ln.doc_id, min(line_no) as e from ln join st using (doc_id) where line_no > s and (regexp_matches(line, '^\f') or regexp_matches(t, '^--\s*\d+')) group by 1),
+bd as (select ln.*, regexp_matches(line, '^(\s*)(.+?)\s{2,}(\d+)\s*$') as hit from ln join st using (doc_id) left join en using (doc_id) where line_no > s and (e is null or line_no < e) and t <> ''),
+ms as (select *, sum(case when hit then 0 else 1 end) over (partition by doc_id, isl order by line_no) as miss from (select *, sum(case when hit then 1 else 0 end) over (partition by doc_id order by line_no) as isl from bd)),
+ct as (select doc_id, min(line_no) as c from ms where miss > 3 group by 1),
+toc as (select ms.doc_id, line_no, length(regexp_extract(line, '^(\s*)(.+?)\s{2,}(\d+)\s*$', 1)) as indent, regexp_replace(regexp_extract(line, '^(\s*)(.+?)\s{2,}(\d+)\s*$', 2), '^\s+|\s+$', '', 'g') as heading
+  from ms left join ct using (doc_id) where hit and (c is null or line_no < c) and not regexp_matches(regexp_replace(regexp_extract(line, '^(\s*)(.+?)\s{2,}(\d+)\s*$', 2), '^\s+|\s+$', '', 'g'), '(?i)^(contents|table of contents|important links|frequently asked questions)$')),
+hd as (select distinct doc_id, heading from (select *, min(indent) over (partition by doc_id) as m from toc) where indent <= m + 1)"""
+
+
+@query("toc_entries", "with " + _TOC + " select doc_id, line_no, indent, heading from toc")
+def toc_entries(spark, d):
+    x = segment.toc_entries(D.doc_with_toc(spark, d))
+    return x.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("indent").cast("long").alias("indent"), "heading")
+
+
+@query("toc_headings", "with " + _TOC + " select doc_id, heading from hd")
+def toc_headings(spark, d):
+    return segment.toc_headings(segment.toc_entries(D.doc_with_toc(spark, d)))
+
+
+_BODY = _TOC + ", " + _PAGES.replace("{src}", "doct") + r""", pgs as (select doc_id, p as page, l[p + 1] as content from (select doc_id, l, unnest(range(0, len(l))) as p from pg)),
+pl as (select doc_id, page, i - 1 as line_no, l[i] as line, regexp_replace(l[i], '^\s+|\s+$', '', 'g') as t from (select doc_id, page, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, page, string_split(content, chr(10)) as l from pgs))),
+ft as (select pl.doc_id, min(page) as f from pl join hd on hd.doc_id = pl.doc_id and hd.heading = pl.t group by 1),
+body as (select pgs.* from pgs left join ft using (doc_id) where page >= coalesce(f, 0))"""
+
+
+@query("skip_preamble", "with " + _BODY + " select doc_id, page, sha256(content) as content_hash from body")
+def skip_preamble(spark, d):
+    docs = D.doc_with_toc(spark, d)
+    x = segment.skip_preamble(segment.split_pages(docs), segment.toc_headings(segment.toc_entries(docs)))
+    return x.select("doc_id", F.col("page").cast("long").alias("page"), F.sha2("content", 256).alias("content_hash"))
+
+
+_SEGMENTS = _BODY + r""", wl as (select pl.*, hd.heading as h, sum(case when hd.heading is not null then 1 else 0 end) over (partition by pl.doc_id order by page, line_no rows unbounded preceding) as seg, coalesce(lead(page) over (partition by pl.doc_id order by page, line_no), page) as np
+ from pl join body using (doc_id, page) left join hd on hd.doc_id = pl.doc_id and hd.heading = pl.t where not regexp_matches(t, '(?i)^(--|--\s*\d+\s*(of|/)\s*\d+\s*--|contents|important links|frequently asked questions|\s*)$')),
+sg as (select doc_id, seg, coalesce(min(h), 'document') as heading, string_agg(line, chr(10) order by page, line_no) as content, min(page) + 1 as page_start, max(np) + 1 as page_end from wl group by 1, 2)"""
+
+
+def _segments(spark, d):
+    docs = D.doc_with_toc(spark, d)
+    headings = segment.toc_headings(segment.toc_entries(docs))
+    return segment.heading_segments(segment.skip_preamble(segment.split_pages(docs), headings), headings)
+
+
+@query("heading_segments", "with " + _SEGMENTS + " select doc_id, cast(seg as bigint) as seg, heading, sha256(content) as content_hash, page_start, page_end from sg")
+def heading_segments(spark, d):
+    return _segments(spark, d).select("doc_id", "seg", "heading", F.sha2("content", 256).alias("content_hash"), "page_start", "page_end")
+
+
+@query("drop_short_segments", "with " + _SEGMENTS + r" select doc_id, cast(seg as bigint) as seg, length(content) as chars from sg where length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300")
+def drop_short_segments(spark, d):
+    return segment.drop_short(_segments(spark, d)).select("doc_id", "seg", F.length("content").cast("long").alias("chars"))
+
+
+@query("merge_short_segments", "with " + _SEGMENTS + r""", pt as (select *, greatest(sum(case when length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300 then 1 else 0 end) over (partition by doc_id order by seg), 1) as part from sg)
+select doc_id, cast(min(seg) as bigint) as seg, arg_min(heading, seg) as heading, sha256(string_agg(content, chr(10) order by seg)) as content_hash, min(page_start) as page_start, max(page_end) as page_end from pt group by doc_id, part""")
+def merge_short_segments(spark, d):
+    x = segment.merge_short(_segments(spark, d))
+    return x.select("doc_id", "seg", "heading", F.sha2("content", 256).alias("content_hash"), "page_start", "page_end")
+
+
+@query("split_long_segments", r"""with recursive p as (select doc_id, i, l[i] as para, len(l) as n from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 800))),
+f as (select doc_id, i, n, 0 as part, length(para) as size from p where i = 1 union all
+ select p.doc_id, p.i, p.n, case when f.size + length(p.para) > 800 then f.part + 1 else f.part end, case when f.size + length(p.para) > 800 then length(p.para) else f.size + length(p.para) end from f join p on p.doc_id = f.doc_id and p.i = f.i + 1)
+select f.doc_id, cast(part as bigint) as part, sha256(string_agg(para, chr(10) order by f.i)) as content_hash from f join p on p.doc_id = f.doc_id and p.i = f.i group by 1, 2
+union all select doc_id, 0, sha256(text) from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) <= 800""")
+def split_long_segments(spark, d):
+    x = D.table(spark, d, "documents").select("doc_id", F.lit(0).alias("seg"), F.col("text").alias("whole"))
+    double = F.when(F.length(S.strip(F.col("whole"))) > 800, F.replace("whole", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("whole"))
+    out = segment.split_long(x.withColumn("content", double), 800)
+    return out.select("doc_id", F.col("part").cast("long").alias("part"), F.sha2("content", 256).alias("content_hash"))
+
+
+@query("segments", "with " + _SEGMENTS + r""", kp as (select *, row_number() over (partition by doc_id order by seg) - 1 as idx from sg where length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300),
+sid as (select *, regexp_replace(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60] as b, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g'))[1:8] as h from kp)
+select doc_id, idx as "index", heading, regexp_replace(case when b <> '' then b || '-' || h else h end, '-{2,}', '-', 'g') as segment_id, page_start, page_end from sid""")
+def segments(spark, d):
+    x = segment.segments(D.doc_with_toc(spark, d))
+    return x.select("doc_id", F.col("index").cast("long").alias("index"), "heading", "segment_id", "page_start", "page_end")
+
+
+@query("segment_summary", "with " + _SEGMENTS + " select doc_id, count(*) as n_segments, min(length(content)) as least, max(length(content)) as most, sum(length(content)) as total from sg group by 1")
+def segment_summary(spark, d):
+    x = segment.segment_summary(_segments(spark, d))
+    return x.select("doc_id", "n_segments", *[F.col(c).cast("long").alias(c) for c in ("least", "most", "total")])
+
+
+# Chunks, Markdown, validation, index
+
+
+@query("extract_procedures", "with " + D.CHUNKS + " select source, topic, summary, array_to_string(triggers, '|') as triggers, has_conditions, coalesce(conditions, '') as conditions, coalesce(constraints, '') as constraints, sha256(response) as response_hash from ids")
+def extract_procedures(spark, d):
+    x = kb.extract_procedures(D.segs(spark, d))
+    return x.select("source", "topic", "summary", joined("triggers"), "has_conditions", F.coalesce("conditions", F.lit("")).alias("conditions"), F.coalesce("constraints", F.lit("")).alias("constraints"), F.sha2("response", 256).alias("response_hash"))
+
+
+@query("assign_chunk_ids", "with " + D.CHUNKS + " select chunk_id, source, topic, status from chunks")
+def assign_chunk_ids(spark, d):
+    return D.chunks(spark, d).select("chunk_id", "source", "topic", "status")
+
+
+@query("extract_chat_patterns", r"""with t as (select conv_id, arg_min(text, turn) filter (where role = 'user') as symptom, arg_max(text, turn) filter (where role = 'assistant') as fix from conversations group by 1),
+n as (select trim(regexp_replace(lower(regexp_replace(symptom, '\S+@\S+', '[removed]', 'g')), '[^\pL\pN]+', ' ', 'g')) as symptom, regexp_replace(fix, '\S+@\S+', '[removed]', 'g') as fix from t where symptom is not null and fix is not null)
+select symptom, fix, count(*) as n from n group by 1, 2""")
+def extract_chat_patterns(spark, d):
+    said = lambda role: F.when(F.col("role") == role, F.col("turn"))
+    t = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", said("user")).alias("symptom"), F.max_by("text", said("assistant")).alias("fix")).where("symptom is not null and fix is not null")
+    clean = lambda c: F.regexp_replace(c, r"\S+@\S+", "[removed]")
+    symptom = F.trim(F.regexp_replace(F.lower(clean(F.col("symptom"))), r"[^\p{L}\p{N}]+", " "))
+    return t.groupBy(symptom.alias("symptom"), clean(F.col("fix")).alias("fix")).agg(F.count("*").alias("n"))
+
+
+@query("parse_front_matter", "with " + D.CHUNK_MD + " select file, has_fm as has_front_matter, chunk_id, source, topic, summary, array_to_string(triggers, '|') as triggers, has_conditions, array_to_string(related_chunks, '|') as related_chunks, status from parsed")
+def parse_front_matter(spark, d):
+    return kb.parse_front_matter(D.chunk_md(spark, d)).drop("raw").withColumns({c: F.array_join(c, "|") for c in ("triggers", "related_chunks")})
+
+
+@query("validate_chunks", "with " + D.CHUNK_MD + " select file, chunk_id, len(issues) = 0 as passed, array_to_string(issues, '|') as issues from issues where status = 'active'")
+def validate_chunks(spark, d):
+    return kb.validate_chunks(D.chunk_md(spark, d)).withColumn("issues", F.array_join("issues", "|"))
+
+
+@query("mark_review", "with " + D.CHUNK_MD + r" select file, sha256(case when status = 'active' and len(issues) > 0 then regexp_replace(raw, '(?m)^status:.*$', 'status: review') else raw end) as raw_hash from issues")
+def mark_review(spark, d):
+    files = D.chunk_md(spark, d)
+    return kb.mark_review(files, kb.validate_chunks(files)).select("file", F.sha2("raw", 256).alias("raw_hash"))
+
+
+@query("validation_counts", "with " + D.CHUNK_MD + " select coalesce(issue, 'passed') as issue, count(*) as n from (select unnest(case when len(issues) = 0 then ['passed'] else issues end) as issue from issues where status = 'active') group by 1")
+def validation_counts(spark, d):
+    x = kb.validate_chunks(D.chunk_md(spark, d))
+    return x.select(F.explode(F.when(F.col("passed"), F.array(F.lit("passed"))).otherwise(F.col("issues"))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query("rebuild_index", "with " + D.CHUNK_MD + " select file, chunk_id, topic from parsed where chunk_id <> '' and topic <> '' and status = 'active'")
+def rebuild_index(spark, d):
+    return kb.rebuild_index(D.chunk_md(spark, d)).orderBy("file").select("file", "chunk_id", "topic")
+
+
+@query("required_sections", "with " + D.CHUNK_MD + " select file, s as section, contains(raw, s) as passed from files cross join (select unnest(['## Context', '## Response', '## Escalation']) as s)")
+def required_sections(spark, d):
+    sections = F.explode(F.array(*[F.lit(x) for x in ("## Context", "## Response", "## Escalation")]))
+    return D.chunk_md(spark, d).select("file", "raw", sections.alias("section")).select("file", "section", F.contains("raw", F.col("section")).alias("passed"))
+
+
+@query("front_matter_checks", "with " + D.CHUNK_MD + " select file, len(issues) = 0 as passed, coalesce(issues[1], '') as detail from issues")
+def front_matter_checks(spark, d):
+    x = kb.chunk_issues(kb.parse_front_matter(D.chunk_md(spark, d)))
+    return x.select("file", "passed", F.coalesce(F.get("issues", F.lit(0)), F.lit("")).alias("detail"))
+
+
+@query("related_prefix_check", "with " + D.CHUNK_MD + " select file, not regexp_matches(raw, '(?i)- chunk_id:') as passed from files")
+def related_prefix_check(spark, d):
+    return D.chunk_md(spark, d).select("file", (~F.col("raw").rlike("(?i)- chunk_id:")).alias("passed"))
+
+
+_CHECKS = r""", checks as (select 'front_matter' as name, len(issues) = 0 as passed from issues union all select 'related_prefix', not regexp_matches(raw, '(?i)- chunk_id:') from files union all select 'escalation', contains(raw, '## Escalation') from files)"""
+
+
+@query("check_summary", "with " + D.CHUNK_MD + _CHECKS + " select coalesce(name, 'all') as name, count(*) as total, count(*) filter (where passed) as passed, count(*) filter (where not passed) as failed from checks group by rollup(name)")
+def check_summary(spark, d):
+    files = D.chunk_md(spark, d)
+    one = lambda name, x: x.select(F.lit(name).alias("name"), "passed")
+    checks = one("front_matter", front_matter_checks(spark, d)).unionByName(one("related_prefix", related_prefix_check(spark, d)))
+    checks = checks.unionByName(one("escalation", files.select(F.contains("raw", F.lit("## Escalation")).alias("passed"))))
+    out = checks.rollup("name").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+    return out.withColumn("name", F.coalesce("name", F.lit("all")))
+
+
+@query("index_chunk_consistency", "with " + D.CHUNK_MD + r""", idx as (select chunk_id from chunks where status <> 'deprecated'), ch as (select distinct chunk_id from parsed where chunk_id <> '')
+select coalesce(i.chunk_id, c.chunk_id) as chunk_id, case when c.chunk_id is null then 'entry without chunk' when i.chunk_id is null then 'chunk without entry' else 'ok' end as label from idx i full join ch c on i.chunk_id = c.chunk_id""")
+def index_chunk_consistency(spark, d):
+    i = D.chunks(spark, d).where("status <> 'deprecated'").select(F.col("chunk_id").alias("i"))
+    c = kb.parse_front_matter(D.chunk_md(spark, d)).where("chunk_id <> ''").select(F.col("chunk_id").alias("c")).distinct()
+    label = F.when(F.col("c").isNull(), "entry without chunk").when(F.col("i").isNull(), "chunk without entry").otherwise("ok")
+    return i.join(c, F.col("i") == F.col("c"), "full").select(F.coalesce("i", "c").alias("chunk_id"), label.alias("label"))
+
+
+@query("index_stats", "with " + D.CHUNK_MD + " select count(*) filter (where status = 'active') as active, count(*) filter (where status = 'review') as review, count(*) filter (where status = 'deprecated') as deprecated, count(*) filter (where chunk_id = '' or topic = '') as skipped from parsed")
+def index_stats(spark, d):
+    x = kb.parse_front_matter(D.chunk_md(spark, d))
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return x.agg(n("active"), n("review"), n("deprecated"), F.count_if((F.col("chunk_id") == "") | (F.col("topic") == "")).alias("skipped"))
+
+
+@query("index_guards", "with " + D.CHUNKS + " select count(*) > 80 as many_chunks, sum(length(chunk_id) + length(source) + length(topic) + length(summary)) > 30000 as large from chunks where status = 'active'")
+def index_guards(spark, d):
+    size = F.sum(sum((F.length(c) for c in ("source", "topic", "summary")), F.length("chunk_id")))
+    return D.chunks(spark, d).where("status = 'active'").agg((F.count("*") > 80).alias("many_chunks"), (size > 30000).alias("large"))
+
+
+@query("list_chunks", "with " + D.CHUNKS + " select c.chunk_id, topic, summary, status, n from chunks c join (select status, count(*) as n from chunks group by 1) using (status)")
+def list_chunks(spark, d):
+    x = D.chunks(spark, d)
+    return x.join(x.groupBy("status").agg(F.count("*").alias("n")), "status").select("chunk_id", "topic", "summary", "status", "n")
+
+
+# Manifest
+
+
+@query("hash_sources", "with " + D.SOURCE_DOCS + " select path, sha256(text) as hash, strlen(text) as size_bytes from source_docs")
+def hash_sources(spark, d):
+    return kb.hash_sources(D.source_docs(spark, d))
+
+
+_CHANGED = D.MANIFEST + ", chg as (select s.path, case when m.path is null then 'new' when m.hash = sha256(s.text) and len(m.chunk_ids) > 0 then 'unchanged' else 'changed' end as label from source_docs s left join manifest m on m.path = s.path)"
+
+
+@query("changed_sources", "with " + _CHANGED + " select path, label from chg")
+def changed_sources(spark, d):
+    return kb.changed_sources(D.source_docs(spark, d), D.manifest(spark, d))
+
+
+def _old_index(spark, d):
+    return D.manifest(spark, d).select(F.explode("chunk_ids").alias("chunk_id")).distinct()
+
+
+_OLD = ", old as (select distinct unnest(chunk_ids) as chunk_id from manifest)"
+
+
+@query("drop_stale_chunks", "with " + _CHANGED + _OLD + " select chunk_id from old where chunk_id not in (select unnest(chunk_ids) from manifest m join chg using (path) where label = 'changed')")
+def drop_stale_chunks(spark, d):
+    m = D.manifest(spark, d)
+    return kb.drop_stale(_old_index(spark, d), m, kb.changed_sources(D.source_docs(spark, d), m))
+
+
+@query("upsert_index", "with " + D.MANIFEST + _OLD + r""", new as (select 'c' || doc_id as chunk_id, 'new' as origin from source_docs where doc_id % 3 = 0), o as (select chunk_id, 'old' as origin from old)
+select chunk_id, case when n.chunk_id is null then 'old' else 'new' end as origin from o full join new n using (chunk_id)""")
+def upsert_index(spark, d):
+    new = D.source_docs(spark, d).where("doc_id % 3 = 0").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("new").alias("origin"))
+    return kb.upsert(_old_index(spark, d).withColumn("origin", F.lit("old")), new)
+
+
+@query("record_extraction", "with " + D.MANIFEST + r""", run as (select path, case when doc_id % 10 = 0 then cast([] as varchar[]) else ['r' || doc_id] end as ids from source_docs where doc_id % 2 = 0)
+select path, array_to_string(chunk_ids, '|') as chunk_ids from manifest where path not in (select path from run where len(ids) > 0) union all select path, array_to_string(ids, '|') from run where len(ids) > 0""")
+def record_extraction(spark, d):
+    ids = F.when(F.col("doc_id") % 10 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("r"), F.col("doc_id").cast("string"))))
+    run = D.source_docs(spark, d).where("doc_id % 2 = 0").select("path", ids.alias("chunk_ids"))
+    return kb.record_extraction(D.manifest(spark, d).select("path", "chunk_ids"), run).withColumn("chunk_ids", F.array_join("chunk_ids", "|"))
+
+
+@query("chunk_ids_for_source", "with " + D.MANIFEST + " select s.path, coalesce(array_to_string(chunk_ids, '|'), '') as chunk_ids from source_docs s left join manifest m on m.path = s.path")
+def chunk_ids_for_source(spark, d):
+    x = D.source_docs(spark, d).select("path").join(D.manifest(spark, d), "path", "left")
+    return x.select("path", F.coalesce(F.array_join("chunk_ids", "|"), F.lit("")).alias("chunk_ids"))
+
+
+@query("source_for_chunk", "with " + D.MANIFEST + ", e as (select path, unnest(chunk_ids) as chunk_id from manifest) select chunk_id, regexp_extract(min(path), '[^/]*$') as first_source, regexp_extract(max(path), '[^/]*$') as last_source from e group by 1")
+def source_for_chunk(spark, d):
+    m = D.manifest(spark, d)
+    first = kb.source_for_chunk(m, "first").withColumnRenamed("source", "first_source")
+    return first.join(kb.source_for_chunk(m, "last").withColumnRenamed("source", "last_source"), "chunk_id")
+
+
+@query("delete_chunks", "with " + D.MANIFEST + _OLD + r""", ids as (select 'c' || doc_id as chunk_id from source_docs where doc_id % 6 = 0)
+select chunk_id, 'kept' as label from old where chunk_id not in (select chunk_id from ids) union all select chunk_id, 'not found' from ids where chunk_id not in (select chunk_id from old)""")
+def delete_chunks(spark, d):
+    ids = D.source_docs(spark, d).where("doc_id % 6 = 0").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"))
+    old = _old_index(spark, d)
+    return old.join(ids, "chunk_id", "left_anti").withColumn("label", F.lit("kept")).unionByName(ids.join(old, "chunk_id", "left_anti").withColumn("label", F.lit("not found")))
+
+
+@query("manifest_summary", "with " + D.MANIFEST + " select regexp_extract(path, '[^/]*$') as file, len(chunk_ids) as n_chunks, round(size_bytes / 1024.0, 1) as size_kb, hash[1:16] as hash from manifest")
+def manifest_summary(spark, d):
+    return D.manifest(spark, d).select(S.base_name(F.col("path")).alias("file"), F.size("chunk_ids").cast("long").alias("n_chunks"), F.round(F.col("size_bytes") / 1024.0, 1).alias("size_kb"), F.substring("hash", 1, 16).alias("hash"))
+
+
+# Relating, retrieval, evaluation
+
+_TOK = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\pL\pN]+'), lambda x: length(x) >= 2))"
+_POST = r""", act as (select * from chunks where status = 'active'), tk as (select chunk_id, unnest(""" + _TOK.format("topic") + r""") as token, 3 as w from act union all select chunk_id, unnest(""" + _TOK.format("array_to_string(triggers, ' ')") + r"""), 2 from act
+ union all select chunk_id, unnest(""" + _TOK.format("summary") + r"""), 1 from act), post as (select token, chunk_id, sum(w) as w from tk group by 1, 2), df as (select token, count(*) as df from post group by 1),
+qs as (select item_id as qid, array_to_string(regexp_split_to_array(text, '\s+')[1:12], ' ') as question from benchmark), qt as (select qid, unnest(""" + _TOK.format("question") + r""") as token from qs),
+sc as (select qid, chunk_id, round(sum(w * ln(1 + (select count(*) from act) / cast(df as double))), 6) as score from qt join df using (token) join post using (token) group by 1, 2),
+rk as (select qid, row_number() over (partition by qid order by score desc, chunk_id) as rank, chunk_id, score from sc qualify row_number() over (partition by qid order by score desc, chunk_id) <= 3)"""
+
+
+def _questions(spark, d):
+    words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")
+    return D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), words.alias("question"))
+
+
+@query("retrieve", "with " + D.CHUNKS + _POST + " select qid, rank, chunk_id, round(score, 4) as score from rk")
+def retrieve_chunks(spark, d):
+    x = retrieve.retrieve(_questions(spark, d), D.chunks(spark, d))
+    return x.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 4).alias("score"))
+
+
+@query("assemble_context", "with " + D.CHUNKS + _POST + " select qid, sha256(string_agg('=== Chunk: ' || chunk_id || ' ===' || chr(10) || response, chr(10) || chr(10) order by chunk_id)) as context_hash from rk join chunks using (chunk_id) group by 1")
+def assemble_context(spark, d):
+    chunks = D.chunks(spark, d)
+    x = retrieve.assemble_context(retrieve.retrieve(_questions(spark, d), chunks), chunks.select("chunk_id", F.col("chunk_id").alias("file"), F.col("response").alias("body")))
+    return x.select("qid", F.sha2("context", 256).alias("context_hash"))
+
+
+@query("attach_source", "with " + D.CHUNKS + _POST + " select qid, chunk_id, regexp_extract(source, '[^/]*$') as source from rk join chunks using (chunk_id)")
+def attach_source(spark, d):
+    chunks = D.chunks(spark, d)
+    return retrieve.retrieve(_questions(spark, d), chunks).join(chunks.select("chunk_id", S.base_name(F.col("source")).alias("source")), "chunk_id").select("qid", "chunk_id", "source")
+
+
+_GOLD = r""", gold as (select b.item_id as qid, list_sort(list(distinct c.chunk_id)) as expected from benchmark b left join chunks c on contains(c.response, b.text[1:60]) group by 1),
+hits as (select g.qid, list_filter(expected, lambda x: x is not null) as expected, coalesce(list(rk.chunk_id) filter (where rk.chunk_id is not null), []) as got from gold g left join rk on rk.qid = g.qid group by g.qid, expected)"""
+
+
+def _hits(spark, d):
+    chunks = D.chunks(spark, d)
+    items = D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("start"))
+    # benchmark items are few: each is looked for in every chunk
+    found = chunks.join(F.broadcast(items), F.contains(F.col("response"), F.col("start"))).groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("expected"))
+    got = retrieve.retrieve(_questions(spark, d), chunks).groupBy("qid").agg(F.collect_list("chunk_id").alias("got"))
+    empty = F.array().cast("array<string>")
+    x = items.select("qid").join(found, "qid", "left").join(got, "qid", "left")
+    x = x.select("qid", F.coalesce("expected", empty).alias("expected"), F.coalesce("got", empty).alias("got"))
+    return x.withColumn("hit", F.arrays_overlap("expected", "got"))
+
+
+@query("retrieval_hits", "with " + D.CHUNKS + _POST + _GOLD + " select qid, len(expected) as n_expected, list_has_any(expected, got) as hit from hits")
+def retrieval_hits(spark, d):
+    return _hits(spark, d).select("qid", F.size("expected").cast("long").alias("n_expected"), "hit")
+
+
+@query("retrieval_score", "with " + D.CHUNKS + _POST + _GOLD + r""", s as (select count(*) as queries, count(*) filter (where list_has_any(expected, got)) as hits from hits where len(expected) > 0)
+select queries, hits, queries - hits as misses, cast(floor(100.0 * hits / nullif(queries, 0) + 0.5) as bigint) as score from s""")
+def retrieval_score(spark, d):
+    x = _hits(spark, d).where("size(expected) > 0").agg(F.count("*").alias("queries"), F.count_if("hit").alias("hits"))
+    score = F.floor(F.try_divide(F.col("hits") * 100.0, F.col("queries")) + 0.5).cast("long")
+    return x.select("queries", "hits", (F.col("queries") - F.col("hits")).alias("misses"), score.alias("score"))
+
+
+@query("missed_ids", "with " + D.CHUNKS + _POST + _GOLD + " select qid, array_to_string(list_sort(list_filter(expected, lambda x: not list_contains(got, x))), '|') as missed from hits where not list_has_any(expected, got)")
+def missed_ids(spark, d):
+    return _hits(spark, d).where("not hit").select("qid", F.array_join(F.array_sort(F.array_except("expected", "got")), "|").alias("missed"))
+
+
+_CLUSTERS = "cl as (select (row_number() over (partition by label order by vec_id) - 1) // 3 as k, label, 'v' || vec_id as id, vec_id from embeddings), clusters as (select label * 100000 + k as cluster, id from cl union all select label * 100000 + k + 1, id from cl where vec_id % 10 = 0)"
+
+
+def _clusters(spark, d):
+    from pyspark.sql import Window
+
+    k = F.floor((F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1) / 3)
+    x = D.table(spark, d, "embeddings").select("vec_id", "label", k.alias("k"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"))
+    at = F.col("label").cast("long") * 100000 + F.col("k")
+    return x.select(at.alias("cluster"), "id").unionByName(x.where("vec_id % 10 = 0").select((at + 1).alias("cluster"), "id"))
+
+
+_RELATED = "with " + _CLUSTERS + ", own as (select id, max(cluster) as cluster from clusters group by 1), rel as (select o.id as chunk_id, list_sort(list(c.id)) as related from own o join clusters c on c.cluster = o.cluster and c.id <> o.id group by 1)"
+
+
+@query("related_from_clusters", _RELATED + " select chunk_id, array_to_string(related, '|') as related_chunks from rel")
+def related_from_clusters(spark, d):
+    return kb.related_from_clusters(_clusters(spark, d)).select("chunk_id", joined("related_chunks"))
+
+
+@query("apply_related", _RELATED + ", i as (select 'v' || vec_id as chunk_id, case when vec_id % 4 = 0 then 'review' else 'active' end as status, ['old'] as r from embeddings) select chunk_id, status, array_to_string(case when status = 'active' then coalesce(related, []) else r end, '|') as related_chunks from i left join rel using (chunk_id)")
+def apply_related(spark, d):
+    status = F.when(F.col("vec_id") % 4 == 0, "review").otherwise("active")
+    i = D.table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chunk_id"), status.alias("status"), F.array(F.lit("old")).alias("related_chunks"))
+    return kb.apply_related(i, kb.related_from_clusters(_clusters(spark, d))).select("chunk_id", "status", joined("related_chunks"))
+
+
+@query("related_edges", _RELATED + " select chunk_id, unnest(related) as related_id from rel")
+def related_edges(spark, d):
+    return kb.related_from_clusters(_clusters(spark, d)).select("chunk_id", F.explode("related_chunks").alias("related_id"))
+
+
+@query("dangling_related", _RELATED + ", e as (select chunk_id, unnest(related) as related_id from rel) select chunk_id, related_id from e where related_id not in (select 'v' || vec_id from embeddings where vec_id % 4 <> 0)")
+def dangling_related(spark, d):
+    active = D.table(spark, d, "embeddings").where("vec_id % 4 <> 0").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("related_id"))
+    return related_edges(spark, d).join(active, "related_id", "left_anti").select("chunk_id", "related_id")
+
+
+_PAIRS = D.CHUNKS + r""", rt as (select chunk_id, unnest(""" + _TOK.format("topic || ' ' || array_to_string(triggers, ' ')") + r""") as token from chunks where status = 'active'), sz as (select chunk_id, count(*) as n from rt group by 1),
+kt as (select * from rt where token in (select token from rt group by 1 having count(*) <= 50)), pr as (select a.chunk_id as a, b.chunk_id as b, count(*) as c from kt a join kt b on a.token = b.token and a.chunk_id < b.chunk_id group by 1, 2),
+jp as (select a, b, round(c / cast(x.n + y.n - c as double), 6) as jaccard from pr join sz x on x.chunk_id = a join sz y on y.chunk_id = b), jl as (select * from jp where jaccard >= 0.1),
+bo as (select a, b, jaccard from jl union all select b, a, jaccard from jl), be as (select * from (select *, row_number() over (partition by a order by jaccard desc, b) as r from bo) where r = 1),
+mu as (select x.a as cluster, x.b as mate from be x join be y on x.a = y.b and x.b = y.a where x.a < x.b), sd as (select cluster, unnest([cluster, mate]) as id from mu),
+nr as (select * from (select s.cluster, be.a as id, row_number() over (partition by s.cluster order by jaccard desc, be.a) as r from be join sd s on s.id = be.b where be.a not in (select id from sd)) where r <= 2)"""
+
+
+@query("relate_clusters", "with " + _PAIRS + " select cluster, id from sd union all select cluster, id from nr")
+def relate_clusters(spark, d):
+    return retrieve.relate_clusters(D.chunks(spark, d))
+
+
+# Requests
+
+
+@query("sessionize", f"with {D.LOG} select req_id, session_id, sum(case when g > 1800000000 then 1 else 0 end) over (partition by session_id order by ts, req_id) as session_no from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by session_id order by ts, req_id) as g from log)")
+def sessionize(spark, d):
+    return requests.sessionize(D.request_log(spark, d)).select("req_id", "session_id", "session_no")
+
+
+@query("session_stats", f"with {D.LOG}, s as (select *, sum(case when g > 1800000000 then 1 else 0 end) over (partition by session_id order by ts, req_id) as session_no from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by session_id order by ts, req_id) as g from log)) select session_id, session_no, epoch_us(min(ts)) as started, epoch_us(max(ts)) as ended, count(*) as requests, round(avg(duration_ms), 3) as mean_ms from s group by 1, 2")
+def session_stats(spark, d):
+    return requests.session_stats(D.request_log(spark, d)).withColumns({c: F.unix_micros(c) for c in ("started", "ended")})
+
+
+@query("history_window", "select conv_id, turn, coalesce(h, '') as history from (select conv_id, turn, role, string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between 20 preceding and 1 preceding) as h from conversations) where role = 'user'")
+def history_window(spark, d):
+    return requests.history_window(D.table(spark, d, "conversations"))
+
+
+@query("trailing_request_count", f"with {D.DENSE} select req_id, session_id, count(*) over (partition by session_id order by epoch_us(ts) range between 59999999 preceding and current row) as in_window from log")
+def trailing_request_count(spark, d):
+    return requests.trailing_request_count(D.request_log(spark, d, dense=True)).select("req_id", "session_id", "in_window")
+
+
+@query("rate_limit_decisions", f"""with recursive {D.DENSE}, o as (select req_id, session_id, epoch_us(ts) as t, row_number() over (partition by session_id order by ts, req_id) as i from log),
+r as (select session_id, i, req_id, true as admitted, [t] as w from o where i = 1 union all
+ select o.session_id, o.i, o.req_id, len(list_filter(r.w, lambda x: o.t - x < 60000000)) < 20, case when len(list_filter(r.w, lambda x: o.t - x < 60000000)) < 20 then list_append(list_filter(r.w, lambda x: o.t - x < 60000000), o.t) else list_filter(r.w, lambda x: o.t - x < 60000000) end
+ from r join o on o.session_id = r.session_id and o.i = r.i + 1) select session_id, req_id, admitted from r""")
+def rate_limit_decisions(spark, d):
+    return requests.rate_limit_decisions(D.request_log(spark, d, dense=True))
+
+
+@query("stale_sessions", f"with {D.LOG} select session_id, epoch_us(max(ts)) as last_us from log where ts <= timestamp '2024-01-20 12:00:00' group by 1 having epoch_us(timestamp '2024-01-20 12:00:00') - epoch_us(max(ts)) > 1800000000")
+def stale_sessions(spark, d):
+    return requests.stale_sessions(D.request_log(spark, d), "2024-01-20 12:00:00").select("session_id", F.unix_micros("last_ts").alias("last_us"))
+
+
+@query("failure_runs", f"with {D.LOG}, i as (select *, sum(case when outcome = 'error' then 0 else 1 end) over (partition by session_id order by ts, req_id) as island from log) select session_id, epoch_us(min(ts)) as started, epoch_us(max(ts)) as ended, count(*) as failures from i where outcome = 'error' group by session_id, island having count(*) >= 3")
+def failure_runs(spark, d):
+    return requests.failure_runs(D.request_log(spark, d), 3).withColumns({c: F.unix_micros(c) for c in ("started", "ended")})
+
+
+@query("error_breakdown", f"with {D.ERRORS} select epoch_us(date_trunc('hour', ts)) as hour_us, {_CLASS} as class, count(*) as n from (select *, lower(message) as m from errs) group by 1, 2")
+def error_breakdown(spark, d):
+    x = D.error_log(spark, d).withColumn("class", S.error_class(F.col("message"), F.col("status")))
+    return x.groupBy(F.window("ts", "1 hour").alias("w"), "class").agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("hour_us"), "class", "n")
+
+
+@query("latency_report", f"with {D.LOG} select mode, count(*) as requests, round(avg(duration_ms), 3) as mean_ms, round(quantile_cont(duration_ms, 0.5), 3) as p50_ms, round(quantile_cont(duration_ms, 0.95), 3) as p95_ms, round(avg(case when duration_ms >= 120000 then 1 else 0 end), 6) as over_limit from log group by 1")
+def latency_report(spark, d):
+    return requests.latency_report(D.request_log(spark, d))
+
+
+_RUNS = f"{D.LOG}, runs as (select session_id % 20 as source, cast(ts as date) as day, question as step, sum(duration_ms) as ms, bool_and(outcome = 'ok') as success from log group by all)"
+
+
+def _runs(spark, d):
+    x = D.request_log(spark, d).groupBy((F.col("session_id") % 20).alias("source"), F.to_date("ts").alias("day"), F.col("question").alias("step"))
+    return x.agg(F.sum("duration_ms").alias("ms"), F.bool_and(F.col("outcome") == "ok").alias("success"))
+
+
+@query("perf_report", f"with {_RUNS} select step, count(*) as runs, round(avg(ms) / 1000.0, 1) as mean_s from runs group by 1")
+def perf_report(spark, d):
+    return _runs(spark, d).groupBy("step").agg(F.count("*").alias("runs"), F.round(F.avg("ms") / 1000.0, 1).alias("mean_s"))
+
+
+@query("run_report", f"with {_RUNS} select source, cast(day as varchar) as day, sum(ms) as total_ms, bool_and(success) as success, string_agg(step, '|' order by step) as steps from runs group by 1, 2")
+def run_report(spark, d):
+    x = _runs(spark, d).groupBy("source", F.col("day").cast("string").alias("day"))
+    return x.agg(F.sum("ms").alias("total_ms"), F.bool_and("success").alias("success"), F.array_join(F.array_sort(F.collect_list("step")), "|").alias("steps"))
+
+
+@query("source_failures", f"with {_RUNS} select count(distinct source) as sources, count(*) filter (where success) as created, count(*) filter (where not success) as failed from runs")
+def source_failures(spark, d):
+    return _runs(spark, d).agg(F.count_distinct("source").alias("sources"), F.count_if("success").alias("created"), F.count_if(~F.col("success")).alias("failed"))
