@@ -76,7 +76,7 @@ def parse_front_matter(files: DataFrame) -> DataFrame:
     fm = F.regexp_extract("raw", r"(?s)^---\n(.*?)\n---", 1)
     field = lambda pattern, default: F.coalesce(F.nullif(strip(F.regexp_extract("fm", pattern, 1)), F.lit("")), F.lit(default))
     items = lambda name: F.regexp_extract("fm", rf"(?m)^{name}:\s*\n((?:\s+- .+\n?)*)", 1)
-    triggers = F.regexp_extract_all(items("triggers"), F.lit(r'(?m)- "?(.+?)"?\s*$'), 1)
+    triggers = F.transform(F.regexp_extract_all(items("triggers"), F.lit(r'(?m)- "?(.+?)"?\s*$'), 1), strip)
     related = F.regexp_extract_all(items("related_chunks"), F.lit(r"(?m)- (.+?)\s*$"), 1)
     return files.withColumn("fm", fm).select(
         "file",

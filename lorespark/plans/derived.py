@@ -123,7 +123,7 @@ parsed as (select file, raw, has_fm, regexp_replace(regexp_extract(fm, '(?m)^chu
   coalesce(nullif(regexp_replace(regexp_extract(fm, '(?m)^source:\s*(.+)$', 1), '^\s+|\s+$', '', 'g'), ''), 'unknown') as source,
   regexp_replace(regexp_extract(fm, '(?m)^topic:\s*(.+)$', 1), '^\s+|\s+$', '', 'g') as topic,
   regexp_replace(regexp_extract(fm, '(?m)^summary:\s*>\s*\n\s+(.+)$', 1), '^\s+|\s+$', '', 'g') as summary,
-  regexp_extract_all(regexp_extract(fm, '(?m)^triggers:\s*\n((?:\s+- .+\n?)*)', 1), '(?m)- "?(.+?)"?\s*$', 1) as triggers,
+  list_transform(regexp_extract_all(regexp_extract(fm, '(?m)^triggers:\s*\n((?:\s+- .+\n?)*)', 1), '(?m)- "?(.+?)"?\s*$', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) as triggers,
   regexp_extract(fm, '(?m)^has_conditions:\s*(true|false)$', 1) = 'true' as has_conditions,
   list_transform(regexp_extract_all(regexp_extract(fm, '(?m)^related_chunks:\s*\n((?:\s+- .+\n?)*)', 1), '(?m)- (.+?)\s*$', 1), lambda x: regexp_replace(x, '(?i)^chunk_id:', '')) as related_chunks,
   coalesce(nullif(regexp_extract(fm, '(?m)^status:\s*(\w+)$', 1), ''), 'active') as status from fmx),

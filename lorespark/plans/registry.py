@@ -650,3 +650,244 @@ def run_report(spark, d):
 @query("source_failures", f"with {_RUNS} select count(distinct source) as sources, count(*) filter (where success) as created, count(*) filter (where not success) as failed from runs")
 def source_failures(spark, d):
     return _runs(spark, d).agg(F.count_distinct("source").alias("sources"), F.count_if("success").alias("created"), F.count_if(~F.col("success")).alias("failed"))
+
+
+# Model outputs and responses
+
+
+def _raw_outputs(spark, d):
+    from lorespark.functions.scalars import strip  # noqa: F401
+
+    m = lambda k: F.col("doc_id") % k == 0
+    triggers = F.when(m(29), F.array().cast("array<string>")).otherwise(F.col("triggers"))
+    flag = F.when(m(17), F.lit(True)).otherwise(F.col("has_conditions"))
+    one = F.to_json(F.struct("chunk_id", "topic", "summary", triggers.alias("triggers"), flag.alias("has_conditions"), F.lit("active").alias("status"), "context", "conditions", "constraints", "response"))
+    raw = F.when(m(8), one).otherwise(F.concat(F.lit("Here: ["), one, F.when(m(5), F.lit(", ]")).otherwise(F.lit("]")), F.lit(" done")))
+    raw = F.when(m(23), F.substr(raw, F.lit(1), F.floor(F.length(raw) / 2).cast("int"))).otherwise(raw)
+    raw = F.when(m(3), F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).otherwise(raw)
+    return D.chunks(spark, d).select(F.col("chunk_id").alias("own_id"), "doc_id", raw.alias("raw"))
+
+
+_OUT = D.CHUNKS + r""", outs as (select *, cast(regexp_extract(source, 'doc-(\d+)\.pdf$', 1) as bigint) as doc from chunks)"""
+
+
+@query("parse_model_output", "with " + _OUT + " select chunk_id as own_id, chunk_id, topic, case when doc % 29 = 0 then 0 else len(triggers) end as n_triggers, sha256(response) as response_hash from outs where doc % 23 <> 0")
+def parse_model_output(spark, d):
+    from lorespark.operators import outputs
+
+    x = outputs.parse_model_output(_raw_outputs(spark, d))
+    return x.select("own_id", "item.chunk_id", "item.topic", F.size("item.triggers").cast("long").alias("n_triggers"), F.sha2("item.response", 256).alias("response_hash"))
+
+
+@query("clean_outputs")
+def clean_outputs(spark, d):
+    from lorespark.operators import outputs
+
+    return outputs.clean_outputs(_raw_outputs(spark, d)).select("own_id", "cleaned")
+
+
+@query("validate_model_output", "with " + _OUT + r""" select chunk_id as own_id, array_to_string(list_filter([case when not regexp_matches(chunk_id, '^[a-z0-9-]+$') then 'chunk_id' end, case when topic = '' then 'topic' end, case when summary = '' then 'summary' end, case when doc % 29 = 0 then 'triggers' end], lambda x: x is not null), '|') as issues from outs where doc % 23 <> 0""")
+def validate_model_output(spark, d):
+    from lorespark.operators import outputs
+
+    return outputs.parse_model_output(_raw_outputs(spark, d)).select("own_id", F.array_join(outputs.item_issues(), "|").alias("issues"))
+
+
+@query("flag_missing_conditions", "with " + _OUT + " select chunk_id as own_id, case when (doc % 17 = 0 or has_conditions) and coalesce(conditions, '') = '' then 'review' else 'active' end as status from outs where doc % 23 <> 0")
+def flag_missing_conditions(spark, d):
+    from lorespark.operators import outputs
+
+    return outputs.flag_missing_conditions(outputs.parse_model_output(_raw_outputs(spark, d))).select("own_id", "status")
+
+
+@query("quarantine_outputs", "with " + _OUT + " select chunk_id as own_id from outs where doc % 23 = 0")
+def quarantine_outputs(spark, d):
+    from lorespark.operators import outputs
+
+    return outputs.quarantine_outputs(_raw_outputs(spark, d)).select("own_id")
+
+
+@query("extract_chunks", "with " + _OUT + " select chunk_id, topic from outs")
+def extract_chunks(spark, d):
+    from lorespark.operators import outputs
+
+    def echo(prompts: list[str]) -> list[str]:
+        return ["```json\n[" + p + ",]\n```" for p in prompts]
+
+    item = F.to_json(F.struct("chunk_id", "topic", "summary", "triggers", "has_conditions", "status", "context", "response"))
+    raw = outputs.extract_chunks(D.chunks(spark, d).select("source", item.alias("prompt")), echo)
+    return outputs.parse_model_output(raw).select("item.chunk_id", "item.topic")
+
+
+_KINDS = [
+    '{"type":"steps","data":{"title":"T","steps":[{"title":"first X","body":"b"},{"title":"second","body":"b"}]}}',
+    '[{"type":"choices","data":{"question":"Q","options":[{"label":"one X"},{"label":"two"}]}},{"type":"nope"}]',
+    '{"type":"alert","data":{"severity":"info","title":"T","body":"Please confirm X"}}',
+    '{"type":"checklist","data":{"title":"T","items":["X","y","z"]}}',
+    '{"type":"escalation","data":{"reason":"X","summary":"s"}}',
+    '{"type":"summary","data":{"title":"T","body":"as shown X"}}',
+    '{"type":"text","data":{"body":"X"}}',
+    '{"type":"image","data":{"body":"X"}}',
+    "plain X, not JSON",
+]
+
+
+def _raw_responses(spark, d):
+    pick = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (F.col("event_id") % 9 + 1).cast("int"))
+    return D.table(spark, d, "events").select("event_id", F.replace(pick, F.lit("X"), F.col("event_type")).alias("raw"))
+
+
+_RESP = "kinds as (select unnest(range(0, 9)) as k, unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _KINDS) + "]) as t), raws as (select event_id, event_id % 9 as k, event_type, replace(t, 'X', event_type) as raw from events join kinds on k = event_id % 9)"
+
+
+@query("parse_chat_response", "with " + _RESP + r""" select event_id, 0 as position, case when k in (7, 8) then 'text' when k = 1 then 'choices' else json_extract_string(raw, '$.type') end as type, case when k in (7, 8) then raw else '' end as fallback from raws
+ union all select event_id, 1, 'text', '{"type":"nope"}' from raws where k = 1""")
+def parse_chat_response(spark, d):
+    from lorespark.operators import outputs
+
+    return outputs.parse_chat_response(_raw_responses(spark, d)).select("event_id", "position", "type", F.coalesce("fallback", F.lit("")).alias("fallback"))
+
+
+@query("response_components", "with " + _RESP + r""", parts as (select 0 as k, 0 as position, 1 as n, 'steps' as type, 'first X' as t union all select 0, 0, 2, 'steps', 'second' union all select 1, 0, 1, 'choices', 'one X' union all select 1, 0, 2, 'choices', 'two'
+ union all select 1, 1, 0, 'text', '{"type":"nope"}' union all select 2, 0, 0, 'alert', 'Please confirm X' union all select 3, 0, 1, 'checklist', 'X' union all select 3, 0, 2, 'checklist', 'y' union all select 3, 0, 3, 'checklist', 'z'
+ union all select 4, 0, 0, 'escalation', 'Create Support Ticket' union all select 5, 0, 0, 'summary', 'as shown X' union all select 6, 0, 0, 'text', 'X')
+select event_id, position, type, n, replace(t, 'X', event_type) as text from raws join parts using (k) union all select event_id, 0, 'text', 0, raw from raws where k in (7, 8)""")
+def response_components(spark, d):
+    from lorespark.operators import outputs
+
+    return outputs.response_components(outputs.parse_chat_response(_raw_responses(spark, d)), ["event_id"])
+
+
+@query("forbidden_phrases", "with " + _RESP + " select event_id, case k when 2 then 'Please confirm' else 'as shown' end as phrase from raws where k in (2, 5)")
+def forbidden_phrases(spark, d):
+    from lorespark.operators import outputs
+
+    return outputs.forbidden_phrases(_raw_responses(spark, d)).select("event_id", "phrase")
+
+
+@query("parse_retrieval", r"""select event_id, case when event_id % 3 = 0 then 'a' || event_id || '|b' when event_id % 3 = 1 then '' else '' end as ids from events""")
+def parse_retrieval(spark, d):
+    from lorespark.operators import outputs
+
+    ids = F.concat(F.lit("Ids: [\"a"), F.col("event_id").cast("string"), F.lit("\", \"b\",] ok"))
+    raw = F.when(F.col("event_id") % 3 == 0, ids).when(F.col("event_id") % 3 == 1, F.lit('{"id": 1}')).otherwise(F.lit("none"))
+    x = outputs.clean_outputs(D.table(spark, d, "events").select("event_id", raw.alias("raw")))
+    got = F.when(F.col("cleaned").startswith("["), F.from_json("cleaned", "array<string>", {"allowSingleQuotes": "false"}))
+    return x.select("event_id", F.array_join(F.coalesce(got, F.array().cast("array<string>")), "|").alias("ids"))
+
+
+@query("context_block", "with " + D.CHUNKS + _POST + r""", cx as (select qid, string_agg('=== Chunk: ' || chunk_id || ' ===' || chr(10) || response, chr(10) || chr(10) order by chunk_id) as c from rk join chunks using (chunk_id) group by 1)
+select item_id as qid, sha256(coalesce(c, 'No matching chunks found for this query.') || chr(10) || 'CURRENT MODE: ' || case when item_id % 2 = 0 then 'ANSWER' else 'CLARIFY' end) as block_hash from benchmark left join cx on qid = item_id""")
+def context_block(spark, d):
+    chunks = D.chunks(spark, d)
+    c = retrieve.assemble_context(retrieve.retrieve(_questions(spark, d), chunks), chunks.select("chunk_id", F.col("chunk_id").alias("file"), F.col("response").alias("body")))
+    mode = F.upper(F.when(F.col("qid") % 2 == 0, "answer").otherwise("clarify"))
+    x = _questions(spark, d).select("qid").join(c, "qid", "left")
+    return x.select("qid", F.sha2(F.concat(F.coalesce("context", F.lit("No matching chunks found for this query.")), F.lit("\nCURRENT MODE: "), mode), 256).alias("block_hash"))
+
+
+@query("answer")
+def answer(spark, d):
+    from lorespark.operators import outputs
+
+    chunks = D.chunks(spark, d)
+    best = retrieve.retrieve(_questions(spark, d), chunks, 1).join(chunks.select("chunk_id", "constraints", "conditions", F.col("response").alias("context")), "chunk_id")
+    return outputs.answer(_questions(spark, d).select("qid").join(best, "qid", "left"))
+
+
+@query("retrieve_with_history")
+def retrieve_with_history(spark, d):
+    h = requests.history_window(D.table(spark, d, "conversations"))
+    asked = D.table(spark, d, "conversations").join(h, ["conv_id", "turn"])
+    q = asked.groupBy("conv_id").agg(F.max_by(F.concat_ws(" ", "text", "history"), "turn").alias("question")).withColumnRenamed("conv_id", "qid")
+    return retrieve.retrieve(q, D.chunks(spark, d)).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
+
+
+@query("extract_qna", r"""with l as (select conv_id, turn, role, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as q from conversations)
+select conv_id, count(distinct q) filter (where q > 0) as questions, string_agg(text, chr(10) order by turn) filter (where q > 0 and role <> 'user') as answers from l group by 1""")
+def extract_qna(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    x = D.table(spark, d, "conversations").withColumn("q", F.sum((F.col("role") == "user").cast("int")).over(order))
+    said = F.array_sort(F.collect_list(F.when((F.col("q") > 0) & (F.col("role") != "user"), F.struct("turn", "text"))))
+    x = x.groupBy("conv_id").agg(F.count_distinct(F.when(F.col("q") > 0, F.col("q"))).alias("questions"), said.alias("said"))
+    return x.select("conv_id", "questions", F.when(F.size("said") > 0, F.array_join(F.transform("said", lambda s: s["text"]), "\n")).alias("answers"))
+
+
+# Files: written by the sinks to the shared folder, then read
+
+
+@query("read_index_text", "with " + D.CHUNKS + r""" select chunk_id, source, topic, regexp_replace(summary, '^\s+|\s+$', '', 'g') as summary, array_to_string(list_transform(triggers, lambda t: regexp_replace(replace(t, '"', ''''), '^\s+|\s+$', '', 'g')), '|') as triggers, has_conditions, status from chunks""")
+def read_index_text(spark, d):
+    from lorespark.sources import files, sinks
+
+    path = sinks.shared_folder(spark, "index")
+    sinks.write_index(D.chunks(spark, d), path)
+    x = files.read_index_text(spark, path)
+    clean = F.regexp_replace("chunk_id", r"^- chunk_id:\s*", "")
+    return x.select(clean.alias("chunk_id"), "source", "topic", "summary", joined("triggers"), "has_conditions", "status")
+
+
+@query("active_count", "with " + D.CHUNKS + " select count(*) as active from chunks where status = 'active'")
+def active_count(spark, d):
+    x = D.chunks(spark, d).select(kb.index_entry().alias("entry"))
+    return x.agg(F.coalesce(F.sum(F.regexp_count("entry", F.lit(r"(?m)^\s+status: active$"))), F.lit(0)).cast("long").alias("active"))
+
+
+@query("validate_index", "with " + D.CHUNKS + " select chunk_id, array_to_string(list_filter([case when not regexp_matches(chunk_id, '^[a-z0-9-]+$') then 'chunk_id' end, case when summary = '' then 'summary' end], lambda x: x is not null), '|') as issues from chunks")
+def validate_index(spark, d):
+    bad = lambda c, n: F.when(c, F.lit(n))
+    issues = F.array_compact(
+        F.array(
+            bad(~F.col("chunk_id").rlike("^[a-z0-9-]+$"), "chunk_id"), bad(F.col("source") == "", "source"), bad(F.col("topic") == "", "topic"), bad(F.col("summary") == "", "summary"),
+            bad(~F.col("status").isin("active", "review", "deprecated"), "status"),
+        )
+    )
+    return D.chunks(spark, d).select("chunk_id", F.array_join(issues, "|").alias("issues"))
+
+
+@query("read_manifest", "with " + D.MANIFEST + " select path, hash, array_to_string(chunk_ids, '|') as chunk_ids, size_bytes from manifest")
+def read_manifest(spark, d):
+    from lorespark.sources import sinks
+    from lorespark.sources.files import MANIFEST
+
+    path = sinks.shared_folder(spark, "manifest")
+    sinks.write_manifest(D.manifest(spark, d), path)
+    x = spark.read.text(path).select(F.explode(F.map_entries(F.from_json("value", MANIFEST))).alias("e"))
+    return x.select(F.col("e.key").alias("path"), "e.value.hash", F.array_join("e.value.chunk_ids", "|").alias("chunk_ids"), "e.value.size_bytes")
+
+
+@query("read_request_log", f"with {D.LOG} select req_id, epoch_us(ts) as ts_us, session_id, mode, question, duration_ms, outcome from log")
+def read_request_log(spark, d):
+    from lorespark.sources import files, sinks
+
+    path = sinks.shared_folder(spark, "log")
+    D.request_log(spark, d).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return files.read_request_log(spark, path).select("req_id", F.unix_micros("ts").alias("ts_us"), "session_id", "mode", "question", "duration_ms", "outcome")
+
+
+@query("stream_log_windows", f"with {D.LOG} select epoch_us(date_trunc('hour', ts)) as hour_us, outcome, count(*) as requests from log where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from log) - interval 30 minutes group by 1, 2")
+def stream_log_windows(spark, d):
+    """The hours that the watermark has closed, from a stream over the log's files."""
+    from lorespark.sources import sinks
+    from lorespark.streaming import log_stream
+
+    path, out, state = (sinks.shared_folder(spark, n) for n in ("stream-log", "stream-out", "stream-state"))
+    D.request_log(spark, d).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    stream = log_stream.outcome_windows(log_stream.read_log_stream(spark, path))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("hour timestamp, outcome string, requests long").parquet(out).select(F.unix_micros("hour").alias("hour_us"), "outcome", "requests")
+
+
+@query("stream_ingest", "with " + D.SOURCE_DOCS + " select distinct path, sha256(text) as hash from source_docs")
+def stream_ingest(spark, d):
+    """Sources by content version, through a stream run twice over the same files: the second adds nothing."""
+    from lorespark.sources import sinks
+    from lorespark.streaming import log_stream
+
+    path, out, state = (sinks.shared_folder(spark, n) for n in ("stream-sources", "stream-ingested", "stream-state"))
+    D.source_docs(spark, d).select("path", "text").write.parquet(path)
+    for _ in range(2):
+        log_stream.ingest_sources(spark, path, out, state).awaitTermination()
+    return spark.read.schema("path string, text string, hash string, batch long").parquet(out).select("path", "hash")
