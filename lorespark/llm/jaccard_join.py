@@ -5,17 +5,17 @@ sets form one class. Under one global token order a pair with Jaccard >= t
 shares a token among the first n - ceil(t n) + 1 of each, so those tokens deal
 classes out to tasks (one shuffle of 16-byte rows). Tokens found very frequent
 come last in the order: shared lines and passages then hardly ever become keys.
-Classes that share many keys are first compared with one hub each (linear, not
+Classes that share many keys are first compared with a few hubs each (linear, not
 quadratic, in a group's size) and collapse into components. Every key that
 still joins different components is searched with signature trees: binary
-trees over the members by size, whose nodes hold OR-ed token bitmaps, size
+trees over the members, by size and component, whose nodes hold OR-ed token bitmaps, size
 ranges and components; a dual traversal drops node pairs whose greatest
 possible overlap is too small or that lie in one component. What is left is
 compared exactly.
 
-Bounds. The frequent-token set holds at most ``1/share`` tokens, whatever the
-input (each has at least that share of all tokens); it is the only broadcast
-beside an 8 MB bit filter of fixed size. A key with more than ``block`` members
+Bounds. The frequent-token set holds at most ``2/share`` tokens (16 MB), whatever
+the input (each has half that share of all tokens); the only other broadcasts are
+8 MB bit filters of fixed size. A key with more than ``block`` members
 is cut into blocks and pairs of blocks become the tasks.
 
 Defined results. Null or word-less text: ``n_shingles`` 0, own component. Exact
@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import components, partitions_for, written
-from lorespark.llm.shingles import EMPTY, bitmap, overlap, set_id, shingle_hashes, width_for
+from lorespark.llm.shingles import bitmap, overlap, set_id, shingle_hashes, width_for
 from lorespark.llm.sigtree import build, dual_traversal
 
 FILTER_WORDS = 1 << 20  # of 64 bits: the 8 MB filter
 CHUNK = 1 << 22  # tokens counted at once for the frequent ones
+REMEMBERED = 1_000_000  # classes a task keeps in mind to send each once
+HUBS = 3  # what they leave unlinked is found by the trees
 _INT = pa.int64()
 
 
@@ -43,11 +45,11 @@ def _scan(share: float):
     """(doc_id, n, cls) of each document and, in rows with n = -1, (token, count) of frequent tokens."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, done = [], 0, set()
 
         def frequent():
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            most = c >= max(4, share / 2 * c.sum())
+            most = c >= max(3, share / 2 * c.sum())
             return pa.RecordBatch.from_arrays(
                 [pa.array(u[most].view(np.int64)), pa.array(np.full(most.sum(), -1)), pa.array(c[most])], names=["doc_id", "n", "cls"]
             )
@@ -59,8 +61,11 @@ def _scan(share: float):
                 ids.append(doc)
                 ns.append(len(s))
                 cs.append(set_id(s) if len(s) else -1)
-                held.append(s)
-                size += len(s)
+                if len(s) and cs[-1] not in done:
+                    if len(done) < REMEMBERED:
+                        done.add(cs[-1])
+                    held.append(s)
+                    size += len(s)
                 if size >= CHUNK:
                     yield frequent()
                     held, size = [], 0
@@ -72,14 +77,14 @@ def _scan(share: float):
 
 
 def _first_of_each(batches, done: set):
-    """Non-empty sets of the batches, each class once in a task: (cls, set)."""
+    """Non-empty sets of the batches, each class once in a task: (cls, set, text)."""
     for batch in batches:
         for text in batch.column(0):
             s = shingle_hashes(text.as_py())
             if len(s) and (c := set_id(s)) not in done:
-                if len(done) < 2_000_000:  # beyond it copies are sent again, which changes no result
+                if len(done) < REMEMBERED:  # beyond it copies are sent again, which changes no result
                     done.add(c)
-                yield c, s
+                yield c, s, text
 
 
 def _prefixes(frequent, num: int, den: int):
@@ -98,7 +103,7 @@ def _prefixes(frequent, num: int, den: int):
                 names=["key", "n", "cls"],
             )
 
-        for c, s in _first_of_each(batches, set()):
+        for c, s, _ in _first_of_each(batches, set()):
             n = len(s)
             p = n - (num * n + den - 1) // den + 1
             if len(late):
@@ -123,7 +128,7 @@ def _prefixes(frequent, num: int, den: int):
 def _shared(num: int, den: int):
     """Of rows sorted by (key, n, cls): those with a neighbour of the key that sizes allow a link with.
 
-    Such neighbours form runs; each row also gets its run's first class as hub.
+    Each row also gets a hub: the first class of the run whose size can link with its own.
     """
 
     def run(batches):
@@ -137,10 +142,16 @@ def _shared(num: int, den: int):
             fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
             k, n, c = k[fresh], n[fresh], c[fresh]
             near = np.concatenate(([False], (k[1:] == k[:-1]) & (den * n[:-1].astype(np.int64) >= num * n[1:].astype(np.int64))))
-            first = np.maximum.accumulate(np.where(near, 0, np.arange(len(k))))
-            hub, hub_n = c[first], n[first]
+            hub, hub_n = c.copy(), n.copy()
             if last is not None:
-                hub, hub_n = np.where(first == 0, last[3], hub), np.where(first == 0, last[4], hub_n)
+                hub[0], hub_n[0] = last[3], last[4]
+            starts = np.flatnonzero(~near)
+            ends = np.append(starts[1:], len(k))
+            for i, end in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                while i < end:  # a hub serves the sizes that can link with it; the next row is the next hub
+                    to = i + max(1, int(np.searchsorted(n[i:end], hub_n[i] * den // num, "right")))
+                    hub[i:to], hub_n[i:to] = hub[i], hub_n[i]
+                    i = to
             keep = near | np.concatenate((near[1:], [False]))
             if last is not None and last[5]:
                 keep[0] = False
@@ -154,52 +165,75 @@ def _shared(num: int, den: int):
     return run
 
 
-def _sets(bits, per: int):
-    """(cls, tokens, bits) of the classes that the filter lets through."""
+def _class_rows(need_text, need_bits, per: int):
+    """(cls, text, bits) of classes that either filter lets through; what isn't needed is null."""
 
     def run(batches):
-        words, cls, blobs, maps, size = bits.value, [], [], [], 0
+        wanted = [f.value if f is not None else None for f in (need_text, need_bits)]
+        cls, texts, maps, size = [], [], [], 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(cls, _INT), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())], names=["cls", "tokens", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(cls, _INT), pa.array(texts, pa.string()), pa.array(maps, pa.binary())], names=["cls", "text", "bits"])
 
-        for c, s in _first_of_each(batches, set()):
-            if not int(words[(c >> 6) % FILTER_WORDS]) >> (c & 63) & 1:
+        for c, s, text in _first_of_each(batches, set()):
+            t, m = (f is not None and int(f[(c >> 6) % FILTER_WORDS]) >> (c & 63) & 1 for f in wanted)
+            if not (t or m):
                 continue
             cls.append(c)
-            blobs.append(s.tobytes())
-            maps.append(bitmap(s, width_for(len(s), per)).tobytes())
+            texts.append(text.as_py() if t else None)
+            maps.append(bitmap(s, width_for(len(s), per)).tobytes() if m else None)
             size += len(s)
             if size >= 500_000:
                 yield out()
-                cls, blobs, maps, size = [], [], [], 0
+                cls, texts, maps, size = [], [], [], 0
         if cls:
             yield out()
 
     return run
 
 
+def _filter_of(classes: DataFrame):
+    """A broadcast bit filter of fixed size that lets all of ``classes(cls)`` through, and few others."""
+    spark = classes.sparkSession
+    words = classes.groupBy(F.expr(f"shiftright(cls, 6) % {FILTER_WORDS}").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cls & 63 as int))")).alias("v"))
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    got = words.toArrow()  # at most FILTER_WORDS rows
+    bits[got.column("w").to_numpy().astype(np.int64)] = got.column("v").to_numpy()
+    return spark.sparkContext.broadcast(bits.view(np.uint64))
+
+
+def _class_table(texts: DataFrame, need_text: DataFrame, need_bits: DataFrame | None, per: int) -> DataFrame:
+    both = [_filter_of(x) if x is not None else None for x in (need_text, need_bits)]
+    rows = texts.mapInArrow(_class_rows(*both, per), "cls long, text string, bits binary")
+    return written(rows.dropDuplicates(["cls"]), "class-rows")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+
+
 def _verify(num: int, den: int):
     def run(batches):
+        seen = None, None  # rows come sorted by b: its set is made once
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
             keep = []
-            for i in range(batch.num_rows):
-                a = np.frombuffer(x[i].as_buffer(), np.uint64) if len(x[i].as_buffer()) else EMPTY
-                b = np.frombuffer(y[i].as_buffer(), np.uint64) if len(y[i].as_buffer()) else EMPTY
-                o = overlap(a, b)
-                keep.append(den * o >= num * (len(a) + len(b) - o))
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if seen[0] != b:
+                    seen = b, shingle_hashes(y.as_py())
+                own, other = shingle_hashes(x.as_py()), seen[1]
+                o = overlap(own, other)
+                keep.append(den * o >= num * (len(own) + len(other) - o))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose token sets reach the similarity."""
-    t = sets.select("cls", "tokens")
-    # the rows with the larger part, b, may share one hub: its join is left to a skew join
-    x = pairs.join(t.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")).hint("shuffle_merge"), "a")
-    x = x.join(t.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")).hint("shuffle_merge"), "b")
+    """The pairs (a, b) whose shingle sets reach the similarity."""
+    t = sets.select("cls", "text").where("text is not null")
+    # many pairs may share one b: that join is left to a skew join
+    x = pairs.join(t.select(F.col("cls").alias("a"), F.col("text").alias("ta")).hint("shuffle_merge"), "a")
+    x = x.join(t.select(F.col("cls").alias("b"), F.col("text").alias("tb")).hint("shuffle_merge"), "b")
     return x.select("a", "b", "ta", "tb").mapInArrow(_verify(num, den), "a long, b long")
 
 
@@ -210,7 +244,10 @@ def _search(num: int, den: int):
         """rows: (side, n, cls, comp, bits). One block against itself, or block 0 against block 1."""
         trees = []
         for side in (0, 1):
-            own = sorted((r for r in rows if r[0] == side), key=lambda r: (r[1], r[2]))
+            own, least = [r for r in rows if r[0] == side], {}
+            for r in own:
+                least[r[3]] = min(r[1], least.get(r[3], r[1]))
+            own.sort(key=lambda r: (least[r[3]], r[3], r[1], r[2]))  # by size, each component together
             trees.append((build([r[1] for r in own], [np.frombuffer(r[4], np.uint64) for r in own], [r[3] for r in own]), own))
         (x, xs), (y, ys) = trees
         if y is None:
@@ -242,8 +279,40 @@ def _search(num: int, den: int):
     return run
 
 
+def _best_hubs(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): each class of ``shared(key, cls, n, hub, hub_n)`` and its best few hubs."""
+    near = f"{den} * least(n, hub_n) >= {num} * greatest(n, hub_n)"
+    return (
+        shared.where(near).groupBy("cls", "n", "hub").agg(F.count("*").alias("k"))
+        .where(f"20 * k >= n - {num} * n / {den}")
+        .groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("k", "hub")), asc=False).alias("h"))
+        .select(F.col("cls").alias("a"), F.explode(F.slice("h", 1, HUBS)).alias("h"))
+        .select("a", F.col("h.hub").alias("b"))
+    )
+
+
+def _open(rows: DataFrame, alike: bool = False, block: int = 1) -> DataFrame:
+    """The rows of keys that join different components, and the blocks their members need.
+
+    ``alike``: of keys with the same members, one; their identity is two 64-bit hashes.
+    """
+    keys = rows.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(cls))").alias("x"), F.expr("bit_xor(xxhash64(cls, 1))").alias("y")
+    ).where("lo <> hi")
+    if alike:
+        keys = keys.groupBy("m", "x", "y").agg(F.min("key").alias("key"))
+    keys = keys.select("key", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks"))
+    out = rows.join(keys.hint("shuffle_merge"), "key")
+    return out if alike else out.drop("blocks")
+
+
+def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    x = rows.join(comps.select(F.col("node").alias("cls"), "root").hint("shuffle_merge"), "cls", "left")
+    return written(x.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp")), "keys-by-component")
+
+
 def jaccard_components(
-    docs: DataFrame, threshold: tuple[int, int] = (80, 100), share: float = 2.0**-17, block: int = 2048, per: int = 8
+    docs: DataFrame, threshold: tuple[int, int] = (80, 100), share: float = 2.0**-20, block: int = 2048, per: int = 2
 ) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of every document of ``docs(doc_id, text)``.
 
@@ -261,43 +330,35 @@ def jaccard_components(
     meta = scan.where("n >= 0")
     total = meta.agg(F.sum("n")).first()[0] or 0
     frequent = (
-        scan.where("n < 0").groupBy("doc_id").agg(F.sum("cls").alias("times")).where(F.col("times") >= max(4, int(share * total))).select("doc_id").collect()
-    )  # at most 1 / share tokens
-    late = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent], np.int64).view(np.uint64)))
+        scan.where("n < 0").groupBy("doc_id").agg(F.sum("cls").alias("times")).where(F.col("times") >= max(3, int(share / 2 * total))).select("doc_id").toArrow()
+    )  # at most 2 / share tokens
+    late = spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
     keys = texts.mapInArrow(_prefixes(late, num, den), "key long, n int, cls long")
     shared = written(
         keys.repartition(parts, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(_shared(num, den), "key long, cls long, n int, hub long, hub_n int"), "shared-keys"
     )
 
-    suspects = shared.select("cls").distinct()
-    words = suspects.groupBy(F.expr(f"shiftright(cls, 6) % {FILTER_WORDS}").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cls & 63 as int))")).alias("v"))
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    got = words.toPandas()  # at most FILTER_WORDS rows
-    bits[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
-    bits = spark.sparkContext.broadcast(bits.view(np.uint64))
-    sets = written(texts.mapInArrow(_sets(bits, per), "cls long, tokens binary, bits binary").dropDuplicates(["cls"]), "token-sets")
-
-    # one hub for each class: that with most keys in common, if sizes allow a link
-    near = f"{den} * least(n, hub_n) >= {num} * greatest(n, hub_n)"
-    hubs = (
-        shared.where("cls <> hub").where(near).groupBy("cls", "n", "hub").agg(F.count("*").alias("k"))
-        .where(f"20 * k >= n - {num} * n / {den}")
-        .groupBy("cls").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
-    )
-    stars = written(_compared(hubs.select(F.col("cls").alias("a"), F.col("hub").alias("b")), sets, num, den), "star-links")
+    # a few hubs for each class: those with most keys in common, if sizes allow a link
+    hubs = written(_best_hubs(shared.where("cls <> hub"), num, den), "hub-pairs")
+    sets = _class_table(texts, _ends(hubs), shared.select("cls"), per)
+    stars = written(_compared(hubs, sets, num, den), "star-links")
+    comps = written(components(stars), "star-components")
+    rows = _with_components(shared.select("key", "cls", "n"), comps)
+
+    # again, with a class of each key's largest component as hub for what is still outside it
+    rows = written(_open(rows), "open-keys")
+    sized = rows.join(comps.groupBy("root").agg(F.count("*").alias("members")).withColumnRenamed("root", "comp").hint("shuffle_merge"), "comp")
+    hub = sized.groupBy("key").agg(F.max_by(F.struct("cls", "n", "comp"), F.struct("members", "comp", "cls")).alias("h"))
+    outside = rows.join(hub.hint("shuffle_merge"), "key").where("comp <> h.comp").select("key", "cls", "n", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = written(_best_hubs(outside, num, den), "more-hub-pairs")
+    stars = stars.unionByName(written(_compared(hubs, sets, num, den), "more-star-links"))  # pairs without texts here stay for the trees
     comps = written(components(stars), "star-components")
 
-    # keys that still join different components
-    rows = shared.select("key", "cls", "n").join(comps.select(F.col("node").alias("cls"), "root").hint("shuffle_merge"), "cls", "left")
-    rows = written(rows.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp")), "keys-by-component")
-    open_keys = (
-        rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-        .where("lo <> hi")
-        .select("key", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks"))
-    )
-    rows = rows.join(open_keys.hint("shuffle_merge"), "key")
-    rows = rows.join(sets.select("cls", "bits").hint("shuffle_merge"), "cls")
+    # keys that still join different components: one of those with the same members
+    rows = _with_components(rows.select("key", "cls", "n"), comps)
+    rows = _open(rows, alike=True, block=block)
+    rows = rows.join(sets.select("cls", "bits").where("bits is not null").hint("shuffle_merge"), "cls")
     # block pairs (i, j), i <= j: each member goes to those of its own block
     mine = F.expr("cast(pmod(cls, blocks) as int)")
     rows = rows.withColumn("own", mine).select(
@@ -305,7 +366,8 @@ def jaccard_components(
     )
     rows = rows.select("key", "p.i", "p.j", "p.side", "n", "cls", "comp", "bits")
     pairs = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search(num, den), "a long, b long")
-    more = _compared(written(pairs.distinct(), "tree-pairs"), sets, num, den)
+    pairs = written(pairs.distinct(), "tree-pairs")
+    more = _compared(pairs, _class_table(texts, _ends(pairs), None, per), num, den)
 
     links = stars.unionByName(more)
     joined = written(components(links), "set-components")

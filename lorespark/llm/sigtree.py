@@ -1,4 +1,9 @@
-"""Signature trees: nodes of OR-combined token bitmaps and size ranges, and their dual traversal."""
+"""Signature trees: nodes of OR-combined token bitmaps and size ranges, and their dual traversal.
+
+Leaves hold up to ``LEAF`` members, whose bitmaps are compared as matrices.
+All bounds are upper bounds of the overlap: common shingles set common bits,
+and a member has ``excess`` shingles beyond its distinct bits.
+"""
 
 from __future__ import annotations
 
@@ -6,80 +11,95 @@ import numpy as np
 
 from lorespark.llm.shingles import fold
 
+LEAF = 16
+
 
 class Node:
-    """Range [lo, hi) of the members, its OR-ed bitmap, size range and component range."""
+    """Members [lo, hi): OR-ed bitmap, size range, greatest excess, common component or None."""
 
-    __slots__ = ("lo", "hi", "bits", "small", "large", "excess", "group", "left", "right")
+    __slots__ = ("lo", "hi", "bits", "small", "large", "excess", "group", "kids", "leaf")
 
-    def __init__(self, lo, hi, bits, small, large, excess, group, left=None, right=None):
+    def __init__(self, lo, hi, bits, small, large, excess, group, kids=(), leaf=None):
         self.lo, self.hi, self.bits, self.small, self.large = lo, hi, bits, small, large
-        self.excess, self.group, self.left, self.right = excess, group, left, right
+        self.excess, self.group, self.kids, self.leaf = excess, group, kids, leaf
+
+
+def _leaf(lo: int, sizes: list[int], bitmaps: list[np.ndarray], groups: list[int]) -> Node:
+    words = min(map(len, bitmaps))
+    rows = np.stack([fold(b, words) for b in bitmaps])
+    n, g = np.array(sizes, np.int64), np.array(groups, np.int64)
+    excess = n - np.bitwise_count(rows).sum(1).astype(np.int64)
+    return Node(
+        lo, lo + len(sizes), np.bitwise_or.reduce(rows), int(n.min()), int(n.max()), int(excess.max()),
+        groups[0] if (g == g[0]).all() else None, leaf=(rows, n, excess, g),
+    )
+
+
+def _lost(bits: np.ndarray, folded: np.ndarray) -> int:
+    """Bits that folding lost to collisions, which may hide as many common shingles."""
+    return 0 if len(bits) == len(folded) else int(np.bitwise_count(bits).sum()) - int(np.bitwise_count(folded).sum())
 
 
 def build(sizes: list[int], bitmaps: list[np.ndarray], groups: list[int]) -> Node | None:
-    """A binary tree over members already ordered by size.
-
-    ``excess`` is the most shingles any member has beyond its distinct bits, so
-    common shingles <= common bits + excess. ``group`` is the members' common
-    component, or None if they differ.
-    """
-    if not sizes:
-        return None
-    level = [
-        Node(i, i + 1, b, n, n, n - int(np.bitwise_count(b).sum()), g)
-        for i, (n, b, g) in enumerate(zip(sizes, bitmaps, groups, strict=True))
-    ]
+    """A tree over the members in the given order, in which like ones should be neighbours."""
+    level = [_leaf(k, sizes[k : k + LEAF], bitmaps[k : k + LEAF], groups[k : k + LEAF]) for k in range(0, len(sizes), LEAF)]
     while len(level) > 1:
         up = []
         for x, y in zip(level[::2], level[1::2], strict=False):
             words = min(len(x.bits), len(y.bits))
-            up.append(
-                Node(
-                    x.lo, y.hi, fold(x.bits, words) | fold(y.bits, words), min(x.small, y.small), max(x.large, y.large),
-                    max(x.excess + _lost(x, words), y.excess + _lost(y, words)), x.group if x.group == y.group else None, x, y,
-                )
-            )
-        if len(level) % 2:
-            up.append(level[-1])
-        level = up
-    return level[0]
-
-
-def _lost(x: Node, words: int) -> int:
-    """Bits a folded bitmap can lose to collisions: they may hide common shingles."""
-    if len(x.bits) == words:
-        return 0
-    return int(np.bitwise_count(x.bits).sum()) - int(np.bitwise_count(fold(x.bits, words)).sum())
+            a, b = fold(x.bits, words), fold(y.bits, words)
+            excess = max(x.excess + _lost(x.bits, a), y.excess + _lost(y.bits, b))
+            group = x.group if x.group == y.group else None
+            up.append(Node(x.lo, y.hi, a | b, min(x.small, y.small), max(x.large, y.large), excess, group, (x, y)))
+        level = up + level[len(up) * 2 :]
+    return level[0] if level else None
 
 
 def may_link(x: Node, y: Node, num: int, den: int) -> bool:
-    """Whether some member of x and some of y can have Jaccard >= num/den."""
+    """Whether some member of x and some of y of another component can have Jaccard >= num/den."""
     if x.group is not None and x.group == y.group:
         return False
     if den * x.large < num * y.small or den * y.large < num * x.small:
         return False
     words = min(len(x.bits), len(y.bits))
     a, b = fold(x.bits, words), fold(y.bits, words)
-    most = int(np.bitwise_count(a & b).sum()) + min(x.excess + _lost(x, words), y.excess + _lost(y, words))
-    # overlap o of sizes p, q links when den * o >= num * (p + q - o); sizes are at least the smallest
+    most = int(np.bitwise_count(a & b).sum()) + min(x.excess + _lost(x.bits, a), y.excess + _lost(y.bits, b))
+    # an overlap o of sizes p and q links when den * o >= num * (p + q - o)
     return (den + num) * most >= num * (x.small + y.small)
 
 
+def _leaf_pairs(x: Node, y: Node, num: int, den: int):
+    (a, n, ea, ga), (b, m, eb, gb) = x.leaf, y.leaf
+    words = min(a.shape[1], b.shape[1])
+    fa, fb = (np.stack([fold(r, words) for r in s]) if s.shape[1] > words else s for s in (a, b))
+    ea = ea + (np.bitwise_count(a).sum(1).astype(np.int64) - np.bitwise_count(fa).sum(1))
+    eb = eb + (np.bitwise_count(b).sum(1).astype(np.int64) - np.bitwise_count(fb).sum(1))
+    most = np.bitwise_count(fa[:, None, :] & fb[None, :, :]).sum(2).astype(np.int64) + np.minimum(ea[:, None], eb[None, :])
+    most = np.minimum(most, np.minimum(n[:, None], m[None, :]))
+    ok = ((den + num) * most >= num * (n[:, None] + m[None, :])) & (ga[:, None] != gb[None, :])
+    if x is y:
+        ok = np.triu(ok, 1)
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        yield x.lo + int(i), y.lo + int(j)
+
+
 def dual_traversal(x: Node, y: Node, num: int, den: int):
-    """Pairs (i, j) of members that no bound rules out; within one tree each pair once."""
+    """Pairs (i, j) of members that no bound rules out; a tree against itself gives each pair once."""
     stack = [(x, y)]
     while stack:
         a, b = stack.pop()
         if a is b:
-            if a.left is not None and a.group is None:
-                stack += [(a.left, a.left), (a.left, a.right), (a.right, a.right)]
-            continue
-        if not may_link(a, b, num, den):
-            continue
-        if a.left is None and b.left is None:
-            yield a.lo, b.lo
-        elif b.left is None or (a.left is not None and a.hi - a.lo >= b.hi - b.lo):
-            stack += [(a.left, b), (a.right, b)]
-        else:
-            stack += [(a, b.left), (a, b.right)]
+            if a.group is not None:
+                continue
+            if a.leaf is not None:
+                yield from _leaf_pairs(a, a, num, den)
+            else:
+                p, q = a.kids
+                stack += [(p, p), (p, q), (q, q)]
+        elif may_link(a, b, num, den):
+            if a.leaf is not None and b.leaf is not None:
+                yield from _leaf_pairs(a, b, num, den)
+            elif b.leaf is not None or (a.leaf is None and a.hi - a.lo >= b.hi - b.lo):
+                stack += [(k, b) for k in a.kids]
+            else:
+                stack += [(a, k) for k in b.kids]
