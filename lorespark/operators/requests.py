@@ -6,13 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY = Window.partitionBy("session_id").orderBy("ts", "req_id")
+def _by_session():
+    return Window.partitionBy("session_id").orderBy("ts", "req_id")
 
 
 def sessionize(log: DataFrame, idle_s: int = 1800) -> DataFrame:
     """``log`` with ``session_no``: a new one after more than ``idle_s`` without a request."""
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_BY)
-    return log.withColumn("session_no", F.sum(F.when(gap > idle_s * 1_000_000, 1).otherwise(0)).over(_BY))
+    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_by_session())
+    return log.withColumn("session_no", F.sum(F.when(gap > idle_s * 1_000_000, 1).otherwise(0)).over(_by_session()))
 
 
 def session_stats(log: DataFrame, idle_s: int = 1800) -> DataFrame:
@@ -41,8 +42,8 @@ def rate_limit_decisions(log: DataFrame, limit: int = 20, window_s: int = 60) ->
     Sessions are cut at gaps of a window or more, before which no request matters: the
     groups are those runs, not whole sessions.
     """
-    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_BY)
-    runs = log.withColumn("run", F.sum(F.when(gap >= window_s * 1_000_000, 1).otherwise(0)).over(_BY))
+    gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_by_session())
+    runs = log.withColumn("run", F.sum(F.when(gap >= window_s * 1_000_000, 1).otherwise(0)).over(_by_session()))
     runs = runs.select("session_id", "run", "req_id", F.unix_micros("ts").alias("at"))
 
     def decide(rows: pd.DataFrame) -> pd.DataFrame:

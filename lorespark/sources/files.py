@@ -18,7 +18,7 @@ def read_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """(file, raw) of Markdown chunks."""
-    x = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    x = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return x.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
 
 
@@ -42,7 +42,7 @@ def read_index_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, hash, extracted_at, chunk_ids, size_bytes) of JSON objects keyed by path."""
-    x = spark.read.option("wholetext", True).text(path).select(F.from_json("value", MANIFEST).alias("m"))
+    x = spark.read.text(path, wholetext=True).select(F.from_json("value", MANIFEST).alias("m"))
     return x.select(F.explode(F.map_entries("m")).alias("e")).select(F.col("e.key").alias("path"), "e.value.*")
 
 
