@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 250_000
+CACHED = 700_000
 #: White space as the normalizer has it; str.split also cuts at \x1c-\x1f.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
