@@ -795,12 +795,17 @@ def answer(spark, d):
     return outputs.answer(_questions(spark, d).select("qid").join(best, "qid", "left"))
 
 
-@query("retrieve_with_history")
+_ASKED = r"""hw as (select conv_id, turn, role, text, string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between 20 preceding and 1 preceding) as h from conversations),
+qs as (select conv_id as qid, arg_max(text || ' ' || coalesce(h, ''), turn) as question from hw where role = 'user' group by 1)"""
+_POST_HISTORY = _POST.replace(_POST[_POST.index("qs as (") : _POST.index(", qt as (")], _ASKED)
+
+
+@query("retrieve_with_history", "with " + D.CHUNKS + _POST_HISTORY + " select qid, rank, chunk_id, round(score, 4) as score from rk")
 def retrieve_with_history(spark, d):
     h = requests.history_window(D.table(spark, d, "conversations"))
     asked = D.table(spark, d, "conversations").join(h, ["conv_id", "turn"])
     q = asked.groupBy("conv_id").agg(F.max_by(F.concat_ws(" ", "text", "history"), "turn").alias("question")).withColumnRenamed("conv_id", "qid")
-    return retrieve.retrieve(q, D.chunks(spark, d)).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
+    return retrieve.retrieve(q, D.chunks(spark, d)).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 4).alias("score"))
 
 
 @query("extract_qna", r"""with l as (select conv_id, turn, role, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as q from conversations)
