@@ -4,11 +4,12 @@ Two codebooks, trained on a bounded sample (``fit_rows``), quantise the halves
 of the unit vectors; their product is the grid of cells. Every vector lies in
 its home cell. As a query it visits cells in order of the squared distance its
 halves must move to reach them (a multi-sequence traversal over the two sorted
-lists of half-distances). A half must cross the bisectors between centroids, so
-a vector within the link radius can't lie in a cell beyond it: with
-``reach = 1`` the traversal ends there and misses nothing; a smaller ``reach``
-trades recall for visits. Visited members are compared exactly, in double
-precision.
+lists of half-distances): a half has to cross the bisectors between centroids.
+The traversal ends at the distance within which the target share ``recall`` of
+partners lies, measured on the sample with partners drawn at exactly the
+threshold; ``recall = 1`` goes on to the link radius and misses nothing. Of a
+pair the smaller id asks, so each pair is compared once, exactly and in double
+precision, and counts for both.
 
 Equal vectors are one class with a count. A cell's members and visiting queries
 are cut into blocks; a block pair is one matrix product in one run, and yields
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import components, partitions_for, written
 
 COSINE = 0.95
-BOOKS = 48
+BOOKS = 32
+RECALL = 0.97
 FIT_ROWS = 8192
 MEMBERS, QUERIES = 1024, 4096
 
@@ -102,6 +104,18 @@ class Grid:
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.first, self.second = first, second
 
+    def reach_for(self, x: np.ndarray, cosine: float, recall: float, seed: int = 9) -> float:
+        """The traversal's squared distance that holds the share ``recall`` of partners at the threshold."""
+        if recall >= 1:
+            return 2 - 2 * cosine + 1e-9
+        u = np.random.default_rng(seed).normal(size=x.shape)
+        u = _unit(u - (u * x).sum(1)[:, None] * x)
+        y, half, rows = cosine * x + np.sqrt(1 - cosine**2) * u, x.shape[1] // 2, np.arange(len(x))
+        far = np.zeros(len(x))
+        for book, part in ((self.first, slice(None, half)), (self.second, slice(half, None))):
+            far += crossings(x[:, part], book)[1][rows, _distances(y[:, part], book).argmin(1)]
+        return float(np.quantile(far, recall)) + 1e-9
+
     def places(self, x: np.ndarray, most: float):
         """For each unit vector: its home cell and the cells it visits."""
         half = x.shape[1] // 2
@@ -129,7 +143,7 @@ def _placed(grid, most: float):
 
 
 def _linked(cosine: float):
-    """Of rows sorted by (cell, i, j, side): per query (id, links, root), per member (id, 0, root) where linked."""
+    """Of rows sorted by (cell, i, j): (id, links, root) of the queries and members that link."""
 
     def block(rows):
         side = np.array([r[0] for r in rows])
@@ -138,8 +152,8 @@ def _linked(cosine: float):
         q, m = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         if not len(q) or not len(m):
             return [], [], []
-        near = (x[q] @ x[m].T >= cosine) & (ids[q][:, None] != ids[m][None])
-        links = near @ copies[m]
+        near = (x[q] @ x[m].T >= cosine) & (ids[q][:, None] < ids[m][None])
+        links, other = near @ copies[m], near.T @ copies[q]
         lq, lm = ids[q].copy(), ids[m].copy()
         big = np.iinfo(np.int64).max
         rows_q, rows_m = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
@@ -151,7 +165,7 @@ def _linked(cosine: float):
             if (new_m == lm).all() and (new_q == lq).all():
                 break
             lq, lm = new_q, new_m
-        return np.concatenate((iq, im)), np.concatenate((links[rows_q], np.zeros(len(im), np.int64))), np.concatenate((lq, lm))
+        return np.concatenate((iq, im)), np.concatenate((links[rows_q], other[rows_m])), np.concatenate((lq, lm))
 
     def run(batches):
         key, rows = None, []
@@ -174,10 +188,11 @@ def _linked(cosine: float):
     return run
 
 
-def near_duplicates(table: DataFrame, cosine: float = COSINE, books: int = BOOKS, fit_rows: int = FIT_ROWS, reach: float = 1.0) -> DataFrame:
+def near_duplicates(table: DataFrame, cosine: float = COSINE, books: int = BOOKS, fit_rows: int = FIT_ROWS, recall: float = RECALL) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of every vector of ``table(vec_id, embedding)``."""
     spark = table.sparkSession
-    v = F.col("embedding").cast("array<double>")
+    kind = table.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("v").isNotNull() & (F.size("v") > 1) & ~bad & F.exists("v", lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.col("embedding"))
@@ -194,10 +209,10 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, books: int = BOOKS
     x = _unit(np.array([r[0] for r in sample]))
     half = x.shape[1] // 2
     grid = spark.sparkContext.broadcast(Grid(train_book(x[:, :half], books), train_book(x[:, half:], books)))
-    radius = 2 - 2 * cosine  # squared distance of unit vectors at the threshold
+    most = grid.value.reach_for(x, cosine, recall)
 
     placed = written(
-        classes.select("id", "copies", "v").mapInArrow(_placed(grid, reach * radius + 1e-9), "id long, copies long, v array<double>, cell int, visited array<int>"), "vector-cells"
+        classes.select("id", "copies", "v").mapInArrow(_placed(grid, most), f"id long, copies long, v {kind}, cell int, visited array<int>"), "vector-cells"
     )
     members = dict(placed.groupBy("cell").count().collect())  # a row for each cell at most
     seen = dict(placed.select(F.explode("visited").alias("cell")).groupBy("cell").count().collect())
