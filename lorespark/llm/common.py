@@ -47,20 +47,61 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+LOCAL_EDGES = 500_000
+
+
+def _forest(label: bool):
+    """Of a task's edges (u, v): a spanning forest, every node to its tree's smallest; with ``label`` the roots too."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def find(x):
+            root = x
+            while (p := up.setdefault(root, root)) != root:
+                root = p
+            while up[x] != root:
+                up[x], x = root, up[x]
+            return root
+
+        def out():
+            rows = [(x, find(x)) for x in list(up)]
+            rows = rows if label else [r for r in rows if r[0] != r[1]]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+            if not label and len(up) >= LOCAL_EDGES:
+                yield out()
+                up.clear()
+        if up:
+            yield out()
+
+    return run
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, root)``, root = smallest node.
 
-    Alternating large-star and small-star rounds, each written to the shared
+    Every task first replaces its edges by a spanning forest. Up to ``LOCAL_EDGES``
+    of the edges then left are finished in one bounded task; more go through
+    alternating large-star and small-star rounds, each written to the shared
     folder, until no edge changes. Isolated nodes aren't returned; empty edges
     give an empty table. A null end is dropped.
     """
     kind = edges.schema["a"].dataType
-    e = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "cc",
-    )
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    e = written(e.mapInArrow(_forest(False), "u long, v long").distinct(), "cc")
+    if e.count() <= LOCAL_EDGES:
+        named = e.repartition(1).mapInArrow(_forest(True), "u long, v long")
+        return named.select(F.col("u").cast(kind).alias("node"), F.col("v").cast(kind).alias("root"))
+    return _star_rounds(e, kind, max_rounds)
+
+
+def _star_rounds(e: DataFrame, kind, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is joined to u's smallest neighbour
@@ -85,7 +126,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).select(
-        F.col("node").cast(kind), F.col("root").cast(kind)
+        F.col("node").cast(kind).alias("node"), F.col("root").cast(kind).alias("root")
     )
 
 

@@ -19,7 +19,7 @@ the input (each has half that share of all tokens); the only other broadcasts ar
 is cut into blocks and pairs of blocks become the tasks.
 
 Defined results. Null or word-less text: ``n_shingles`` 0, own component. Exact
-copies are linked. Repeated doc_ids count as one document. Empty table: no
+copies are linked. Rows that repeat a doc_id are compared each and stay or go together. Empty table: no
 rows. Extra columns are ignored. Sets are compared through 64-bit hashes.
 """
 
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import components, partitions_for, written
@@ -37,6 +37,7 @@ from lorespark.llm.sigtree import build, dual_traversal
 FILTER_WORDS = 1 << 20  # of 64 bits: the 8 MB filter
 CHUNK = 1 << 22  # tokens counted at once for the frequent ones
 REMEMBERED = 1_000_000  # classes a task keeps in mind to send each once
+WAVES = (3, 12, 0)  # pairs of two components compared at a time; 0: all that are left
 HUBS = 3  # what they leave unlinked is found by the trees
 _INT = pa.int64()
 
@@ -238,7 +239,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _search(num: int, den: int):
-    """Candidate pairs of rows sorted by (key, i, j): signature trees over each run."""
+    """Candidate pairs, their components and bounds, of rows sorted by (key, i, j): signature trees over each run."""
 
     def pairs(rows):
         """rows: (side, n, cls, comp, bits). One block against itself, or block 0 against block 1."""
@@ -253,18 +254,18 @@ def _search(num: int, den: int):
         if y is None:
             y, ys = x, xs
         if x is not None:
-            for i, j in dual_traversal(x, y, num, den):
-                a, b = xs[i][2], ys[j][2]
-                yield (a, b) if a < b else (b, a)
+            for i, j, most in dual_traversal(x, y, num, den):
+                a, b = xs[i], ys[j]
+                yield (a[2], b[2], a[3], b[3], most) if a[2] < b[2] else (b[2], a[2], b[3], a[3], most)
 
     def run(batches):
         key, rows, done = None, [], set()
 
         def found():
-            new = [p for p in pairs(rows) if p not in done]
-            if len(done) < 1_000_000:
-                done.update(new)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], _INT), pa.array([p[1] for p in new], _INT)], names=["a", "b"])
+            new = [p for p in pairs(rows) if p[:2] not in done]
+            if len(done) < REMEMBERED:
+                done.update(p[:2] for p in new)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], _INT) for k in range(5)], names=["a", "b", "ca", "cb", "most"])
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -297,13 +298,13 @@ def _open(rows: DataFrame, alike: bool = False, block: int = 1) -> DataFrame:
     ``alike``: of keys with the same members, one; their identity is two 64-bit hashes.
     """
     keys = rows.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(cls))").alias("x"), F.expr("bit_xor(xxhash64(cls, 1))").alias("y")
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(cls))").alias("x"), F.expr("bit_xor(xxhash64(cls, 1))").alias("y"), F.min("cls").alias("lead")
     ).where("lo <> hi")
     if alike:
-        keys = keys.groupBy("m", "x", "y").agg(F.min("key").alias("key"))
-    keys = keys.select("key", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks"))
+        keys = keys.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("lead").alias("lead"))
+    keys = keys.select("key", "lead", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks"))
     out = rows.join(keys.hint("shuffle_merge"), "key")
-    return out if alike else out.drop("blocks")
+    return out if alike else out.drop("blocks", "lead")
 
 
 def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -312,7 +313,7 @@ def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, threshold: tuple[int, int] = (80, 100), share: float = 2.0**-20, block: int = 2048, per: int = 2
+    docs: DataFrame, threshold: tuple[int, int] = (80, 100), share: float = 2.0**-20, block: int = 2048, per: int = 4
 ) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of every document of ``docs(doc_id, text)``.
 
@@ -362,15 +363,33 @@ def jaccard_components(
     # block pairs (i, j), i <= j: each member goes to those of its own block
     mine = F.expr("cast(pmod(cls, blocks) as int)")
     rows = rows.withColumn("own", mine).select(
-        "key", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j, if(x < own, 1, 0) as side))")).alias("p"), "n", "cls", "comp", "bits"
+        "key", "lead", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j, if(x < own, 1, 0) as side))")).alias("p"), "n", "cls", "comp", "bits"
     )
-    rows = rows.select("key", "p.i", "p.j", "p.side", "n", "cls", "comp", "bits")
-    pairs = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search(num, den), "a long, b long")
-    pairs = written(pairs.distinct(), "tree-pairs")
-    more = _compared(pairs, _class_table(texts, _ends(pairs), None, per), num, den)
-
-    links = stars.unionByName(more)
-    joined = written(components(links), "set-components")
+    # keys with the same first member mostly have the same ones: a task that gets several of them names a pair once
+    rows = rows.select("key", "p.i", "p.j", "p.side", "n", "cls", "comp", "bits", "lead", F.expr("pmod(key, 4)").alias("salt"))
+    rows = rows.repartition(parts, "lead", "salt", "i", "j").sortWithinPartitions("key", "i", "j").drop("lead", "salt")
+    pairs = rows.mapInArrow(_search(num, den), "a long, b long, ca long, cb long, most long").groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("ca", "cb", "most")])
+    pairs = written(pairs, "tree-pairs")
+    texts_of_pairs = _class_table(texts, _ends(pairs), None, per)
+
+    # the likeliest pairs of two components first; what they join needs no more comparing
+    for take in WAVES:
+        if pairs.isEmpty():
+            break
+        both = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("most"), "a", "b")
+        ranked = pairs.withColumn("r", F.row_number().over(both)) if take else pairs.withColumn("r", F.lit(0))
+        ranked = written(ranked, "ranked-pairs")
+        stars = stars.unionByName(written(_compared(ranked.where(F.col("r") <= take).select("a", "b"), texts_of_pairs, num, den), "tree-links"))
+        if not take:
+            break
+        comps = written(components(stars), "star-components").withColumnRenamed("node", "ca")
+        left = ranked.where(F.col("r") > take).drop("r")
+        for c in ("ca", "cb"):  # the component's name is one of its classes
+            named = comps.withColumnRenamed("ca", c)
+            left = left.join(named.hint("shuffle_merge"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        pairs = written(left.where("ca <> cb"), "open-pairs")
+
+    joined = written(components(stars), "set-components")
     first = meta.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("d"))
     named = first.join(joined.select(F.col("node").alias("cls"), "root").hint("shuffle_merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("d").alias("component_id"))

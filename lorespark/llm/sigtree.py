@@ -80,11 +80,11 @@ def _leaf_pairs(x: Node, y: Node, num: int, den: int):
     if x is y:
         ok = np.triu(ok, 1)
     for i, j in zip(*np.nonzero(ok), strict=True):
-        yield x.lo + int(i), y.lo + int(j)
+        yield x.lo + int(i), y.lo + int(j), int(most[i, j])
 
 
 def dual_traversal(x: Node, y: Node, num: int, den: int):
-    """Pairs (i, j) of members that no bound rules out; a tree against itself gives each pair once."""
+    """(i, j, bound) of members that no bound rules out; a tree against itself gives each pair once."""
     stack = [(x, y)]
     while stack:
         a, b = stack.pop()
