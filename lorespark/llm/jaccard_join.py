@@ -37,8 +37,9 @@ from lorespark.llm.sigtree import build, dual_traversal
 FILTER_WORDS = 1 << 20  # of 64 bits: the 8 MB filter
 CHUNK = 1 << 22  # tokens counted at once for the frequent ones
 REMEMBERED = 1_000_000  # classes a task keeps in mind to send each once
-WAVES = (3, 12, 0)  # pairs of two components compared at a time; 0: all that are left
-HUBS = 3  # what they leave unlinked is found by the trees
+SENT_IDS = 500_000  # class ids broadcast at most (8 bytes each)
+WAVES = (6, 0)  # pairs of two components compared at a time; 0: all that are left
+HUBS = 2  # what they leave unlinked is found by the trees
 _INT = pa.int64()
 
 
@@ -232,9 +233,15 @@ def _verify(num: int, den: int):
 def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity."""
     t = sets.select("cls", "text").where("text is not null")
+
+    def side(name: str) -> DataFrame:
+        """The texts of one side's classes; a counted, small set of ids keeps the others out of the shuffle."""
+        ids = written(pairs.select(F.col(name).alias("cls")).distinct(), "compared-ids")
+        own = t.join(F.broadcast(ids), "cls", "left_semi") if ids.count() <= SENT_IDS else t
+        return own.select(F.col("cls").alias(name), F.col("text").alias("t" + name)).hint("shuffle_merge")
+
     # many pairs may share one b: that join is left to a skew join
-    x = pairs.join(t.select(F.col("cls").alias("a"), F.col("text").alias("ta")).hint("shuffle_merge"), "a")
-    x = x.join(t.select(F.col("cls").alias("b"), F.col("text").alias("tb")).hint("shuffle_merge"), "b")
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
     return x.select("a", "b", "ta", "tb").mapInArrow(_verify(num, den), "a long, b long")
 
 
@@ -379,7 +386,8 @@ def jaccard_components(
         both = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("most"), "a", "b")
         ranked = pairs.withColumn("r", F.row_number().over(both)) if take else pairs.withColumn("r", F.lit(0))
         ranked = written(ranked, "ranked-pairs")
-        stars = stars.unionByName(written(_compared(ranked.where(F.col("r") <= take).select("a", "b"), texts_of_pairs, num, den), "tree-links"))
+        now = written(ranked.where(F.col("r") <= take).select("a", "b"), "compared-pairs")
+        stars = stars.unionByName(written(_compared(now, texts_of_pairs, num, den), "tree-links"))
         if not take:
             break
         comps = written(components(stars), "star-components").withColumnRenamed("node", "ca")
