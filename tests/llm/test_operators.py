@@ -192,6 +192,20 @@ def test_pages_and_wrappers(spark):
     assert "(<p>#</p>)+" in w["wrapper"] and ")?" in w["wrapper"] and w["article"] == "html/body/article"
 
 
+def test_article_text_that_some_pages_lack_stays(spark):
+    def page(k):
+        quote = f"<blockquote>quote {k}</blockquote>" if k % 3 else ""
+        return f"<body><article><h1>Head {k}</h1><p>body {k}</p>{quote}<h2>Section {k}</h2><h3>Same line</h3><h4>{'Now and then' if k % 2 else f'Other {k}'}</h4></article></body>"
+
+    pages = [(k, "https://h.example/", page(k)) for k in range(40)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(40):
+        want = [f"Head {k}", f"body {k}"] + [f"quote {k}"] * bool(k % 3) + [f"Section {k}", "Now and then" if k % 2 else f"Other {k}"]
+        assert got[k] == "\n".join(want)
+    w = html_extract.infer([page(0), page(1), page(2)])
+    assert w["wrapper"].count("blockquote") == 2 and "(<blockquote>#</blockquote>)?" in w["wrapper"]
+
+
 def test_surrogates_keep_format_and_stay_distinct(spark, monkeypatch):
     text = 'Mail ann.b@mail6.example.com, ANN.B@MAIL6.EXAMPLE.COM or +1 (947) 555-7668, card 4532-0151-1283-0366, ip 55.63.178.142, token = "9f1d09af2da8b", Mr. John Smith said. Smith left.'
     new, kinds = pii.replaced(text, {})
