@@ -1,14 +1,15 @@
 """License scans by patience alignment.
 
 Texts and templates are compared as lower-cased words. A template is looked for
-around each place of the word of it that the text has least often. There, words
-unique to both sides are anchors; the longest increasing run of them is kept;
-the gaps between anchors are aligned in the same way, and equal words next to
-anchors are taken too. Coverage is the share of the template's words matched.
+around each place of each word it needs. There, words unique to both sides are
+anchors; the longest increasing run of them is kept; the gaps between anchors are
+aligned in the same way, and equal words next to anchors are taken too. Coverage is
+the share of the template's words matched. Of finds that overlap, the one with the
+most words on the least room is the notice.
 
-Before that an exact bound drops templates: coverage c needs more than
-(1 - c) of the template's distinct words in the text, so some word of any
-larger part must occur.
+Exact bounds, in integers, drop templates and places before that: of words that
+make up more than (1 - c) of a template, a notice of coverage c has at least one
+(the needed words), and a stretch of text without a share c of the words has none.
 
 Defined results. Null, empty or unmatched text: no license, coverage 0. Of equal
 coverage the longer template wins, then the first by name. Repeated notices
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,19 +122,23 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
-        self.coverage = coverage
+        self.coverage = Fraction(str(coverage))
         self.templates = []
         for name, text in sorted(templates.items()):
             words = words_of(text)
-            distinct = sorted(set(words), key=lambda w: (-len(w), w))
+            counts = Counter(words)
+            distinct = sorted(counts, key=lambda w: (-len(w), w))
             # unless one of these occurs, less than the coverage can match: those missing make up too much
             need, lost = [], 0
             for w in distinct:
                 need.append(w)
-                lost += words.count(w)
-                if lost > (1 - coverage) * len(words):
+                lost += counts[w]
+                if lost > (1 - self.coverage) * len(words):
                     break
-            self.templates.append((name, words, distinct, need))
+            at = {w: [k for k, x in enumerate(words) if x == w] for w in need}
+            enough = -(-self.coverage * len(words) // 1)  # words that reach the coverage
+            self.templates.append((name, words, counts, at, int(enough)))
+        self.wanted = {w for t in self.templates for w in t[2]}
 
     def scan(self, text: str | None) -> tuple[str | None, float, int, int]:
         """Best license, its coverage, the place of its first matched word (-1), and how many notices reach the coverage."""
@@ -139,37 +146,58 @@ class Scanner:
         low = (text or "").lower()
         places: dict[str, list[int]] | None = None
         words: list[str] = []
-        for name, own, distinct, need in self.templates:
-            if not any(w in low for w in need):
+        for name, own, counts, at, enough in self.templates:
+            if not own or not any(w in low for w in at):
                 continue
             if places is None:
                 words, places = words_of(low), {}
-                wanted = {w for t in self.templates for w in t[2]}
                 for k, w in enumerate(words):
-                    if w in wanted:
+                    if w in self.wanted:
                         places.setdefault(w, []).append(k)
-            if sum(own.count(w) for w in distinct if w in places) < self.coverage * len(own):
+            if sum(n for w, n in counts.items() if w in places) < enough:
                 continue
-            pivot = min((w for w in need if w in places), key=lambda w: (len(places[w]), w), default=None)
-            if pivot is None:
-                continue
-            at, slack, last = own.index(pivot), len(own) // 4 + 4, -1
-            for p in places[pivot]:
-                if p <= last:
-                    continue
-                lo = max(0, p - at - slack, last + 1)
-                found = patience(own, words[lo : p - at + len(own) + slack])
-                share = len(found) / len(own)
-                if share >= self.coverage:
-                    notices += 1
-                    last = lo + found[-1][1]
-                    rank = (share, len(own))
-                    if best[0] is None or rank > (best[1], self._size(best[0])):
-                        best = (name, share, lo + found[0][1])
+            for n, first, last in self._notices(words, places, own, counts, at, enough):
+                notices += 1
+                share = n / len(own)
+                if best[0] is None or (share, len(own)) > (best[1], self._size(best[0])):
+                    best = (name, share, first)
         return (*best, notices)
 
+    @staticmethod
+    def _notices(words, places, own, counts, at, enough) -> list[tuple[int, int, int]]:
+        """(words matched, first and last place) of a template's notices in the text, in order."""
+        size, slack, whole = len(own), len(own) // 4 + 4, -1
+        finds: set[tuple[int, int, int]] = set()
+        for p, w, k in sorted((p, w, k) for w in at for k, p in enumerate(places.get(w, ()))):
+            if p <= whole:  # inside a find that has every word and nothing else
+                continue
+            lo, hi = max(0, p - at[w][-1] - slack), p - at[w][0] + size + slack
+            held = set(words[lo:hi])
+            if sum(n for x, n in counts.items() if x in held) < enough:
+                continue
+            around = [(p - a, p - a + size) for a in at[w] if p >= a] + [(lo, hi)]
+            if len(at[w]) == 1:  # up to where the same word comes again, since another notice may be there
+                before, after = places[w][k - 1] + 1 if k else 0, places[w][k + 1] if k + 1 < len(places[w]) else hi
+                around += [(max(lo, before), min(hi, after))]
+            for i, j in dict.fromkeys(around):
+                pairs = patience(own, words[i:j])
+                if len(pairs) >= enough:
+                    finds.add((len(pairs), i + pairs[0][1], i + pairs[-1][1]))
+                if len(pairs) == size and pairs[-1][1] - pairs[0][1] == size - 1:
+                    whole = i + pairs[-1][1]
+                    break
+        # the most words on the least room first; the rest where they don't overlap
+        taken: list[tuple[int, int, int]] = []
+        ends: list[int] = []
+        for x in sorted(finds, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            k = bisect_left(ends, x[1])
+            if k == len(taken) or taken[k][1] > x[2]:
+                taken.insert(k, x)
+                ends.insert(k, x[2])
+        return taken
+
     def _size(self, name: str) -> int:
-        return next(len(own) for n, own, _, _ in self.templates if n == name)
+        return next(len(own) for n, own, *_ in self.templates if n == name)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:

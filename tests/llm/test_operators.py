@@ -238,6 +238,22 @@ def test_licenses(spark):
     assert [a[i] for i, _ in pairs] == ["a", "b", "c", "d", "y"] and all(a[i] == b[j] for i, j in pairs)
 
 
+def test_license_notices_without_their_rarest_word():
+    scan = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE).scan
+    for verb in ("Distributed", "Licensed"):
+        assert scan(f"Some text. {verb} under the MIT License. More text.") == ("MIT", 0.8, 3, 1)
+    assert scan("Released under the terms of another one. " + "word " * 40 + "Distributed under the MIT License.")[::3] == ("MIT", 1)
+    isc = license_scan.TEMPLATES["ISC"]
+    body = "plain words " * 60
+    for word in set(license_scan.words_of(isc)) - {"and", "or", "this"}:
+        other = re.sub(rf"(?i)\b{word}\b", "xx", isc)
+        assert scan(body + isc + body + other + body)[::3] == ("ISC", 2)
+        assert scan(body + other + body + word)[3] == 1
+    mit = license_scan.TEMPLATES["MIT"]
+    assert scan("a b c d e " + f"{mit} " * 4)[3] == 4 and scan(f"{isc} {isc} x {isc.replace('fee', 'charge')}")[3] == 3
+    assert scan("Released by some license. The MIT one.")[3] == 0
+
+
 def test_viterbi_and_language(spark):
     rng = np.random.default_rng(1)
     for _ in range(20):
