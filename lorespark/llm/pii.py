@@ -11,7 +11,8 @@ script and gender, and a surname alone follows its titled mention.
 Collisions are checked over the whole corpus: distinct entities and surrogates are
 grouped (combined before the shuffle); a surrogate that two entities share, or that
 is itself an entity, is drawn again for all but the smallest value, until none is
-left. Only redrawn entities are sent to the tasks: by broadcast up to ``most`` of
+left. Names of all genders are checked together, and by their surname, since that is
+what is put in for a surname alone. Only redrawn entities are sent to the tasks: by broadcast up to ``most`` of
 them, else joined by document.
 
 Defined results. Null text stays null, empty text empty; text without entities is
@@ -36,6 +37,7 @@ MOST = 100_000
 _KINDS = ArrayType(StringType())
 
 _DIGIT = re.compile("[0-9]")
+_KEYWORD = re.compile("password|passwd|pwd|token|secret|api[_-]?key", re.I)
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"""
     r"""|(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)\s*[=:]\s*["']?(?P<secret>[A-Za-z0-9+/_-]{8,})"""
@@ -168,7 +170,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     out = []
-    if _DIGIT.search(text) or "@" in text:
+    if _DIGIT.search(text) or "@" in text or _KEYWORD.search(text):  # all that the pattern can match has one of these
         for m in _PATTERN.finditer(text):
             out.append((*m.span(m.lastgroup), m.lastgroup, normalised(m.lastgroup, m[m.lastgroup])))
     if any(t in text for t in _TITLE_GENDER):
@@ -216,19 +218,31 @@ def _drawn(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(*r) for r in rows], pa.string())], names=["kind", "value", "attempt", "surrogate"])
 
 
+def _checked(value: str) -> list:
+    """What must differ between entities: kind and value, of names of all genders the surname."""
+    name = F.col("kind").startswith("name:")
+    return [F.when(name, "name").otherwise(F.col("kind")).alias("group"), F.when(name, F.element_at(F.split(value, r"\s+"), -1)).otherwise(F.col(value)).alias("shown")]
+
+
 def draws(docs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(kind, value, attempt, surrogate) of every distinct entity: no two of a kind share a surrogate, none is an entity."""
+    """(kind, value, attempt, surrogate) of every distinct entity: no two of a kind share a surrogate, none is an entity.
+
+    Names are of one kind here, and their surnames count.
+    """
     found = docs.select(F.col("text").cast("string")).mapInArrow(_found, "kind string, value string").distinct()
     schema = "kind string, value string, attempt int, surrogate string"
     table = written(found.withColumn("attempt", F.lit(0)).mapInArrow(_drawn, schema), "surrogates")
-    values = table.select("kind", F.col("value").alias("surrogate")).distinct()
+    values = table.select(*_checked("value")).distinct()
     for _ in range(rounds):
-        firsts = table.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "first")
-        real = table.select("kind", "surrogate").join(values.hint("shuffle_merge"), ["kind", "surrogate"], "left_semi").distinct().withColumn("real", F.lit(True))
-        x = table.join(firsts.hint("shuffle_merge"), ["kind", "surrogate"], "left").join(real.hint("shuffle_merge"), ["kind", "surrogate"], "left")
-        x = written(x.select("kind", "value", "attempt", "surrogate", F.expr("(first is not null and value <> first) or real is not null").alias("again")), "surrogate-check")
+        table = table.select("*", *_checked("surrogate"))
+        own = F.struct("value", "kind")
+        firsts = table.groupBy("group", "shown").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "shown", "first")
+        real = table.select("group", "shown").join(values.hint("shuffle_merge"), ["group", "shown"], "left_semi").distinct().withColumn("real", F.lit(True))
+        x = table.join(firsts.hint("shuffle_merge"), ["group", "shown"], "left").join(real.hint("shuffle_merge"), ["group", "shown"], "left")
+        again = (F.col("first").isNotNull() & (own != F.col("first"))) | F.col("real").isNotNull()
+        x = written(x.select("kind", "value", "attempt", "surrogate", again.alias("again")), "surrogate-check")
         if x.where("again").isEmpty():
-            return table
+            return x.drop("again")
         redo = x.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_drawn, schema)
         table = written(x.where("not again").drop("again").select("kind", "value", "attempt", "surrogate").unionByName(redo), "surrogates")
     raise RuntimeError(f"surrogates still collide after {rounds} rounds: a format has too few values")

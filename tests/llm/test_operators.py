@@ -226,6 +226,21 @@ def test_surrogates_keep_format_and_stay_distinct(spark, monkeypatch):
     assert {r.doc_id: r.text for r in pii.pseudonymised(docs, most=-1).collect()} == out
 
 
+def test_secrets_without_digits_and_surnames_over_genders(spark):
+    for key in ("password", "PWD", "api-key", "apikey", "Secret", "token"):
+        assert "correcthorsebattery" not in pii.replaced(f"the {key}: correcthorsebattery", {})[0]
+    plain, digit = (pii.replaced(f"password: correcthorsebattery{x}", {})[0] for x in ("", " 7"))
+    assert digit == plain + " 7"
+    syllables = pii.SYLLABLES["latin"]
+    names = [f"{a}{b}".capitalize() + c for a in syllables for b in syllables[:10] for c in ("nson", "berg")]
+    texts = [f"{('Mr', 'Mrs', 'Dr')[k % 3]} Ann {n} came." for k, n in enumerate(names)] + ["Mr Ann Smith or Mrs Ann Smith"]
+    new = [pii.surrogate("name:m", f"Ann {n}", 0).split()[-1] for n in names[::3]]
+    texts += [f"Mr {new[0]} came."]  # a surname put in that is real
+    drawn = pii.draws(documents(spark, texts)).collect()
+    last = [r.surrogate.split()[-1] for r in drawn]
+    assert len(drawn) == len(names) + 3 and len(set(last)) == len(last) and not set(last) & {r.value.split()[-1] for r in drawn}
+
+
 def test_licenses(spark):
     body = "lorem ipsum dolor " * 30
     mit = license_scan.TEMPLATES["MIT-text"].replace("substantial", "large")
