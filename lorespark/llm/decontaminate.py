@@ -7,7 +7,8 @@ hashes only windows made of such words, and verifies each hit word by word.
 
 The set is broadcast only up to ``most`` windows, counted first; a larger
 benchmark is dealt into slices of that size by window hash, each scanned in
-turn, and the hits are merged by document.
+turn, and the hits of all slices are merged by row: the documents are numbered in a
+written table before, so rows that repeat an id, or have none, stay rows.
 
 Defined results. Null text has no words. Items without words, text or id match
 nothing; repeated items count once. Empty tables give no rows, or no hits.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +128,9 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most:
     grams = written(items.mapInArrow(_item_windows(width), "item string, gram binary").distinct(), "benchmark-windows")
     slices = max(1, -(-grams.count() // most))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if slices > 1:
+        numbered = _numbered(docs)
+        docs = numbered.select(F.col(_ROW).alias("doc_id"), "text")
     kind = "doc_id long, n_words long, hit_at array<int>, items array<string>"
     out = []
     for k in range(slices):
@@ -134,14 +139,20 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most:
         out.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(rows))), kind))
     if slices == 1:
         return out[0]
-    parts = out[0]
-    for x in out[1:]:
-        parts = parts.unionByName(x)
-    return parts.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_at")))).alias("hit_at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    parts = reduce(DataFrame.unionByName, out)
+    merged = parts.groupBy(F.col("doc_id").alias(_ROW)).agg(F.max("n_words").alias("n_words"), _all("hit_at"), _all("items"))
+    return numbered.select(_ROW, "doc_id").join(merged.hint("shuffle_merge"), _ROW).select("doc_id", "n_words", "hit_at", "items")
+
+
+_ROW = "decontaminated_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _all(column: str):
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
@@ -175,16 +186,26 @@ def without_spans(text: str | None, hit: list[int]) -> str | None:
 def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = WIDTH, most: int = MOST) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove='spans'``) without the hit spans; all columns stay.
 
-    A broadcast scan drops rows in place. With several slices, what any slice hits goes.
+    A broadcast scan drops rows, or spans of a single slice, in place. With several
+    slices, spans are removed when the hits of all slices on the whole text are known.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).where("item is not null")
     grams = written(items.mapInArrow(_item_windows(width), "item string, gram binary").distinct(), "benchmark-windows")
     slices = max(1, -(-grams.count() // most))
-    column = docs.columns.index("text")
+    column, columns = docs.columns.index("text"), docs.columns
+    apart = remove == "spans" and slices > 1
+    if apart:
+        docs = _numbered(docs)
+    out = []
     for k in range(slices):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k) if slices > 1 else grams
         windows = spark.sparkContext.broadcast(WindowSet([(r[0], bytes(r[1])) for r in own.collect()]))
+        if apart:
+            texts = docs.select(F.col(_ROW).alias("doc_id"), F.col("text").cast("string"))
+            hits = texts.mapInArrow(_scan(windows), "doc_id long, n_words long, hit_at array<int>, items array<string>")
+            out.append(hits.where(F.size("hit_at") > 0).select(F.col("doc_id").alias(_ROW), "hit_at"))
+            continue
 
         def run(batches, windows=windows):
             own = windows.value
@@ -198,4 +219,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", widt
                     yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    if not apart:
+        return docs
+    hits = reduce(DataFrame.unionByName, out).groupBy(_ROW).agg(_all("hit_at").alias("decontaminated_at"))
+
+    def cut(batches):
+        for batch in batches:
+            texts, at = batch.column(column).to_pylist(), batch.column(len(columns)).to_pylist()
+            new = pa.array([without_spans(t, h or []) for t, h in zip(texts, at, strict=True)], batch.schema.field(column).type)
+            yield batch.set_column(column, batch.schema.field(column), new).select(columns)
+
+    schema = docs.select(*columns).schema
+    return docs.join(hits.hint("shuffle_merge"), _ROW, "left").select(*columns, "decontaminated_at").mapInArrow(cut, schema)

@@ -158,6 +158,19 @@ def test_decontamination_equals_brute_force(spark, most):
     assert decontaminate.contamination(documents(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_by_slices_equals_one_set(spark):
+    rng = random.Random(9)
+    items = [pseudo(rng, 30, 60), pseudo(rng, 30, 60)]
+    rows = [(1, "clean text"), (1, "head " + items[0] + " tail"), (1, items[1] + " more"), (None, "other clean"), (None, items[0]), (2, None), (2, "x " + items[1] + " y " + items[0])]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = [sorted(map(str, decontaminate.contamination(docs, bench, most=m).collect())) for m in (10**6, 5)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    left = [{r.k: (r.doc_id, r.text) for r in decontaminate.clean(docs, bench, "spans", most=m).collect()} for m in (10**6, 5)]
+    assert left[0] == left[1] and left[1][1] == (1, "head  tail") and left[1][6] == (2, "x  y ")
+    assert decontaminate.clean(docs, bench, "spans", most=5).schema == docs.schema
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(150, 16))
