@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,24 +41,30 @@ def trailing_request_count(log: DataFrame, window_s: int = 60) -> DataFrame:
 def rate_limit_decisions(log: DataFrame, limit: int = 20, window_s: int = 60) -> DataFrame:
     """(session_id, req_id, admitted). Only admitted requests count, so a session is read in order.
 
-    Sessions are cut at gaps of a window or more, before which no request matters: the
-    groups are those runs, not whole sessions.
+    Sessions are cut at gaps of a window or more, before which no request matters. A
+    task reads its runs sorted and keeps the last ``limit`` admitted times of one run.
     """
+    window = window_s * 1_000_000
     gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_by_session())
-    runs = log.withColumn("run", F.sum(F.when(gap >= window_s * 1_000_000, 1).otherwise(0)).over(_by_session()))
+    runs = log.withColumn("run", F.sum(F.when(gap >= window, 1).otherwise(0)).over(_by_session()))
     runs = runs.select("session_id", "run", "req_id", F.unix_micros("ts").alias("at"))
 
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "req_id"])
-        admitted, out = [], []
-        for at in rows["at"]:
-            admitted = [t for t in admitted if at - t < window_s * 1_000_000]
-            out.append(len(admitted) < limit)
-            if out[-1]:
-                admitted.append(at)
-        return rows.assign(admitted=out)[["session_id", "req_id", "admitted"]]
-
-    return runs.groupBy("session_id", "run").applyInPandas(decide, "session_id long, req_id long, admitted boolean")
+    def decide(batches):
+        own, last = None, deque(maxlen=max(limit, 0))
+        for batch in batches:
+            out = []
+            for *run, at in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if run != own:
+                    own = run
+                    last.clear()
+                out.append(limit > 0 and (at is None or len(last) < limit or at - last[0] >= window))
+                if out[-1] and at is not None:
+                    last.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], names=["session_id", "req_id", "admitted"])
+
+    runs = runs.repartition("session_id", "run").sortWithinPartitions("session_id", "run", "at", "req_id")
+    runs = runs.select(F.col("session_id").cast("long"), "run", F.col("req_id").cast("long"), "at")
+    return runs.mapInArrow(decide, "session_id long, req_id long, admitted boolean")
 
 
 def stale_sessions(log: DataFrame, at: str, idle_s: int = 1800) -> DataFrame:

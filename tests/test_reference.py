@@ -120,3 +120,21 @@ def test_entry_imports_and_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rate_limit_reads_a_run_in_bounded_batches(spark):
+    rows = [(s, k, 3 * k + s) for s in (0, 1) for k in range(60)] + [(None, k, 200 * k) for k in range(4)]
+    log = spark.createDataFrame(rows, "session_id long, req_id long, s long").selectExpr("session_id", "req_id", "timestamp_seconds(s) as ts")
+    want = {}
+    for session in (0, 1, None):
+        admitted = []
+        for _, k, at in (r for r in rows if r[0] == session):
+            want[session, k] = sum(at - t < 60 for t in admitted) < 5
+            admitted += [at] * want[session, k]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        x = requests.rate_limit_decisions(log, 5, 60)
+        got = {(r.session_id, r.req_id): r.admitted for r in x.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and "FlatMapGroups" not in x._jdf.queryExecution().toString()
