@@ -24,13 +24,14 @@ import hashlib
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.llm.memo import held
+
 CACHED = 700_000
 #: White space as the normalizer has it; str.split also cuts at \x1c-\x1f.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -189,9 +190,8 @@ class TrieBPE:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Cached:
-    return Cached(path)
+    return held(("bpe", path), lambda: Cached(path))
 
 
 class Cached:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from lorespark.llm.common import written
-from lorespark.llm.memo import Memo
+from lorespark.llm.memo import Memo, held
 
 MOST = 1500
 SWITCH = 9.0
@@ -205,12 +205,9 @@ def learn(docs: DataFrame, most: int = MOST) -> LanguageModel:
     return LanguageModel([tuple(r) for r in top.collect()])
 
 
-_labellers: dict[int, Labeller] = {}
-
-
 def predicted(docs: DataFrame, model: LanguageModel, extra: list[str]) -> DataFrame:
     """The ``extra`` columns of ``docs``, lang_pred, score and spans (first and last chunk, language)."""
-    key = hash((tuple(model.langs), len(model.grams), float(model.unseen.sum()) if model.langs else 0.0))
+    key = "languages", hash((tuple(model.langs), len(model.grams), float(model.unseen.sum()) if model.langs else 0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(path, letters, langs):
@@ -223,20 +220,17 @@ def predicted(docs: DataFrame, model: LanguageModel, extra: list[str]) -> DataFr
         return langs[int(n.argmax())], float(n.max() / n.sum()), spans
 
     def run(batches):
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(sent.value)
-        own = _labellers[key]
+        own = held(key, lambda: Labeller(sent.value))
         langs = own.model.langs
         for batch in batches:
-            texts, held, cells = batch.column(0), [], 0
+            texts, lists, cells = batch.column(0), [], 0
             out = []
             for k in range(batch.num_rows):
-                held.append((texts[k].as_py() or "").split() if langs else [])
-                cells += len(held[-1])
+                lists.append((texts[k].as_py() or "").split() if langs else [])
+                cells += len(lists[-1])
                 if cells >= CELLS or k == batch.num_rows - 1:
-                    out += [judged(p, n, langs) for p, n in own.block(held)]
-                    held, cells = [], 0
+                    out += [judged(p, n, langs) for p, n in own.block(lists)]
+                    lists, cells = [], 0
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], _SPANS)],
                 names=[*extra, "lang_pred", "score", "spans"],

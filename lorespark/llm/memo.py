@@ -1,8 +1,20 @@
-"""A bounded memory of what each distinct white-space chunk yields, kept by a Python worker."""
+"""Bounded memories that a Python worker keeps from task to task: one operator's at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
+T = TypeVar("T")
+_held: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gave for the key in this worker; another key's is let go first."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 class Memo:

@@ -1,10 +1,10 @@
 """Toxicity: gradient-boosted trees over dense lexical features, with isotonic calibration.
 
 Learning. A bounded sample of labelled rows (``most``, taken in hash order) is
-split in three by hash. Two parts give the lexicon: word beginnings and whole
+split in three by hash. The first part gives the lexicon: word beginnings and whole
 words that toxic rows hold far more often than others, found by counting
-documents; and, with it, the boosted trees. The third part calibrates the
-trees' probability with isotonic regression. Labels only ever come in here.
+documents. The second trains the boosted trees, the third calibrates their
+probability with isotonic regression. Labels only ever come in here.
 
 Features of a whole text: lexicon hits, distinct hits and weight by words; hits
 near a second-person word; hits under masked spelling (digits or signs for
@@ -12,12 +12,15 @@ letters); capital letters, all-capital words, exclamation and question marks,
 masked words; number of words.
 
 Scoring runs over all documents without a shuffle; the model and the lexicon (at
-most ``TERMS`` entries) go out with the tasks.
+most ``TERMS`` entries) go out with the tasks. Only texts go to the Python workers
+and only ten numbers come back.
 
 Defined results. Null or word-less texts have features of 0 and the score the
 model gives those. With labels of only one kind, or none, every score is the share of
 toxic labels (0 without labels). Repeated labels of a document count as toxic if any does;
-null labels don't count. Repeated documents are scored each.
+null labels don't count. Repeated documents are scored each; equal texts get equal scores.
+A very long text is read whole, its words one array. Tables without rows give none. Columns
+beside doc_id and text are ignored (``without_toxic`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -28,16 +31,17 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import written
-from lorespark.llm.memo import Memo
+from lorespark.llm.memo import Memo, held
 
 MOST = 9000
 TERMS = 400
+LEAST = 20  # labels of a kind in each of three parts, else the sample isn't split
 FEATURES = ["hit_rate", "hit_kinds", "hit_weight", "near_you", "masked_hits", "capitals", "shouted", "marks", "masked", "log_words"]
 
 #: Second-person words of the languages at hand, and letters that signs stand for.
@@ -135,26 +139,22 @@ class Reader:
         ]
 
 
-_readers: dict[int, Reader] = {}
+def features_of(lexicon: dict[str, float]):
+    """A column function: text to its features. Only the text goes to the Python worker; the row stays in the JVM."""
+    key = "toxicity", hash(tuple(sorted(lexicon.items())))
 
+    def run(texts):
+        reader = held(key, lambda: Reader(lexicon))
+        rows = np.array([reader.features(t.as_py()) for t in texts], np.float64).reshape(-1)
+        return pa.ListArray.from_arrays(np.arange(0, len(rows) + 1, len(FEATURES), dtype=np.int32), pa.array(rows))
 
-def with_features(docs: DataFrame, lexicon: dict[str, float], extra: list[str]) -> DataFrame:
-    """The ``extra`` columns and the features of ``text``."""
-    key = hash(tuple(sorted(lexicon.items())))
+    # evaluated once a row, however many columns are made of it
+    return F.arrow_udf(run, "array<double>").asNondeterministic()
 
-    def run(batches):
-        if key not in _readers:
-            _readers.clear()
-            _readers[key] = Reader(lexicon)
-        reader = _readers[key]
-        for batch in batches:
-            rows = np.array([reader.features(t.as_py()) for t in batch.column(0)], np.float64).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(rows[:, k]) for k in range(len(FEATURES)))], names=[*extra, *FEATURES])
 
-    schema = docs.select(*extra).schema
-    for f in FEATURES:
-        schema = schema.add(f, "double")
-    return docs.select(F.col("text").cast("string").alias("scored_text"), *extra).mapInArrow(run, schema)
+def with_features(docs: DataFrame, lexicon: dict[str, float], text: str = "text", into: str = "features") -> DataFrame:
+    """``docs`` with the features of ``text`` as a vector."""
+    return docs.withColumn(into, array_to_vector(features_of(lexicon)(F.col(text).cast("string"))))
 
 
 class ToxicityModel:
@@ -163,27 +163,19 @@ class ToxicityModel:
     def __init__(self, lexicon=None, trees=None, calibration=None, constant: float = 0.0):
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
-    def score(self, docs: DataFrame, extra: list[str]) -> DataFrame:
-        """The ``extra`` columns of ``docs``, ``score`` and ``predicted``."""
+    def score(self, docs: DataFrame, prefix: str = "") -> DataFrame:
+        """``docs`` with ``score`` and ``predicted``, whose names begin with ``prefix``; other names stay as they are."""
         if self.trees is None:
-            x = docs.select(*extra, F.lit(float(self.constant)).alias("score"))
+            x = docs.withColumn(prefix + "score", F.lit(float(self.constant)))
         else:
-            x = _vector(with_features(docs, self.lexicon, extra))
-            x = _probability(self.trees.transform(x))
-            x = self.calibration.transform(x)
+            own = {c: f"{prefix}toxicity_{c}" for c in ("features", "raw", "both", "label", "p", "calibrated")}
+            x = with_features(docs, self.lexicon, into=own["features"])
+            trees = self.trees.copy().setFeaturesCol(own["features"]).setRawPredictionCol(own["raw"]).setProbabilityCol(own["both"]).setPredictionCol(own["label"])
+            x = trees.transform(x).withColumn(own["p"], vector_to_array(own["both"])[1])
+            x = self.calibration.copy().setFeaturesCol(own["p"]).setPredictionCol(own["calibrated"]).transform(x)
             # the trees' own probability orders what the calibration ties
-            x = x.select(*extra, F.expr("least(1D, greatest(0D, 0.98D * calibrated + 0.02D * p))").alias("score"))
-        return x.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
-
-def _vector(x: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(x)
-
-
-def _probability(x: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    return x.withColumn("p", vector_to_array("probability")[1])
+            x = x.withColumn(prefix + "score", F.expr(f"least(1D, greatest(0D, 0.98D * {own['calibrated']} + 0.02D * {own['p']}))")).drop(*own.values())
+        return x.withColumn(prefix + "predicted", (F.col(prefix + "score") >= 0.5).cast("int"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> ToxicityModel:
@@ -193,18 +185,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> ToxicityModel
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = text.join(F.broadcast(own), "doc_id").select("doc_id", F.col("text").cast("string"), F.expr("if(toxic > 0, 1, 0)").alias("toxic"), F.pmod("h", F.lit(3)).alias("part"))
     sample = written(sample, "labelled-sample").repartition(4, "doc_id")
-    fit, rest = sample.where("part < 2"), sample.where("part = 2")
-    kinds = {(r[0], r[1]): r[2] for r in sample.groupBy(F.expr("part < 2"), "toxic").count().collect()}
+    kinds = {(r[0], r[1]): r[2] for r in sample.groupBy("part", "toxic").count().collect()}
     total = sum(kinds.values())
     toxic = sum(v for k, v in kinds.items() if k[1])
-    if not all(kinds.get((True, t)) for t in (0, 1)):
+    if toxic in (0, total):
         return ToxicityModel(constant=toxic / total if total else 0.0)
-    if not all(kinds.get((False, t)) for t in (0, 1)):
-        rest = sample  # too few labels to keep a part back
-    lexicon = learn_lexicon(fit)
-    x = _vector(written(with_features(sample, lexicon, ["doc_id", "toxic", "part"]), "labelled-features")).withColumn("label", F.col("toxic").cast("double"))
-    trees = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, subsamplingRate=1.0, seed=7, maxMemoryInMB=64).fit(x.where("part < 2").coalesce(2))
-    scored = _probability(trees.transform(x if rest is sample else x.where("part = 2"))).select("label", "p").coalesce(1)
+    # with too few labels for three parts, all of them serve for each step
+    apart = all(kinds.get((k, t), 0) >= LEAST for k in range(3) for t in (0, 1))
+    words, fit, rest = (f"part = {k}" if apart else "true" for k in range(3))
+    lexicon = learn_lexicon(sample.where(words))
+    x = written(with_features(sample, lexicon).select("doc_id", "part", "features", F.col("toxic").cast("double").alias("label")), "labelled-features")
+    trees = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, subsamplingRate=1.0, seed=7, maxMemoryInMB=64).fit(x.where(fit).coalesce(2))
+    scored = trees.transform(x.where(rest)).select("label", vector_to_array("probability")[1].alias("p")).coalesce(1)
     calibration = IsotonicRegression(featuresCol="p", predictionCol="calibrated", labelCol="label").fit(scored)
     return ToxicityModel(lexicon, trees, calibration)
 
@@ -213,7 +205,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = MOST)
     """Per document: doc_id, held_out, score, predicted; labels of held-out rows aren't used."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     model = learn(docs, labels.where(fold != 0), most)
-    x = model.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
+    x = model.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return x.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -221,5 +213,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int
     """``docs`` without the rows predicted toxic; all columns stay."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     model = learn(docs, labels.where(fold != 0), most)
-    packed = docs.select("text", F.struct(*docs.columns).alias("own_row"))  # no column clashes with ours
-    return model.score(packed, ["own_row"]).where("predicted = 0").select("own_row.*")
+    prefix = "_" * (1 + max(map(len, docs.columns)))  # no column of docs begins like this
+    return model.score(docs, prefix).where(F.col(prefix + "predicted") == 0).select(*docs.columns)
