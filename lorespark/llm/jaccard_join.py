@@ -1,12 +1,16 @@
 """Exact n-gram Jaccard join: prefix keys deal the work out, signature trees search it.
 
 Method. Each text becomes a set of hashed five-word shingles; texts with equal
-sets form one class. Under one global token order a pair with Jaccard >= t
-shares a token among the first n - ceil(t n) + 1 of each, so those tokens deal
-classes out to tasks (one shuffle of 16-byte rows). Tokens found very frequent
-come last in the order: shared lines and passages then hardly ever become keys.
-Classes that share many keys are first compared with a few hubs each (linear, not
-quadratic, in a group's size) and collapse into components. Every key that
+sets form one class. Under one global token order two sets of Jaccard >= t share
+l tokens among the first n - ceil(t n) + l of each. Those tokens are the keys (one shuffle
+of 16-byte rows), with l a ``PEEL``-th of that length: a class needs l keys in common with
+others, counted class by class and not pair by pair, or it can't link and goes. Texts that
+only share lines or passages go here, before any text or bitmap moves. Tokens found very
+frequent come last in the order, so that they hardly ever become keys.
+
+The rest are groups of likely copies. Each class is first compared with the few of a group
+that it has most keys in common with (linear, not quadratic, in a group's size), which
+collapses groups into components. Every key that
 still joins different components is searched with signature trees: binary
 trees over the members, by size and component, whose nodes hold OR-ed token bitmaps, size
 ranges and components; a dual traversal drops node pairs whose greatest
@@ -15,12 +19,14 @@ compared exactly.
 
 Bounds. The frequent-token set holds at most ``2/share`` tokens (16 MB), whatever
 the input (each has half that share of all tokens); the only other broadcasts are
-8 MB bit filters of fixed size. A key with more than ``block`` members
-is cut into blocks and pairs of blocks become the tasks.
+8 MB bit filters of fixed size and ids up to a counted number. A key with more than
+``block`` members is cut into blocks and pairs of blocks become the tasks. Joins whose one
+side a key may dominate have written tables on both sides, so that a skew join splits it.
 
 Defined results. Null or word-less text: ``n_shingles`` 0, own component. Exact
-copies are linked. Rows that repeat a doc_id are compared each and stay or go together. Empty table: no
-rows. Extra columns are ignored. Sets are compared through 64-bit hashes.
+copies are linked. Rows that repeat a doc_id are compared each and stay or go together. A
+Jaccard of exactly t links. A very long text is one set of its shingles, however many.
+Empty table: no rows. Extra columns are ignored. Sets are compared through 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ REMEMBERED = 1_000_000  # classes a task keeps in mind to send each once
 SENT_IDS = 500_000  # class ids broadcast at most (8 bytes each)
 WAVES = (6, 0)  # pairs of two components compared at a time; 0: all that are left
 HUBS = 2  # what they leave unlinked is found by the trees
+PEEL = 4  # keys beyond the least prefix, as a part of it
 _INT = pa.int64()
 
 
@@ -89,6 +96,17 @@ def _first_of_each(batches, done: set):
                 yield c, s, text
 
 
+def _extra(n: int, num: int, den: int) -> int:
+    """l of a set of n tokens: how many keys it has in common with any set of its size that links with it."""
+    return max(1, (n - (num * n + den - 1) // den + 1) // PEEL)
+
+
+def _needed(num: int, den: int) -> str:
+    """The keys that a class of ``n`` tokens has in common with the smallest set that can link with it (SQL)."""
+    m = f"((n * {num} + {den - 1}) div {den})"
+    return f"greatest(1, ({m} - ({m} * {num} + {den - 1}) div {den} + 1) div {PEEL})"
+
+
 def _prefixes(frequent, num: int, den: int):
     """(key, n, cls): the prefix tokens of each class, frequent tokens last."""
 
@@ -107,7 +125,7 @@ def _prefixes(frequent, num: int, den: int):
 
         for c, s, _ in _first_of_each(batches, set()):
             n = len(s)
-            p = n - (num * n + den - 1) // den + 1
+            p = n - (num * n + den - 1) // den + _extra(n, num, den)
             if len(late):
                 at = np.searchsorted(late, s)
                 at[at == len(late)] = 0
@@ -167,23 +185,21 @@ def _shared(num: int, den: int):
     return run
 
 
-def _class_rows(need_text, need_bits, per: int):
-    """(cls, text, bits) of classes that either filter lets through; what isn't needed is null."""
+def _class_rows(needed, per: int):
+    """(cls, text, bits) of the classes that the filter lets through."""
 
     def run(batches):
-        wanted = [f.value if f is not None else None for f in (need_text, need_bits)]
-        cls, texts, maps, size = [], [], [], 0
+        wanted, cls, texts, maps, size = needed.value, [], [], [], 0
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(cls, _INT), pa.array(texts, pa.string()), pa.array(maps, pa.binary())], names=["cls", "text", "bits"])
 
         for c, s, text in _first_of_each(batches, set()):
-            t, m = (f is not None and int(f[(c >> 6) % FILTER_WORDS]) >> (c & 63) & 1 for f in wanted)
-            if not (t or m):
+            if not int(wanted[(c >> 6) % FILTER_WORDS]) >> (c & 63) & 1:
                 continue
             cls.append(c)
-            texts.append(text.as_py() if t else None)
-            maps.append(bitmap(s, width_for(len(s), per)).tobytes() if m else None)
+            texts.append(text.as_py())
+            maps.append(bitmap(s, width_for(len(s), per)).tobytes())
             size += len(s)
             if size >= 500_000:
                 yield out()
@@ -196,22 +212,11 @@ def _class_rows(need_text, need_bits, per: int):
 
 def _filter_of(classes: DataFrame):
     """A broadcast bit filter of fixed size that lets all of ``classes(cls)`` through, and few others."""
-    spark = classes.sparkSession
     words = classes.groupBy(F.expr(f"shiftright(cls, 6) % {FILTER_WORDS}").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cls & 63 as int))")).alias("v"))
     bits = np.zeros(FILTER_WORDS, np.int64)
     got = words.toArrow()  # at most FILTER_WORDS rows
     bits[got.column("w").to_numpy().astype(np.int64)] = got.column("v").to_numpy()
-    return spark.sparkContext.broadcast(bits.view(np.uint64))
-
-
-def _class_table(texts: DataFrame, need_text: DataFrame, need_bits: DataFrame | None, per: int) -> DataFrame:
-    both = [_filter_of(x) if x is not None else None for x in (need_text, need_bits)]
-    rows = texts.mapInArrow(_class_rows(*both, per), "cls long, text string, bits binary")
-    return written(rows.dropDuplicates(["cls"]), "class-rows")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+    return classes.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
 
 def _verify(num: int, den: int):
@@ -232,7 +237,7 @@ def _verify(num: int, den: int):
 
 def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the similarity."""
-    t = sets.select("cls", "text").where("text is not null")
+    t = sets.select("cls", "text")
 
     def side(name: str) -> DataFrame:
         """The texts of one side's classes; a counted, small set of ids keeps the others out of the shuffle."""
@@ -288,35 +293,44 @@ def _search(num: int, den: int):
 
 
 def _best_hubs(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): each class of ``shared(key, cls, n, hub, hub_n)`` and its best few hubs."""
+    """(a, b): each class of ``shared(key, cls, n, hub, hub_n)`` and its best few hubs.
+
+    Links nearly always have most of the prefix in common: what has less is left to the trees.
+    """
     near = f"{den} * least(n, hub_n) >= {num} * greatest(n, hub_n)"
     return (
         shared.where(near).groupBy("cls", "n", "hub").agg(F.count("*").alias("k"))
-        .where(f"20 * k >= n - {num} * n / {den}")
+        .where(f"2 * k >= n - {num} * n / {den}")
         .groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("k", "hub")), asc=False).alias("h"))
         .select(F.col("cls").alias("a"), F.explode(F.slice("h", 1, HUBS)).alias("h"))
         .select("a", F.col("h.hub").alias("b"))
     )
 
 
-def _open(rows: DataFrame, alike: bool = False, block: int = 1) -> DataFrame:
-    """The rows of keys that join different components, and the blocks their members need.
+def _peeled(rows: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """The ``rows(key, cls, n, ...)`` of classes with as many keys as a link needs."""
+    x = rows.withColumn("keys", F.count("*").over(Window.partitionBy("cls")))
+    return written(x.where(f"keys >= {_needed(num, den)}").drop("keys"), name)
 
-    ``alike``: of keys with the same members, one; their identity is two 64-bit hashes.
-    """
-    keys = rows.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.expr("bit_xor(xxhash64(cls))").alias("x"), F.expr("bit_xor(xxhash64(cls, 1))").alias("y"), F.min("cls").alias("lead")
-    ).where("lo <> hi")
-    if alike:
-        keys = keys.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("lead").alias("lead"))
-    keys = keys.select("key", "lead", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks"))
-    out = rows.join(keys.hint("shuffle_merge"), "key")
-    return out if alike else out.drop("blocks", "lead")
+
+def _by_key(rows: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Of ``rows(key, n, cls)``: those with a neighbour that sizes allow a link with, and their hubs."""
+    x = rows.select("key", "n", "cls").repartition(parts, "key").sortWithinPartitions("key", "n", "cls")
+    return x.mapInArrow(_shared(num, den), "key long, cls long, n int, hub long, hub_n int")
 
 
-def _with_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    x = rows.join(comps.select(F.col("node").alias("cls"), "root").hint("shuffle_merge"), "cls", "left")
-    return written(x.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp")), "keys-by-component")
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of keys that join different components."""
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(written(keys, "open-keys").hint("shuffle_merge"), "key")
+
+
+def _unlike(rows: DataFrame, block: int) -> DataFrame:
+    """Of keys with the same members the rows of one, and the blocks they need; identity is two 64-bit hashes."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(cls))").alias("x"), F.expr("bit_xor(xxhash64(cls, 1))").alias("y"), F.min("cls").alias("lead"))
+    keys = keys.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.min("lead").alias("lead"))
+    keys = written(keys.select("key", "lead", F.expr(f"cast(ceil(m / {block}) as int)").alias("blocks")), "tree-keys")
+    return rows.join(keys.hint("shuffle_merge"), "key")
 
 
 def jaccard_components(
@@ -343,41 +357,31 @@ def jaccard_components(
     late = spark.sparkContext.broadcast(np.sort(frequent.column(0).to_numpy().astype(np.int64).view(np.uint64)))
 
     keys = texts.mapInArrow(_prefixes(late, num, den), "key long, n int, cls long")
-    shared = written(
-        keys.repartition(parts, "key").sortWithinPartitions("key", "n", "cls").mapInArrow(_shared(num, den), "key long, cls long, n int, hub long, hub_n int"), "shared-keys"
-    )
+    likely = _peeled(_by_key(keys, parts, num, den).select("key", "n", "cls"), num, den, "likely-keys")
+    shared = written(_by_key(likely, parts, num, den), "shared-keys")
+    sets = texts.mapInArrow(_class_rows(_filter_of(shared.select("cls")), per), "cls long, text string, bits binary")
+    sets = written(sets.dropDuplicates(["cls"]), "class-rows")
 
     # a few hubs for each class: those with most keys in common, if sizes allow a link
     hubs = written(_best_hubs(shared.where("cls <> hub"), num, den), "hub-pairs")
-    sets = _class_table(texts, _ends(hubs), shared.select("cls"), per)
     stars = written(_compared(hubs, sets, num, den), "star-links")
     comps = written(components(stars), "star-components")
-    rows = _with_components(shared.select("key", "cls", "n"), comps)
-
-    # again, with a class of each key's largest component as hub for what is still outside it
-    rows = written(_open(rows), "open-keys")
-    sized = rows.join(comps.groupBy("root").agg(F.count("*").alias("members")).withColumnRenamed("root", "comp").hint("shuffle_merge"), "comp")
-    hub = sized.groupBy("key").agg(F.max_by(F.struct("cls", "n", "comp"), F.struct("members", "comp", "cls")).alias("h"))
-    outside = rows.join(hub.hint("shuffle_merge"), "key").where("comp <> h.comp").select("key", "cls", "n", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
-    hubs = written(_best_hubs(outside, num, den), "more-hub-pairs")
-    stars = stars.unionByName(written(_compared(hubs, sets, num, den), "more-star-links"))  # pairs without texts here stay for the trees
-    comps = written(components(stars), "star-components")
 
-    # keys that still join different components: one of those with the same members
-    rows = _with_components(rows.select("key", "cls", "n"), comps)
-    rows = _open(rows, alike=True, block=block)
-    rows = rows.join(sets.select("cls", "bits").where("bits is not null").hint("shuffle_merge"), "cls")
+    # keys that still join different components, of classes with enough of them: one of those with the same members
+    x = shared.select("key", "cls", "n").join(comps.select(F.col("node").alias("cls"), "root").hint("shuffle_merge"), "cls", "left")
+    rows = written(x.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp")), "keys-by-component")
+    rows = _unlike(_peeled(_open(rows), num, den, "keys-to-search"), block)
+    rows = rows.join(sets.select("cls", "bits").hint("shuffle_merge"), "cls")
     # block pairs (i, j), i <= j: each member goes to those of its own block
     mine = F.expr("cast(pmod(cls, blocks) as int)")
     rows = rows.withColumn("own", mine).select(
         "key", "lead", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j, if(x < own, 1, 0) as side))")).alias("p"), "n", "cls", "comp", "bits"
     )
     # keys with the same first member mostly have the same ones: a task that gets several of them names a pair once
-    rows = rows.select("key", "p.i", "p.j", "p.side", "n", "cls", "comp", "bits", "lead", F.expr("pmod(key, 4)").alias("salt"))
+    rows = rows.select("key", "p.i", "p.j", "p.side", "n", "cls", "comp", "bits", "lead", F.expr("pmod(key, 32)").alias("salt"))
     rows = rows.repartition(parts, "lead", "salt", "i", "j").sortWithinPartitions("key", "i", "j").drop("lead", "salt")
     pairs = rows.mapInArrow(_search(num, den), "a long, b long, ca long, cb long, most long").groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("ca", "cb", "most")])
     pairs = written(pairs, "tree-pairs")
-    texts_of_pairs = _class_table(texts, _ends(pairs), None, per)
 
     # the likeliest pairs of two components first; what they join needs no more comparing
     for take in WAVES:
@@ -387,7 +391,7 @@ def jaccard_components(
         ranked = pairs.withColumn("r", F.row_number().over(both)) if take else pairs.withColumn("r", F.lit(0))
         ranked = written(ranked, "ranked-pairs")
         now = written(ranked.where(F.col("r") <= take).select("a", "b"), "compared-pairs")
-        stars = stars.unionByName(written(_compared(now, texts_of_pairs, num, den), "tree-links"))
+        stars = stars.unionByName(written(_compared(now, sets, num, den), "tree-links"))
         if not take:
             break
         comps = written(components(stars), "star-components").withColumnRenamed("node", "ca")
@@ -400,7 +404,8 @@ def jaccard_components(
     joined = written(components(stars), "set-components")
     first = meta.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("d"))
     named = first.join(joined.select(F.col("node").alias("cls"), "root").hint("shuffle_merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lowest = named.groupBy("root").agg(F.min("d").alias("component_id"))
+    named = written(named, "classes-by-root")
+    lowest = written(named.groupBy("root").agg(F.min("d").alias("component_id")), "component-ids")
     named = written(named.join(lowest.hint("shuffle_merge"), "root").select("cls", "component_id"), "class-components")
     out = meta.join(named.hint("shuffle_merge"), "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -409,4 +414,5 @@ def jaccard_components(
 def keep_one(docs: DataFrame, **kinds) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; all columns stay."""
     gone = written(jaccard_components(docs, **kinds).where("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(docs.columns)
+    few = gone.count() <= SENT_IDS  # else the documents' rows move
+    return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_merge"), "doc_id", "left_anti").select(docs.columns)
