@@ -5,14 +5,16 @@ window is ``width`` consecutive words of a benchmark item, or the whole item if
 it is shorter. Each task maps document words to the benchmark vocabulary,
 hashes only windows made of such words, and verifies each hit word by word.
 
-The set is broadcast only up to ``most`` windows, counted first; a larger
-benchmark is dealt into slices of that size by window hash, each scanned in
-turn, and the hits of all slices are merged by row: the documents are numbered in a
-written table before, so rows that repeat an id, or have none, stay rows.
+The set is broadcast only up to ``most`` windows, counted first, held in arrays of about
+``BYTES`` each; a larger benchmark is dealt into slices of that size by window hash, each
+scanned in turn, and the hits of all slices are merged by row: the documents are numbered in a
+written table before, so rows that repeat an id, or have none, stay rows. One slice or many,
+the results are the same.
 
 Defined results. Null text has no words. Items without words, text or id match
-nothing; repeated items count once. Empty tables give no rows, or no hits.
-Extra columns are ignored (``clean`` keeps them).
+nothing; repeated items count once. Empty tables give no rows, or no hits. A very long text
+is scanned whole. Rows that repeat an id are judged each. A word inside two windows is hit
+once. Extra columns are ignored (``clean`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import written
 
 WIDTH = 10
-MOST = 1_000_000
+MOST = 400_000  # windows broadcast at a time
+BYTES = 200  # a window's ids, hash, item and share of the vocabulary: 80 MB a slice
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LOWER = {b: b + 32 for b in range(65, 91)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,18 +60,26 @@ def _item_windows(width: int):
 
 
 class WindowSet:
-    """Windows as vocabulary ids: by length, sorted hashes and what each stands for."""
+    """Windows as rows of vocabulary ids, by length and sorted by hash, and each one's items: about ``BYTES`` a window."""
 
-    def __init__(self, rows: list[tuple[str, bytes]]):
+    def __init__(self, table: pa.Table):
+        """``table(item, gram)``: distinct rows."""
         self.vocab: dict[bytes, int] = {}
-        self.items: dict[tuple, set[str]] = {}
-        for item, gram in rows:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in gram.split(b" "))
-            self.items.setdefault(ids, set()).add(item)
-        by: dict[int, list] = {}
-        for ids in self.items:
-            by.setdefault(len(ids), []).append(ids)
-        self.hashes = {n: np.unique(self.rolled(np.array(x, np.uint64).T)) for n, x in by.items()}
+        names, items = np.unique(table.column("item").to_numpy(zero_copy_only=False).astype(object), return_inverse=True) if table.num_rows else ([], np.zeros(0, np.int64))
+        self.names = [str(x) for x in names]
+        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        rows: dict[int, tuple[list, list]] = {}
+        number = self.vocab.setdefault
+        for item, gram in zip(items.tolist(), table.column("gram"), strict=True):
+            words = gram.as_py().split(b" ")
+            ids, own = rows.setdefault(len(words), ([], []))
+            ids.append(np.array([number(w, len(self.vocab) + 1) for w in words], np.uint32))
+            own.append(item)
+        for n, (ids, own) in rows.items():
+            x, of = np.stack(ids), np.array(own, np.int32)
+            h = self.rolled(x.T.astype(np.uint64))
+            order = np.argsort(h, kind="stable")
+            self.by[n] = h[order], x[order], of[order]
 
     @staticmethod
     def rolled(columns) -> np.ndarray:
@@ -85,21 +96,21 @@ class WindowSet:
         ids = np.array([get(w, 0) for w in words], np.uint64)
         mask, found = np.zeros(len(ids), bool), set()
         gap = np.concatenate(([0], np.cumsum(ids == 0)))
-        for n, known in self.hashes.items():
+        for n, (known, rows, of) in self.by.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(gap[n:] == gap[: len(gap) - n])
             if not len(at):
                 continue
             h = self.rolled([ids[at + k] for k in range(n)])
-            where = np.searchsorted(known, h)
-            where[where == len(known)] = 0
-            for p in at[known[where] == h].tolist():
-                items = self.items.get(tuple(ids[p : p + n].tolist()))
-                if items:
+            first, end = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+            for k in np.flatnonzero(first < end).tolist():
+                p = int(at[k])
+                same = (rows[first[k] : end[k]] == ids[p : p + n].astype(np.uint32)).all(1)  # word by word
+                if same.any():
                     mask[p : p + n] = True
-                    found |= items
-        return np.flatnonzero(mask), found
+                    found.update(of[first[k] : end[k]][same].tolist())
+        return np.flatnonzero(mask), {self.names[k] for k in found}
 
 
 def _scan(windows):
@@ -121,34 +132,37 @@ def _scan(windows):
     return run
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
-    """Rows (doc_id, n_words, hit_at, items): positions of hit words and sorted item ids as strings."""
-    spark = docs.sparkSession
+def _sliced(benchmark: DataFrame, width: int, most: int):
+    """The benchmark's distinct windows in broadcast sets of about ``most`` each; at least one set."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).where("item is not null")
     grams = written(items.mapInArrow(_item_windows(width), "item string, gram binary").distinct(), "benchmark-windows")
     slices = max(1, -(-grams.count() // most))
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if slices > 1:
-        numbered = _numbered(docs)
-        docs = numbered.select(F.col(_ROW).alias("doc_id"), "text")
-    kind = "doc_id long, n_words long, hit_at array<int>, items array<string>"
-    out = []
     for k in range(slices):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k) if slices > 1 else grams
-        rows = [(r[0], bytes(r[1])) for r in own.collect()]  # about ``most`` windows
-        out.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(rows))), kind))
-    if slices == 1:
-        return out[0]
-    parts = reduce(DataFrame.unionByName, out)
-    merged = parts.groupBy(F.col("doc_id").alias(_ROW)).agg(F.max("n_words").alias("n_words"), _all("hit_at"), _all("items"))
-    return numbered.select(_ROW, "doc_id").join(merged.hint("shuffle_merge"), _ROW).select("doc_id", "n_words", "hit_at", "items")
+        yield slices, spark.sparkContext.broadcast(WindowSet(own.toArrow()))
 
 
-_ROW = "decontaminated_row"
+def window_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
+    """Rows (doc_id, n_words, hit_at, items): positions of hit words and sorted item ids as strings."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    kind = "doc_id long, n_words long, hit_at array<int>, items array<string>"
+    out = []
+    for slices, windows in _sliced(benchmark, width, most):
+        if slices == 1:
+            return docs.mapInArrow(_scan(windows), kind)
+        if not out:
+            numbered, row = _numbered(docs)
+        out.append(numbered.select(F.col(row).alias("doc_id"), "text").mapInArrow(_scan(windows), kind))
+    parts = reduce(DataFrame.unionByName, out)
+    merged = parts.groupBy(F.col("doc_id").alias(row)).agg(F.max("n_words").alias("n_words"), _all("hit_at"), _all("items"))
+    return numbered.select(row, "doc_id").join(merged.hint("shuffle_merge"), row).select("doc_id", "n_words", "hit_at", "items")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number, in a column that none of theirs clashes with."""
+    row = "_" * max(map(len, docs.columns)) + "_row"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def _all(column: str):
@@ -189,22 +203,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", widt
     A broadcast scan drops rows, or spans of a single slice, in place. With several
     slices, spans are removed when the hits of all slices on the whole text are known.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).where("item is not null")
-    grams = written(items.mapInArrow(_item_windows(width), "item string, gram binary").distinct(), "benchmark-windows")
-    slices = max(1, -(-grams.count() // most))
-    column, columns = docs.columns.index("text"), docs.columns
-    apart = remove == "spans" and slices > 1
-    if apart:
-        docs = _numbered(docs)
-    out = []
-    for k in range(slices):
-        own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k) if slices > 1 else grams
-        windows = spark.sparkContext.broadcast(WindowSet([(r[0], bytes(r[1])) for r in own.collect()]))
-        if apart:
-            texts = docs.select(F.col(_ROW).alias("doc_id"), F.col("text").cast("string"))
-            hits = texts.mapInArrow(_scan(windows), "doc_id long, n_words long, hit_at array<int>, items array<string>")
-            out.append(hits.where(F.size("hit_at") > 0).select(F.col("doc_id").alias(_ROW), "hit_at"))
+    column, columns, schema = docs.columns.index("text"), docs.columns, docs.schema
+    out: list[DataFrame] = []
+    for slices, windows in _sliced(benchmark, width, most):
+        if remove == "spans" and slices > 1:
+            if not out:
+                docs, row = _numbered(docs)
+            hits = docs.select(F.col(row).alias("doc_id"), F.col("text").cast("string")).mapInArrow(_scan(windows), "doc_id long, n_words long, hit_at array<int>, items array<string>")
+            out.append(hits.where(F.size("hit_at") > 0).select(F.col("doc_id").alias(row), "hit_at"))
             continue
 
         def run(batches, windows=windows):
@@ -218,16 +224,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", widt
                 else:
                     yield batch.filter(pa.array([not h for h in hits], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    if not apart:
+        docs = docs.mapInArrow(run, schema)
+    if not out:
         return docs
-    hits = reduce(DataFrame.unionByName, out).groupBy(_ROW).agg(_all("hit_at").alias("decontaminated_at"))
+    hits = reduce(DataFrame.unionByName, out).groupBy(row).agg(_all("hit_at").alias(row + "_at"))
 
     def cut(batches):
         for batch in batches:
             texts, at = batch.column(column).to_pylist(), batch.column(len(columns)).to_pylist()
             new = pa.array([without_spans(t, h or []) for t, h in zip(texts, at, strict=True)], batch.schema.field(column).type)
-            yield batch.set_column(column, batch.schema.field(column), new).select(columns)
+            yield batch.set_column(column, batch.schema.field(column), new).select(list(range(len(columns))))
 
-    schema = docs.select(*columns).schema
-    return docs.join(hits.hint("shuffle_merge"), _ROW, "left").select(*columns, "decontaminated_at").mapInArrow(cut, schema)
+    return docs.join(hits.hint("shuffle_merge"), row, "left").select(*columns, row + "_at").mapInArrow(cut, schema)
