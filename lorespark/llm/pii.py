@@ -1,84 +1,90 @@
 """PII: detected entities become keyed surrogates of the same type and format.
 
-Entities are e-mail addresses, phone numbers, IPv4 addresses, card numbers,
-IBANs, social security numbers, secrets (password = ..., token = ...) and titled
-names. A surrogate is drawn from an HMAC of the type and the normalised value, so
-the same entity gets the same surrogate in every document (coreference). It keeps
-the format: letter and digit classes, case, separators, a card's first digit and
-check digit, an IBAN's country and check digits, valid IP octets; names keep
-script and gender, and a surname alone follows its titled mention.
+Entities are e-mail addresses, phone numbers, IPv4, IPv6 and MAC addresses, card
+numbers, IBANs, social security numbers, secrets (password = ..., token = ...) and the
+names of persons that are somewhere in the text called by a title; from there their given
+names and surnames are known wherever the text repeats them. A surrogate is drawn from an
+HMAC, under the caller's key, of the type and the normalised value, so the same entity gets
+the same surrogate in every document (coreference). A name is replaced part by part, so
+"Dr. John Smith", "Mr. Smith" and "John" stay one person. A surrogate keeps the format:
+letter and digit classes, case, separators, a card's first digit and check digit, an IBAN's
+country and check digits. Addresses come from what is reserved: ``example`` domains,
+240.0.0.0/4, 2001:db8::/32, locally administered MACs. Names keep script and gender; a given
+name met under neutral titles only has the gender that the corpus gives it elsewhere, if any.
 
 Collisions are checked over the whole corpus: distinct entities and surrogates are
 grouped (combined before the shuffle); a surrogate that two entities share, or that
 is itself an entity, is drawn again for all but the smallest value, until none is
-left. Names of all genders are checked together, and by their surname, since that is
-what is put in for a surname alone. Only redrawn entities are sent to the tasks: by broadcast up to ``most`` of
-them, else joined by document.
+left. Given names of all genders are checked together. Only redrawn entities and resolved
+genders are sent to the tasks: by broadcast up to ``most`` of them, else joined by document.
 
 Defined results. Null text stays null, empty text empty; text without entities is
-unchanged. Empty tables give no rows. Other columns are kept.
+unchanged. Empty tables give no rows. A very long text is read whole. Repeated rows are
+replaced each, alike. Entities of equal start go to the longer one. Other columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from lorespark.llm.common import written
 
-KEY = b"surrogate-key"
 MOST = 100_000
 _KINDS = ArrayType(StringType())
 
-_DIGIT = re.compile("[0-9]")
-_KEYWORD = re.compile("password|passwd|pwd|token|secret|api[_-]?key", re.I)
+_HINT = re.compile("[0-9@]|password|passwd|pwd|token|secret|api[_-]?key|[a-f]:[a-f:]", re.I)  # all that the pattern can match has one of these
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"""
     r"""|(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)\s*[=:]\s*["']?(?P<secret>[A-Za-z0-9+/_-]{8,})"""
+    r"""|(?P<mac>(?<![\w:-])[0-9A-Fa-f]{2}(?P<by>[:-])(?:[0-9A-Fa-f]{2}(?P=by)){4}[0-9A-Fa-f]{2}(?![\w:-]))"""
+    r"""|(?P<ip6>(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))"""
     r"""|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"""
     r"""|(?P<card>(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w-]))"""
     r"""|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"""
     r"""|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9]))"""
     r"""|(?P<phone>(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-]))"""
 )
-#: Titles by gender, and names by script and gender to draw from.
+#: Titles by gender, and syllables and endings by script to make names of.
 TITLES = {
     "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "господин", "г-н"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Doña", "Madame", "Mme", "Mlle", "госпожа", "г-жа"),
     "n": ("Dr", "Prof", "Professor"),
 }
-GIVEN = {
-    ("latin", "m"): "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Karl Leo Max Noah Oscar Paul Simon".split(),
-    ("latin", "f"): "Ada Bella Clara Diana Emma Flora Greta Helena Iris Julia Klara Lena Maria Nora Olga Vera".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Денис Егор Иван Кирилл Максим Олег Павел".split(),
-    ("cyrillic", "f"): "Анна Вера Дарья Елена Зоя Ирина Мария Нина Ольга София".split(),
-}
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga ge ha ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve".split(),
     "cyrillic": "ба бе бо ва ве во га да де до за зе ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split(),
 }
+ENDINGS = {
+    "latin": {"given:m": "n r s l".split(), "given:f": "na ra la ia".split(), "given:n": "ne re le ie".split(), "surname": "n r k t".split()},
+    "cyrillic": {"given:m": "н р с л".split(), "given:f": "на ра ла ия".split(), "given:n": "не ре ле ие".split(), "surname": "нко рук лик тюк".split()},
+}
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_WORD = r"[^\W\d_a-zа-я][^\W\d_]+"
 _NAME = re.compile(
-    r"\b(?P<title>" + "|".join(sorted(map(re.escape, _TITLE_GENDER), key=len, reverse=True)) + r")\b\.?[ ](?P<name>[^\W\d_a-zа-я][^\W\d_]+(?:[ -][^\W\d_a-zа-я][^\W\d_]+){0,2})"
+    r"\b(?P<title>" + "|".join(sorted(map(re.escape, _TITLE_GENDER), key=len, reverse=True)) + rf")\b\.?[ ](?P<name>{_WORD}(?:-{_WORD})*(?:[ ]{_WORD}(?:-{_WORD})*){{0,2}})"
 )
 
 
 class Stream:
     """Numbers from a keyed digest of the parts."""
 
-    def __init__(self, *parts: object):
-        self.seed, self.count, self.left = "\x1f".join(map(str, parts)).encode(), 0, 0
+    def __init__(self, key: bytes, *parts: object):
+        self.key, self.seed, self.count, self.left = key, "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), 0, 0
 
     def below(self, n: int) -> int:
         if self.left < 1 << 64:
             self.count += 1
-            self.left = int.from_bytes(hmac.new(KEY, self.seed + b"\x1f%d" % self.count, hashlib.sha256).digest(), "big")
+            self.left = int.from_bytes(hmac.new(self.key, self.seed + b"\x1f%d" % self.count, hashlib.sha256).digest(), "big")
         self.left, r = divmod(self.left, n)
         return r
 
@@ -106,26 +112,33 @@ def normalised(kind: str, value: str) -> str:
     """The form in which mentions of one entity are equal."""
     if kind == "email":
         return value.lower()
-    if kind in ("card", "iban", "phone", "ssn"):
-        return re.sub(r"[ .()-]", "", value)
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).compressed
+    if kind in ("card", "iban", "phone", "ssn", "mac"):
+        return re.sub(r"[ .():-]", "", value).lower() if kind == "mac" else re.sub(r"[ .()-]", "", value)
     if kind == "secret" and value.isupper():
         return value.lower()
+    if kind in ("surname", "given:m", "given:f", "given:n") and value.isupper():
+        return value.title()
     return value
 
 
-def surrogate(kind: str, value: str, attempt: int) -> str:
+def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The surrogate of a normalised value."""
-    draw = Stream(kind, value, attempt)
+    draw = Stream(key, kind, value, attempt)
     if kind == "email":
         local, domain = value.split("@")
         labels = domain.split(".")
-        keep = 2 if len(labels) > 2 else 1
-        # letters and digits of the host; the ending is a reserved one
-        host = ".".join([_like(x, draw) for x in labels[:-keep]] + ["example"] * (keep == 2)) or _like(labels[0], draw)
-        ending = labels[-1] if labels[-1] in ("com", "org", "net") else "example"
-        return f"{_like(local, draw)}@{host}.{ending}"
+        if len(labels) == 2:
+            return f"{_like(local, draw)}@{_like(labels[0], draw)}.example"
+        ending = labels[-1] if labels[-1] in ("com", "org", "net") else "com"
+        return f"{_like(local, draw)}@{'.'.join(_like(x, draw) for x in labels[:-2])}.example.{ending}"
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return ".".join([str(240 + draw.below(15)), *(str(1 + draw.below(254)) for _ in range(3))])
+    if kind == "ip6":
+        return "2001:db8:" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(6))
+    if kind == "mac":
+        return "02" + "".join("0123456789abcdef"[draw.below(16)] for _ in value[2:])
     if kind == "card":
         valid = _luhn(value) == 0
         body = value[0] + _like(value[1:-1], draw)
@@ -140,16 +153,11 @@ def surrogate(kind: str, value: str, attempt: int) -> str:
         return value[:-tail] + _like(value[-tail:], draw) if len(value) > tail else ("+" if value[0] == "+" else "") + _like(value.lstrip("+"), draw)
     if kind == "ssn":
         return "9" + _like(value[1:], draw)
-    if kind.startswith("name"):
-        _, gender = kind.split(":")
+    if kind == "surname" or kind.startswith("given"):
         script = "cyrillic" if re.search("[А-Яа-яЁё]", value) else "latin"
-        parts = value.split()
-        out = []
-        if len(parts) > 1:
-            pool = GIVEN[script, gender] if gender != "n" else [*GIVEN[script, "m"], *GIVEN[script, "f"]]
-            out += [pool[draw.below(len(pool))] for _ in parts[:-1]]
-        out.append("".join(SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(3 + attempt // 3)).capitalize())
-        return " ".join(out)
+        stem = [SYLLABLES[script][draw.below(len(SYLLABLES[script]))] for _ in range(2 + (attempt + 1) // 2)]
+        ends = ENDINGS[script][kind]
+        return "".join([*stem, ends[draw.below(len(ends))]]).capitalize()
     if re.fullmatch("[0-9a-f]+", value):
         return "".join("0123456789abcdef"[draw.below(16)] for _ in value)
     return _like(value, draw)
@@ -157,12 +165,32 @@ def surrogate(kind: str, value: str, attempt: int) -> str:
 
 def shaped(kind: str, original: str, new: str) -> str:
     """The surrogate in the separators and case of a mention."""
-    if kind in ("card", "iban", "phone", "ssn"):
+    if kind in ("card", "iban", "phone", "ssn", "mac"):
         letters = iter(re.sub(r"[ .()-]", "", new))
-        return "".join(c if c in " .()-" else next(letters) for c in original)
-    if kind in ("email", "secret") and original.isupper():
-        return new.upper()
-    return new
+        new = "".join(c if c in " .():-" else next(letters) for c in original)
+    return new.upper() if kind not in ("iban", "ip6") and original.isupper() else new
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """The parts of titled names, and what the text repeats of them."""
+    out: list[tuple[int, int, str, str]] = []
+    told: dict[str, str] = {}
+    for m in _NAME.finditer(text):
+        parts = list(re.finditer(r"[^ ]+", m["name"]))
+        for k, part in enumerate(parts):
+            kind = "surname" if k == len(parts) - 1 else "given:" + _TITLE_GENDER[m["title"]]
+            value = normalised(kind, part[0])
+            out.append((m.start("name") + part.start(), m.start("name") + part.end(), kind, value))
+            if kind != "surname" and told.get(value, "given:n") != "given:n":
+                kind = told[value]  # a gender told once in the text stays
+            told[value] = kind
+    if out:
+        again = re.compile(r"\b(?:" + "|".join(sorted({re.escape(x) for v in told for x in (v, v.upper())}, key=lambda x: (-len(x), x))) + r")\b")
+        for m in again.finditer(text):
+            value = m[0] if m[0] in told else m[0].title()
+            if value in told:
+                out.append((*m.span(), told[value], value))
+    return out
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -170,18 +198,19 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     out = []
-    if _DIGIT.search(text) or "@" in text or _KEYWORD.search(text):  # all that the pattern can match has one of these
+    if _HINT.search(text):
         for m in _PATTERN.finditer(text):
-            out.append((*m.span(m.lastgroup), m.lastgroup, normalised(m.lastgroup, m[m.lastgroup])))
+            kind = m.lastgroup
+            if kind == "ip6":
+                try:
+                    ipaddress.IPv6Address(m[kind])
+                except ValueError:  # a time of day, a list of numbers
+                    continue
+                if m[kind].count(":") < 4 and not re.search("[0-9]", m[kind]) or len(m[kind]) < 4:  # a::b, ::1
+                    continue
+            out.append((*m.span(kind), kind, normalised(kind, m[kind])))
     if any(t in text for t in _TITLE_GENDER):
-        named = {}
-        for m in _NAME.finditer(text):
-            kind = "name:" + _TITLE_GENDER[m["title"]]
-            out.append((*m.span("name"), kind, m["name"]))
-            named[m["name"].split()[-1]] = (kind, m["name"])
-        for last, (kind, whole) in named.items():  # the surname alone
-            for m in re.finditer(rf"\b{re.escape(last)}\b", text):
-                out.append((*m.span(), kind + ":last", whole))
+        out += _names(text)
     out.sort(key=lambda e: (e[0], -e[1]))
     kept, end = [], -1
     for e in out:
@@ -191,93 +220,110 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     return kept
 
 
-def replaced(text: str | None, redrawn: dict[tuple[str, str], int]) -> tuple[str | None, list[str]]:
-    """The text with surrogates, and the kinds of its entities."""
+def replaced(text: str | None, key: bytes, known: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, list[str]]:
+    """The text with surrogates, and the kinds of its entities. ``known``: what isn't drawn as the first of its kind."""
     found = entities(text)
     if not found:
         return text, []
     out, at = [], 0
     for start, end, kind, value in found:
-        base = kind.removesuffix(":last")
-        new = surrogate(base, value, redrawn.get((base, value), 0))
-        new = new.split()[-1] if kind.endswith(":last") else shaped(base, text[start:end], new)
-        out += [text[at:start], new]
+        own, attempt = known.get((kind, value), (kind, 0))
+        out += [text[at:start], shaped(own, text[start:end], surrogate(key, own, value, attempt))]
         at = end
     return "".join([*out, text[at:]]), [e[2].split(":")[0] for e in found]
 
 
 def _found(batches):
     for batch in batches:
-        rows = {(k.removesuffix(":last"), v) for t in batch.column(0) for _, _, k, v in entities(t.as_py())}
+        rows = {e[2:] for t in batch.column(0) for e in entities(t.as_py())}
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["kind", "value"])
 
 
-def _drawn(batches):
-    for batch in batches:
-        rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(*r) for r in rows], pa.string())], names=["kind", "value", "attempt", "surrogate"])
+def _drawn(key: bytes):
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(key, *r) for r in rows], pa.string())], names=["kind", "value", "attempt", "surrogate"])
 
+    return run
 
-def _checked(value: str) -> list:
-    """What must differ between entities: kind and value, of names of all genders the surname."""
-    name = F.col("kind").startswith("name:")
-    return [F.when(name, "name").otherwise(F.col("kind")).alias("group"), F.when(name, F.element_at(F.split(value, r"\s+"), -1)).otherwise(F.col(value)).alias("shown")]
 
+def _resolved(found: DataFrame) -> DataFrame:
+    """(kind, value, own) of entities: given names of unknown gender are those of a known one, where the corpus has it."""
+    known = F.max(F.when(F.col("kind") != "given:n", F.col("kind")))
+    given = found.where("kind like 'given:%'").groupBy("value").agg(known.alias("own")).where("own is not null")
+    x = found.join(given.hint("shuffle_merge"), "value", "left")
+    return x.select("kind", "value", F.when(F.col("kind") == "given:n", F.coalesce("own", "kind")).otherwise(F.col("kind")).alias("own"))
 
-def draws(docs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(kind, value, attempt, surrogate) of every distinct entity: no two of a kind share a surrogate, none is an entity.
 
-    Names are of one kind here, and their surnames count.
+def draws(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
+    """(kind, value, own, attempt, surrogate) of every distinct entity: no two of a kind share a surrogate, none is an entity.
+
+    ``own`` is the kind under which it is drawn; given names are of one kind here.
     """
-    found = docs.select(F.col("text").cast("string")).mapInArrow(_found, "kind string, value string").distinct()
+    found = written(_resolved(docs.select(F.col("text").cast("string")).mapInArrow(_found, "kind string, value string").distinct()), "entities")
     schema = "kind string, value string, attempt int, surrogate string"
-    table = written(found.withColumn("attempt", F.lit(0)).mapInArrow(_drawn, schema), "surrogates")
-    values = table.select(*_checked("value")).distinct()
+    first = found.select(F.col("own").alias("kind"), "value").distinct().withColumn("attempt", F.lit(0))
+    table = written(first.mapInArrow(_drawn(key), schema), "surrogates")
+    group = F.split_part("kind", F.lit(":"), F.lit(1)).alias("group")  # what must differ within
+    values = table.select(group, F.col("value").alias("surrogate")).distinct()
     for _ in range(rounds):
-        table = table.select("*", *_checked("surrogate"))
         own = F.struct("value", "kind")
-        firsts = table.groupBy("group", "shown").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "shown", "first")
-        real = table.select("group", "shown").join(values.hint("shuffle_merge"), ["group", "shown"], "left_semi").distinct().withColumn("real", F.lit(True))
-        x = table.join(firsts.hint("shuffle_merge"), ["group", "shown"], "left").join(real.hint("shuffle_merge"), ["group", "shown"], "left")
+        named = table.select("*", group)
+        firsts = named.groupBy("group", "surrogate").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "surrogate", "first")
+        real = named.select("group", "surrogate").join(values.hint("shuffle_merge"), ["group", "surrogate"], "left_semi").distinct().withColumn("real", F.lit(True))
+        x = named.join(firsts.hint("shuffle_merge"), ["group", "surrogate"], "left").join(real.hint("shuffle_merge"), ["group", "surrogate"], "left")
         again = (F.col("first").isNotNull() & (own != F.col("first"))) | F.col("real").isNotNull()
         x = written(x.select("kind", "value", "attempt", "surrogate", again.alias("again")), "surrogate-check")
         if x.where("again").isEmpty():
-            return x.drop("again")
-        redo = x.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_drawn, schema)
+            drawn = x.select(F.col("kind").alias("own"), "value", "attempt", "surrogate")
+            return found.join(drawn.hint("shuffle_merge"), ["own", "value"]).select("kind", "value", "own", "attempt", "surrogate")
+        redo = x.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_drawn(key), schema)
         table = written(x.where("not again").drop("again").select("kind", "value", "attempt", "surrogate").unionByName(redo), "surrogates")
     raise RuntimeError(f"surrogates still collide after {rounds} rounds: a format has too few values")
 
 
-def pseudonymised(docs: DataFrame, extra: list[str] | None = None, most: int = MOST) -> DataFrame:
+_session_keys: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key under ``spark.lorespark.surrogates.key``; where it isn't set, one drawn for this application and kept nowhere."""
+    given = spark.conf.get("spark.lorespark.surrogates.key", None)
+    if given:
+        return given.encode()
+    return _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def pseudonymised(docs: DataFrame, key: bytes, extra: list[str] | None = None, most: int = MOST) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``entity_kinds`` (array) where ``extra`` asks for it.
 
-    ``extra``: the columns to return beside the text; all by default.
+    ``key``: who has it can draw the same surrogates again, so it is kept as the texts
+    are. ``extra``: the columns to return beside the text; all by default.
     """
     spark = docs.sparkSession
-    redrawn = written(draws(docs).where("attempt > 0").select("kind", "value", "attempt"), "redrawn")
+    known = written(draws(docs, key).where("attempt > 0 or kind <> own").select("kind", "value", "own", "attempt"), "redrawn")
     kinds = extra is not None
     columns = list(docs.columns) if extra is None else [*extra, "text"]
     column = columns.index("text")
-    small = redrawn.count() <= most
     source = docs.select(*columns)
-    if small:
-        sent = spark.sparkContext.broadcast({(r[0], r[1]): r[2] for r in redrawn.collect()})
-    else:  # by document: what its entities were redrawn to
+    if known.count() <= most:
+        sent = spark.sparkContext.broadcast({(r[0], r[1]): (r[2], r[3]) for r in known.collect()})
+    else:  # by document: what its entities are drawn as
         sent = None
-        source = source.withColumn("own_row", F.monotonically_increasing_id())
-        source = written(source, "numbered")
-        rows = source.select("own_row", F.col("text").cast("string")).mapInArrow(_by_row, "own_row long, kind string, value string")
-        own = rows.join(redrawn.hint("shuffle_merge"), ["kind", "value"]).groupBy("own_row").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("own_redrawn"))
-        source = source.join(own.hint("shuffle_merge"), "own_row", "left").drop("own_row")
+        row, own = ("_" * (1 + max(map(len, columns))) + x for x in ("row", "known"))  # no column begins like these
+        source = written(source.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found = source.select(F.col(row).alias("at"), F.col("text").cast("string")).mapInArrow(_by_row, "at long, kind string, value string")
+        of = found.join(known.hint("shuffle_merge"), ["kind", "value"]).groupBy(F.col("at").alias(row)).agg(F.collect_list(F.struct("kind", "value", "own", "attempt")).alias(own))
+        source = source.join(of.hint("shuffle_merge"), row, "left").select(*columns, own)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(column).to_pylist()
             if sent is None:
-                maps = [{(x["kind"], x["value"]): x["attempt"] for x in own or ()} for own in batch.column(batch.num_columns - 1).to_pylist()]
+                maps = [{(x["kind"], x["value"]): (x["own"], x["attempt"]) for x in own or ()} for own in batch.column(len(columns)).to_pylist()]
             else:
                 maps = [sent.value] * len(texts)
-            new = [replaced(t if t is None else str(t), m) for t, m in zip(texts, maps, strict=True)]
+            new = [replaced(t if t is None else str(t), key, m) for t, m in zip(texts, maps, strict=True)]
             arrays = list(batch.columns)[: len(columns)]
             arrays[column] = pa.array([n[0] for n in new], pa.string())
             names = list(columns)
@@ -295,5 +341,5 @@ def pseudonymised(docs: DataFrame, extra: list[str] | None = None, most: int = M
 
 def _by_row(batches):
     for batch in batches:
-        rows = [(i, k.removesuffix(":last"), v) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for _, _, k, v in entities(t.as_py())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)], names=["own_row", "kind", "value"])
+        rows = [(i, *e[2:]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for e in entities(t.as_py())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[k] for r in rows], pa.string()) for k in (1, 2)], names=["at", "kind", "value"])

@@ -14,7 +14,7 @@ from lorespark.llm.html_extract import extract
 from lorespark.llm.jaccard_join import jaccard_components
 from lorespark.llm.language_id import identified
 from lorespark.llm.license_scan import scan_licenses
-from lorespark.llm.pii import pseudonymised
+from lorespark.llm.pii import pseudonymised, session_key
 from lorespark.llm.token_histogram import length_histogram
 from lorespark.llm.toxicity import scored
 
@@ -48,7 +48,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(read_table(spark, sf_dir, "documents").select("doc_id", "text"), extra=["doc_id"])
+    return pseudonymised(read_table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark), extra=["doc_id"])
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
