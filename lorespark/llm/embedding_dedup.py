@@ -1,25 +1,28 @@
 """Embedding near-duplicates through an inverted multi-index.
 
-Two codebooks, trained on a bounded sample (``fit_rows``), quantise the halves
-of the unit vectors; their product is the grid of cells. Every vector lies in
-its home cell. As a query it visits cells in order of the squared distance its
-halves must move to reach them (a multi-sequence traversal over the two sorted
+Two codebooks, trained on a bounded sample (``fit_rows``, or ``FIT_EACH`` for each centroid),
+quantise the halves of the unit vectors; their product is the grid of cells, which grows with
+the counted vectors: about one cell for ``PER_CELL`` of them, up to ``MOST_BOOKS`` centroids a
+half. Every vector lies in its home cell. As a query it visits cells in order of the squared
+distance its halves must move to reach them (a multi-sequence traversal over the two sorted
 lists of half-distances): a half has to cross the bisectors between centroids.
 The traversal ends at the distance within which the target share ``recall`` of
 partners lies, measured on the sample with partners drawn at exactly the
-threshold; ``recall = 1`` goes on to the link radius and misses nothing. Of a
+threshold, whose difference is spread over the vector or lies in either half, whichever lies
+farthest; ``recall = 1`` goes on to the link radius and misses nothing. Of a
 pair the smaller id asks, so each pair is compared once, exactly and in double
 precision, and counts for both.
 
 Equal vectors are one class with a count. A cell's members and visiting queries
 are cut into blocks; a block pair is one matrix product in one run, and yields
 the queries' link counts and a spanning forest of its links, never all pairs.
-Broadcast: the codebooks and a number for each cell (``books ** 2`` at most).
+Broadcast: the codebooks, a bit for each cell (``MOST_BOOKS ** 2`` at most), and the cells of
+several blocks up to ``SENT_CELLS`` of them, beyond which they are joined.
 
 Defined results. Vectors that are null, zero, or hold null or non-finite
 components, or whose length differs from the commonest one's: 0 links, own
-component, kept. Repeated vec_ids count as rows of their own. An empty table
-gives no rows.
+component, kept. Repeated vec_ids count as rows of their own. A cosine of exactly the
+threshold links. Columns beside vec_id and embedding are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import components, partitions_for, written
 
 COSINE = 0.95
-BOOKS = 32
+PER_CELL, MOST_BOOKS = 48, 2048
 RECALL = 0.97
-FIT_ROWS = 8192
+FIT_ROWS, FIT_EACH = 8192, 16
+CLOSE = 24  # centroids between which all bisectors are looked at
+SENT_CELLS = 200_000
 MEMBERS, QUERIES = 1024, 4096
 
 
@@ -64,16 +69,25 @@ def _distances(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ book.T + (book**2).sum(1)[None], 0)
 
 
-def crossings(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Home centroid of each row, and the squared distance to get into each centroid's region, from below."""
+def crossings(x: np.ndarray, book: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Home centroid of each row, and the squared distance to get into each centroid's region, from below.
+
+    ``apart``: the centroids' distances. All bisectors between the ``CLOSE`` nearest centroids
+    are to be crossed; of the others, that with the home centroid.
+    """
     d = _distances(x, book)
-    apart = np.sqrt(_distances(book, book))
-    far = np.zeros_like(d)
-    for other in range(len(book)):  # the bisector with each other centroid is to be crossed
+    rows, home = np.arange(len(x))[:, None], d.argmin(1)
+
+    def crossed(more, between):
         with np.errstate(divide="ignore", invalid="ignore"):
-            h = (d - d[:, [other]]) / (2 * apart[other][None])
-        far = np.maximum(far, np.where(apart[other][None] > 0, h, 0))
-    return d.argmin(1), far**2
+            return np.where(between > 0, more / (2 * between), 0)
+
+    far = np.maximum(crossed(d - d[rows, home[:, None]], apart[home]), 0)
+    near = np.argpartition(d, min(CLOSE, len(book)) - 1, axis=1)[:, :CLOSE]
+    own = d[rows, near]
+    between = crossed(own[:, :, None] - own[:, None, :], apart[near[:, :, None], near[:, None, :]])
+    far[rows, near] = np.maximum(far[rows, near], between.max(2))
+    return home, far**2
 
 
 def visits(a: np.ndarray, b: np.ndarray, most: float):
@@ -102,42 +116,61 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 class Grid:
     def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second = first, second
+        self.books = first, second
+        self.apart = [np.sqrt(_distances(b, b)) for b in self.books]
+
+    def halves(self, x: np.ndarray):
+        half = x.shape[1] // 2
+        return x[:, :half], x[:, half:]
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        i, j = (_distances(h, b).argmin(1) for h, b in zip(self.halves(x), self.books, strict=True))
+        return i * len(self.books[1]) + j
 
     def reach_for(self, x: np.ndarray, cosine: float, recall: float, seed: int = 9) -> float:
-        """The traversal's squared distance that holds the share ``recall`` of partners at the threshold."""
+        """The traversal's squared distance that holds the share ``recall`` of partners at the threshold, of any kind."""
         if recall >= 1:
             return 2 - 2 * cosine + 1e-9
-        u = np.random.default_rng(seed).normal(size=x.shape)
-        u = _unit(u - (u * x).sum(1)[:, None] * x)
-        y, half, rows = cosine * x + np.sqrt(1 - cosine**2) * u, x.shape[1] // 2, np.arange(len(x))
-        far = np.zeros(len(x))
-        for book, part in ((self.first, slice(None, half)), (self.second, slice(half, None))):
-            far += crossings(x[:, part], book)[1][rows, _distances(y[:, part], book).argmin(1)]
-        return float(np.quantile(far, recall)) + 1e-9
-
-    def places(self, x: np.ndarray, most: float):
-        """For each unit vector: its home cell and the cells it visits."""
-        half = x.shape[1] // 2
-        (i, a), (j, b) = crossings(x[:, :half], self.first), crossings(x[:, half:], self.second)
-        n = len(self.second)
+        rng, half, rows, most = np.random.default_rng(seed), x.shape[1] // 2, np.arange(len(x)), 0.0
+        away = [crossings(h, b, a)[1] for h, b, a in zip(self.halves(x), self.books, self.apart, strict=True)]
+        for part in (slice(None), slice(None, half), slice(half, None)):
+            u = np.zeros_like(x)
+            u[:, part] = rng.normal(size=x[:, part].shape)
+            inner = np.zeros_like(x)
+            inner[:, part] = x[:, part]
+            size = np.maximum((inner * inner).sum(1), 1e-12)[:, None]
+            u = _unit(u - (u * inner).sum(1)[:, None] / size * inner + 1e-12)
+            y = _unit(cosine * x + np.sqrt(1 - cosine**2) * u)
+            far = sum(f[rows, _distances(h, b).argmin(1)] for f, h, b in zip(away, self.halves(y), self.books, strict=True))
+            most = max(most, float(np.quantile(far, recall)))
+        return min(most, 2 - 2 * cosine) + 1e-9
+
+    def places(self, x: np.ndarray, most: float, held: np.ndarray):
+        """For each unit vector: the cells it visits, of those that hold any."""
+        a, b = (crossings(h, k, s)[1] for h, k, s in zip(self.halves(x), self.books, self.apart, strict=True))
+        n = len(self.books[1])
         for k in range(len(x)):
-            yield int(i[k]) * n + int(j[k]), [u * n + v for u, v in visits(a[k], b[k], most)]
+            yield [c for u, v in visits(a[k], b[k], most) if held[c := u * n + v]]
 
 
-def _placed(grid, most: float):
-    """(id, copies, cell, visited) of each class."""
-
+def _homes(grid):
     def run(batches):
         for batch in batches:
-            homes, seen = [], []
-            if batch.num_rows:
-                for home, cells in grid.value.places(_unit(_matrix(batch.column(2))), most):
-                    homes.append(home)
-                    seen.append(cells)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(homes, pa.int32()), pa.array(seen, pa.list_(pa.int32()))], names=["id", "copies", "v", "cell", "visited"]
-            )
+            own = grid.value.home(_unit(_matrix(batch.column(2)))) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["id", "copies", "v", "cell"])
+
+    return run
+
+
+def _visited(grid, most: float, held):
+    """(id, copies, v, visited) of each class."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                seen = list(grid.value.places(_unit(_matrix(batch.column(2))), most, held.value))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.list_(pa.int32()))], names=["id", "copies", "v", "visited"])
 
     return run
 
@@ -188,8 +221,11 @@ def _linked(cosine: float):
     return run
 
 
-def near_duplicates(table: DataFrame, cosine: float = COSINE, books: int = BOOKS, fit_rows: int = FIT_ROWS, recall: float = RECALL) -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept) of every vector of ``table(vec_id, embedding)``."""
+def near_duplicates(table: DataFrame, cosine: float = COSINE, books: int | None = None, fit_rows: int = FIT_ROWS, recall: float = RECALL) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept) of every vector of ``table(vec_id, embedding)``.
+
+    ``books``: centroids a half; by default they grow with the root of the vectors' number.
+    """
     spark = table.sparkSession
     kind = table.schema["embedding"].dataType.simpleString()
     v = F.col("embedding")
@@ -205,25 +241,35 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, books: int = BOOKS
 
     classes = rows.where("good").groupBy("same").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = written(classes, "vector-classes")
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").collect()
-    x = _unit(np.array([r[0] for r in sample]))
+    n = classes.count()
+    books = books or min(MOST_BOOKS, max(8, round((n / PER_CELL) ** 0.5)))
+    share = max(fit_rows, FIT_EACH * books) / n
+    sample = classes if share >= 1 else classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))  # about that many
+    sample = np.array([r[1] for r in sorted(sample.select("id", "v").collect())], np.float64)
+    x = _unit(sample)
     half = x.shape[1] // 2
-    grid = spark.sparkContext.broadcast(Grid(train_book(x[:, :half], books), train_book(x[:, half:], books)))
-    most = grid.value.reach_for(x, cosine, recall)
-
-    placed = written(
-        classes.select("id", "copies", "v").mapInArrow(_placed(grid, most), f"id long, copies long, v {kind}, cell int, visited array<int>"), "vector-cells"
-    )
-    members = dict(placed.groupBy("cell").count().collect())  # a row for each cell at most
-    seen = dict(placed.select(F.explode("visited").alias("cell")).groupBy("cell").count().collect())
-    cuts = [(int(c), -(-n // MEMBERS), -(-seen.get(c, 1) // QUERIES)) for c, n in members.items()]
-    cuts = F.broadcast(spark.createDataFrame(cuts, "cell int, mi int, qj int"))
+    grid = Grid(train_book(x[:, :half], books), train_book(x[:, half:], books))
+    most = grid.reach_for(x, cosine, recall)
+    cells = len(grid.books[0]) * len(grid.books[1])
+    grid = spark.sparkContext.broadcast(grid)
+
+    homes = written(classes.select("id", "copies", "v").mapInArrow(_homes(grid), f"id long, copies long, v {kind}, cell int"), "vector-homes")
+    members = written(homes.groupBy("cell").agg(F.count("*").alias("m")), "cell-members")
+    held = np.zeros(cells, bool)
+    held[members.select("cell").toArrow().column(0).to_numpy()] = True  # a row for each cell at most
+    held = spark.sparkContext.broadcast(held)
+    asked = written(homes.select("id", "copies", "v").mapInArrow(_visited(grid, most, held), f"id long, copies long, v {kind}, visited array<int>"), "vector-visits")
+    queries = asked.select(F.explode("visited").alias("cell")).groupBy("cell").agg(F.count("*").alias("q"))
+    cuts = members.join(queries.hint("shuffle_merge"), "cell", "left").select("cell", F.expr(f"cast(ceil(m / {MEMBERS}) as int)").alias("mi"), F.expr(f"cast(ceil(coalesce(q, 1) / {QUERIES}) as int)").alias("qj"))
+    cuts = written(cuts.where("mi > 1 or qj > 1"), "cells-of-blocks")
+    cuts = F.broadcast(cuts) if cuts.count() <= SENT_CELLS else cuts.hint("shuffle_merge")
     spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    own = placed.join(cuts, "cell").select(
-        "cell", F.pmod(spread, F.col("mi")).cast("int").alias("i"), F.explode(F.expr("sequence(0, qj - 1)")).alias("j"), F.lit(0).alias("side"), "id", "copies", "v"
+    one = F.lit(1)
+    own = homes.join(cuts, "cell", "left").select(
+        "cell", F.pmod(spread, F.coalesce("mi", one)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.coalesce("qj", one) - 1)).alias("j"), F.lit(0).alias("side"), "id", "copies", "v"
     )
-    asked = placed.select(F.explode("visited").alias("cell"), "id", "copies", "v").join(cuts, "cell").select(
-        "cell", F.explode(F.expr("sequence(0, mi - 1)")).alias("i"), F.pmod(spread, F.col("qj")).cast("int").alias("j"), F.lit(1).alias("side"), "id", "copies", "v"
+    asked = asked.select(F.explode("visited").alias("cell"), "id", "copies", "v").join(cuts, "cell", "left").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.coalesce("mi", one) - 1)).alias("i"), F.pmod(spread, F.coalesce("qj", one)).cast("int").alias("j"), F.lit(1).alias("side"), "id", "copies", "v"
     )
     dealt = own.unionByName(asked).repartition(partitions_for(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     found = written(dealt.mapInArrow(_linked(cosine), "id long, links long, root long").groupBy("id", "root").agg(F.sum("links").alias("links")), "vector-links")
