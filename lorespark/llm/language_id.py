@@ -1,10 +1,10 @@
 """Language identification of mixed text: script ranges, word scores, and Viterbi over the words.
 
 Learning. From a bounded sample of labelled texts (about ``most``
-for each language, drawn by hash) come, for each language, log probabilities of character trigrams
-and the share of its letters in each script.
+for each language, drawn by hash) come, for each language, log probabilities of its commonest
+``TRIGRAMS`` character trigrams and the share of its words in each script.
 
-Prediction. A word's script leaves those languages as candidates that were seen
+Prediction. The script of most of a word's letters leaves those languages as candidates that were seen
 to use it (all, if none was). Its score in each is the sum of its trigrams'. A
 Viterbi path over the words, with a penalty for switching, labels spans. The
 documents of a block advance through the path together, so a step is one
@@ -13,7 +13,8 @@ vectorised operation. The text's language is that of most letters.
 Defined results. Null text, or text without a letter: ``und``, score 0, no spans.
 A language without usable training text is never predicted; without any, all is
 ``und``. Repeated rows are predicted each. Ties go to the alphabetically first
-language.
+language. A very long text has one exact path, of which a few bytes a word and a bit for each
+label are held. An empty table gives no rows. Columns beside doc_id, lang and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -32,7 +33,7 @@ from lorespark.llm.memo import Memo, held
 MOST = 1500
 SWITCH = 9.0
 CELLS = 600_000
-TRIGRAMS = 200_000
+TRIGRAMS = 50_000  # of each language
 _SPANS_DDL = ArrayType(StructType().add("first", "integer").add("last", "integer").add("lang", "string"))
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
@@ -54,6 +55,12 @@ def script_of(letter: str) -> str:
     return SCRIPTS[k][1] if k >= 0 else "other"
 
 
+def script_in(word: str) -> str:
+    """The script of most letters of a word; of equal ones the first."""
+    own = [script_of(c) for c in word]
+    return own[0] if own.count(own[0]) == len(own) else max(own, key=own.count)
+
+
 def letters_of(chunk: str) -> str:
     return chunk.lower() if chunk.isalpha() else "".join(filter(str.isalpha, chunk)).lower()
 
@@ -75,7 +82,7 @@ def _counts(batches):
                 if w := letters_of(c):
                     for t in trigrams(w):
                         counts[lang, 0, t] = counts.get((lang, 0, t), 0) + n
-                    k = (lang, 1, script_of(w[0]))
+                    k = (lang, 1, script_in(w))
                     counts[k] = counts.get(k, 0) + n
     rows = list(counts)
     yield pa.RecordBatch.from_arrays(
@@ -106,7 +113,7 @@ class LanguageModel:
         self.barred = {s: b for s, b in self.barred.items() if (b == 0).any()}
 
     def score(self, word: str) -> np.ndarray:
-        out = self.barred.get(script_of(word[0]))
+        out = self.barred.get(script_in(word))
         out = np.zeros(len(self.langs)) if out is None else out.copy()
         get, unseen = self.grams.get, self.unseen
         for t in trigrams(word):
@@ -147,61 +154,67 @@ class Labeller:
         if self.used > 4 * self.most:
             self._fresh()
         codes = [self.rows(x) for x in lists]
-        paths = viterbi([self.table[c] for c in codes], SWITCH)
+        paths = viterbi(codes, self.table, SWITCH)
         return [(p, self.length[c]) for p, c in zip(paths, codes, strict=True)]
 
 
-def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
-    """Best label paths of several sequences at once; ``penalty`` is what a switch costs."""
-    order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
-    lens = np.array([len(scores[k]) for k in order], np.int64)
+def viterbi(codes: list[np.ndarray], table: np.ndarray, penalty: float) -> list[np.ndarray]:
+    """Best label paths of several sequences of rows of ``table`` at once; ``penalty`` is what a switch costs.
+
+    A step keeps for each sequence its best label so far and, in one bit for each label, whether
+    that label stays: all that the way back needs, however many labels and words there are.
+    """
+    order = sorted(range(len(codes)), key=lambda k: -len(codes[k]))
+    lens = np.array([len(codes[k]) for k in order], np.int64)
     if not len(lens) or not lens[0]:
-        return [np.zeros(0, np.int64) for _ in scores]
-    flat = np.concatenate([scores[k] for k in order]).astype(np.float64)
+        return [np.zeros(0, np.int64) for _ in codes]
+    flat = np.concatenate([codes[k] for k in order])
     start = np.concatenate(([0], np.cumsum(lens)[:-1]))
     active = np.searchsorted(-lens, -np.arange(lens[0]), "left")  # how many are longer than t
-    back = np.zeros(flat.shape, np.int8)
-    last = np.zeros((len(lens), flat.shape[1]))
-    own = np.arange(flat.shape[1])
-    v = flat[start[: active[0]]]
+    labels = table.shape[1]
+    came = np.zeros(len(flat), np.int32)
+    stays = np.zeros((len(flat), (labels + 7) // 8), np.uint8)
+    last = np.zeros((len(lens), labels))
+    v = table[flat[start[: active[0]]]].astype(np.float64)
     for t in range(1, lens[0]):
         k = active[t]
         last[k : len(v)] = v[k:]
         v = v[:k]
         at = start[:k] + t
-        best = v.argmax(1)
+        came[at] = v.argmax(1)
         switched = v.max(1)[:, None] - penalty
-        stay = v >= switched
-        back[at] = np.where(stay, own, best[:, None])
-        v = np.where(stay, v, switched) + flat[at]
+        stays[at] = np.packbits(v >= switched, axis=1)
+        v = np.maximum(v, switched) + table[flat[at]]
     last[: len(v)] = v
     state = last.argmax(1)
     path = np.zeros(len(flat), np.int64)
     for t in range(lens[0] - 1, -1, -1):
         k = active[t]
         at = start[:k] + t
-        path[at] = state[:k]
+        path[at] = own = state[:k]
         if t:
-            state[:k] = back[at, state[:k]]
-    out: list = [None] * len(scores)
+            stay = stays[at, own >> 3] >> (7 - (own & 7)) & 1
+            state[:k] = np.where(stay, own, came[at])
+    out: list = [None] * len(codes)
     for k, i, n in zip(order, start.tolist(), lens.tolist(), strict=True):
         out[k] = path[i : i + n]
     return out
 
 
 def learn(docs: DataFrame, most: int = MOST) -> LanguageModel:
-    """A model from about ``most`` texts of each of the 1000 commonest languages of ``docs(doc_id, lang, text)``."""
+    """A model from about ``most`` texts of each language of ``docs(doc_id, lang, text)``; it has a row for each language."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     own = own.where("lang is not null and text is not null")
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
+    sizes = own.groupBy("lang").count().collect()  # the model's labels
     if not sizes:
         return LanguageModel([])
     share = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(min(1.0, most / r[1])))])
     drawn = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
     counts = drawn.select("lang", "text").mapInArrow(_counts, "lang string, kind int, item string, n long")
     counts = written(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "trigram-counts")
-    # rare trigrams say little: a bound for what the driver gets
-    top = counts.where("kind = 1").unionByName(counts.where("kind = 0").orderBy(F.desc("n"), "lang", "item").limit(TRIGRAMS))
+    # rare trigrams say little: the commonest of each language are the model
+    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
+    top = counts.withColumn("r", rank).where((F.col("kind") == 1) | (F.col("r") <= TRIGRAMS)).drop("r")
     return LanguageModel([tuple(r) for r in top.collect()])
 
 
