@@ -190,6 +190,27 @@ def test_embedding_links_equal_brute_force(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in range(n, n + 6))
 
 
+@pytest.mark.parametrize("kind", ["spread", "one half", "clustered"])
+def test_embedding_recall_of_the_registered_setting(spark, kind):
+    """Partners just above the threshold, where the traversal may miss some, against brute force."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 64))
+    if kind == "clustered":
+        x = rng.normal(size=(12, 64))[rng.integers(0, 12, 1500)] + 0.5 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = rng.normal(size=x.shape)
+    if kind == "one half":
+        u[:, 32:] = 0
+    u -= (u * x).sum(1)[:, None] * x
+    y = 0.952 * x + (1 - 0.952**2) ** 0.5 * u / np.linalg.norm(u, axis=1)[:, None]
+    z = np.vstack((x, y)).astype(np.float32)
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(z)], "vec_id long, embedding array<float>")
+    found = sum(r.n_links for r in embedding_dedup.near_duplicates(rows, fit_rows=1024).collect())
+    w = z.astype(float) / np.linalg.norm(z.astype(float), axis=1)[:, None]
+    all_links = int((w @ w.T >= 0.95).sum()) - len(w)
+    assert all_links >= 3000 and embedding_dedup.RECALL * all_links <= found <= all_links
+
+
 def test_pages_and_wrappers(spark):
     def page(k, body, extra=""):
         return f"""<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><ul><li><a href=x>m{k}</a></li><li>z</li></ul></nav>{extra}
@@ -213,45 +234,87 @@ def test_article_text_that_some_pages_lack_stays(spark):
     pages = [(k, "https://h.example/", page(k)) for k in range(40)]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
     for k in range(40):
-        want = [f"Head {k}", f"body {k}"] + [f"quote {k}"] * bool(k % 3) + [f"Section {k}", "Now and then" if k % 2 else f"Other {k}"]
+        want = [f"Head {k}", f"body {k}"] + [f"quote {k}"] * bool(k % 3) + [f"Section {k}", "Same line", "Now and then" if k % 2 else f"Other {k}"]
         assert got[k] == "\n".join(want)
     w = html_extract.infer([page(0), page(1), page(2)])
     assert w["wrapper"].count("blockquote") == 2 and "(<blockquote>#</blockquote>)?" in w["wrapper"]
 
 
-def test_surrogates_keep_format_and_stay_distinct(spark, monkeypatch):
+KEY = b"a key of the tests"
+
+
+def test_wrappers_without_article_tags(spark):
+    """Flat markup: constants around the slots are template, constants among them are the article's."""
+
+    def page(k):
+        more = "".join(f"<p>more {k} {i}</p>" for i in range(k % 3))
+        quote = f"<blockquote>quote {k}</blockquote>" if k % 2 else ""
+        return f"<body><p>Home</p><p>About us</p><h1>Head {k}</h1>{quote}<p>body {k}</p>{more}<h2>Summary</h2><div class='related work'><p>see {k}</p></div><div class='related-links'><p>x {k}</p></div><p>All rights reserved</p></body>"
+
+    pages = [(k, "https://flat.example/", page(k)) for k in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    w = html_extract.infer([p[2] for p in pages])
+    assert "(<p>#</p>)+" in w["wrapper"] and "(<blockquote>#</blockquote>)?" in w["wrapper"] and w["wrapper"].startswith("<body><p>=</p><p>=</p>")
+    one = html_extract.Wrapper(w)
+    for k in range(20):  # by hand: the page without its first two and its last paragraph, and without the links
+        want = [f"Head {k}"] + [f"quote {k}"] * (k % 2) + [f"body {k}"] + [f"more {k} {i}" for i in range(k % 3)] + ["Summary", f"see {k}"]
+        assert got[k] == "\n".join(want)
+        assert one.matched(html_extract.blocks(page(k))) is not None
+    # a page that the wrapper doesn't match as a whole
+    assert one.text(page(3).replace("<h2>", "<table><tr><td>cell</td></tr></table><h2>")) == "\n".join(["Head 3", "quote 3", "body 3", "cell", "Summary", "see 3"])
+
+
+def test_surrogates_keep_format_and_stay_distinct(spark):
     text = 'Mail ann.b@mail6.example.com, ANN.B@MAIL6.EXAMPLE.COM or +1 (947) 555-7668, card 4532-0151-1283-0366, ip 55.63.178.142, token = "9f1d09af2da8b", Mr. John Smith said. Smith left.'
-    new, kinds = pii.replaced(text, {})
-    assert kinds == ["email", "email", "phone", "card", "ip", "secret", "name", "name"]
+    new, kinds = pii.replaced(text, KEY, {})
+    assert kinds == ["email", "email", "phone", "card", "ip", "secret", "given", "surname", "surname"]
     for old in ("ann.b", "555-7668", "4532-0151", "55.63.178.142", "9f1d09", "John", "Smith"):
         assert old not in new
     assert pii._luhn(re.sub("-", "", re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", new)[0])) == 0
     emails = re.findall(r"\S+@[\w.]+", new)
     assert emails[0].upper() == emails[1] and re.search(r"Mr\. \w+ (\w+) said\. \1 left", new)
-    plain = "No entity in 2024, version 1.2.3 or 3 of 4."
-    assert pii.replaced(plain, {}) == (plain, []) and pii.replaced(None, {}) == (None, []) and pii.replaced("", {}) == ("", [])
+    assert pii.replaced(text, b"another key", {})[0] != new
+    plain = "No entity in 2024, version 1.2.3 or 3 of 4, at 12:30:45, in std::vector or a::b."
+    assert pii.replaced(plain, KEY, {}) == (plain, []) and pii.replaced(None, KEY, {}) == (None, []) and pii.replaced("", KEY, {}) == ("", [])
     texts = [text, None, "", plain] + [f"call me: 10.0.{k}.{k}" for k in range(40)]
     docs = documents(spark, texts)
-    drawn = pii.draws(docs).collect()
+    drawn = pii.draws(docs, KEY).collect()
     assert len({(r.kind, r.surrogate) for r in drawn}) == len(drawn) and not {(r.kind, r.surrogate) for r in drawn} & {(r.kind, r.value) for r in drawn}
-    out = {r.doc_id: r.text for r in pii.pseudonymised(docs).collect()}
+    out = {r.doc_id: r.text for r in pii.pseudonymised(docs, KEY).collect()}
     assert out[0] == new and out[1] is None and out[2] == "" and out[3] == plain
-    assert {r.doc_id: r.text for r in pii.pseudonymised(docs, most=-1).collect()} == out
+    clash = docs.withColumnsRenamed({"lang": "row", "source": "_row"})
+    assert {r.doc_id: (r.text, r.row, r._row) for r in pii.pseudonymised(clash, KEY, most=-1).collect()} == {k: (t, "en", "s") for k, t in out.items()}
+
+
+def test_persons_stay_one_over_titles_and_texts(spark):
+    texts = ["Mr. John Smith said. Mr. Smith left.", "Dr. John Smith came; SMITH met John.", "Mrs. Anna Smith wrote.", "Prof Kim Lee and Lee.", "John without a title stays."]
+    out = {r.doc_id: r.text for r in pii.pseudonymised(documents(spark, texts), KEY).collect()}
+    given, last = re.match(r"Mr\. (\w+) (\w+) said", out[0]).groups()
+    assert out[0] == f"Mr. {given} {last} said. Mr. {last} left." and out[1] == f"Dr. {given} {last} came; {last.upper()} met {given}."
+    anna = re.match(rf"Mrs\. (\w+) {last} wrote", out[2])[1]
+    assert given[-1] in "nrsl" and anna[-1] == "a" and re.fullmatch(r"Prof \w+ (\w+) and \1\.", out[3]) and out[4] == texts[4]
+    assert {r.doc_id: r.text for r in pii.pseudonymised(documents(spark, texts), KEY, most=0).collect()} == out
+
+
+def test_addresses_become_reserved_ones():
+    new = pii.replaced("a@b.com c@d.e.org 8.8.8.8 fe80::1 2001:0db8:0:0:0:0:0:1 00:1A:2B:3C:4D:5E 00-1a-2b-3c-4d-5e", KEY, {})[0].split()
+    assert new[0].endswith(".example") and new[1].endswith(".example.org") and 240 <= int(new[2].split(".")[0]) <= 254
+    assert all(x.startswith("2001:db8:") for x in new[3:5]) and new[5].startswith("02:") and new[6] == new[5].lower().replace(":", "-")
 
 
 def test_secrets_without_digits_and_surnames_over_genders(spark):
-    for key in ("password", "PWD", "api-key", "apikey", "Secret", "token"):
-        assert "correcthorsebattery" not in pii.replaced(f"the {key}: correcthorsebattery", {})[0]
-    plain, digit = (pii.replaced(f"password: correcthorsebattery{x}", {})[0] for x in ("", " 7"))
+    for word in ("password", "PWD", "api-key", "apikey", "Secret", "token"):
+        assert "correcthorsebattery" not in pii.replaced(f"the {word}: correcthorsebattery", KEY, {})[0]
+    plain, digit = (pii.replaced(f"password: correcthorsebattery{x}", KEY, {})[0] for x in ("", " 7"))
     assert digit == plain + " 7"
     syllables = pii.SYLLABLES["latin"]
     names = [f"{a}{b}".capitalize() + c for a in syllables for b in syllables[:10] for c in ("nson", "berg")]
-    texts = [f"{('Mr', 'Mrs', 'Dr')[k % 3]} Ann {n} came." for k, n in enumerate(names)] + ["Mr Ann Smith or Mrs Ann Smith"]
-    new = [pii.surrogate("name:m", f"Ann {n}", 0).split()[-1] for n in names[::3]]
-    texts += [f"Mr {new[0]} came."]  # a surname put in that is real
-    drawn = pii.draws(documents(spark, texts)).collect()
-    last = [r.surrogate.split()[-1] for r in drawn]
-    assert len(drawn) == len(names) + 3 and len(set(last)) == len(last) and not set(last) & {r.value.split()[-1] for r in drawn}
+    texts = [f"{('Mr', 'Mrs', 'Dr')[k % 3]} {n} came." for k, n in enumerate(names)] + ["Mr Ann Smith or Mrs Ann Smith"]
+    texts += [f"Mr {pii.surrogate(KEY, 'surname', names[0], 0)} came."]  # a surname put in that is real
+    drawn = pii.draws(documents(spark, texts), KEY).collect()
+    last = [r.surrogate for r in drawn if r.kind == "surname"]
+    assert len(last) == len(names) + 2 and len(set(last)) == len(last) and not set(last) & {r.value for r in drawn}
+    assert len({r.surrogate for r in drawn if r.value == "Ann"}) == 2
 
 
 def test_licenses(spark):
@@ -261,6 +324,12 @@ def test_licenses(spark):
     got = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
     assert [got[k].license for k in range(6)] == [None, None, None, "MIT", "MIT-text", "GPL-3.0"]
     assert got[3].first_word == 90 and 0.9 < got[4].coverage < 1 and got[5].n_notices == 2
+    rng = random.Random(4)
+    for _ in range(200):  # the longest increasing run, by trying all
+        js = rng.sample(range(20), rng.randrange(8))
+        best = max(k for k in range(len(js) + 1) if any(list(c) == sorted(c) for c in itertools.combinations(js, k)))
+        got_run = license_scan._increasing(list(enumerate(js)))
+        assert len(got_run) == best and [j for _, j in got_run] == sorted(j for _, j in got_run)
     a, b = "x a b c d y".split(), "q a b z c d y".split()
     pairs = license_scan.patience(a, b)
     assert [a[i] for i, _ in pairs] == ["a", "b", "c", "d", "y"] and all(a[i] == b[j] for i, j in pairs)
@@ -280,16 +349,24 @@ def test_license_notices_without_their_rarest_word():
     mit = license_scan.TEMPLATES["MIT"]
     assert scan("a b c d e " + f"{mit} " * 4)[3] == 4 and scan(f"{isc} {isc} x {isc.replace('fee', 'charge')}")[3] == 3
     assert scan("Released by some license. The MIT one.")[3] == 0
+    assert scan("Released under the BSD License.")[0] is None and scan("// SPDX-License-Identifier: Foo-2.0")[0] is None
+    for name in ("BSD-3-Clause-text", "BSD-2-Clause-text", "LGPL-2.1-header", "AGPL-3.0-text", "MPL-2.0", "MPL-2.0-spdx", "GPL-2.0-or-later-spdx", "CC-BY-NC-SA-4.0-short", "0BSD", "ISC-text"):
+        assert scan(f"{body} {license_scan.TEMPLATES[name]} {body}")[::3] == (name, 1)
 
 
 def test_viterbi_and_language(spark):
     rng = np.random.default_rng(1)
     for _ in range(20):
-        scores = [rng.normal(size=(int(rng.integers(0, 6)), 3)) * 3 for _ in range(4)]
-        for s, p in zip(scores, language_id.viterbi(scores, 2.0), strict=True):
+        table, at = rng.normal(size=(24, 3)) * 3, [rng.integers(0, 24, size=int(rng.integers(0, 6))) for _ in range(4)]
+        scores = [table[k] for k in at]
+        for s, p in zip(scores, language_id.viterbi(at, table, 2.0), strict=True):
             value = lambda q, s=s: sum(s[i, x] for i, x in enumerate(q)) - 2.0 * sum(x != y for x, y in zip(q, q[1:], strict=False))
             if len(s):
                 assert value(list(p)) == pytest.approx(max(value(q) for q in itertools.product(range(3), repeat=len(s))))
+    # more labels than a byte holds
+    table = np.full((200, 200), -50.0)
+    np.fill_diagonal(table, 0.0)
+    assert language_id.viterbi([np.repeat([150, 7, 199], 4)], table, 2.0)[0].tolist() == [150] * 4 + [7] * 4 + [199] * 4
     r = random.Random(2)
     words = {"aa": "babo kubo tabi".split(), "bb": "strix glorp mlent".split(), "ru": "дом река лес".split()}
     say = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
