@@ -14,7 +14,7 @@ from lorespark.llm.bpe import encode_decode
 from lorespark.llm.common import read_table, vocabulary, written
 from lorespark.llm.decontaminate import clean
 from lorespark.llm.jaccard_join import keep_one
-from lorespark.llm.pii import pseudonymised
+from lorespark.llm.pii import pseudonymised, session_key
 from lorespark.llm.toxicity import without_toxic
 from lorespark.session import ship
 
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities become surrogates; n_chars follows the new text."""
     ship(spark)
-    out = pseudonymised(docs)
+    out = pseudonymised(docs, session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
 
 
