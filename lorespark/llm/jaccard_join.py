@@ -8,14 +8,14 @@ others, counted class by class and not pair by pair, or it can't link and goes.
 only share lines or passages go here, before any text or bitmap moves. Tokens found very
 frequent come last in the order, so that they hardly ever become keys.
 
-The rest are groups of likely copies. Each class is first compared with the few of a group
-that it has most keys in common with (linear, not quadratic, in a group's size), which
-collapses groups into components. Every key that
-still joins different components is searched with signature trees: binary
-trees over the members, by size and component, whose nodes hold OR-ed token bitmaps, size
+The rest are groups of likely copies, searched with signature trees: binary
+trees over a key's members, by size and component, whose nodes hold OR-ed token bitmaps, size
 ranges and components; a dual traversal drops node pairs whose greatest
-possible overlap is too small or that lie in one component. What is left is
-compared exactly.
+possible overlap is too small or that lie in one component. All pairs of a group would be
+quadratic in its size, so it collapses into components first: each class is compared with the
+few first ones of its keys, then for ``ROUNDS`` rounds with the partner that the trees of a few
+of its keys bound highest. The trees of all keys that still join different components give the
+pairs that are left; all are compared exactly.
 
 Bounds. The frequent-token set holds at most ``2/share`` tokens (16 MB), whatever
 the input (each has half that share of all tokens); the only other broadcasts are
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.common import components, partitions_for, written
 from lorespark.llm.shingles import bitmap, overlap, set_id, shingle_hashes, width_for
-from lorespark.llm.sigtree import build, dual_traversal
+from lorespark.llm.sigtree import best_partners, build, dual_traversal
 
 FILTER_WORDS = 1 << 20  # of 64 bits: the 8 MB filter
 CHUNK = 1 << 22  # tokens counted at once for the frequent ones
@@ -46,6 +46,7 @@ REMEMBERED = 1_000_000  # classes a task keeps in mind to send each once
 SENT_IDS = 500_000  # class ids broadcast at most (8 bytes each)
 WAVES = (6, 0)  # pairs of two components compared at a time; 0: all that are left
 HUBS = 2  # what they leave unlinked is found by the trees
+ROUNDS, TREES = 2, 3  # rounds of one partner a class, from trees of so many of its keys
 PEEL = 4  # keys beyond the least prefix, as a part of it
 _INT = pa.int64()
 
@@ -250,7 +251,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return x.select("a", "b", "ta", "tb").mapInArrow(_verify(num, den), "a long, b long")
 
 
-def _search(num: int, den: int):
+def _search(num: int, den: int, traversal):
     """Candidate pairs, their components and bounds, of rows sorted by (key, i, j): signature trees over each run."""
 
     def pairs(rows):
@@ -266,7 +267,7 @@ def _search(num: int, den: int):
         if y is None:
             y, ys = x, xs
         if x is not None:
-            for i, j, most in dual_traversal(x, y, num, den):
+            for i, j, most in traversal(x, y, num, den):
                 a, b = xs[i], ys[j]
                 yield (a[2], b[2], a[3], b[3], most) if a[2] < b[2] else (b[2], a[2], b[3], a[3], most)
 
@@ -333,8 +334,30 @@ def _unlike(rows: DataFrame, block: int) -> DataFrame:
     return rows.join(keys.hint("shuffle_merge"), "key")
 
 
+def _left(rows: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``rows(key, cls, n, ...)``, with components, of keys that still join different ones and classes with enough of them."""
+    x = rows.select("key", "cls", "n").join(comps.select(F.col("node").alias("cls"), "root").hint("shuffle_merge"), "cls", "left")
+    x = written(x.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp")), "keys-by-component")
+    return _peeled(_open(x), num, den, "keys-to-search")
+
+
+def _candidates(rows: DataFrame, sets: DataFrame, parts: int, block: int, search) -> DataFrame:
+    """(a, b, ca, cb, most) that the signature trees of ``rows(key, cls, n, comp)`` find."""
+    rows = _unlike(rows, block).join(sets.select("cls", "bits").hint("shuffle_merge"), "cls")
+    # block pairs (i, j), i <= j: each member goes to those of its own block
+    mine = F.expr("cast(pmod(cls, blocks) as int)")
+    rows = rows.withColumn("own", mine).select(
+        "key", "lead", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j, if(x < own, 1, 0) as side))")).alias("p"), "n", "cls", "comp", "bits"
+    )
+    # keys with the same first member mostly have the same ones: a task that gets several of them names a pair once
+    rows = rows.select("key", "p.i", "p.j", "p.side", "n", "cls", "comp", "bits", "lead", F.expr("pmod(key, 32)").alias("salt"))
+    rows = rows.repartition(parts, "lead", "salt", "i", "j").sortWithinPartitions("key", "i", "j").drop("lead", "salt")
+    pairs = rows.mapInArrow(search, "a long, b long, ca long, cb long, most long").groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("ca", "cb", "most")])
+    return written(pairs, "tree-pairs")
+
+
 def jaccard_components(
-    docs: DataFrame, threshold: tuple[int, int] = (80, 100), share: float = 2.0**-20, block: int = 2048, per: int = 4
+    docs: DataFrame, threshold: tuple[int, int] = (80, 100), share: float = 2.0**-20, block: int = 1024, per: int = 8
 ) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id) of every document of ``docs(doc_id, text)``.
 
@@ -367,21 +390,17 @@ def jaccard_components(
     stars = written(_compared(hubs, sets, num, den), "star-links")
     comps = written(components(stars), "star-components")
 
-    # keys that still join different components, of classes with enough of them: one of those with the same members
-    x = shared.select("key", "cls", "n").join(comps.select(F.col("node").alias("cls"), "root").hint("shuffle_merge"), "cls", "left")
-    rows = written(x.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp")), "keys-by-component")
-    rows = _unlike(_peeled(_open(rows), num, den, "keys-to-search"), block)
-    rows = rows.join(sets.select("cls", "bits").hint("shuffle_merge"), "cls")
-    # block pairs (i, j), i <= j: each member goes to those of its own block
-    mine = F.expr("cast(pmod(cls, blocks) as int)")
-    rows = rows.withColumn("own", mine).select(
-        "key", "lead", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) as i, greatest(x, own) as j, if(x < own, 1, 0) as side))")).alias("p"), "n", "cls", "comp", "bits"
-    )
-    # keys with the same first member mostly have the same ones: a task that gets several of them names a pair once
-    rows = rows.select("key", "p.i", "p.j", "p.side", "n", "cls", "comp", "bits", "lead", F.expr("pmod(key, 32)").alias("salt"))
-    rows = rows.repartition(parts, "lead", "salt", "i", "j").sortWithinPartitions("key", "i", "j").drop("lead", "salt")
-    pairs = rows.mapInArrow(_search(num, den), "a long, b long, ca long, cb long, most long").groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("ca", "cb", "most")])
-    pairs = written(pairs, "tree-pairs")
+    # one partner a class and round: keys and classes that are done don't come again
+    rows = shared.select("key", "cls", "n")
+    for k in range(ROUNDS):
+        rows = _left(rows, comps, num, den)
+        turn = Window.partitionBy("cls").orderBy(F.xxhash64("key", F.lit(k)), "key")
+        some = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= TREES).drop("turn")
+        pairs = _candidates(some, sets, parts, block, _search(num, den, best_partners))
+        stars = stars.unionByName(written(_compared(pairs.select("a", "b"), sets, num, den), "partner-links"))
+        comps = written(components(stars), "star-components")
+
+    pairs = _candidates(_left(rows, comps, num, den), sets, parts, block, _search(num, den, dual_traversal))
 
     # the likeliest pairs of two components first; what they join needs no more comparing
     for take in WAVES:

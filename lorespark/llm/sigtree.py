@@ -68,7 +68,8 @@ def may_link(x: Node, y: Node, num: int, den: int) -> bool:
     return (den + num) * most >= num * (x.small + y.small)
 
 
-def _leaf_pairs(x: Node, y: Node, num: int, den: int):
+def _leaf_bounds(x: Node, y: Node, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest overlap of each two members, and whether they may link."""
     (a, n, ea, ga), (b, m, eb, gb) = x.leaf, y.leaf
     words = min(a.shape[1], b.shape[1])
     fa, fb = (np.stack([fold(r, words) for r in s]) if s.shape[1] > words else s for s in (a, b))
@@ -77,14 +78,17 @@ def _leaf_pairs(x: Node, y: Node, num: int, den: int):
     most = np.bitwise_count(fa[:, None, :] & fb[None, :, :]).sum(2).astype(np.int64) + np.minimum(ea[:, None], eb[None, :])
     most = np.minimum(most, np.minimum(n[:, None], m[None, :]))
     ok = ((den + num) * most >= num * (n[:, None] + m[None, :])) & (ga[:, None] != gb[None, :])
-    if x is y:
-        ok = np.triu(ok, 1)
+    return most, np.triu(ok, 1) if x is y else ok
+
+
+def _leaf_pairs(x: Node, y: Node, num: int, den: int):
+    most, ok = _leaf_bounds(x, y, num, den)
     for i, j in zip(*np.nonzero(ok), strict=True):
         yield x.lo + int(i), y.lo + int(j), int(most[i, j])
 
 
-def dual_traversal(x: Node, y: Node, num: int, den: int):
-    """(i, j, bound) of members that no bound rules out; a tree against itself gives each pair once."""
+def _leaves(x: Node, y: Node, num: int, den: int):
+    """The pairs of leaves that no bound rules out; of a tree with itself each pair once."""
     stack = [(x, y)]
     while stack:
         a, b = stack.pop()
@@ -92,14 +96,42 @@ def dual_traversal(x: Node, y: Node, num: int, den: int):
             if a.group is not None:
                 continue
             if a.leaf is not None:
-                yield from _leaf_pairs(a, a, num, den)
+                yield a, a
             else:
                 p, q = a.kids
                 stack += [(p, p), (p, q), (q, q)]
         elif may_link(a, b, num, den):
             if a.leaf is not None and b.leaf is not None:
-                yield from _leaf_pairs(a, b, num, den)
+                yield a, b
             elif b.leaf is not None or (a.leaf is None and a.hi - a.lo >= b.hi - b.lo):
                 stack += [(k, b) for k in a.kids]
             else:
                 stack += [(a, k) for k in b.kids]
+
+
+def dual_traversal(x: Node, y: Node, num: int, den: int):
+    """(i, j, bound) of members that no bound rules out; a tree against itself gives each pair once."""
+    for a, b in _leaves(x, y, num, den):
+        yield from _leaf_pairs(a, b, num, den)
+
+
+def best_partners(x: Node, y: Node, num: int, den: int):
+    """(i, j, bound): for each member of either tree the one of the other that it may have most in common with, if any."""
+    best = [np.full(t.hi, -1, np.int64) for t in (x, y)]
+    who = [np.zeros(t.hi, np.int64) for t in (x, y)]
+    if x is y:
+        best[1], who[1] = best[0], who[0]
+    for a, b in _leaves(x, y, num, den):
+        most, ok = _leaf_bounds(a, b, num, den)
+        most = np.where(ok, most, -1)
+        for side, node, other, m in ((0, a, b, most), (1, b, a, most.T)):
+            top = m.max(1)
+            own = slice(node.lo, node.lo + len(top))
+            new = top > best[side][own]
+            best[side][own] = np.where(new, top, best[side][own])
+            who[side][own] = np.where(new, other.lo + m.argmax(1), who[side][own])
+    for i in np.flatnonzero(best[0] >= 0).tolist():
+        yield i, int(who[0][i]), int(best[0][i])
+    if x is not y:
+        for j in np.flatnonzero(best[1] >= 0).tolist():
+            yield int(who[1][j]), j, int(best[1][j])
