@@ -6,10 +6,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lorespark.functions.scalars import slugify, strip
+
 _OPTIONS = {"allowSingleQuotes": "false"}
 ITEM = "struct<chunk_id:string,topic:string,summary:string,triggers:array<string>,has_conditions:boolean,status:string,context:string,conditions:string,constraints:string,response:string>"
 _CLOSE = {"[": "]", "{": "}"}
@@ -37,14 +40,15 @@ def clean_output(raw: str | None) -> str | None:
     return re.sub(r",\s*\]", "]", re.sub(r",\s*}", "}", text))
 
 
-def clean_outputs(raw: DataFrame) -> DataFrame:
-    """``raw`` with ``cleaned``: the bracket scan runs over Arrow batches."""
+def _cleaned() -> Callable:
+    """A column function over Arrow arrays: only the raw texts go to the Python worker."""
+    return F.arrow_udf(lambda raw: pa.array([clean_output(x.as_py()) for x in raw], pa.string()), "string").asNondeterministic()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(cleaned=b["raw"].map(clean_output))
 
-    return raw.mapInPandas(run, StructType([*raw.schema.fields, StructField("cleaned", StringType())]))
+def clean_outputs(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``cleaned`` and ``ok``: whether that is JSON."""
+    x = raw.withColumn("cleaned", _cleaned()(F.col("raw")))
+    return x.withColumn("ok", F.try_parse_json("cleaned").isNotNull())
 
 
 def parse_model_output(raw: DataFrame) -> DataFrame:
@@ -52,13 +56,13 @@ def parse_model_output(raw: DataFrame) -> DataFrame:
     many = F.from_json("cleaned", f"array<{ITEM}>", _OPTIONS)
     one = F.when(F.col("cleaned").startswith("{"), F.array(F.from_json("cleaned", ITEM, _OPTIONS)))
     items = F.when(F.col("cleaned").startswith("["), many).otherwise(one)
-    x = clean_outputs(raw)
+    x = clean_outputs(raw).drop("ok")
     return x.select(*raw.columns, F.posexplode(items).alias("position", "item")).where("item is not null and item.chunk_id is not null")
 
 
 def quarantine_outputs(raw: DataFrame, n: int = 500) -> DataFrame:
     """Texts that give no item, with their first characters."""
-    x = clean_outputs(raw)
+    x = clean_outputs(raw).drop("ok")
     kind = F.when(F.col("cleaned").startswith("["), F.from_json("cleaned", f"array<{ITEM}>", _OPTIONS)).when(F.col("cleaned").startswith("{"), F.array(F.from_json("cleaned", ITEM, _OPTIONS)))
     bad = kind.isNull() | F.exists(kind, lambda i: i.isNull() | i["chunk_id"].isNull())
     return x.where(bad).select(*raw.columns, F.left("cleaned", F.lit(n)).alias("preview"))
@@ -88,21 +92,144 @@ def flag_missing_conditions(items: DataFrame) -> DataFrame:
     return items.withColumn("status", F.when(missing, "review").otherwise(F.coalesce("item.status", F.lit("active"))))
 
 
-def extract_chunks(segs: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 64) -> DataFrame:
-    """Apply a model function to ``prompt`` in batches: the segments' columns and ``raw``; a failing batch gives null."""
+def render(template: str, values: dict[str, Column]) -> Column:
+    """Literals and columns of a template cut at ``{{KEY}}``, in one pass; an unknown key is empty."""
+    parts = re.split(r"\{\{(\w+)\}\}", template)
+    return F.concat(*[F.lit(p) if k % 2 == 0 else F.coalesce(values.get(p, F.lit("")), F.lit("")) for k, p in enumerate(parts)])
+
+
+def segment_prompts(segs: DataFrame, template: str) -> DataFrame:
+    """``segs(heading_path, page_start, page_end, content, ...)`` with ``prompt``: HEADING, PAGES and CONTENT put in."""
+    pages = F.concat(F.col("page_start").cast("string"), F.lit("–"), F.col("page_end").cast("string"))
+    return segs.withColumn("prompt", render(template, {"HEADING": F.array_join("heading_path", " › "), "PAGES": pages, "CONTENT": F.col("content")}))
+
+
+def extract_chunks(segs: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 64, document: str | None = None) -> DataFrame:
+    """Apply a model function to ``prompt`` in batches: the segments' other columns, ``raw`` and ``failure``.
+
+    In a batch that fails, each prompt is tried by itself; what then fails has no ``raw``, and
+    in ``failure`` why. ``document``: a column whose text each call carries before the prompt
+    (procedures; questions and answers are read from the segment alone).
+    """
+    prompt = F.col("prompt") if document is None else F.concat(F.coalesce(F.col(document), F.lit("")), F.lit("\n\n"), F.col("prompt"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frames:
-            out: list[str | None] = []
+            raw: list[str | None] = []
+            why: list[str | None] = []
             for k in range(0, len(b), batch):
                 part = b["prompt"].iloc[k : k + batch].tolist()
                 try:
-                    out += model(part)
-                except Exception:  # noqa: BLE001  the caller's function; the rest goes on
-                    out += [None] * len(part)
-            yield b.drop(columns="prompt").assign(raw=out)
+                    got = list(model(part))
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} outputs for {len(part)} prompts")
+                    raw, why = raw + got, why + [None] * len(part)
+                except Exception:  # noqa: BLE001  the caller's function: one bad prompt doesn't cost the others
+                    for one in part:
+                        try:
+                            raw.append(model([one])[0])
+                            why.append(None)
+                        except Exception as e:  # noqa: BLE001
+                            raw.append(None)
+                            why.append(f"{type(e).__name__}: {e}")
+            yield b.drop(columns="prompt").assign(raw=raw, failure=why)
+
+    x = segs.withColumn("prompt", prompt)
+    return x.mapInPandas(run, StructType([*segs.drop("prompt").schema.fields, StructField("raw", StringType()), StructField("failure", StringType())]))
+
+
+def extraction_failures(extracted: DataFrame) -> DataFrame:
+    """The segments whose call failed, with why."""
+    return extracted.where("failure is not null").drop("raw")
+
+
+def extract_qna(segs: DataFrame, per: str = "section") -> DataFrame:
+    """Chunks of ``segs(source, heading, content)`` that hold questions: lines that end in a question mark.
+
+    One for each section, ``{topic-slug}-overview``, with every question as a trigger and the
+    answers in order under ``### question``; or (``per="question"``) one for each question.
+    What stands before the first question is the chunk's context.
+    """
+    x = segs.withColumn("lines", F.filter(F.transform(F.split("content", "\n"), strip), lambda s: s != ""))
+    x = x.withColumn("asks", F.array_compact(F.transform("lines", lambda s, i: F.when(s.rlike(r"\?$"), i + 1)))).where(F.size("asks") > 0)
+    until = lambda k: F.coalesce(F.get("asks", k + 1), F.size("lines") + 1)
+    told = F.transform("asks", lambda s, k: F.struct(F.get("lines", s - 1).alias("question"), F.array_join(F.slice("lines", s + 1, until(k) - s - 1), "\n").alias("answer")))
+    first = F.array_join(F.filter(F.slice("lines", F.lit(1), F.get("asks", F.lit(0)) - 1), lambda s: s != F.col("heading")), "\n")
+    x = x.withColumn("qna", told).withColumn("context", first).drop("lines", "asks")
+    block = lambda q: F.concat(F.lit("### "), q["question"], F.lit("\n"), q["answer"])
+    if per == "question":
+        x = x.select("source", "heading", "context", F.posexplode_outer("qna").alias("position", "q"))
+        return x.select("source", slugify(F.col("q.question")).alias("chunk_id"), F.col("heading").alias("topic"), "position", F.array("q.question").alias("triggers"), "context", block(F.col("q")).alias("response"))
+    triggers, response = F.transform("qna", lambda q: q["question"]), F.array_join(F.transform("qna", block), "\n\n")
+    return x.select("source", F.concat(slugify(F.col("heading")), F.lit("-overview")).alias("chunk_id"), F.col("heading").alias("topic"), F.lit(0).alias("position"), triggers.alias("triggers"), "context", response.alias("response"))
+
+
+#: What a chat says without saying anything, sentence by sentence, and what names a person or an account.
+PLEASANTRY = r"(?i)^\W*(hi|hello|hey|thanks|thank you|many thanks|you're welcome|you are welcome|happy to help|glad to help|my pleasure|good (morning|afternoon|evening)|(kind|best) regards|have a (nice|great|good) day)\b.*$"
+PERSONAL = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]"),
+    (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "[address]"),
+    (r"\+?[0-9(][0-9() -]{6,}[0-9]", "[number]"),
+    (r"(?i)(#|\b(ticket|case|order|account)\s+(no\.?\s*)?)[0-9]{3,}", "[reference]"),
+    (r"\b(Mr|Mrs|Ms|Dr|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [A-Z][a-z]+( [A-Z][a-z]+)?", "[name]"),
+]
+
+
+def without_personal(c: Column) -> Column:
+    for pattern, name in PERSONAL:
+        c = F.regexp_replace(c, pattern, F.lit(name))
+    return c
+
+
+def without_pleasantries(c: Column) -> Column:
+    """Sentences that say nothing are left out."""
+    return F.array_join(F.filter(F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\n"), "\n"), lambda s: ~s.rlike(PLEASANTRY) & (strip(s) != "")), " ")
+
+
+def extract_chat_patterns(turns: DataFrame) -> DataFrame:
+    """(symptom, fix, n): resolved support patterns of ``turns(conv_id, turn, role, text)`` and how many conversations have each.
+
+    A conversation is resolved if the assistant has the last word after the user's first, and
+    doesn't ask in it. The symptom is what the user said first, the fix what the assistant said
+    last; personal data and pleasantries go, case and signs of the symptom don't count.
+    """
+    said = lambda role: F.when(F.col("role") == role, F.col("turn"))
+    x = turns.where("role in ('user', 'assistant') and text is not null").groupBy("conv_id").agg(
+        F.min_by("text", said("user")).alias("symptom"), F.min(said("user")).alias("asked"), F.max_by("text", said("assistant")).alias("fix"), F.max(said("assistant")).alias("answered"), F.max("turn").alias("last")
+    )
+    x = x.where("asked < answered and answered = last and not rtrim(fix) like '%?'")
+    symptom = F.trim(F.regexp_replace(F.lower(without_pleasantries(without_personal(F.col("symptom")))), r"[^\p{L}\p{N}]+", " "))
+    x = x.select(symptom.alias("symptom"), without_pleasantries(without_personal(F.col("fix"))).alias("fix")).where("symptom <> '' and fix <> ''")
+    return x.groupBy("symptom", "fix").agg(F.count("*").alias("n"))
+
+
+def conversation_transcripts(turns: DataFrame) -> DataFrame:
+    """(conv_id, transcript): a conversation's turns in order, a line each."""
+    said = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said"))))
+    return turns.groupBy("conv_id").agg(said.alias("t")).select("conv_id", F.array_join(F.transform("t", lambda t: t["said"]), "\n").alias("transcript"))
+
+
+#: What a user is shown when the model call fails, by class of error; the last for all others.
+ALERT_TITLE = "Assistant unavailable"
+ALERTS = {
+    "auth": "API key error — please check your configuration.",
+    "rate_limit": "The AI provider is rate-limiting requests. Please try again in a moment.",
+    "": "The AI service is temporarily unavailable. Please try again.",
+}
+
+
+def error_to_alert(kind: Column) -> Column:
+    """A chat response (JSON) for a class of error."""
+    body = F.when(kind == "auth", ALERTS["auth"]).when(kind == "rate_limit", ALERTS["rate_limit"]).otherwise(ALERTS[""])
+    data = F.struct(F.lit("danger").alias("severity"), F.lit(ALERT_TITLE).alias("title"), body.alias("body"))
+    return F.to_json(F.struct(F.lit("alert").alias("type"), data.alias("data")))
+
 
-    return segs.mapInPandas(run, StructType([*segs.drop("prompt").schema.fields, StructField("raw", StringType())]))
+def parse_retrieval(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``ids``: those of the array in a model's answer, none if it holds no array."""
+    x = raw.withColumn("cleaned", _cleaned()(F.col("raw")))
+    ids = F.when(F.col("cleaned").startswith("["), F.from_json("cleaned", "array<string>", _OPTIONS))
+    return x.withColumn("ids", F.coalesce(ids, F.array().cast("array<string>"))).drop("cleaned")
 
 
 RESPONSE = (
@@ -130,7 +257,7 @@ def _valid(r: Column) -> Column:
 
 def parse_chat_response(raw: DataFrame) -> DataFrame:
     """One row per response: position, type and the parsed struct; what isn't valid becomes text."""
-    x = clean_outputs(raw)
+    x = clean_outputs(raw).drop("ok")
     texts = F.when(F.col("cleaned").startswith("["), F.from_json("cleaned", "array<string>", _OPTIONS)).otherwise(F.array("cleaned"))
     x = x.withColumn("many", F.col("cleaned").startswith("[")).select(*raw.columns, "many", F.posexplode(F.coalesce(texts, F.array(F.lit(None).cast("string")))).alias("position", "one"))
     x = x.withColumn("parsed", F.from_json("one", RESPONSE, _OPTIONS)).withColumn("ok", _valid(F.col("parsed")))
@@ -179,7 +306,8 @@ def forbidden_phrases(responses: DataFrame, phrases: list[str] = FORBIDDEN) -> D
 
 def answer(contexts: DataFrame) -> DataFrame:
     """Deterministic answers for ``contexts(qid, context, constraints, conditions)``: no context, alert, choices, or steps."""
-    steps = F.transform(F.slice(F.split("context", r"\n+"), 1, 5), lambda s: F.struct(F.left(s, F.lit(40)).alias("title"), s.alias("body")))
+    lines = F.filter(F.split("context", r"\n+"), lambda s: s != "")
+    steps = F.transform(lines, lambda s, k: F.struct(F.concat(F.lit("Step "), (k + 1).cast("string")).alias("title"), s.alias("body")))
     kind = (
         F.when(F.coalesce("context", F.lit("")) == "", "text").when(F.coalesce("constraints", F.lit("")) != "", "alert").when(F.coalesce("conditions", F.lit("")) != "", "choices").otherwise("steps")
     )

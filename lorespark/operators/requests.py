@@ -8,16 +8,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+NO_ACCESS = ("invalid", "rate_limited")  # requests that are turned away before they touch a session
+
+
 def _by_session():
     return Window.partitionBy("session_id").orderBy("ts", "req_id")
 
 
 def sessionize(log: DataFrame, idle_s: int = 1800) -> DataFrame:
-    """``log`` with ``session_no``: a new one after more than ``idle_s`` without a request."""
+    """The accesses of ``log`` with ``session_no``: a new one after more than ``idle_s`` without an access.
+
+    Invalid and rate-limited requests are no accesses and have no row; failed ones and timeouts are.
+    """
+    log = log.where(~F.col("outcome").isin(*NO_ACCESS))
     gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(_by_session())
     return log.withColumn("session_no", F.sum(F.when(gap > idle_s * 1_000_000, 1).otherwise(0)).over(_by_session()))
 
 
+def valid_requests(requests: DataFrame, most_bytes: int = 64 * 1024) -> DataFrame:
+    """``requests(message, session_id, mode, body_bytes)`` with ``status`` (413, then 400, else 200) and the mode's default."""
+    missing = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    status = F.when(F.col("body_bytes") > most_bytes, 413).when(missing("message") | missing("session_id"), 400).otherwise(200)
+    return requests.withColumn("status", status).withColumn("mode", F.coalesce(F.nullif("mode", F.lit("")), F.lit("answer")))
+
+
 def session_stats(log: DataFrame, idle_s: int = 1800) -> DataFrame:
     """Per session: first and last request, count and mean duration."""
     x = sessionize(log, idle_s).groupBy("session_id", "session_no")
@@ -81,6 +95,11 @@ def failure_runs(log: DataFrame, threshold: int = 5, by: str = "session_id") ->
     return x.where(F.col("failures") >= threshold).drop("island")
 
 
+def error_breakdown(errors: DataFrame) -> DataFrame:
+    """(hour, class, n): failing calls of ``errors(ts, class)`` by hour."""
+    return errors.groupBy(F.window("ts", "1 hour").alias("w"), "class").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "class", "n")
+
+
 def latency_report(log: DataFrame, limit_ms: int = 120_000) -> DataFrame:
     """Per mode: requests, mean, exact median and 95th percentile, share at or over the limit."""
     return log.groupBy("mode").agg(

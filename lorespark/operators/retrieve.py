@@ -1,65 +1,178 @@
-"""Ranking chunks for tables of questions, and relating chunks, over inverted indexes."""
+"""Ranking chunks for tables of questions, contexts and answers, and relating chunks, over inverted indexes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.scalars import tokens
+from lorespark.functions.scalars import base_name, tokens
+from lorespark.sources.sinks import written
+
+SENT = 200_000  # rows of a counted table that are broadcast; more are shuffled
+
+
+def sent(x: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small, else marked for a shuffled join."""
+    return F.broadcast(x) if x.count() <= SENT else x.hint("shuffle_merge")
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """(token, chunk_id, w): a token's weight in a chunk, topic 3, triggers 2, summary 1."""
-    part = lambda c, w: index.select("chunk_id", F.explode(tokens(c)).alias("token"), F.lit(w).alias("w"))
-    x = part(F.col("topic"), 3).unionByName(part(F.array_join("triggers", " "), 2)).unionByName(part(F.col("summary"), 1))
-    return x.groupBy("token", "chunk_id").agg(F.sum("w").alias("w"))
+    """(token, chunk_id, w): a token's weight in a chunk, topic 3, triggers 2, summary 1. Row by row, without a shuffle."""
+    x = index.select("chunk_id", tokens(F.col("topic")).alias("a"), tokens(F.array_join("triggers", " ")).alias("b"), tokens(F.col("summary")).alias("c"))
+    told = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
+    x = x.select("chunk_id", F.explode_outer(F.concat(told("a", 3), told("b", 2), told("c", 1))).alias("p"))
+    return x.where("p is not null").select("p.token", "chunk_id", "p.w")
 
 
 def retrieve(questions: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
     """(qid, rank, chunk_id, score): up to k active chunks by inverse-frequency-weighted overlap; ties by id.
 
-    Postings meet the questions' tokens in a shuffled join on the token, whose hot
-    tokens a skew join splits; scores are combined before their shuffle. A question
-    without a match has no row.
+    Only postings of asked tokens go on: a counted, small set of them is broadcast, a larger
+    one met in a shuffled join, whose hot tokens a skew join splits. Scores are combined
+    before their shuffle. A question without a match has no row.
     """
     active = index.where("status = 'active'")
-    p = postings(active)
-    n = active.agg(F.count("*").alias("n_chunks"))
-    df = p.groupBy("token").agg(F.count("*").alias("df"))
-    asked = questions.select("qid", F.explode(tokens(F.col("question"))).alias("token"))
-    hits = asked.join(df.hint("shuffle_merge"), "token").join(p.hint("shuffle_merge"), "token").crossJoin(F.broadcast(n))  # n is one row
-    score = F.round(F.sum(F.col("w") * F.log(F.lit(1) + F.col("n_chunks") / F.col("df"))), 6)
-    x = hits.groupBy("qid", "chunk_id").agg(score.alias("score"))
+    asked = written(questions.select("qid", F.explode(tokens(F.col("question"))).alias("token")), "asked-tokens")
+    words = written(asked.select("token").distinct(), "asked-words")
+    p = written(postings(active).join(sent(words), "token", "left_semi"), "postings")
+    n = active.agg(F.count("*").alias("n_chunks"))  # one row
+    df = p.groupBy("token").agg(F.count_distinct("chunk_id").alias("df")).crossJoin(F.broadcast(n))
+    weight = F.log(F.lit(1) + F.col("n_chunks") / F.col("df")).alias("idf")
+    asked = written(asked.join(df.hint("shuffle_merge"), "token").select("qid", "token", weight), "asked-weights")
+    hits = p.join(sent(asked), "token")
+    x = hits.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("idf")), 6).alias("score"))
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")))
     return x.where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
 
 
 def assemble_context(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, context): bodies of retrieved chunks in index order, by file; unknown ids are dropped."""
-    x = retrieved.join(chunks.select("chunk_id", "file", "body"), "chunk_id")
+    few = written(retrieved, "retrieved")
+    x = chunks.select("chunk_id", "file", "body").join(sent(few), "chunk_id")
     block = F.concat(F.lit("=== Chunk: "), F.col("chunk_id"), F.lit(" ===\n"), F.col("body"))
     parts = F.array_sort(F.collect_list(F.struct("file", block.alias("b"))))
     return x.groupBy("qid").agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n").alias("context"))
 
 
-def relate_pairs(index: DataFrame, most_df: int = 50, least: float = 0.1) -> DataFrame:
-    """(a, b, jaccard): active chunks that share topic or trigger words; words of more than ``most_df`` chunks don't pair."""
-    x = index.where("status = 'active'").select("chunk_id", F.explode(tokens(F.concat_ws(" ", F.col("topic"), F.array_join("triggers", " ")))).alias("token"))
-    size = x.groupBy("chunk_id").agg(F.count("*").alias("n"))
-    kept = x.join(x.groupBy("token").agg(F.count("*").alias("df")).where(f"df <= {most_df}").select("token").hint("shuffle_merge"), "token")
-    a, b = kept.select("token", F.col("chunk_id").alias("a")), kept.select("token", F.col("chunk_id").alias("b"))
-    pairs = a.join(b.hint("shuffle_merge"), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    pairs = pairs.join(size.select(F.col("chunk_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("chunk_id").alias("b"), F.col("n").alias("nb")), "b")
-    return pairs.select("a", "b", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6).alias("jaccard")).where(f"jaccard >= {least}")
+#: What stands around the chunks that a model gets.
+CONTEXT_TITLE = "\n\nRELEVANT CHUNK DOCUMENTATION:\n"
+NO_CONTEXT = "No matching chunks found for this query."
+MODES = {"clarify": "The user needs clarification. Prefer choices or alert responses.", "answer": "Answer mode. Go directly to steps if documentation supports it."}
+
+
+def context_block(asked: DataFrame) -> DataFrame:
+    """``asked(qid, context, mode)`` with ``block``: the title, the chunks or that there are none, and the mode with what it means."""
+    mode = F.coalesce("mode", F.lit("answer"))
+    told = F.when(mode == "clarify", MODES["clarify"]).otherwise(MODES["answer"])
+    body = F.coalesce(F.nullif("context", F.lit("")), F.lit(NO_CONTEXT))
+    return asked.withColumn("block", F.concat(F.lit(CONTEXT_TITLE), body, F.lit("\n\nCURRENT MODE: "), F.upper(mode), F.lit("\n"), told))
+
+
+def attach_source(retrieved: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``retrieved`` with ``source``: the file name of ``sources(chunk_id, source)``, else of the chunk's own ``file``."""
+    few = written(retrieved, "retrieved")
+    own = chunks.select("chunk_id", "file").join(sent(few.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    x = few.join(written(own, "retrieved-files").hint("shuffle_merge"), "chunk_id").join(sources.select("chunk_id", "source").hint("shuffle_merge"), "chunk_id", "left")
+    return x.withColumn("source", F.coalesce("source", base_name(F.col("file")))).drop("file")
+
+
+# Evaluation
+
+
+def expected_chunks(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, chunk_id): the ``chunks(chunk_id, body)`` that hold the whole text of ``items(qid, text)``.
+
+    An item is looked for where its longest inner word occurs: its first and last may go on
+    in the chunk. Items of two words or fewer have no inner word; they are looked for in all.
+    """
+    words = F.split("text", r"\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    x = written(items.select("qid", "text", longest.alias("word")), "items")
+    known = x.where("word <> ''")
+    short = x.where("word is null or word = ''").where("text <> ''")
+    held = chunks.select("chunk_id", "body", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("word"))
+    found = held.join(sent(known), "word").where(F.contains("body", F.col("text"))).select("qid", "chunk_id")
+    if short.isEmpty():
+        return found
+    if short.count() > SENT:
+        raise ValueError("too many items without an inner word to look for each in every chunk")
+    return found.unionByName(chunks.join(F.broadcast(short), F.contains("body", F.col("text"))).select("qid", "chunk_id"))
+
+
+def retrieval_hits(gold: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """``gold(qid, expected)`` with ``got`` and ``hit``: whether any expected id was retrieved."""
+    got = retrieved.groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("got"))
+    empty = F.array().cast("array<string>")
+    x = gold.join(got.hint("shuffle_merge"), "qid", "left").withColumn("got", F.coalesce("got", empty)).withColumn("expected", F.coalesce("expected", empty))
+    return x.withColumn("hit", F.arrays_overlap("expected", "got"))
+
+
+def retrieval_score(hits: DataFrame) -> DataFrame:
+    """One row: queries, hits, misses, and the share of hits in per cent, half up; null without queries."""
+    x = hits.agg(F.count("*").alias("queries"), F.count_if("hit").alias("hits"))
+    score = F.floor(F.try_divide(F.col("hits") * 100.0, F.col("queries")) + 0.5).cast("long")
+    x = x.select("queries", "hits", (F.col("queries") - F.col("hits")).alias("misses"), score.alias("score"))
+    return x.withColumn("band", F.when(F.col("score") == 100, "all").when(F.col("score") >= 80, "most").when(F.col("score").isNotNull(), "low"))
+
+
+def missed_ids(hits: DataFrame) -> DataFrame:
+    """(qid, missed): expected ids that weren't retrieved, of misses."""
+    return hits.where("not hit").select("qid", F.array_sort(F.array_except("expected", "got")).alias("missed"))
+
+
+# Relating
+
+
+def _set_name(c: Column) -> list[Column]:
+    return [F.xxhash64(c).alias("s1"), F.xxhash64(c, F.lit(1)).alias("s2")]
+
+
+def relate_pairs(index: DataFrame, least: float = 0.3, stop: float = 0.2, few: int = 100) -> DataFrame:
+    """(a, b, jaccard): for active chunks, candidates for the most related ones by topic and trigger words.
+
+    Words of more than the share ``stop`` of all chunks (and more than ``few``) aren't words of any set. Chunks
+    of equal sets are one class. Classes that reach ``least`` share one of their rarest words,
+    the first n - ceil(least n) + 1 in order of frequency; those candidates are compared as
+    whole sets. Of a class with several chunks, each is paired with its first other one.
+    """
+    active = index.where("status = 'active'").select("chunk_id", F.array_sort(tokens(F.concat_ws(" ", F.col("topic"), F.array_join("triggers", " ")))).alias("tokens"))
+    x = written(active, "chunk-tokens")
+    n = x.agg(F.count("*").alias("n_chunks"))  # one row
+    df = written(x.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "token-counts")
+    rows = x.select("chunk_id", F.explode("tokens").alias("token")).join(df.hint("shuffle_merge"), "token").crossJoin(F.broadcast(n))
+    rows = rows.where(f"df <= greatest({few}, {stop} * n_chunks)")
+    own = rows.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    own = own.select("chunk_id", F.transform("t", lambda p: p["token"]).alias("tokens"))
+    classes = own.groupBy(*_set_name(F.array_sort("tokens"))).agg(F.min("chunk_id").alias("rep"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    classes = written(classes, "token-classes")
+    same = own.select("chunk_id", *_set_name(F.array_sort("tokens"))).join(classes.where("copies > 1").select("s1", "s2", "rep").hint("shuffle_merge"), ["s1", "s2"])
+    # the first of a class goes with its second, all others with its first
+    second = same.where("chunk_id <> rep").groupBy("rep").agg(F.min("chunk_id").alias("second"))
+    alike = same.where("chunk_id <> rep").select(F.col("chunk_id").alias("a"), F.col("rep").alias("b")).unionByName(second.select(F.col("rep").alias("a"), F.col("second").alias("b")))
+    size = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), (size - F.ceil(size * least) + 1).cast("int"))
+    keys = classes.select("rep", "copies", size.alias("n"), F.explode(prefix).alias("token"))
+    a, b = (keys.select("token", F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("copies").alias("c" + c)) for c in "ab")
+    # a pair of classes that both have copies relates nobody: each has a nearer one
+    near = F.expr(f"a < b and na >= {least} * nb and nb >= {least} * na and (ca = 1 or cb = 1)")
+    pairs = written(a.join(b.hint("shuffle_merge"), "token").where(near).select("a", "b").distinct(), "related-candidates")
+    sets = lambda c: classes.select(F.col("rep").alias(c), F.col("tokens").alias("t" + c), F.col("copies").alias("c" + c)).hint("shuffle_merge")
+    common = F.size(F.array_intersect("ta", "tb"))
+    x = pairs.join(sets("a"), "a").join(sets("b"), "b").withColumn("common", common)
+    x = x.withColumn("jaccard", F.round(F.col("common") / (F.size("ta") + F.size("tb") - F.col("common")), 6)).where(F.col("jaccard") >= least)
+    both = x.where("ca = 1").select("a", "b", "jaccard").unionByName(x.where("cb = 1").select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    return both.unionByName(alike.withColumn("jaccard", F.lit(1.0)))
 
 
-def relate_clusters(index: DataFrame, most_df: int = 50, least: float = 0.1) -> DataFrame:
+def relate_clusters(index: DataFrame, least: float = 0.3, stop: float = 0.2, few: int = 100) -> DataFrame:
     """(cluster, id): disjoint clusters of 2 to 4: mutual best pairs, and up to two that are nearest to a member."""
-    p = relate_pairs(index, most_df, least)
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    best = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("jaccard"), "b"))).where("r = 1").select("a", "b", "jaccard")
-    mutual = best.alias("x").join(best.alias("y"), F.expr("x.a = y.b and x.b = y.a")).where("x.a < x.b").select(F.col("x.a").alias("cluster"), F.col("x.b").alias("mate"))
-    seeds = mutual.select("cluster", F.explode(F.array("cluster", "mate")).alias("id"))
-    near = best.join(seeds.select("cluster", F.col("id").alias("b")), "b").join(seeds.select(F.col("id").alias("a")), "a", "left_anti")
+    order = Window.partitionBy("a").orderBy(F.desc("jaccard"), "b")
+    best = relate_pairs(index, least, stop, few).withColumn("r", F.row_number().over(order)).where("r = 1").select("a", "b", "jaccard")
+    best = written(best, "best-related")
+    back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    mutual = best.join(back.hint("shuffle_merge"), ["a", "b"]).where("a < b").select(F.col("a").alias("cluster"), F.col("b").alias("mate"))
+    seeds = written(mutual.select("cluster", F.explode(F.array("cluster", "mate")).alias("id")), "seeds")
+    near = best.join(seeds.select("cluster", F.col("id").alias("b")).hint("shuffle_merge"), "b").join(seeds.select(F.col("id").alias("a")).hint("shuffle_merge"), "a", "left_anti")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("jaccard"), "a"))).where("r <= 2")
     return seeds.unionByName(near.select("cluster", F.col("a").alias("id")))

@@ -55,7 +55,7 @@ def segs(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, source, seg, heading, content): pages of five lines under their first four words."""
     from lorespark.operators.segment import fixed_pages
 
-    x = fixed_pages(source_docs(spark, d), 5).join(source_docs(spark, d).select("doc_id", F.col("path").alias("source")), "doc_id")
+    x = fixed_pages(source_docs(spark, d), 5, keep=("path",)).withColumnRenamed("path", "source")
     heading = F.array_join(F.slice(F.split("content", r"\s+"), 1, 4), " ")
     return x.where(F.length("content") >= 300).select("doc_id", "source", F.col("page").alias("seg"), heading.alias("heading"), "content")
 
@@ -80,8 +80,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 CHUNKS = SEGS + r""", told as (select *, regexp_split_to_array(content, '[.!?]\s+') as sent, regexp_replace(content, '^\s+|\s+$', '', 'g') as body from segs),
-proc as (select source, heading as topic, regexp_replace(sent[1], '^\s+|\s+$', '', 'g')[1:120] as summary,
-  [heading, regexp_replace(sent[1], '^\s+|\s+$', '', 'g')[1:40], string_split(body, chr(10))[-1][1:40]] as triggers,
+proc as (select source, heading as topic, trim(regexp_replace(sent[1], '\s+', ' ', 'g')) as summary,
+  [heading, trim(regexp_replace(sent[1], '\s+', ' ', 'g')), string_split(body, chr(10))[-1]] as triggers,
   nullif(array_to_string(list_filter(sent, lambda s: regexp_matches(s, '(?i)\b(if|when|wenn|si|quand)\b')), '. '), '') as conditions,
   nullif(array_to_string(list_filter(sent, lambda s: regexp_matches(s, '(?i)\b(cannot|must not|locked)\b')), '. '), '') as constraints,
   content as response, 'From ' || source as context, source || '/' || sha256(content) as position from told),
@@ -135,45 +135,85 @@ issues as (select *, case when not has_fm then ['front matter: missing'] else li
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    """(path, hash, size_bytes, chunk_ids) of an earlier run: documents not divisible by 4; by 5: changed since; by 9: no chunks."""
+    """(path, hash, extracted_at, size_bytes, chunk_ids, position) of an earlier run: documents not divisible by 4; by 5: changed since; by 9: no chunks."""
     x = source_docs(spark, d).where("doc_id % 4 <> 0")
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("v0"))).otherwise(F.col("text"))
     ids = F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<string>")).otherwise(
         F.array(F.concat(F.lit("c"), F.col("doc_id").cast("string")), F.concat(F.lit("shared-"), (F.col("doc_id") % 50).cast("string")))
     )
-    return x.select("path", F.sha2(text, 256).alias("hash"), F.octet_length(text).cast("long").alias("size_bytes"), ids.alias("chunk_ids"))
+    at = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00.000Z"))
+    return x.select("path", F.sha2(text, 256).alias("hash"), at.alias("extracted_at"), F.octet_length(text).cast("long").alias("size_bytes"), ids.alias("chunk_ids"), (-F.col("doc_id")).alias("position"))
 
 
-MANIFEST = SOURCE_DOCS + r""", manifest as (select path, sha256(t) as hash, strlen(t) as size_bytes,
+MANIFEST = SOURCE_DOCS + r""", manifest as (select path, sha256(t) as hash, '2024-01-' || lpad(cast(doc_id % 28 + 1 as varchar), 2, '0') || 'T00:00:00.000Z' as extracted_at, strlen(t) as size_bytes, -doc_id as position,
   case when doc_id % 9 = 0 then cast([] as varchar[]) else ['c' || doc_id, 'shared-' || (doc_id % 50)] end as chunk_ids
   from (select *, case when doc_id % 5 = 0 then text || 'v0' else text end as t from source_docs where doc_id % 4 <> 0))"""
 
 
 def request_log(spark: SparkSession, d: str, dense: bool = False) -> DataFrame:
-    """Requests from ``events``; ``dense``: three sessions, a request each second."""
+    """Requests from ``events``; ``dense``: a request each second, for each 1000 of them three sessions."""
     e = table(spark, d, "events")
     ts, session = F.col("ts").cast("timestamp"), F.col("user_id")
     if dense:
-        ts, session = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("event_id") * 1_000_000), F.col("user_id") % 3
+        ts, session = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("event_id") * 1_000_000), F.floor(F.col("event_id") / 1000) * 3 + F.col("user_id") % 3
     return e.select(
         F.col("event_id").alias("req_id"), ts.alias("ts"), session.alias("session_id"), F.when(F.col("event_type") == "view", "clarify").otherwise("answer").alias("mode"),
-        F.col("event_type").alias("question"), F.floor(F.col("value") * 1000).cast("long").alias("duration_ms"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("outcome"),
+        F.col("event_type").alias("question"), F.floor(F.col("value") * 1000).cast("long").alias("duration_ms"), F.when(F.col("user_id") % 17 == 0, "invalid").when(F.col("event_id") % 23 == 0, "rate_limited").when(F.col("event_type") == "error", "error").otherwise("ok").alias("outcome"),
     )
 
 
 LOG = r"""log as (select event_id as req_id, ts, user_id as session_id, case when event_type = 'view' then 'clarify' else 'answer' end as mode, event_type as question,
-  cast(floor(value * 1000) as bigint) as duration_ms, case when event_type = 'error' then 'error' else 'ok' end as outcome from events)"""
-DENSE = r"""log as (select event_id as req_id, timestamp '2024-01-01' + to_seconds(event_id) as ts, user_id % 3 as session_id from events)"""
+  cast(floor(value * 1000) as bigint) as duration_ms, case when user_id % 17 = 0 then 'invalid' when event_id % 23 = 0 then 'rate_limited' when event_type = 'error' then 'error' else 'ok' end as outcome from events)"""
+DENSE = r"""log as (select event_id as req_id, timestamp '2024-01-01' + to_seconds(event_id) as ts, event_id // 1000 * 3 + user_id % 3 as session_id from events)"""
 
 _MESSAGES = ["Invalid API key", "Quota exceeded", "maximum context length", "Internal server error", "Request timeout", "Content too large", "Something else"]
 _STATUS = [401, 429, 400, 503, 0, 413, 0]
 
 
 def error_log(spark: SparkSession, d: str) -> DataFrame:
-    """(event_id, ts, message, status) of failing calls, by event number."""
-    k = (F.col("event_id") % 7 + 1).cast("int")
-    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), k)
-    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), pick(_MESSAGES).alias("message"), pick(_STATUS).alias("status"))
-
-
-ERRORS = f"""errs as (select event_id, ts, ({_MESSAGES!r})[event_id % 7 + 1] as message, ({_STATUS!r})[event_id % 7 + 1] as status from events)"""
+    """(event_id, ts, message, status) of failing calls: a message that names the event, and a status that doesn't go with it."""
+    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k + 1).cast("int"))
+    message = F.concat(F.col("event_type"), F.lit(" of "), F.col("user_id").cast("string"), F.lit(": "), pick(_MESSAGES, F.col("event_id") % 7), F.lit(" "), F.col("props"))
+    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), message.alias("message"), pick(_STATUS, F.floor(F.col("event_id") / 7) % 7).alias("status"))
+
+
+ERRORS = f"""errs as (select event_id, ts, event_type || ' of ' || user_id || ': ' || ({_MESSAGES!r})[event_id % 7 + 1] || ' ' || props as message, ({_STATUS!r})[event_id // 7 % 7 + 1] as status from events)"""
+
+
+def raw_responses(spark: SparkSession, d: str) -> DataFrame:
+    """(id, k, raw): model responses made of the conversations' texts: seven types, one in an array, an unknown type, and none."""
+    t = table(spark, d, "conversations").where("text is not null")
+    ident, said = F.col("conv_id") * 1000 + F.col("turn"), F.split("text", r"[.!?]\s+")
+    of = lambda kind, **data: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*[c.alias(n) for n, c in data.items()]).alias("data")))
+    raw = [
+        of("steps", title=F.col("role"), steps=F.transform(said, lambda s, i: F.struct(F.concat(F.lit("s"), i.cast("string")).alias("title"), s.alias("body")))),
+        F.concat(F.lit("["), of("choices", question=F.col("text"), options=F.transform(said, lambda s: F.struct(s.alias("label")))), F.lit(',{"type":"nope"}]')),
+        of("alert", severity=F.lit("info"), title=F.col("role"), body=F.col("text")),
+        F.concat(F.lit("```json\n"), of("checklist", title=F.col("role"), items=said), F.lit("\n```")),
+        of("escalation", reason=F.col("role"), summary=F.col("text")),
+        of("summary", title=F.col("role"), body=F.concat(F.lit("As shown: "), F.col("text"))),
+        of("text", body=F.col("text")),
+        F.concat(F.lit('{"type":"image","data":{"n":'), ident.cast("string"), F.lit("}}")),
+        F.concat(F.lit("No JSON: "), F.regexp_replace("text", r"[\[\]{}]", "")),
+    ]
+    k = ident % len(raw)
+    x = F.lit(None).cast("string")
+    for n, r in enumerate(raw):
+        x = F.when(k == n, r).otherwise(x)
+    return t.select(ident.alias("id"), k.alias("k"), x.alias("raw"))
+
+
+RESPONSES = r"""resp as (select conv_id * 1000 + turn as id, (conv_id * 1000 + turn) % 9 as k, role, text, regexp_split_to_array(text, '[.!?]\s+') as said from conversations where text is not null)"""
+
+
+def qna_sections(spark: SparkSession, d: str) -> DataFrame:
+    """(source, heading, content): conversations as sections, a user's line as a question, with the answers below."""
+    t = table(spark, d, "conversations").where("text is not null")
+    line = F.when(F.col("role") == "user", F.concat(F.rtrim(F.regexp_replace("text", r"[?\s]+", " ")), F.lit("?"))).otherwise(F.col("text"))
+    x = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    heading = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))
+    return x.select(F.concat(F.lit("chat-"), F.col("conv_id").cast("string")).alias("source"), heading.alias("heading"), F.array_join(F.concat(F.array(heading), F.transform("l", lambda s: s["line"])), "\n").alias("content"))
+
+
+QNA = r"""sect as (select 'chat-' || conv_id as source, 'Conversation ' || conv_id as heading, 'Conversation ' || conv_id || chr(10) || string_agg(case when role = 'user' then rtrim(regexp_replace(text, '[?\s]+', ' ', 'g')) || '?' else text end, chr(10) order by turn) as content
+  from conversations where text is not null group by conv_id)"""

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import scalars as S
-from lorespark.operators import kb, requests, retrieve, segment
+from lorespark.operators import kb, outputs, reports, requests, retrieve, segment
 from lorespark.plans import derived as D
+from lorespark.sources import files, sinks
+from lorespark.sources.sinks import written
+from lorespark.streaming import log_stream
 
 FLAGSHIP = "retrieve"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,9 +42,9 @@ STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 # Scalars
 
 
-@query("slugify", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text[1:80]), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')[1:50], '^-|-$', '', 'g') as slug from documents""")
+@query("slugify", r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')[1:50], '^-|-$', '', 'g') as slug from documents""")
 def slugify(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", S.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return D.table(spark, d, "documents").select("doc_id", S.slugify(F.col("text")).alias("slug"))
 
 
 @query("derive_chunk_id", "with " + D.CHUNKS.split(", told as")[0] + r""", x as (select source, seg, heading, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(heading), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')[1:50] as s from segs)
@@ -65,27 +68,18 @@ def root_title(spark, d):
 @query("extraction_strategy", "with " + D.SEGS + r""", n as (select doc_id, count(*) as n from segs group by 1) select s.doc_id, case when strlen(text) * 1000 < 2097152 then 'single' when length(text) > 200 and coalesce(n, 0) >= 1 then 'segmented' else 'single' end as strategy
 from source_docs s left join n using (doc_id)""")
 def extraction_strategy(spark, d):
-    n = D.segs(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
-    big = F.octet_length("text").cast("long") * 1000 >= 2 * 1024 * 1024
-    strategy = F.when(big & (F.length("text") > 200) & (F.coalesce("n", F.lit(0)) >= 1), "segmented").otherwise("single")
-    return D.source_docs(spark, d).join(n, "doc_id", "left").select("doc_id", strategy.alias("strategy"))
+    n = written(D.segs(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_segments")), "segment-counts")
+    docs = D.source_docs(spark, d).withColumn("size_bytes", F.octet_length("text").cast("long") * 1000)
+    return segment.extraction_strategy(docs, n).select("doc_id", "strategy")
 
 
-TEMPLATE = "Section {{HEADING}} of {{SOURCE}}:\n{{CONTENT}}\n{{MISSING}}end"
+TEMPLATE = "Section {{HEADING}}, pages {{PAGES}}:\n{{CONTENT}}\n{{MISSING}}end"
 
 
-def render(template: str, values: dict[str, F.Column]):
-    """Literals and columns of a template cut at ``{{KEY}}``; an unknown key is empty."""
-    import re
-
-    parts = re.split(r"\{\{(\w+)\}\}", template)
-    return F.concat(*[F.lit(p) if k % 2 == 0 else values.get(p, F.lit("")) for k, p in enumerate(parts)])
-
-
-@query("render_prompt", "with " + D.SEGS + r""" select source, seg, sha256('Section ' || heading || ' of ' || source || ':' || chr(10) || content || chr(10) || 'end') as prompt_hash from segs""")
+@query("render_prompt", "with " + D.SEGS + r""" select source, seg, sha256('Section ' || source || ' › ' || heading || ', pages ' || (seg + 1) || '–' || (seg + 2) || ':' || chr(10) || content || chr(10) || 'end') as prompt_hash from segs""")
 def render_prompt(spark, d):
-    x = render(TEMPLATE, {"HEADING": F.col("heading"), "SOURCE": F.col("source"), "CONTENT": F.col("content")})
-    return D.segs(spark, d).select("source", F.col("seg").cast("long").alias("seg"), F.sha2(x, 256).alias("prompt_hash"))
+    x = D.segs(spark, d).withColumns({"heading_path": F.array("source", "heading"), "page_start": F.col("seg") + 1, "page_end": F.col("seg") + 2})
+    return outputs.segment_prompts(x, TEMPLATE).select("source", F.col("seg").cast("long").alias("seg"), F.sha2("prompt", 256).alias("prompt_hash"))
 
 
 _CLASS = r"""case when status in (401, 403) or m like '%api key%' or m like '%unauthorized%' or m like '%forbidden%' then 'auth' when status = 429 or m like '%rate limit%' or m like '%too many requests%' or m like '%quota%' then 'rate_limit'
@@ -97,17 +91,12 @@ def classify_errors(spark, d):
     return D.error_log(spark, d).select("event_id", S.error_class(F.col("message"), F.col("status")).alias("class"))
 
 
-#: What a user is told for each class of error.
-ALERTS = {"auth": "The service isn't set up.", "rate_limit": "Too many requests; try again soon.", "token_limit": "The question is too long.", "transient": "The service is down for now.", "unknown": "Something went wrong."}
+_BODIES = " ".join(f"when '{k}' then '{v}'" for k, v in outputs.ALERTS.items() if k) + f" else '{outputs.ALERTS['']}'"
 
 
-@query("error_to_alert", f"with {D.ERRORS}, c as (select event_id, {_CLASS} as class from (select *, lower(message) as m from errs)) select event_id, '{{\"type\":\"alert\",\"severity\":\"' || case class when 'transient' then 'warning' when 'rate_limit' then 'warning' else 'danger' end || '\",\"body\":\"' || case class "
-       + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in ALERTS.items()) + " end || '\"}' as alert from c")
+@query("error_to_alert", f"with {D.ERRORS}, c as (select event_id, {_CLASS} as class from (select *, lower(message) as m from errs)) select event_id, '{{\"type\":\"alert\",\"data\":{{\"severity\":\"danger\",\"title\":\"{outputs.ALERT_TITLE}\",\"body\":\"' || case class {_BODIES} end || '\"}}}}' as alert from c")
 def error_to_alert(spark, d):
-    kind = S.error_class(F.col("message"), F.col("status"))
-    body = F.create_map(*[F.lit(x) for kv in ALERTS.items() for x in kv])[kind]
-    severity = F.when(kind.isin("transient", "rate_limit"), "warning").otherwise("danger")
-    return D.error_log(spark, d).select("event_id", F.to_json(F.struct(F.lit("alert").alias("type"), severity.alias("severity"), body.alias("body"))).alias("alert"))
+    return D.error_log(spark, d).select("event_id", outputs.error_to_alert(S.error_class(F.col("message"), F.col("status"))).alias("alert"))
 
 
 @query("normalize_related", r"""select doc_id, array_to_string(list_transform([' chunk_id:' || source, 'CHUNK_ID:' || lang || ' ', source], lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '(?i)^chunk_id:', '')), '|') as related from documents""")
@@ -127,12 +116,13 @@ def noise_filter(spark, d):
     return segment.lines_of(D.doc_with_toc(spark, d)).where(~S.is_noise(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@query("valid_requests", f"with {D.LOG} select req_id, case when question = 'signup' or session_id % 17 = 0 then 'bad_request' when strlen(question) * 16000 > 65536 then 'too_large' else 'ok' end as label, case when mode = 'clarify' then 'clarify' else 'answer' end as mode from log")
+@query("valid_requests", "select conv_id, turn, case when strlen(text) > 400 then 413 when coalesce(text, '') = '' or role = 'system' or conv_id % 17 = 0 then 400 else 200 end as status, case when turn % 3 = 0 then 'clarify' else 'answer' end as mode from conversations")
 def valid_requests(spark, d):
-    x = D.request_log(spark, d)
-    message, session = F.when(F.col("question") != "signup", F.col("question")), F.when(F.col("session_id") % 17 != 0, F.col("session_id"))
-    label = F.when(message.isNull() | session.isNull(), "bad_request").when(F.octet_length("question") * 16000 > 65536, "too_large").otherwise("ok")
-    return x.select("req_id", label.alias("label"), F.coalesce(F.nullif("mode", F.lit("")), F.lit("answer")).alias("mode"))
+    """The conversations' turns as requests, with a limit of 400 bytes so that all three labels occur."""
+    message, session = F.when(F.col("role") != "system", F.col("text")), F.when(F.col("conv_id") % 17 != 0, F.col("conv_id").cast("string"))
+    mode = F.when(F.col("turn") % 3 == 0, "clarify").when(F.col("turn") % 3 == 1, "")
+    x = D.table(spark, d, "conversations").select("conv_id", "turn", message.alias("message"), session.alias("session_id"), mode.alias("mode"), F.octet_length("text").alias("body_bytes"))
+    return requests.valid_requests(x, 400).select("conv_id", "turn", "status", "mode")
 
 
 # Sources and sinks
@@ -149,9 +139,7 @@ def page_lines(spark, d):
 
 @query("conversation_transcripts", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as transcript from conversations group by 1")
 def conversation_transcripts(spark, d):
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("said"))))
-    x = D.table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    return x.select("conv_id", F.array_join(F.transform("t", lambda t: t["said"]), "\n").alias("transcript"))
+    return outputs.conversation_transcripts(D.table(spark, d, "conversations"))
 
 
 @query("assemble_markdown", "with " + D.MARKDOWN + " select chunk_id, markdown from md")
@@ -167,8 +155,7 @@ def serialize_index(spark, d):
 
 @query("segment_dump", "with " + D.SEGS + r""" select source, seg, 'Heading: ' || heading || chr(10) || 'Source: ' || source || chr(10) || 'Index: ' || seg || chr(10) || 'Chars: ' || length(content) || chr(10) || '---' || chr(10) || content as dump from segs""")
 def segment_dump(spark, d):
-    dump = F.concat_ws("\n", F.concat(F.lit("Heading: "), "heading"), F.concat(F.lit("Source: "), "source"), F.concat(F.lit("Index: "), F.col("seg").cast("string")), F.concat(F.lit("Chars: "), F.length("content").cast("string")), F.lit("---"), "content")
-    return D.segs(spark, d).select("source", F.col("seg").cast("long").alias("seg"), dump.alias("dump"))
+    return segment.segment_dump(D.segs(spark, d)).select("source", F.col("seg").cast("long").alias("seg"), "dump")
 
 
 # Segmentation
@@ -207,7 +194,7 @@ def toc_entries(spark, d):
 
 @query("toc_headings", "with " + _TOC + " select doc_id, heading from hd")
 def toc_headings(spark, d):
-    return segment.toc_headings(segment.toc_entries(D.doc_with_toc(spark, d)))
+    return segment.toc_headings(D.doc_with_toc(spark, d))
 
 
 _BODY = _TOC + ", " + _PAGES.replace("{src}", "doct") + r""", pgs as (select doc_id, p as page, l[p + 1] as content from (select doc_id, l, unnest(range(0, len(l))) as p from pg)),
@@ -218,49 +205,48 @@ body as (select pgs.* from pgs left join ft using (doc_id) where page >= coalesc
 
 @query("skip_preamble", "with " + _BODY + " select doc_id, page, sha256(content) as content_hash from body")
 def skip_preamble(spark, d):
-    docs = D.doc_with_toc(spark, d)
-    x = segment.skip_preamble(segment.split_pages(docs), segment.toc_headings(segment.toc_entries(docs)))
+    x = segment.skip_preamble(D.doc_with_toc(spark, d))
     return x.select("doc_id", F.col("page").cast("long").alias("page"), F.sha2("content", 256).alias("content_hash"))
 
 
-_SEGMENTS = _BODY + r""", wl as (select pl.*, hd.heading as h, sum(case when hd.heading is not null then 1 else 0 end) over (partition by pl.doc_id order by page, line_no rows unbounded preceding) as seg, coalesce(lead(page) over (partition by pl.doc_id order by page, line_no), page) as np
+_SEGMENTS = _BODY + r""", np as (select doc_id, count(*) as n_pages from pgs group by 1), wl as (select pl.*, hd.heading as h, sum(case when hd.heading is not null then 1 else 0 end) over (partition by pl.doc_id order by page, line_no rows unbounded preceding) as seg
  from pl join body using (doc_id, page) left join hd on hd.doc_id = pl.doc_id and hd.heading = pl.t where not regexp_matches(t, '(?i)^(--|--\s*\d+\s*(of|/)\s*\d+\s*--|contents|important links|frequently asked questions|\s*)$')),
-sg as (select doc_id, seg, coalesce(min(h), 'document') as heading, string_agg(line, chr(10) order by page, line_no) as content, min(page) + 1 as page_start, max(np) + 1 as page_end from wl group by 1, 2)"""
+s0 as (select doc_id, seg, coalesce(min(h), 'document') as heading, string_agg(line, chr(10) order by page, line_no) as content, min(page) as p from wl group by 1, 2),
+sg as (select s0.doc_id, seg, heading, content, case when seg = 0 then coalesce(f, 0) else p end + 1 as page_start, coalesce(lead(p) over (partition by s0.doc_id order by seg) + 1, n_pages) as page_end from s0 join np using (doc_id) left join ft on ft.doc_id = s0.doc_id)"""
 
 
-def _segments(spark, d):
-    docs = D.doc_with_toc(spark, d)
-    headings = segment.toc_headings(segment.toc_entries(docs))
-    return segment.heading_segments(segment.skip_preamble(segment.split_pages(docs), headings), headings)
+def _outline(spark, d):
+    return segment.outline(D.doc_with_toc(spark, d))
 
 
 @query("heading_segments", "with " + _SEGMENTS + " select doc_id, cast(seg as bigint) as seg, heading, sha256(content) as content_hash, page_start, page_end from sg")
 def heading_segments(spark, d):
-    return _segments(spark, d).select("doc_id", "seg", "heading", F.sha2("content", 256).alias("content_hash"), "page_start", "page_end")
+    return segment.heading_segments(D.doc_with_toc(spark, d)).select("doc_id", "seg", "heading", F.sha2("content", 256).alias("content_hash"), "page_start", "page_end")
 
 
 @query("drop_short_segments", "with " + _SEGMENTS + r" select doc_id, cast(seg as bigint) as seg, length(content) as chars from sg where length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300")
 def drop_short_segments(spark, d):
-    return segment.drop_short(_segments(spark, d)).select("doc_id", "seg", F.length("content").cast("long").alias("chars"))
+    return segment.rows_of(segment.drop_short(_outline(spark, d))).select("doc_id", "seg", F.length("content").cast("long").alias("chars"))
 
 
-@query("merge_short_segments", "with " + _SEGMENTS + r""", pt as (select *, greatest(sum(case when length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300 then 1 else 0 end) over (partition by doc_id order by seg), 1) as part from sg)
-select doc_id, cast(min(seg) as bigint) as seg, arg_min(heading, seg) as heading, sha256(string_agg(content, chr(10) order by seg)) as content_hash, min(page_start) as page_start, max(page_end) as page_end from pt group by doc_id, part""")
+@query("merge_short_segments", "with " + _SEGMENTS + r""", pt as (select *, sum(case when length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300 or first_seg = seg then 1 else 0 end) over (partition by doc_id order by seg) as part from (select *, min(seg) over (partition by doc_id) as first_seg from sg))
+select doc_id, cast(min(seg) as bigint) as seg, arg_min(heading, seg) as heading, sha256(string_agg(content, chr(10) order by seg)) as content_hash, min(page_start) as page_start, arg_max(page_end, seg) as page_end from pt group by doc_id, part""")
 def merge_short_segments(spark, d):
-    x = segment.merge_short(_segments(spark, d))
+    x = segment.rows_of(segment.merge_short(_outline(spark, d)))
     return x.select("doc_id", "seg", "heading", F.sha2("content", 256).alias("content_hash"), "page_start", "page_end")
 
 
 @query("split_long_segments", r"""with recursive p as (select doc_id, i, l[i] as para, len(l) as n from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 800))),
 f as (select doc_id, i, n, 0 as part, length(para) as size from p where i = 1 union all
- select p.doc_id, p.i, p.n, case when f.size + length(p.para) > 800 then f.part + 1 else f.part end, case when f.size + length(p.para) > 800 then length(p.para) else f.size + length(p.para) end from f join p on p.doc_id = f.doc_id and p.i = f.i + 1)
-select f.doc_id, cast(part as bigint) as part, sha256(string_agg(para, chr(10) order by f.i)) as content_hash from f join p on p.doc_id = f.doc_id and p.i = f.i group by 1, 2
-union all select doc_id, 0, sha256(text) from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) <= 800""")
+ select p.doc_id, p.i, p.n, case when f.size + length(p.para) > 800 then f.part + 1 else f.part end, case when f.size + length(p.para) > 800 then length(p.para) else f.size + length(p.para) end from f join p on p.doc_id = f.doc_id and p.i = f.i + 1),
+g as (select f.doc_id, cast(part as bigint) as part, sha256(string_agg(para, chr(10) order by f.i)) as content_hash, max(part) over (partition by f.doc_id) as parts from f join p on p.doc_id = f.doc_id and p.i = f.i group by f.doc_id, part)
+select g.doc_id, part, content_hash, source || case when parts > 0 then ' › Part ' || (part + 1) else '' end as heading, 3 as page_end from g join documents using (doc_id)
+union all select doc_id, 0, sha256(text), source, 3 from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) <= 800""")
 def split_long_segments(spark, d):
-    x = D.table(spark, d, "documents").select("doc_id", F.lit(0).alias("seg"), F.col("text").alias("whole"))
+    x = D.table(spark, d, "documents").select("doc_id", F.lit(0).alias("seg"), F.col("source").alias("heading"), F.lit(1).alias("page_start"), F.lit(3).alias("page_end"), F.col("text").alias("whole"))
     double = F.when(F.length(S.strip(F.col("whole"))) > 800, F.replace("whole", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("whole"))
     out = segment.split_long(x.withColumn("content", double), 800)
-    return out.select("doc_id", F.col("part").cast("long").alias("part"), F.sha2("content", 256).alias("content_hash"))
+    return out.select("doc_id", F.col("part").cast("long").alias("part"), F.sha2("content", 256).alias("content_hash"), F.array_join("heading_path", " › ").alias("heading"), "page_end")
 
 
 @query("segments", "with " + _SEGMENTS + r""", kp as (select *, row_number() over (partition by doc_id order by seg) - 1 as idx from sg where length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300),
@@ -273,7 +259,7 @@ def segments(spark, d):
 
 @query("segment_summary", "with " + _SEGMENTS + " select doc_id, count(*) as n_segments, min(length(content)) as least, max(length(content)) as most, sum(length(content)) as total from sg group by 1")
 def segment_summary(spark, d):
-    x = segment.segment_summary(_segments(spark, d))
+    x = segment.segment_summary(segment.heading_segments(D.doc_with_toc(spark, d)))
     return x.select("doc_id", "n_segments", *[F.col(c).cast("long").alias(c) for c in ("least", "most", "total")])
 
 
@@ -291,15 +277,21 @@ def assign_chunk_ids(spark, d):
     return D.chunks(spark, d).select("chunk_id", "source", "topic", "status")
 
 
-@query("extract_chat_patterns", r"""with t as (select conv_id, arg_min(text, turn) filter (where role = 'user') as symptom, arg_max(text, turn) filter (where role = 'assistant') as fix from conversations group by 1),
-n as (select trim(regexp_replace(lower(regexp_replace(symptom, '\S+@\S+', '[removed]', 'g')), '[^\pL\pN]+', ' ', 'g')) as symptom, regexp_replace(fix, '\S+@\S+', '[removed]', 'g') as fix from t where symptom is not null and fix is not null)
-select symptom, fix, count(*) as n from n group by 1, 2""")
+def _sql_chat(c: str) -> str:
+    """Personal data and pleasantries out of a text."""
+    for pattern, name in outputs.PERSONAL:
+        c = f"regexp_replace({c}, '{pattern}', '{name}', 'g')"
+    said = f"string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))"
+    told = outputs.PLEASANTRY.replace("'", "''")
+    return f"array_to_string(list_filter({said}, lambda s: not regexp_matches(s, '{told}') and regexp_replace(s, '^\\s+|\\s+$', '', 'g') <> ''), ' ')"
+
+
+@query("extract_chat_patterns", r"""with t as (select conv_id, arg_min(text, turn) filter (where role = 'user') as symptom, min(turn) filter (where role = 'user') as asked, arg_max(text, turn) filter (where role = 'assistant') as fix, max(turn) filter (where role = 'assistant') as answered, max(turn) as last
+  from conversations where role in ('user', 'assistant') and text is not null group by 1),
+n as (select trim(regexp_replace(lower(""" + _sql_chat("symptom") + r"""), '[^\pL\pN]+', ' ', 'g')) as symptom, """ + _sql_chat("fix") + r""" as fix from t where asked < answered and answered = last and rtrim(fix) not like '%?')
+select symptom, fix, count(*) as n from n where symptom <> '' and fix <> '' group by 1, 2""")
 def extract_chat_patterns(spark, d):
-    said = lambda role: F.when(F.col("role") == role, F.col("turn"))
-    t = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", said("user")).alias("symptom"), F.max_by("text", said("assistant")).alias("fix")).where("symptom is not null and fix is not null")
-    clean = lambda c: F.regexp_replace(c, r"\S+@\S+", "[removed]")
-    symptom = F.trim(F.regexp_replace(F.lower(clean(F.col("symptom"))), r"[^\p{L}\p{N}]+", " "))
-    return t.groupBy(symptom.alias("symptom"), clean(F.col("fix")).alias("fix")).agg(F.count("*").alias("n"))
+    return outputs.extract_chat_patterns(D.table(spark, d, "conversations"))
 
 
 @query("parse_front_matter", "with " + D.CHUNK_MD + " select file, has_fm as has_front_matter, chunk_id, source, topic, summary, array_to_string(triggers, '|') as triggers, has_conditions, array_to_string(related_chunks, '|') as related_chunks, status from parsed")
@@ -331,60 +323,52 @@ def rebuild_index(spark, d):
 
 @query("required_sections", "with " + D.CHUNK_MD + " select file, s as section, contains(raw, s) as passed from files cross join (select unnest(['## Context', '## Response', '## Escalation']) as s)")
 def required_sections(spark, d):
-    sections = F.explode(F.array(*[F.lit(x) for x in ("## Context", "## Response", "## Escalation")]))
-    return D.chunk_md(spark, d).select("file", "raw", sections.alias("section")).select("file", "section", F.contains("raw", F.col("section")).alias("passed"))
+    return kb.required_sections(D.chunk_md(spark, d))
 
 
 @query("front_matter_checks", "with " + D.CHUNK_MD + " select file, len(issues) = 0 as passed, coalesce(issues[1], '') as detail from issues")
 def front_matter_checks(spark, d):
-    x = kb.chunk_issues(kb.parse_front_matter(D.chunk_md(spark, d)))
-    return x.select("file", "passed", F.coalesce(F.get("issues", F.lit(0)), F.lit("")).alias("detail"))
+    return kb.front_matter_checks(D.chunk_md(spark, d))
 
 
 @query("related_prefix_check", "with " + D.CHUNK_MD + " select file, not regexp_matches(raw, '(?i)- chunk_id:') as passed from files")
 def related_prefix_check(spark, d):
-    return D.chunk_md(spark, d).select("file", (~F.col("raw").rlike("(?i)- chunk_id:")).alias("passed"))
+    return kb.related_prefix_check(D.chunk_md(spark, d))
 
 
-_CHECKS = r""", checks as (select 'front_matter' as name, len(issues) = 0 as passed from issues union all select 'related_prefix', not regexp_matches(raw, '(?i)- chunk_id:') from files union all select 'escalation', contains(raw, '## Escalation') from files)"""
+_CHECKS = r""", checks as (select 'front_matter' as name, len(issues) = 0 as passed from issues union all select 'related_prefix', not regexp_matches(raw, '(?i)- chunk_id:') from files
+ union all select 'section ' || s, contains(raw, '## ' || s) from files cross join (select unnest(['Context', 'Response', 'Escalation']) as s))"""
 
 
 @query("check_summary", "with " + D.CHUNK_MD + _CHECKS + " select coalesce(name, 'all') as name, count(*) as total, count(*) filter (where passed) as passed, count(*) filter (where not passed) as failed from checks group by rollup(name)")
 def check_summary(spark, d):
-    files = D.chunk_md(spark, d)
-    one = lambda name, x: x.select(F.lit(name).alias("name"), "passed")
-    checks = one("front_matter", front_matter_checks(spark, d)).unionByName(one("related_prefix", related_prefix_check(spark, d)))
-    checks = checks.unionByName(one("escalation", files.select(F.contains("raw", F.lit("## Escalation")).alias("passed"))))
-    out = checks.rollup("name").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
-    return out.withColumn("name", F.coalesce("name", F.lit("all")))
+    return kb.check_summary(D.chunk_md(spark, d))
 
 
 @query("index_chunk_consistency", "with " + D.CHUNK_MD + r""", idx as (select chunk_id from chunks where status <> 'deprecated'), ch as (select distinct chunk_id from parsed where chunk_id <> '')
 select coalesce(i.chunk_id, c.chunk_id) as chunk_id, case when c.chunk_id is null then 'entry without chunk' when i.chunk_id is null then 'chunk without entry' else 'ok' end as label from idx i full join ch c on i.chunk_id = c.chunk_id""")
 def index_chunk_consistency(spark, d):
-    i = D.chunks(spark, d).where("status <> 'deprecated'").select(F.col("chunk_id").alias("i"))
-    c = kb.parse_front_matter(D.chunk_md(spark, d)).where("chunk_id <> ''").select(F.col("chunk_id").alias("c")).distinct()
-    label = F.when(F.col("c").isNull(), "entry without chunk").when(F.col("i").isNull(), "chunk without entry").otherwise("ok")
-    return i.join(c, F.col("i") == F.col("c"), "full").select(F.coalesce("i", "c").alias("chunk_id"), label.alias("label"))
+    return kb.index_consistency(D.chunks(spark, d).where("status <> 'deprecated'"), D.chunk_md(spark, d))
+
 
+_ENTRY_LINES = r"""list_concat(['  - chunk_id: ' || chunk_id, '    source: ' || source, '    topic: ' || topic, '    summary: >', '      ' || summary, '    triggers:'], list_transform(triggers, lambda t: '      - "' || replace(t, '"', chr(39)) || '"'),
+ ['    has_conditions: ' || cast(has_conditions as varchar), '    related_chunks:'], list_transform(related_chunks, lambda r: '      - ' || r), ['    status: ' || status, ''])"""
 
-@query("index_stats", "with " + D.CHUNK_MD + " select count(*) filter (where status = 'active') as active, count(*) filter (where status = 'review') as review, count(*) filter (where status = 'deprecated') as deprecated, count(*) filter (where chunk_id = '' or topic = '') as skipped from parsed")
+
+@query("index_stats", "with " + D.CHUNK_MD + f""", e as (select *, length(array_to_string({_ENTRY_LINES}, chr(10))) + 1 as size from parsed where chunk_id <> '' and topic <> '')
+select count(*) filter (where status = 'active') as active, 0 as review, 0 as deprecated, count(*) filter (where status <> 'active') as skipped, {len(kb.INDEX_HEADER)} + coalesce(sum(size) filter (where status = 'active'), 0) as size_chars from e""")
 def index_stats(spark, d):
-    x = kb.parse_front_matter(D.chunk_md(spark, d))
-    n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return x.agg(n("active"), n("review"), n("deprecated"), F.count_if((F.col("chunk_id") == "") | (F.col("topic") == "")).alias("skipped"))
+    return kb.index_stats(D.chunk_md(spark, d))
 
 
-@query("index_guards", "with " + D.CHUNKS + " select count(*) > 80 as many_chunks, sum(length(chunk_id) + length(source) + length(topic) + length(summary)) > 30000 as large from chunks where status = 'active'")
+@query("index_guards", "with " + D.CHUNKS + f", s as (select count(*) as chunks, {len(kb.INDEX_HEADER)} + coalesce(sum(length(array_to_string({_ENTRY_LINES}, chr(10))) + 1), 0) as size_chars from chunks where status = 'active') select *, chunks > 80 as many_chunks, size_chars > 30000 as large from s")
 def index_guards(spark, d):
-    size = F.sum(sum((F.length(c) for c in ("source", "topic", "summary")), F.length("chunk_id")))
-    return D.chunks(spark, d).where("status = 'active'").agg((F.count("*") > 80).alias("many_chunks"), (size > 30000).alias("large"))
+    return kb.index_guards(D.chunks(spark, d).where("status = 'active'"))
 
 
-@query("list_chunks", "with " + D.CHUNKS + " select c.chunk_id, topic, summary, status, n from chunks c join (select status, count(*) as n from chunks group by 1) using (status)")
+@query("list_chunks", "with " + D.CHUNKS + " select chunk_id, topic, summary, status, count(*) over () as n from chunks")
 def list_chunks(spark, d):
-    x = D.chunks(spark, d)
-    return x.join(x.groupBy("status").agg(F.count("*").alias("n")), "status").select("chunk_id", "topic", "summary", "status", "n")
+    return kb.list_chunks(written(D.chunks(spark, d).select("chunk_id", "topic", "summary", "status"), "index"))
 
 
 # Manifest
@@ -416,11 +400,26 @@ def drop_stale_chunks(spark, d):
     return kb.drop_stale(_old_index(spark, d), m, kb.changed_sources(D.source_docs(spark, d), m))
 
 
-@query("upsert_index", "with " + D.MANIFEST + _OLD + r""", new as (select 'c' || doc_id as chunk_id, 'new' as origin from source_docs where doc_id % 3 = 0), o as (select chunk_id, 'old' as origin from old)
-select chunk_id, case when n.chunk_id is null then 'old' else 'new' end as origin from o full join new n using (chunk_id)""")
+_UPSERT = D.MANIFEST + r""", old as (select path as chunk_id, position, hash as v from manifest), new as (select path as chunk_id, doc_id as position, sha256(text || 'new') as v from source_docs where doc_id % 3 = 0),
+up as (select chunk_id, coalesce(n.v, o.v) as v, coalesce(o.position, n.position) as position, o.chunk_id is null as added, case when n.chunk_id is null then 'kept' when o.chunk_id is null then 'new' else 'updated' end as origin from old o full join new n using (chunk_id))"""
+
+
+def _upserted(spark, d):
+    """Of two new entries of one id, the later counts, at the first one's place."""
+    old = D.manifest(spark, d).select(F.col("path").alias("chunk_id"), "position", F.col("hash").alias("v"))
+    new = D.source_docs(spark, d).where("doc_id % 3 = 0").select(F.col("path").alias("chunk_id"), "doc_id", "text")
+    last = new.select("chunk_id", (F.col("doc_id") + 1_000_000_000).alias("position"), F.sha2(F.concat("text", F.lit("new")), 256).alias("v"))
+    return kb.upsert(old, last.unionByName(new.select("chunk_id", F.col("doc_id").alias("position"), F.lit("first").alias("v"))))
+
+
+@query("upsert_index", "with " + _UPSERT + " select chunk_id, v, position, added, origin from up")
 def upsert_index(spark, d):
-    new = D.source_docs(spark, d).where("doc_id % 3 = 0").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("new").alias("origin"))
-    return kb.upsert(_old_index(spark, d).withColumn("origin", F.lit("old")), new)
+    return _upserted(spark, d).select("chunk_id", "v", "position", "added", "origin")
+
+
+@query("upsert_counts", "with " + _UPSERT + " select count(*) as entries, count(*) filter (where origin = 'new') as new, count(*) filter (where origin = 'updated') as updated from up")
+def upsert_counts(spark, d):
+    return kb.upsert_counts(_upserted(spark, d))
 
 
 @query("record_extraction", "with " + D.MANIFEST + r""", run as (select path, case when doc_id % 10 = 0 then cast([] as varchar[]) else ['r' || doc_id] end as ids from source_docs where doc_id % 2 = 0)
@@ -433,78 +432,80 @@ def record_extraction(spark, d):
 
 @query("chunk_ids_for_source", "with " + D.MANIFEST + " select s.path, coalesce(array_to_string(chunk_ids, '|'), '') as chunk_ids from source_docs s left join manifest m on m.path = s.path")
 def chunk_ids_for_source(spark, d):
-    x = D.source_docs(spark, d).select("path").join(D.manifest(spark, d), "path", "left")
-    return x.select("path", F.coalesce(F.array_join("chunk_ids", "|"), F.lit("")).alias("chunk_ids"))
+    return kb.chunk_ids_for_source(D.source_docs(spark, d).select("path"), D.manifest(spark, d)).select("path", joined("chunk_ids"))
 
 
-@query("source_for_chunk", "with " + D.MANIFEST + ", e as (select path, unnest(chunk_ids) as chunk_id from manifest) select chunk_id, regexp_extract(min(path), '[^/]*$') as first_source, regexp_extract(max(path), '[^/]*$') as last_source from e group by 1")
+@query("source_for_chunk", "with " + D.MANIFEST + ", e as (select path, position, unnest(chunk_ids) as chunk_id from manifest) select chunk_id, regexp_extract(arg_min(path, position), '[^/]*$') as first_source, regexp_extract(arg_max(path, position), '[^/]*$') as last_source from e group by 1")
 def source_for_chunk(spark, d):
     m = D.manifest(spark, d)
     first = kb.source_for_chunk(m, "first").withColumnRenamed("source", "first_source")
-    return first.join(kb.source_for_chunk(m, "last").withColumnRenamed("source", "last_source"), "chunk_id")
+    return first.join(kb.source_for_chunk(m, "last").withColumnRenamed("source", "last_source").hint("shuffle_merge"), "chunk_id")
 
 
 @query("delete_chunks", "with " + D.MANIFEST + _OLD + r""", ids as (select 'c' || doc_id as chunk_id from source_docs where doc_id % 6 = 0)
-select chunk_id, 'kept' as label from old where chunk_id not in (select chunk_id from ids) union all select chunk_id, 'not found' from ids where chunk_id not in (select chunk_id from old)""")
+select coalesce(o.chunk_id, i.chunk_id) as chunk_id, case when i.chunk_id is null then 'kept' when o.chunk_id is null then 'not found' else 'deleted' end as label from old o full join ids i on i.chunk_id = o.chunk_id""")
 def delete_chunks(spark, d):
     ids = D.source_docs(spark, d).where("doc_id % 6 = 0").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"))
-    old = _old_index(spark, d)
-    return old.join(ids, "chunk_id", "left_anti").withColumn("label", F.lit("kept")).unionByName(ids.join(old, "chunk_id", "left_anti").withColumn("label", F.lit("not found")))
+    return kb.delete_chunks(_old_index(spark, d), ids)
 
 
-@query("manifest_summary", "with " + D.MANIFEST + " select regexp_extract(path, '[^/]*$') as file, len(chunk_ids) as n_chunks, round(size_bytes / 1024.0, 1) as size_kb, hash[1:16] as hash from manifest")
+@query("manifest_summary", "with " + D.MANIFEST + " select regexp_extract(path, '[^/]*$') as file, len(chunk_ids) as n_chunks, extracted_at, round(size_bytes / 1024.0, 1) as size_kb, hash[1:16] as hash from manifest")
 def manifest_summary(spark, d):
-    return D.manifest(spark, d).select(S.base_name(F.col("path")).alias("file"), F.size("chunk_ids").cast("long").alias("n_chunks"), F.round(F.col("size_bytes") / 1024.0, 1).alias("size_kb"), F.substring("hash", 1, 16).alias("hash"))
+    return kb.manifest_summary(D.manifest(spark, d))
 
 
 # Relating, retrieval, evaluation
 
+
 _TOK = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\pL\pN]+'), lambda x: length(x) >= 2))"
 _POST = r""", act as (select * from chunks where status = 'active'), tk as (select chunk_id, unnest(""" + _TOK.format("topic") + r""") as token, 3 as w from act union all select chunk_id, unnest(""" + _TOK.format("array_to_string(triggers, ' ')") + r"""), 2 from act
  union all select chunk_id, unnest(""" + _TOK.format("summary") + r"""), 1 from act), post as (select token, chunk_id, sum(w) as w from tk group by 1, 2), df as (select token, count(*) as df from post group by 1),
-qs as (select item_id as qid, array_to_string(regexp_split_to_array(text, '\s+')[1:12], ' ') as question from benchmark), qt as (select qid, unnest(""" + _TOK.format("question") + r""") as token from qs),
+qs as (select item_id as qid, text as question from benchmark), qt as (select qid, unnest(""" + _TOK.format("question") + r""") as token from qs),
 sc as (select qid, chunk_id, round(sum(w * ln(1 + (select count(*) from act) / cast(df as double))), 6) as score from qt join df using (token) join post using (token) group by 1, 2),
 rk as (select qid, row_number() over (partition by qid order by score desc, chunk_id) as rank, chunk_id, score from sc qualify row_number() over (partition by qid order by score desc, chunk_id) <= 3)"""
 
 
 def _questions(spark, d):
-    words = F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")
-    return D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), words.alias("question"))
+    return D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def _chunks(spark, d):
+    """Chunks worked out once, with file and body."""
+    return written(D.chunks(spark, d).withColumn("file", F.concat("chunk_id", F.lit(".md"))).withColumn("body", F.col("response")), "chunks")
 
 
 @query("retrieve", "with " + D.CHUNKS + _POST + " select qid, rank, chunk_id, round(score, 4) as score from rk")
 def retrieve_chunks(spark, d):
-    x = retrieve.retrieve(_questions(spark, d), D.chunks(spark, d))
+    x = retrieve.retrieve(_questions(spark, d), _chunks(spark, d))
     return x.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 4).alias("score"))
 
 
 @query("assemble_context", "with " + D.CHUNKS + _POST + " select qid, sha256(string_agg('=== Chunk: ' || chunk_id || ' ===' || chr(10) || response, chr(10) || chr(10) order by chunk_id)) as context_hash from rk join chunks using (chunk_id) group by 1")
 def assemble_context(spark, d):
-    chunks = D.chunks(spark, d)
-    x = retrieve.assemble_context(retrieve.retrieve(_questions(spark, d), chunks), chunks.select("chunk_id", F.col("chunk_id").alias("file"), F.col("response").alias("body")))
-    return x.select("qid", F.sha2("context", 256).alias("context_hash"))
+    chunks = _chunks(spark, d)
+    return retrieve.assemble_context(retrieve.retrieve(_questions(spark, d), chunks), chunks).select("qid", F.sha2("context", 256).alias("context_hash"))
 
 
-@query("attach_source", "with " + D.CHUNKS + _POST + " select qid, chunk_id, regexp_extract(source, '[^/]*$') as source from rk join chunks using (chunk_id)")
+@query("attach_source", "with " + D.CHUNKS + _POST + " select qid, chunk_id, case when rank = 2 then chunk_id || '.md' else regexp_extract(source, '[^/]*$') end as source from (select *, min(rank) over (partition by chunk_id) as least from rk) join chunks using (chunk_id)".replace("rank = 2", "least = 2"))
 def attach_source(spark, d):
-    chunks = D.chunks(spark, d)
-    return retrieve.retrieve(_questions(spark, d), chunks).join(chunks.select("chunk_id", S.base_name(F.col("source")).alias("source")), "chunk_id").select("qid", "chunk_id", "source")
+    """Chunks that are at best second have no source on record: their own file counts."""
+    chunks = _chunks(spark, d)
+    got = written(retrieve.retrieve(_questions(spark, d), chunks), "retrieved")
+    least = got.groupBy("chunk_id").agg(F.min("rank").alias("least")).where("least <> 2")
+    known = chunks.join(least.hint("shuffle_merge"), "chunk_id", "left_semi").select("chunk_id", S.base_name(F.col("source")).alias("source"))
+    return retrieve.attach_source(got, known, chunks).select("qid", "chunk_id", "source")
 
 
-_GOLD = r""", gold as (select b.item_id as qid, list_sort(list(distinct c.chunk_id)) as expected from benchmark b left join chunks c on contains(c.response, b.text[1:60]) group by 1),
+_GOLD = r""", gold as (select b.item_id as qid, list_sort(list(distinct c.chunk_id)) as expected from benchmark b left join chunks c on contains(c.response, b.text) group by 1),
 hits as (select g.qid, list_filter(expected, lambda x: x is not null) as expected, coalesce(list(rk.chunk_id) filter (where rk.chunk_id is not null), []) as got from gold g left join rk on rk.qid = g.qid group by g.qid, expected)"""
 
 
 def _hits(spark, d):
-    chunks = D.chunks(spark, d)
-    items = D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("start"))
-    # benchmark items are few: each is looked for in every chunk
-    found = chunks.join(F.broadcast(items), F.contains(F.col("response"), F.col("start"))).groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("expected"))
-    got = retrieve.retrieve(_questions(spark, d), chunks).groupBy("qid").agg(F.collect_list("chunk_id").alias("got"))
-    empty = F.array().cast("array<string>")
-    x = items.select("qid").join(found, "qid", "left").join(got, "qid", "left")
-    x = x.select("qid", F.coalesce("expected", empty).alias("expected"), F.coalesce("got", empty).alias("got"))
-    return x.withColumn("hit", F.arrays_overlap("expected", "got"))
+    chunks = _chunks(spark, d)
+    items = D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    found = retrieve.expected_chunks(items, chunks).groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("expected"))
+    gold = items.select("qid").join(found.hint("shuffle_merge"), "qid", "left")
+    return retrieve.retrieval_hits(gold, retrieve.retrieve(_questions(spark, d), chunks))
 
 
 @query("retrieval_hits", "with " + D.CHUNKS + _POST + _GOLD + " select qid, len(expected) as n_expected, list_has_any(expected, got) as hit from hits")
@@ -512,17 +513,15 @@ def retrieval_hits(spark, d):
     return _hits(spark, d).select("qid", F.size("expected").cast("long").alias("n_expected"), "hit")
 
 
-@query("retrieval_score", "with " + D.CHUNKS + _POST + _GOLD + r""", s as (select count(*) as queries, count(*) filter (where list_has_any(expected, got)) as hits from hits where len(expected) > 0)
-select queries, hits, queries - hits as misses, cast(floor(100.0 * hits / nullif(queries, 0) + 0.5) as bigint) as score from s""")
+@query("retrieval_score", "with " + D.CHUNKS + _POST + _GOLD + r""", s as (select count(*) as queries, count(*) filter (where list_has_any(expected, got)) as hits from hits where len(expected) > 0),
+t as (select queries, hits, queries - hits as misses, cast(floor(100.0 * hits / nullif(queries, 0) + 0.5) as bigint) as score from s) select *, case when score = 100 then 'all' when score >= 80 then 'most' when score is not null then 'low' end as band from t""")
 def retrieval_score(spark, d):
-    x = _hits(spark, d).where("size(expected) > 0").agg(F.count("*").alias("queries"), F.count_if("hit").alias("hits"))
-    score = F.floor(F.try_divide(F.col("hits") * 100.0, F.col("queries")) + 0.5).cast("long")
-    return x.select("queries", "hits", (F.col("queries") - F.col("hits")).alias("misses"), score.alias("score"))
+    return retrieve.retrieval_score(_hits(spark, d).where("size(expected) > 0"))
 
 
 @query("missed_ids", "with " + D.CHUNKS + _POST + _GOLD + " select qid, array_to_string(list_sort(list_filter(expected, lambda x: not list_contains(got, x))), '|') as missed from hits where not list_has_any(expected, got)")
 def missed_ids(spark, d):
-    return _hits(spark, d).where("not hit").select("qid", F.array_join(F.array_sort(F.array_except("expected", "got")), "|").alias("missed"))
+    return retrieve.missed_ids(_hits(spark, d)).select("qid", joined("missed"))
 
 
 _CLUSTERS = "cl as (select (row_number() over (partition by label order by vec_id) - 1) // 3 as k, label, 'v' || vec_id as id, vec_id from embeddings), clusters as (select label * 100000 + k as cluster, id from cl union all select label * 100000 + k + 1, id from cl where vec_id % 10 = 0)"
@@ -549,7 +548,20 @@ def related_from_clusters(spark, d):
 def apply_related(spark, d):
     status = F.when(F.col("vec_id") % 4 == 0, "review").otherwise("active")
     i = D.table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chunk_id"), status.alias("status"), F.array(F.lit("old")).alias("related_chunks"))
-    return kb.apply_related(i, kb.related_from_clusters(_clusters(spark, d))).select("chunk_id", "status", joined("related_chunks"))
+    return kb.apply_related(i, written(kb.related_from_clusters(_clusters(spark, d)), "related")).select("chunk_id", "status", joined("related_chunks"))
+
+
+@query("rewrite_related", "with " + D.CHUNK_MD + r""", rel as (select chunk_id, [lag(chunk_id) over (order by chunk_id)] as related from chunks qualify lag(chunk_id) over (order by chunk_id) is not null)
+select file, sha256(case when status = 'active' and has_fm and regexp_matches(raw, '(?m)^related_chunks:') then regexp_replace(raw, '(?m)^related_chunks:\n(  - .*\n)*', 'related_chunks:' || chr(10) || coalesce('  - ' || related[1] || chr(10), '')) when status = 'active' and regexp_matches(raw, '(?m)^related_chunks:')
+ then regexp_replace(raw, '(?m)^related_chunks:\n(  - .*\n)*', 'related_chunks:' || chr(10)) else raw end) as raw_hash from parsed left join rel using (chunk_id)""")
+def rewrite_related(spark, d):
+    """Each chunk linked with the one before it in order of ids."""
+    from pyspark.sql import Window
+
+    files = written(D.chunk_md(spark, d), "chunk-files")
+    before = F.lag("chunk_id").over(Window.orderBy("chunk_id"))
+    related = D.chunks(spark, d).select("chunk_id").withColumn("related_chunks", F.array(before)).where("related_chunks[0] is not null")
+    return kb.rewrite_related(files, written(related, "related")).select("file", F.sha2("raw", 256).alias("raw_hash"))
 
 
 @query("related_edges", _RELATED + " select chunk_id, unnest(related) as related_id from rel")
@@ -563,9 +575,10 @@ def dangling_related(spark, d):
     return related_edges(spark, d).join(active, "related_id", "left_anti").select("chunk_id", "related_id")
 
 
-_PAIRS = D.CHUNKS + r""", rt as (select chunk_id, unnest(""" + _TOK.format("topic || ' ' || array_to_string(triggers, ' ')") + r""") as token from chunks where status = 'active'), sz as (select chunk_id, count(*) as n from rt group by 1),
-kt as (select * from rt where token in (select token from rt group by 1 having count(*) <= 50)), pr as (select a.chunk_id as a, b.chunk_id as b, count(*) as c from kt a join kt b on a.token = b.token and a.chunk_id < b.chunk_id group by 1, 2),
-jp as (select a, b, round(c / cast(x.n + y.n - c as double), 6) as jaccard from pr join sz x on x.chunk_id = a join sz y on y.chunk_id = b), jl as (select * from jp where jaccard >= 0.1),
+_PAIRS = D.CHUNKS + r""", r0 as (select chunk_id, unnest(""" + _TOK.format("topic || ' ' || array_to_string(triggers, ' ')") + r""") as token from chunks where status = 'active'),
+rt as (select * from r0 where token in (select token from r0 group by 1 having count(*) <= greatest(100, 0.2 * (select count(*) from chunks where status = 'active')))), sz as (select chunk_id, count(*) as n from rt group by 1),
+pr as (select a.chunk_id as a, b.chunk_id as b, count(*) as c from rt a join rt b on a.token = b.token and a.chunk_id < b.chunk_id group by 1, 2),
+jp as (select a, b, round(c / cast(x.n + y.n - c as double), 6) as jaccard from pr join sz x on x.chunk_id = a join sz y on y.chunk_id = b), jl as (select * from jp where jaccard >= 0.3),
 bo as (select a, b, jaccard from jl union all select b, a, jaccard from jl), be as (select * from (select *, row_number() over (partition by a order by jaccard desc, b) as r from bo) where r = 1),
 mu as (select x.a as cluster, x.b as mate from be x join be y on x.a = y.b and x.b = y.a where x.a < x.b), sd as (select cluster, unnest([cluster, mate]) as id from mu),
 nr as (select * from (select s.cluster, be.a as id, row_number() over (partition by s.cluster order by jaccard desc, be.a) as r from be join sd s on s.id = be.b where be.a not in (select id from sd)) where r <= 2)"""
@@ -579,12 +592,15 @@ def relate_clusters(spark, d):
 # Requests
 
 
-@query("sessionize", f"with {D.LOG} select req_id, session_id, sum(case when g > 1800000000 then 1 else 0 end) over (partition by session_id order by ts, req_id) as session_no from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by session_id order by ts, req_id) as g from log)")
+_ACCESS = "(select * from log where outcome not in ('invalid', 'rate_limited'))"
+
+
+@query("sessionize", f"with {D.LOG} select req_id, session_id, sum(case when g > 1800000000 then 1 else 0 end) over (partition by session_id order by ts, req_id) as session_no from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by session_id order by ts, req_id) as g from {_ACCESS})")
 def sessionize(spark, d):
     return requests.sessionize(D.request_log(spark, d)).select("req_id", "session_id", "session_no")
 
 
-@query("session_stats", f"with {D.LOG}, s as (select *, sum(case when g > 1800000000 then 1 else 0 end) over (partition by session_id order by ts, req_id) as session_no from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by session_id order by ts, req_id) as g from log)) select session_id, session_no, epoch_us(min(ts)) as started, epoch_us(max(ts)) as ended, count(*) as requests, round(avg(duration_ms), 3) as mean_ms from s group by 1, 2")
+@query("session_stats", f"with {D.LOG}, s as (select *, sum(case when g > 1800000000 then 1 else 0 end) over (partition by session_id order by ts, req_id) as session_no from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by session_id order by ts, req_id) as g from {_ACCESS})) select session_id, session_no, epoch_us(min(ts)) as started, epoch_us(max(ts)) as ended, count(*) as requests, round(avg(duration_ms), 3) as mean_ms from s group by 1, 2")
 def session_stats(spark, d):
     return requests.session_stats(D.request_log(spark, d)).withColumns({c: F.unix_micros(c) for c in ("started", "ended")})
 
@@ -620,7 +636,7 @@ def failure_runs(spark, d):
 @query("error_breakdown", f"with {D.ERRORS} select epoch_us(date_trunc('hour', ts)) as hour_us, {_CLASS} as class, count(*) as n from (select *, lower(message) as m from errs) group by 1, 2")
 def error_breakdown(spark, d):
     x = D.error_log(spark, d).withColumn("class", S.error_class(F.col("message"), F.col("status")))
-    return x.groupBy(F.window("ts", "1 hour").alias("w"), "class").agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("hour_us"), "class", "n")
+    return requests.error_breakdown(x).select(F.unix_micros("hour").alias("hour_us"), "class", "n")
 
 
 @query("latency_report", f"with {D.LOG} select mode, count(*) as requests, round(avg(duration_ms), 3) as mean_ms, round(quantile_cont(duration_ms, 0.5), 3) as p50_ms, round(quantile_cont(duration_ms, 0.95), 3) as p95_ms, round(avg(case when duration_ms >= 120000 then 1 else 0 end), 6) as over_limit from log group by 1")
@@ -636,28 +652,40 @@ def _runs(spark, d):
     return x.agg(F.sum("duration_ms").alias("ms"), F.bool_and(F.col("outcome") == "ok").alias("success"))
 
 
-@query("perf_report", f"with {_RUNS} select step, count(*) as runs, round(avg(ms) / 1000.0, 1) as mean_s from runs group by 1")
+def _reports(spark, d):
+    """A report for each source and day; every seventh day's is corrupt."""
+    x = reports.run_report(_runs(spark, d), ["source", "day"])
+    at = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("T00:00:"), F.lpad(F.col("source").cast("string"), 2, "0"), F.lit(".000Z"))
+    broken = F.when(F.dayofmonth("day") % 7 == 0, F.lit("{"))
+    return x.select(at.alias("startedAt"), F.array(F.col("source").cast("string"), F.lit("x")).alias("sources"), "steps", F.col("total_ms").alias("totalDurationMs"), "success", broken.alias("broken"), "source", "day")
+
+
+@query("perf_report", f"with {_RUNS}, r as (select source, day, sum(ms) as total from runs group by 1, 2) select 'runs' as what, cast(count(*) as double) as value from r union all select 'sources', cast(2 * count(*) filter (where day(day) % 7 <> 0) as double) from r union all select 'mean_run_s', round(sum(total) filter (where day(day) % 7 <> 0) / count(*) / 1000, 1) from r"
+       " union all select 'step ' || step, round(avg(ms) / 1000.0, 1) from runs where day(day) % 7 <> 0 group by step")
 def perf_report(spark, d):
-    return _runs(spark, d).groupBy("step").agg(F.count("*").alias("runs"), F.round(F.avg("ms") / 1000.0, 1).alias("mean_s"))
+    return reports.perf_report(_reports(spark, d))
 
 
-@query("run_report", f"with {_RUNS} select source, cast(day as varchar) as day, sum(ms) as total_ms, bool_and(success) as success, string_agg(step, '|' order by step) as steps from runs group by 1, 2")
+@query("run_report", f"with {_RUNS} select source, cast(day as varchar) as day, sum(ms) as total_ms, bool_and(success) as success, string_agg(step || ':' || ms, '|' order by step) as steps from runs group by 1, 2")
 def run_report(spark, d):
-    x = _runs(spark, d).groupBy("source", F.col("day").cast("string").alias("day"))
-    return x.agg(F.sum("ms").alias("total_ms"), F.bool_and("success").alias("success"), F.array_join(F.array_sort(F.collect_list("step")), "|").alias("steps"))
+    x = reports.run_report(_runs(spark, d), ["source", "day"])
+    told = F.transform("steps", lambda s: F.concat(s["step"], F.lit(":"), s["durationMs"].cast("string")))
+    return x.select("source", F.col("day").cast("string").alias("day"), "total_ms", "success", F.array_join(told, "|").alias("steps"))
+
 
+_RESULTS = _RUNS + ", res as (select source, count(*) filter (where step <> 'view') as new_chunks, count(*) filter (where step = 'view') as updated_chunks, sum(ms) % 3 = 0 as failed from runs group by 1)"
 
-@query("source_failures", f"with {_RUNS} select count(distinct source) as sources, count(*) filter (where success) as created, count(*) filter (where not success) as failed from runs")
+
+@query("source_failures", f"with {_RESULTS} select count(*) as sources, coalesce(sum(new_chunks) filter (where not failed), 0) as created, coalesce(sum(updated_chunks) filter (where not failed), 0) as updated, count(*) filter (where failed) as failed from res")
 def source_failures(spark, d):
-    return _runs(spark, d).agg(F.count_distinct("source").alias("sources"), F.count_if("success").alias("created"), F.count_if(~F.col("success")).alias("failed"))
+    x = _runs(spark, d).groupBy("source").agg(F.count_if(F.col("step") != "view").alias("new_chunks"), F.count_if(F.col("step") == "view").alias("updated_chunks"), (F.sum("ms") % 3 == 0).alias("failed"))
+    return reports.source_failures(x)
 
 
 # Model outputs and responses
 
 
 def _raw_outputs(spark, d):
-    from lorespark.functions.scalars import strip  # noqa: F401
-
     m = lambda k: F.col("doc_id") % k == 0
     triggers = F.when(m(29), F.array().cast("array<string>")).otherwise(F.col("triggers"))
     flag = F.when(m(17), F.lit(True)).otherwise(F.col("has_conditions"))
@@ -673,126 +701,99 @@ _OUT = D.CHUNKS + r""", outs as (select *, cast(regexp_extract(source, 'doc-(\d+
 
 @query("parse_model_output", "with " + _OUT + " select chunk_id as own_id, chunk_id, topic, case when doc % 29 = 0 then 0 else len(triggers) end as n_triggers, sha256(response) as response_hash from outs where doc % 23 <> 0")
 def parse_model_output(spark, d):
-    from lorespark.operators import outputs
-
     x = outputs.parse_model_output(_raw_outputs(spark, d))
     return x.select("own_id", "item.chunk_id", "item.topic", F.size("item.triggers").cast("long").alias("n_triggers"), F.sha2("item.response", 256).alias("response_hash"))
 
 
-@query("clean_outputs")
+@query("clean_outputs", "with " + _OUT + " select chunk_id as own_id, doc % 23 <> 0 as ok from outs")
 def clean_outputs(spark, d):
-    from lorespark.operators import outputs
-
-    return outputs.clean_outputs(_raw_outputs(spark, d)).select("own_id", "cleaned")
+    return outputs.clean_outputs(_raw_outputs(spark, d)).select("own_id", "ok")
 
 
 @query("validate_model_output", "with " + _OUT + r""" select chunk_id as own_id, array_to_string(list_filter([case when not regexp_matches(chunk_id, '^[a-z0-9-]+$') then 'chunk_id' end, case when topic = '' then 'topic' end, case when summary = '' then 'summary' end, case when doc % 29 = 0 then 'triggers' end], lambda x: x is not null), '|') as issues from outs where doc % 23 <> 0""")
 def validate_model_output(spark, d):
-    from lorespark.operators import outputs
-
     return outputs.parse_model_output(_raw_outputs(spark, d)).select("own_id", F.array_join(outputs.item_issues(), "|").alias("issues"))
 
 
 @query("flag_missing_conditions", "with " + _OUT + " select chunk_id as own_id, case when (doc % 17 = 0 or has_conditions) and coalesce(conditions, '') = '' then 'review' else 'active' end as status from outs where doc % 23 <> 0")
 def flag_missing_conditions(spark, d):
-    from lorespark.operators import outputs
-
     return outputs.flag_missing_conditions(outputs.parse_model_output(_raw_outputs(spark, d))).select("own_id", "status")
 
 
-@query("quarantine_outputs", "with " + _OUT + " select chunk_id as own_id from outs where doc % 23 = 0")
+@query("quarantine_outputs", "with " + _OUT + " select chunk_id as own_id, true as short from outs where doc % 23 = 0")
 def quarantine_outputs(spark, d):
-    from lorespark.operators import outputs
+    return outputs.quarantine_outputs(_raw_outputs(spark, d)).select("own_id", (F.length("preview") <= 500).alias("short"))
 
-    return outputs.quarantine_outputs(_raw_outputs(spark, d)).select("own_id")
 
-
-@query("extract_chunks", "with " + _OUT + " select chunk_id, topic from outs")
-def extract_chunks(spark, d):
-    from lorespark.operators import outputs
+def _extracted(spark, d):
+    """A model that returns what it is asked, but fails for every seventh document."""
 
     def echo(prompts: list[str]) -> list[str]:
-        return ["```json\n[" + p + ",]\n```" for p in prompts]
+        if any('"seventh"' in p for p in prompts):
+            raise RuntimeError("no answer")
+        return ["```json\n[" + p.split("\n\n", 1)[1] + ",]\n```" for p in prompts]
 
-    item = F.to_json(F.struct("chunk_id", "topic", "summary", "triggers", "has_conditions", "status", "context", "response"))
-    raw = outputs.extract_chunks(D.chunks(spark, d).select("source", item.alias("prompt")), echo)
-    return outputs.parse_model_output(raw).select("item.chunk_id", "item.topic")
+    item = F.to_json(F.struct("chunk_id", "topic", "summary", "triggers", "has_conditions", "status", "context", "response", F.when(F.col("doc_id") % 7 == 0, "seventh").alias("note")))
+    return outputs.extract_chunks(D.chunks(spark, d).select("source", F.col("chunk_id").alias("own_id"), item.alias("prompt")), echo, document="source")
 
 
-_KINDS = [
-    '{"type":"steps","data":{"title":"T","steps":[{"title":"first X","body":"b"},{"title":"second","body":"b"}]}}',
-    '[{"type":"choices","data":{"question":"Q","options":[{"label":"one X"},{"label":"two"}]}},{"type":"nope"}]',
-    '{"type":"alert","data":{"severity":"info","title":"T","body":"Please confirm X"}}',
-    '{"type":"checklist","data":{"title":"T","items":["X","y","z"]}}',
-    '{"type":"escalation","data":{"reason":"X","summary":"s"}}',
-    '{"type":"summary","data":{"title":"T","body":"as shown X"}}',
-    '{"type":"text","data":{"body":"X"}}',
-    '{"type":"image","data":{"body":"X"}}',
-    "plain X, not JSON",
-]
-
-
-def _raw_responses(spark, d):
-    pick = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (F.col("event_id") % 9 + 1).cast("int"))
-    return D.table(spark, d, "events").select("event_id", F.replace(pick, F.lit("X"), F.col("event_type")).alias("raw"))
+@query("extract_chunks", "with " + _OUT + " select chunk_id, topic from outs where doc % 7 <> 0")
+def extract_chunks(spark, d):
+    return outputs.parse_model_output(_extracted(spark, d)).select("item.chunk_id", "item.topic")
 
 
-_RESP = "kinds as (select unnest(range(0, 9)) as k, unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _KINDS) + "]) as t), raws as (select event_id, event_id % 9 as k, event_type, replace(t, 'X', event_type) as raw from events join kinds on k = event_id % 9)"
+@query("extraction_failures", "with " + _OUT + " select chunk_id as own_id, 'RuntimeError: no answer' as failure from outs where doc % 7 = 0")
+def extraction_failures(spark, d):
+    return outputs.extraction_failures(_extracted(spark, d)).select("own_id", "failure")
 
 
-@query("parse_chat_response", "with " + _RESP + r""" select event_id, 0 as position, case when k in (7, 8) then 'text' when k = 1 then 'choices' else json_extract_string(raw, '$.type') end as type, case when k in (7, 8) then raw else '' end as fallback from raws
- union all select event_id, 1, 'text', '{"type":"nope"}' from raws where k = 1""")
+@query("parse_chat_response", "with " + D.RESPONSES + r""" select id, 0 as position, case when k in (7, 8) then 'text' else ['steps', 'choices', 'alert', 'checklist', 'escalation', 'summary', 'text'][k + 1] end as type,
+ case when k = 7 then '{"type":"image","data":{"n":' || id || '}}' when k = 8 then 'No JSON: ' || regexp_replace(text, '[\[\]{}]', '', 'g') else '' end as fallback from resp union all select id, 1, 'text', '{"type":"nope"}' from resp where k = 1""")
 def parse_chat_response(spark, d):
-    from lorespark.operators import outputs
+    return outputs.parse_chat_response(D.raw_responses(spark, d)).select("id", "position", "type", F.coalesce("fallback", F.lit("")).alias("fallback"))
 
-    return outputs.parse_chat_response(_raw_responses(spark, d)).select("event_id", "position", "type", F.coalesce("fallback", F.lit("")).alias("fallback"))
 
-
-@query("response_components", "with " + _RESP + r""", parts as (select 0 as k, 0 as position, 1 as n, 'steps' as type, 'first X' as t union all select 0, 0, 2, 'steps', 'second' union all select 1, 0, 1, 'choices', 'one X' union all select 1, 0, 2, 'choices', 'two'
- union all select 1, 1, 0, 'text', '{"type":"nope"}' union all select 2, 0, 0, 'alert', 'Please confirm X' union all select 3, 0, 1, 'checklist', 'X' union all select 3, 0, 2, 'checklist', 'y' union all select 3, 0, 3, 'checklist', 'z'
- union all select 4, 0, 0, 'escalation', 'Create Support Ticket' union all select 5, 0, 0, 'summary', 'as shown X' union all select 6, 0, 0, 'text', 'X')
-select event_id, position, type, n, replace(t, 'X', event_type) as text from raws join parts using (k) union all select event_id, 0, 'text', 0, raw from raws where k in (7, 8)""")
+@query("response_components", "with " + D.RESPONSES + r""", said as (select id, k, role, text, said, unnest(range(1, len(said) + 1)) as n from resp where k in (0, 1, 3))
+select id, 0 as position, ['steps', 'choices', '', 'checklist'][k + 1] as type, n, case when k = 0 then 's' || (n - 1) else said[n] end as text from said
+union all select id, 0, ['alert', '', 'escalation', 'summary', 'text', 'text', 'text'][k - 1], 0, case k when 4 then 'Create Support Ticket' when 5 then 'As shown: ' || text when 7 then '{"type":"image","data":{"n":' || id || '}}' when 8 then 'No JSON: ' || regexp_replace(text, '[\[\]{}]', '', 'g') else text end from resp where k in (2, 4, 5, 6, 7, 8)
+union all select id, 1, 'text', 0, '{"type":"nope"}' from resp where k = 1""")
 def response_components(spark, d):
-    from lorespark.operators import outputs
-
-    return outputs.response_components(outputs.parse_chat_response(_raw_responses(spark, d)), ["event_id"])
+    return outputs.response_components(outputs.parse_chat_response(D.raw_responses(spark, d)), ["id"])
 
 
-@query("forbidden_phrases", "with " + _RESP + " select event_id, case k when 2 then 'Please confirm' else 'as shown' end as phrase from raws where k in (2, 5)")
+@query("forbidden_phrases", "with " + D.RESPONSES + " select id, 'as shown' as phrase from resp where k = 5")
 def forbidden_phrases(spark, d):
-    from lorespark.operators import outputs
+    return outputs.forbidden_phrases(D.raw_responses(spark, d)).select("id", "phrase")
 
-    return outputs.forbidden_phrases(_raw_responses(spark, d)).select("event_id", "phrase")
 
-
-@query("parse_retrieval", r"""select event_id, case when event_id % 3 = 0 then 'a' || event_id || '|b' when event_id % 3 = 1 then '' else '' end as ids from events""")
+@query("parse_retrieval", "with " + D.CHUNKS + r" select chunk_id as own_id, case length(chunk_id) % 3 when 0 then chunk_id || '|' || topic when 1 then '' else '' end as ids from chunks")
 def parse_retrieval(spark, d):
-    from lorespark.operators import outputs
-
-    ids = F.concat(F.lit("Ids: [\"a"), F.col("event_id").cast("string"), F.lit("\", \"b\",] ok"))
-    raw = F.when(F.col("event_id") % 3 == 0, ids).when(F.col("event_id") % 3 == 1, F.lit('{"id": 1}')).otherwise(F.lit("none"))
-    x = outputs.clean_outputs(D.table(spark, d, "events").select("event_id", raw.alias("raw")))
-    got = F.when(F.col("cleaned").startswith("["), F.from_json("cleaned", "array<string>", {"allowSingleQuotes": "false"}))
-    return x.select("event_id", F.array_join(F.coalesce(got, F.array().cast("array<string>")), "|").alias("ids"))
+    """A model's answers that name a chunk and its topic, an object, or nothing."""
+    k = F.length("chunk_id") % 3
+    raw = F.when(k == 0, F.concat(F.lit("Ids: "), F.rtrim(F.to_json(F.array("chunk_id", "topic")), F.lit("]")), F.lit(",] ok"))).when(k == 1, F.to_json(F.struct("chunk_id"))).otherwise(F.regexp_replace("summary", r"[\[\]{}]", ""))
+    return outputs.parse_retrieval(D.chunks(spark, d).select(F.col("chunk_id").alias("own_id"), raw.alias("raw"))).select("own_id", joined("ids"))
 
 
 @query("context_block", "with " + D.CHUNKS + _POST + r""", cx as (select qid, string_agg('=== Chunk: ' || chunk_id || ' ===' || chr(10) || response, chr(10) || chr(10) order by chunk_id) as c from rk join chunks using (chunk_id) group by 1)
-select item_id as qid, sha256(coalesce(c, 'No matching chunks found for this query.') || chr(10) || 'CURRENT MODE: ' || case when item_id % 2 = 0 then 'ANSWER' else 'CLARIFY' end) as block_hash from benchmark left join cx on qid = item_id""")
+select item_id as qid, sha256(chr(10) || chr(10) || 'RELEVANT CHUNK DOCUMENTATION:' || chr(10) || coalesce(c, 'No matching chunks found for this query.') || chr(10) || chr(10) || 'CURRENT MODE: ' || case when item_id % 2 = 0 then 'ANSWER' || chr(10) || 'Answer mode. Go directly to steps if documentation supports it.'
+ else 'CLARIFY' || chr(10) || 'The user needs clarification. Prefer choices or alert responses.' end) as block_hash from benchmark left join cx on qid = item_id""")
 def context_block(spark, d):
-    chunks = D.chunks(spark, d)
-    c = retrieve.assemble_context(retrieve.retrieve(_questions(spark, d), chunks), chunks.select("chunk_id", F.col("chunk_id").alias("file"), F.col("response").alias("body")))
-    mode = F.upper(F.when(F.col("qid") % 2 == 0, "answer").otherwise("clarify"))
-    x = _questions(spark, d).select("qid").join(c, "qid", "left")
-    return x.select("qid", F.sha2(F.concat(F.coalesce("context", F.lit("No matching chunks found for this query.")), F.lit("\nCURRENT MODE: "), mode), 256).alias("block_hash"))
+    chunks = _chunks(spark, d)
+    c = retrieve.assemble_context(retrieve.retrieve(_questions(spark, d), chunks), chunks)
+    x = _questions(spark, d).select("qid", F.when(F.col("qid") % 2 == 0, "answer").otherwise("clarify").alias("mode")).join(c.hint("shuffle_merge"), "qid", "left")
+    return retrieve.context_block(x).select("qid", F.sha2("block", 256).alias("block_hash"))
 
 
-@query("answer")
+@query("answer", "with " + D.CHUNKS + _POST + r""", b as (select qid, chunk_id, coalesce(conditions, '') as conditions, coalesce(constraints, '') as constraints, response from rk join chunks using (chunk_id) where rank = 1)
+select item_id as qid, case when chunk_id is null then 'text' when constraints <> '' then 'alert' when conditions <> '' then 'choices' else 'steps' end as kind,
+ case when chunk_id is null or constraints <> '' then 0 when conditions <> '' then len(string_split(conditions, '. ')) else len(list_filter(regexp_split_to_array(response, '\n+'), lambda s: s <> '')) end as parts from benchmark left join b on qid = item_id""")
 def answer(spark, d):
-    from lorespark.operators import outputs
-
-    chunks = D.chunks(spark, d)
-    best = retrieve.retrieve(_questions(spark, d), chunks, 1).join(chunks.select("chunk_id", "constraints", "conditions", F.col("response").alias("context")), "chunk_id")
-    return outputs.answer(_questions(spark, d).select("qid").join(best, "qid", "left"))
+    chunks = _chunks(spark, d)
+    best = retrieve.retrieve(_questions(spark, d), chunks, 1).join(chunks.select("chunk_id", "constraints", "conditions", F.col("response").alias("context")).hint("shuffle_merge"), "chunk_id")
+    x = outputs.answer(_questions(spark, d).select("qid").join(best.hint("shuffle_merge"), "qid", "left"))
+    parsed = F.from_json("raw", outputs.RESPONSE)
+    parts = F.greatest(F.size(parsed["data"]["steps"]), F.size(parsed["data"]["options"]), F.lit(0))
+    return x.select("qid", "kind", parts.cast("long").alias("parts"))
 
 
 _ASKED = r"""hw as (select conv_id, turn, role, text, string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between 20 preceding and 1 preceding) as h from conversations),
@@ -808,91 +809,142 @@ def retrieve_with_history(spark, d):
     return retrieve.retrieve(q, D.chunks(spark, d)).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 4).alias("score"))
 
 
-@query("extract_qna", r"""with l as (select conv_id, turn, role, text, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as q from conversations)
-select conv_id, count(distinct q) filter (where q > 0) as questions, string_agg(text, chr(10) order by turn) filter (where q > 0 and role <> 'user') as answers from l group by 1""")
+_QNA = D.QNA + r""", ln as (select source, heading, list_filter(list_transform(string_split(content, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') as l from sect),
+li as (select source, heading, i, l[i] as line, case when l[i] like '%?' then 1 else 0 end as q from (select *, unnest(range(1, len(l) + 1)) as i from ln)),
+lq as (select *, sum(q) over (partition by source order by i) as g from li),
+qa as (select source, heading, g, max(line) filter (where q = 1) as question, coalesce(string_agg(line, chr(10) order by i) filter (where q = 0), '') as answer from lq where g > 0 group by 1, 2, 3)"""
+_QNA_SLUG = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')[1:50], '^-|-$', '', 'g')"
+
+
+@query("extract_qna", "with " + _QNA + f" select source, {_QNA_SLUG.format('heading')} || '-overview' as chunk_id, count(*) as n_triggers, sha256(string_agg('### ' || question || chr(10) || answer, chr(10) || chr(10) order by g)) as response_hash from qa group by source, heading")
 def extract_qna(spark, d):
-    from pyspark.sql import Window
+    return outputs.extract_qna(D.qna_sections(spark, d)).select("source", "chunk_id", F.size("triggers").cast("long").alias("n_triggers"), F.sha2("response", 256).alias("response_hash"))
 
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    x = D.table(spark, d, "conversations").withColumn("q", F.sum((F.col("role") == "user").cast("int")).over(order))
-    said = F.array_sort(F.collect_list(F.when((F.col("q") > 0) & (F.col("role") != "user"), F.struct("turn", "text"))))
-    x = x.groupBy("conv_id").agg(F.count_distinct(F.when(F.col("q") > 0, F.col("q"))).alias("questions"), said.alias("said"))
-    return x.select("conv_id", "questions", F.when(F.size("said") > 0, F.array_join(F.transform("said", lambda s: s["text"]), "\n")).alias("answers"))
+
+@query("extract_qna_by_question", "with " + _QNA + f" select source, cast(g - 1 as bigint) as position, {_QNA_SLUG.format('question')} as chunk_id, question as trigger, sha256('### ' || question || chr(10) || answer) as response_hash from qa")
+def extract_qna_by_question(spark, d):
+    x = outputs.extract_qna(D.qna_sections(spark, d), per="question")
+    return x.select("source", F.col("position").cast("long").alias("position"), "chunk_id", F.col("triggers")[0].alias("trigger"), F.sha2("response", 256).alias("response_hash"))
 
 
 # Files: written by the sinks to the shared folder, then read
 
 
-@query("read_index_text", "with " + D.CHUNKS + r""" select chunk_id, source, topic, regexp_replace(summary, '^\s+|\s+$', '', 'g') as summary, array_to_string(list_transform(triggers, lambda t: regexp_replace(replace(t, '"', ''''), '^\s+|\s+$', '', 'g')), '|') as triggers, has_conditions, status from chunks""")
-def read_index_text(spark, d):
-    from lorespark.sources import files, sinks
+_INDEXED = r"""select chunk_id, source, topic, regexp_replace(summary, '^\s+|\s+$', '', 'g') as summary, array_to_string(list_transform(triggers, lambda t: regexp_replace(replace(t, '"', chr(39)), '^\s+|\s+$', '', 'g')), '|') as triggers, has_conditions, status from chunks"""
 
+
+def _index_text(spark, d):
     path = sinks.shared_folder(spark, "index")
     sinks.write_index(D.chunks(spark, d), path)
-    x = files.read_index_text(spark, path)
-    clean = F.regexp_replace("chunk_id", r"^- chunk_id:\s*", "")
-    return x.select(clean.alias("chunk_id"), "source", "topic", "summary", joined("triggers"), "has_conditions", "status")
+    return path
+
+
+@query("read_index_text", "with " + D.CHUNKS + " " + _INDEXED)
+def read_index_text(spark, d):
+    x = files.read_index_text(spark, _index_text(spark, d))
+    return x.select("chunk_id", "source", "topic", "summary", joined("triggers"), "has_conditions", "status")
+
+
+@query("write_index", "with " + D.CHUNKS + f""" select {len(kb.INDEX_HEADER)} + sum(length(array_to_string({_ENTRY_LINES}, chr(10))) + 1) as chars, 1 as headers, count(*) as entries from chunks""")
+def write_index(spark, d):
+    x = spark.read.text(_index_text(spark, d)).agg(F.sum(F.length("value") + 1).alias("chars"), F.count_if(F.col("value") == "chunks:").alias("headers"), F.count_if(F.col("value").startswith("  - chunk_id: ")).alias("entries"))
+    return x.select((F.col("chars") - 1).alias("chars"), "headers", "entries")
 
 
 @query("active_count", "with " + D.CHUNKS + " select count(*) as active from chunks where status = 'active'")
 def active_count(spark, d):
-    x = D.chunks(spark, d).select(kb.index_entry().alias("entry"))
-    return x.agg(F.coalesce(F.sum(F.regexp_count("entry", F.lit(r"(?m)^\s+status: active$"))), F.lit(0)).cast("long").alias("active"))
+    return kb.active_count(D.chunks(spark, d))
 
 
-@query("validate_index", "with " + D.CHUNKS + " select chunk_id, array_to_string(list_filter([case when not regexp_matches(chunk_id, '^[a-z0-9-]+$') then 'chunk_id' end, case when summary = '' then 'summary' end], lambda x: x is not null), '|') as issues from chunks")
+@query("validate_index", "with " + D.CHUNKS + r""" select chunk_id, array_to_string(list_filter([case when not regexp_matches(chunk_id, '^[a-z0-9-]+$') then 'chunk_id' end, case when regexp_replace(summary, '^\s+|\s+$', '', 'g') = '' then 'summary' end], lambda x: x is not null), '|') as issues from chunks""")
 def validate_index(spark, d):
-    bad = lambda c, n: F.when(c, F.lit(n))
-    issues = F.array_compact(
-        F.array(
-            bad(~F.col("chunk_id").rlike("^[a-z0-9-]+$"), "chunk_id"), bad(F.col("source") == "", "source"), bad(F.col("topic") == "", "topic"), bad(F.col("summary") == "", "summary"),
-            bad(~F.col("status").isin("active", "review", "deprecated"), "status"),
-        )
-    )
-    return D.chunks(spark, d).select("chunk_id", F.array_join(issues, "|").alias("issues"))
+    """On the entries that the index text gives."""
+    return kb.validate_index(files.read_index_text(spark, _index_text(spark, d))).select("chunk_id", joined("issues"))
 
 
-@query("read_manifest", "with " + D.MANIFEST + " select path, hash, array_to_string(chunk_ids, '|') as chunk_ids, size_bytes from manifest")
+@query("read_manifest", "with " + D.MANIFEST + " select path, hash, extracted_at, array_to_string(chunk_ids, '|') as chunk_ids, size_bytes, row_number() over (order by position) as rank from manifest")
 def read_manifest(spark, d):
-    from lorespark.sources import sinks
-    from lorespark.sources.files import MANIFEST
+    """Written in its order, and read back in it."""
+    from pyspark.sql import Window
 
     path = sinks.shared_folder(spark, "manifest")
     sinks.write_manifest(D.manifest(spark, d), path)
-    x = spark.read.text(path).select(F.explode(F.map_entries(F.from_json("value", MANIFEST))).alias("e"))
-    return x.select(F.col("e.key").alias("path"), "e.value.hash", F.array_join("e.value.chunk_ids", "|").alias("chunk_ids"), "e.value.size_bytes")
+    x = files.read_manifest(spark, path, lines=True).withColumn("rank", F.row_number().over(Window.orderBy("position")).cast("long"))
+    return x.select("path", "hash", "extracted_at", joined("chunk_ids"), "size_bytes", "rank")
+
+
+@query("read_sources", "select source, sum(strlen(text) + 1) as bytes from documents where text is not null group by 1")
+def read_sources(spark, d):
+    """The documents as text files, a folder for each source; the files' names are Spark's, so their ending is given."""
+    path = sinks.shared_folder(spark, "sources")
+    D.table(spark, d, "documents").where("text is not null").select("source", "text").write.partitionBy("source").text(path)
+    x = files.read_sources(spark, f"{path}/*", ending="txt")
+    return x.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("length").alias("bytes"))
+
+
+@query("read_chunks", "with " + D.CHUNK_MD + " select count(*) as chunks, sum(length(raw) + 1) as chars from files")
+def read_chunks(spark, d):
+    """Chunk files of many chunks each, with Spark's names and ending."""
+    path = sinks.shared_folder(spark, "chunk-files")
+    D.chunk_md(spark, d).select("raw").write.text(path)
+    x = files.read_chunks(spark, path, ending="txt")
+    return x.agg(F.sum(F.regexp_count("raw", F.lit(r"(?m)^## Context$"))).alias("chunks"), F.sum(F.length("raw")).alias("chars"))
+
+
+@query("read_gold_queries", "select text as question, 'e' || item_id as expected, 'n' as notes from benchmark")
+def read_gold_queries(spark, d):
+    """Gold queries as files of a JSON array each."""
+    path = sinks.shared_folder(spark, "gold")
+    item = F.struct(F.col("text").alias("question"), F.array(F.concat(F.lit("e"), F.col("item_id").cast("string"))).alias("expected_chunk_ids"), F.lit("n").alias("notes"))
+    x = D.table(spark, d, "benchmark").groupBy((F.col("item_id") % 10).alias("block")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    x.repartition("block").write.partitionBy("block").text(path)
+    return files.read_gold_queries(spark, path + "/*").select("question", F.col("expected_chunk_ids")[0].alias("expected"), "notes")
+
+
+@query("read_reports", f"with {_RUNS} select cast(day as varchar) || 'T00:00:' || lpad(cast(source as varchar), 2, '0') || '.000Z' as started_at, 'ingest-' || cast(day as varchar) || 'T00-00-' || lpad(cast(source as varchar), 2, '0') || '-000Z.json' as file, sum(ms) as total_ms, bool_and(success) as success, count(*) as steps from runs group by source, day")
+def read_reports(spark, d):
+    """Reports written each to its own place, and read back by name."""
+    path = sinks.shared_folder(spark, "reports")
+    sinks.write_report(_reports(spark, d).drop("broken", "source", "day"), "ingest", path)
+    return files.read_reports(spark, path).select(F.col("startedAt").alias("started_at"), "file", F.col("totalDurationMs").alias("total_ms"), "success", F.size("steps").cast("long").alias("steps"))
 
 
 @query("read_request_log", f"with {D.LOG} select req_id, epoch_us(ts) as ts_us, session_id, mode, question, duration_ms, outcome from log")
 def read_request_log(spark, d):
-    from lorespark.sources import files, sinks
-
     path = sinks.shared_folder(spark, "log")
-    D.request_log(spark, d).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    sinks.write_log(D.request_log(spark, d), path)
     return files.read_request_log(spark, path).select("req_id", F.unix_micros("ts").alias("ts_us"), "session_id", "mode", "question", "duration_ms", "outcome")
 
 
+@query("append_request_log", f"with {D.LOG} select req_id, epoch_us(ts) as ts_us, session_id, outcome from log")
+def append_request_log(spark, d):
+    """A stream over the log's files, run twice: each request is appended once."""
+    path, out, state = (sinks.shared_folder(spark, n) for n in ("stream-log", "appended", "stream-state"))
+    sinks.write_log(D.request_log(spark, d), path)
+    for _ in range(2):
+        log_stream.append_log(log_stream.read_log_stream(spark, path), out, state).awaitTermination()
+    return files.read_request_log(spark, out).select("req_id", F.unix_micros("ts").alias("ts_us"), "session_id", "outcome")
+
+
 @query("stream_log_windows", f"with {D.LOG} select epoch_us(date_trunc('hour', ts)) as hour_us, outcome, count(*) as requests from log where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from log) - interval 30 minutes group by 1, 2")
 def stream_log_windows(spark, d):
     """The hours that the watermark has closed, from a stream over the log's files."""
-    from lorespark.sources import sinks
-    from lorespark.streaming import log_stream
-
     path, out, state = (sinks.shared_folder(spark, n) for n in ("stream-log", "stream-out", "stream-state"))
-    D.request_log(spark, d).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    sinks.write_log(D.request_log(spark, d), path)
     stream = log_stream.outcome_windows(log_stream.read_log_stream(spark, path))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("hour timestamp, outcome string, requests long").parquet(out).select(F.unix_micros("hour").alias("hour_us"), "outcome", "requests")
 
 
-@query("stream_ingest", "with " + D.SOURCE_DOCS + " select distinct path, sha256(text) as hash from source_docs")
+@query("stream_ingest", "with " + D.SOURCE_DOCS + r""", x as (select path, sha256(text) as hash, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '(?i)\.pdf$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:40] as topic from source_docs where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 400)
+select distinct path, hash, topic from x""")
 def stream_ingest(spark, d):
-    """Sources by content version, through a stream run twice over the same files: the second adds nothing."""
-    from lorespark.sources import sinks
-    from lorespark.streaming import log_stream
+    """Sources to segments and index entries by content version, in a stream run twice over the same files: the second adds nothing.
 
+    Texts here have no contents page, so each is one segment under its title; those near the limit of 300 characters aren't compared.
+    """
     path, out, state = (sinks.shared_folder(spark, n) for n in ("stream-sources", "stream-ingested", "stream-state"))
-    D.source_docs(spark, d).select("path", "text").write.parquet(path)
+    D.source_docs(spark, d).where(F.length(S.strip(F.col("text"))) >= 400).select("path", "text").write.parquet(path)
     for _ in range(2):
         log_stream.ingest_sources(spark, path, out, state).awaitTermination()
-    return spark.read.schema("path string, text string, hash string, batch long").parquet(out).select("path", "hash")
+    return log_stream.ingested_index(spark, out).select("path", "hash", "topic")

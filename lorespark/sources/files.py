@@ -10,51 +10,72 @@ from lorespark.functions.scalars import normalize_related, strip
 MANIFEST = "map<string,struct<hash:string,extracted_at:string,chunk_ids:array<string>,size_bytes:bigint>>"
 
 
-def read_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content, length) of the PDF files of a folder, in any case of the ending; others are skipped."""
-    x = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+def read_sources(spark: SparkSession, folder: str, ending: str = "pdf") -> DataFrame:
+    """(path, content, length) of the source files of a folder, in any case of the ending; others are skipped."""
+    glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
+    x = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return x.select("path", "content", "length")
 
 
-def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, raw) of Markdown chunks."""
-    x = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+def read_chunks(spark: SparkSession, folder: str, ending: str = "md") -> DataFrame:
+    """(file, raw) of chunk files, each whole; a file that can't be read is left out (``skipped_chunks`` counts them)."""
+    x = spark.read.option("pathGlobFilter", f"*.{ending}").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(folder, wholetext=True)
     return x.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("raw"))
 
 
+def skipped_chunks(spark: SparkSession, folder: str, ending: str = "md") -> DataFrame:
+    """One row: how many chunk files there are, and how many of them ``read_chunks`` leaves out."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ending}").option("recursiveFileLookup", "true").load(folder).agg(F.count("path").alias("files"))
+    read = read_chunks(spark, folder, ending).agg(F.count("*").alias("read"))
+    return listed.crossJoin(F.broadcast(read)).select("files", (F.col("files") - F.col("read")).alias("skipped"))
+
+
 def read_index_text(spark: SparkSession, path: str) -> DataFrame:
     """Entries of an index text: one row per block, read in parallel; those without id or topic are dropped."""
-    b = F.col("value")
-    field = lambda p, default: F.coalesce(F.nullif(strip(F.regexp_extract(b, p, 1)), F.lit("")), F.lit(default))
-    items = lambda n: F.regexp_extract(b, rf"\n\s+{n}:\s*\n((?:\s+- .+\n?)*)", 1)
-    x = spark.read.option("lineSep", "\n  - chunk_id:").text(path).where(~strip(b).startswith("#") & (strip(b) != ""))
+    # the first block of a file still has what the others are cut at
+    b = F.regexp_replace("value", r"^\s*- chunk_id:", "")
+    field = lambda p, default: F.coalesce(F.nullif(strip(F.regexp_extract("b", p, 1)), F.lit("")), F.lit(default))
+    items = lambda n: F.regexp_extract("b", rf"\n\s+{n}:\s*\n((?:\s+- .+\n?)*)", 1)
+    x = spark.read.option("lineSep", "\n  - chunk_id:").text(path).select(b.alias("b")).where(~strip(F.col("b")).startswith("#") & (strip(F.col("b")) != ""))
     return x.select(
         field(r"^\s*([^\n]+)", "").alias("chunk_id"),
         field(r"\n\s+source:\s*(.+)", "unknown").alias("source"),
         field(r"\n\s+topic:\s*(.+)", "").alias("topic"),
         field(r"summary:\s*>\s*\n\s+(.+)", "").alias("summary"),
         F.transform(F.regexp_extract_all(items("triggers"), F.lit(r'(?m)- "?(.+?)"?\s*$'), 1), strip).alias("triggers"),
-        (F.regexp_extract(b, r"\n\s+has_conditions:\s*(true|false)", 1) == "true").alias("has_conditions"),
+        (F.regexp_extract("b", r"\n\s+has_conditions:\s*(true|false)", 1) == "true").alias("has_conditions"),
         normalize_related(F.regexp_extract_all(items("related_chunks"), F.lit(r"(?m)- (.+?)\s*$"), 1)).alias("related_chunks"),
         field(r"\n\s+status:\s*(\w+)", "active").alias("status"),
     ).where("chunk_id <> '' and topic <> ''")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, hash, extracted_at, chunk_ids, size_bytes) of JSON objects keyed by path."""
-    x = spark.read.text(path, wholetext=True).select(F.from_json("value", MANIFEST).alias("m"))
-    return x.select(F.explode(F.map_entries("m")).alias("e")).select(F.col("e.key").alias("path"), "e.value.*")
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(path, hash, extracted_at, chunk_ids, size_bytes, position) of a JSON object keyed by path, in its order.
+
+    ``lines``: of many objects, one a line; ``position`` is then that of the line's file and place.
+    """
+    x = spark.read.text(path, wholetext=not lines).select(F.from_json("value", MANIFEST).alias("m"), F.monotonically_increasing_id().alias("line"))
+    x = x.select("line", F.posexplode(F.map_entries("m")).alias("k", "e"))
+    position = (F.col("line") if lines else F.col("k").cast("long")).alias("position")
+    return x.select(F.col("e.key").alias("path"), "e.value.*", position)
 
 
 def read_gold_queries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("question string, expected_chunk_ids array<string>, notes string").json(path, multiLine=True)
+    """(question, expected_chunk_ids, notes) of files that hold a JSON array each."""
+    item = "array<struct<question:string,expected_chunk_ids:array<string>,notes:string>>"
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", item)).alias("q")).select("q.*")
+
+
+STEP = "struct<step:string,success:boolean,durationMs:bigint,output:string,error:string>"
+REPORT = f"startedAt string, sources array<string>, steps array<{STEP}>, chunksInKB bigint, totalDurationMs bigint, success boolean"
 
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Run reports, files ``ingest-*.json`` only; corrupt ones are skipped."""
-    schema = "startedAt string, sources array<string>, steps array<struct<step:string,success:boolean,durationMs:bigint>>, totalDurationMs bigint, success boolean, broken string"
-    x = spark.read.schema(schema).option("pathGlobFilter", "ingest-*.json").json(folder, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken")
-    return x.where("broken is null").drop("broken")
+def read_reports(spark: SparkSession, folder: str, kind: str = "ingest", corrupt: bool = False) -> DataFrame:
+    """(file, startedAt, ...) of reports, files or folders named ``kind-*.json``; corrupt ones only where asked for, then with ``broken``."""
+    x = spark.read.schema(f"{REPORT}, broken string").option("recursiveFileLookup", "true").json(folder, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken")
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"(?:^|/|=)({kind}-[^/]*\.json)(?:/[^/]*)?$", 1)
+    x = x.withColumn("file", name).where("file <> ''")
+    return x if corrupt else x.where("broken is null").drop("broken")
 
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:

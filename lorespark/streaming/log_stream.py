@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions.scalars import base_name, chunk_id, root_title, strip
+from lorespark.operators.segment import segments
+
 LOG_SCHEMA = "req_id long, ts timestamp, session_id long, mode string, question string, duration_ms long, outcome string"
 
 
@@ -26,18 +29,51 @@ def session_windows(stream: DataFrame, idle: str = "30 minutes", late: str = "30
 
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """Append-only NDJSON of requests, exactly once by the checkpoint."""
-    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    form = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    return stream.writeStream.format("json").option("timestampFormat", form).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+SOURCE = "path string, text string"
+INGESTED = f"{SOURCE}, hash string, batch long"
+
+
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """(path, text, hash, batch): every content version of a source that came in."""
+    return spark.read.schema(INGESTED).parquet(f"{out}/versions/batch=*")
+
+
+def ingested_index(spark: SparkSession, out: str) -> DataFrame:
+    """(path, hash, chunk_id, topic, summary, batch): the segments' index entries of the latest version of each source."""
+    x = spark.read.schema("path string, hash string, chunk_id string, topic string, summary string, batch long").parquet(f"{out}/entries/batch=*")
+    latest = ingested(spark, out).groupBy("path").agg(F.max_by("hash", F.struct("batch", "hash")).alias("hash"))
+    return x.join(latest.hint("shuffle_merge"), ["path", "hash"], "left_semi")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
 
+def ingest_sources(spark: SparkSession, source: str, out: str, checkpoint: str, least: int = 300):
+    """New source files (Parquet of path, text) to segments and index entries, once for each content version.
 
-def ingest_sources(spark: SparkSession, source: str, out: str, checkpoint: str):
-    """New source files (Parquet of path, text) to rows by content version, once each: appended where (path, hash) is new."""
-    stream = spark.readStream.schema("path string, text string").parquet(source)
+    Each batch overwrites its own folders, so one that comes again after a failure leaves
+    nothing twice; versions of other batches are left out by (path, hash).
+    """
+    stream = spark.readStream.schema(SOURCE).parquet(source)
 
     def one(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
         new = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["path", "hash"])
-        have = batch.sparkSession.read.schema("path string, text string, hash string, batch long").parquet(out) if number else None
-        if have is not None:
-            new = new.join(have.select("path", "hash"), ["path", "hash"], "left_anti")
-        new.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(out)
+        if _exists(s, f"{out}/versions/batch=*"):
+            other = ingested(s, out).where(F.col("batch") != number).select("path", "hash")
+            new = new.join(other.hint("shuffle_merge"), ["path", "hash"], "left_anti")
+        own = f"{out}/versions/batch={number}"
+        new.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(own)
+        rows = s.read.schema(INGESTED).parquet(own).withColumn("doc_id", F.col("hash"))
+        segs = segments(rows, root_title(base_name(F.col("path"))), least=least, keep=("path", "hash", "batch"))
+        entries = segs.select("path", "hash", chunk_id(F.col("path"), F.col("heading")).alias("chunk_id"), F.col("heading").alias("topic"), strip(F.split("content", r"[.!?]\s+")[0]).alias("summary"), "batch")
+        entries.dropDuplicates(["path", "hash", "chunk_id"]).write.mode("overwrite").parquet(f"{out}/entries/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,7 +2,7 @@
 
 import json
 
-from lorespark.operators import requests
+from lorespark.operators import kb, requests
 from lorespark.sources import files, sinks
 from lorespark.streaming import log_stream
 from pyspark.sql import functions as F
@@ -27,14 +27,40 @@ def test_reports_skip_corrupt_files(spark, tmp_path):
     (tmp_path / "ingest-2.json").write_text("{broken")
     (tmp_path / "other.json").write_text(json.dumps(good))
     got = files.read_reports(spark, str(tmp_path)).collect()
-    assert len(got) == 1 and got[0].steps[0].step == "extract"
+    assert len(got) == 1 and got[0].steps[0].step == "extract" and got[0].file == "ingest-1.json"
+    assert sorted((r.file, r.broken is None) for r in files.read_reports(spark, str(tmp_path), corrupt=True).collect()) == [("ingest-1.json", True), ("ingest-2.json", False)]
 
 
 def test_gold_and_manifest(spark, tmp_path):
     (tmp_path / "gold.json").write_text(json.dumps([{"question": "q", "expected_chunk_ids": ["a", "b"]}, {"question": "r", "expected_chunk_ids": [], "notes": "n"}]))
     assert [(r.question, r.expected_chunk_ids, r.notes) for r in files.read_gold_queries(spark, str(tmp_path / "gold.json")).collect()] == [("q", ["a", "b"], None), ("r", [], "n")]
     (tmp_path / "m.json").write_text(json.dumps({"a.pdf": {"hash": "h", "extracted_at": "t", "chunk_ids": ["c"], "size_bytes": 9}}, indent=1))
-    assert [(r.path, r.hash, r.chunk_ids, r.size_bytes) for r in files.read_manifest(spark, str(tmp_path / "m.json")).collect()] == [("a.pdf", "h", ["c"], 9)]
+    got = files.read_manifest(spark, str(tmp_path / "m.json")).collect()
+    assert [(r.path, r.hash, r.extracted_at, r.chunk_ids, r.size_bytes, r.position) for r in got] == [("a.pdf", "h", "t", ["c"], 9, 0)]
+
+
+def test_index_text_round_trip(spark, tmp_path):
+    rows = [(i, "s", "T " + i, "sum", ['say "x"', "b"], False, ["r"], "active") for i in ("b", "a")]
+    x = spark.createDataFrame(rows, "chunk_id string, source string, topic string, summary string, triggers array<string>, has_conditions boolean, related_chunks array<string>, status string")
+    sinks.write_index(x.repartition(2), str(tmp_path / "i"))
+    parts = sorted((tmp_path / "i").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    assert text.startswith(kb.INDEX_HEADER + "\n  - chunk_id: a\n") and text.index("chunk_id: a") < text.index("chunk_id: b")
+    got = sorted(tuple(r) for r in files.read_index_text(spark, str(tmp_path / "i")).collect())
+    assert got == [("a", "s", "T a", "sum", ["say 'x'", "b"], False, ["r"], "active"), ("b", "s", "T b", "sum", ["say 'x'", "b"], False, ["r"], "active")]
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    """The state is lost after the first run, so all files come again as batch 0; a new version and its segments come in once."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.createDataFrame([("a.pdf", "old " * 100), ("b.pdf", "text " * 100)], "path string, text string").write.parquet(src)
+    log_stream.ingest_sources(spark, src, out, str(tmp_path / "s1")).awaitTermination()
+    log_stream.ingest_sources(spark, src, out, str(tmp_path / "s2")).awaitTermination()
+    assert log_stream.ingested(spark, out).count() == 2 and log_stream.ingested_index(spark, out).count() == 2
+    spark.createDataFrame([("a.pdf", "new " * 100)], "path string, text string").write.mode("append").parquet(src)
+    log_stream.ingest_sources(spark, src, out, str(tmp_path / "s2")).awaitTermination()
+    assert log_stream.ingested(spark, out).count() == 3
+    assert {(r.path, r.topic, r.summary[:4].strip()) for r in log_stream.ingested_index(spark, out).collect()} == {("a.pdf", "a", "new"), ("b.pdf", "b", "text")}
 
 
 def test_report_name(spark):
