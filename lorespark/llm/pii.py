@@ -42,18 +42,20 @@ from lorespark.llm.common import written
 MOST = 100_000
 _KINDS = ArrayType(StringType())
 
-_HINT = re.compile("[0-9@]|password|passwd|pwd|token|secret|api[_-]?key|[a-f]:[a-f:]", re.I)  # all that the pattern can match has one of these
+_DIGIT = re.compile("[0-9]")
+_KEYWORDS = ("password", "passwd", "pwd", "token", "secret", "apikey", "api-key", "api_key")
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"""
     r"""|(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b)\s*[=:]\s*["']?(?P<secret>[A-Za-z0-9+/_-]{8,})"""
-    r"""|(?P<mac>(?<![\w:-])[0-9A-Fa-f]{2}(?P<by>[:-])(?:[0-9A-Fa-f]{2}(?P=by)){4}[0-9A-Fa-f]{2}(?![\w:-]))"""
-    r"""|(?P<ip6>(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))"""
     r"""|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"""
     r"""|(?P<card>(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w-]))"""
     r"""|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"""
     r"""|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9]))"""
     r"""|(?P<phone>(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-]))"""
 )
+#: By the sign between their parts: looked for only where a text has enough of these.
+_COLONS = re.compile(r"(?P<mac>(?<![\w:-])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:-]))|(?P<ip6>(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))")
+_HYPHENS = re.compile(r"(?P<mac>(?<![\w:-])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![\w:-]))")
 #: Titles by gender, and syllables and endings by script to make names of.
 TITLES = {
     "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "господин", "г-н"),
@@ -198,17 +200,20 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     out = []
-    if _HINT.search(text):
-        for m in _PATTERN.finditer(text):
-            kind = m.lastgroup
+    low = text.lower()
+    if "@" in text or _DIGIT.search(text) or any(w in low for w in _KEYWORDS):  # all that the pattern can match has one of these
+        out += [(*m.span(m.lastgroup), m.lastgroup, normalised(m.lastgroup, m[m.lastgroup])) for m in _PATTERN.finditer(text)]
+    for pattern in [_COLONS] * (text.count(":") > 1) + [_HYPHENS] * (text.count("-") > 4):
+        for m in pattern.finditer(text):
+            kind, value = m.lastgroup, m[m.lastgroup]
             if kind == "ip6":
+                if len(value) < 4 or value.count(":") < 4 and not re.search("[0-9]", value):  # ::1, a::b
+                    continue
                 try:
-                    ipaddress.IPv6Address(m[kind])
+                    ipaddress.IPv6Address(value)
                 except ValueError:  # a time of day, a list of numbers
                     continue
-                if m[kind].count(":") < 4 and not re.search("[0-9]", m[kind]) or len(m[kind]) < 4:  # a::b, ::1
-                    continue
-            out.append((*m.span(kind), kind, normalised(kind, m[kind])))
+            out.append((*m.span(kind), kind, normalised(kind, value)))
     if any(t in text for t in _TITLE_GENDER):
         out += _names(text)
     out.sort(key=lambda e: (e[0], -e[1]))
@@ -261,7 +266,8 @@ def draws(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
 
     ``own`` is the kind under which it is drawn; given names are of one kind here.
     """
-    found = written(_resolved(docs.select(F.col("text").cast("string")).mapInArrow(_found, "kind string, value string").distinct()), "entities")
+    found = docs.select(F.col("text").cast("string")).mapInArrow(_found, "kind string, value string").distinct()
+    found = written(_resolved(written(found, "found")), "entities")
     schema = "kind string, value string, attempt int, surrogate string"
     first = found.select(F.col("own").alias("kind"), "value").distinct().withColumn("attempt", F.lit(0))
     table = written(first.mapInArrow(_drawn(key), schema), "surrogates")
