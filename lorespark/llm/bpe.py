@@ -14,8 +14,9 @@ tokens' strings, which become those tokens. The vocabulary's path is a
 parameter; a task loads it once in its Python worker.
 
 Defined results. Null counts as empty: no tokens, both digests of "". Repeated
-rows give equal rows, an empty table no rows; other columns are ignored. A
-word's length is bounded only by its text.
+rows give equal rows, an empty table no rows; other columns are ignored. A very long
+text is encoded whole, and so is a word as long as its text. What a worker remembers is
+bounded in bytes; it changes no result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.memo import held
 
-CACHED = 700_000
+CACHED = 220_000_000  # bytes that a generation of remembered encodings takes, about: two of them a worker
+EACH = 250  # of which an entry's objects, beside its letters
 #: White space as the normalizer has it; str.split also cuts at \x1c-\x1f.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -195,32 +197,38 @@ def encoder(path: str) -> Cached:
 
 
 class Cached:
-    """Encodings of chunks: two generations of at most ``CACHED`` each."""
+    """Encodings of chunks: two generations of about ``CACHED`` bytes each."""
 
-    def __init__(self, path: str):
-        self.bpe = TrieBPE(path)
+    def __init__(self, path: str, most: int = CACHED):
+        self.bpe, self.most, self.size = TrieBPE(path), most, 0
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
     def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
         """(number of tokens, their ids, their strings) of every chunk."""
-        out, new = {}, {}
+        out, new, more = {}, {}, {}
         for c in chunks:
-            got = self.young.get(c) or self.old.get(c)
-            if got is None:
-                new[c] = self.bpe.words_of(c)
-            else:
+            got = self.young.get(c)
+            if got is not None:
                 out[c] = got
+            elif (got := self.old.get(c)) is not None:
+                more[c] = got
+            else:
+                new[c] = self.bpe.words_of(c)
         if new:
             ids = self.bpe.encode_words({w for ws in new.values() for w in ws if isinstance(w, str)})
             strings = self.bpe.strings
             for c, ws in new.items():
                 t = [i for w in ws for i in (ids[w] if isinstance(w, str) else (w,))]
-                out[c] = (len(t), " ".join(map(str, t)), " ".join([strings[i] for i in t]))
-        if len(self.young) + len(out) > CACHED:
-            self.old, self.young = self.young, {}
-        if len(out) <= CACHED:
-            self.young.update(out)
+                more[c] = (len(t), " ".join(map(str, t)), " ".join([strings[i] for i in t]))
+        if more:
+            size = sum([EACH + len(c) + len(x[1]) + len(x[2]) for c, x in more.items()])
+            if self.size + size > self.most:
+                self.old, self.young, self.size = self.young, {}, 0
+            if size <= self.most:
+                self.young.update(more)
+                self.size += size
+            out.update(more)
         return out
 
 

@@ -130,6 +130,19 @@ def test_bpe_equals_the_library(spark):
     assert token_histogram.length_histogram(bpe.token_counts(docs.limit(0), path)).count() == 0
 
 
+def test_remembered_encodings_are_bounded(spark):
+    bpe_of = bpe.Cached(common.vocabulary("word_bpe_49k.json"), most=4000)
+    plain = bpe.TrieBPE(common.vocabulary("word_bpe_49k.json"))
+    rng = random.Random(3)
+    for _ in range(12):
+        chunks = {pseudo(rng, 1, 300) for _ in range(30)} | {"x" * 5000}
+        got = bpe_of.learn(chunks)
+        assert set(got) == chunks and bpe_of.size <= 4000 and len(bpe_of.young) + len(bpe_of.old) < 40
+        for c in chunks:
+            ids = plain.encode_words({w for w in plain.words_of(c) if isinstance(w, str)})
+            assert got[c][1] == " ".join(str(i) for w in plain.words_of(c) for i in ids[w])
+
+
 @pytest.mark.parametrize("most", [10**6, 5])
 def test_decontamination_equals_brute_force(spark, most):
     rng = random.Random(8)
