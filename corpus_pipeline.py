@@ -1,8 +1,8 @@
 """The corpus pipeline: documents through five operators, each stage written as Parquet and reread.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of
-``documents``. Nulls, empty texts and empty tables pass through as each
-operator's docstring states.
+``documents`` as they came, whatever their names and nulls in them. A table without rows
+gives none at every stage. Documents without an id go on like others.
 """
 
 from __future__ import annotations
@@ -20,32 +20,49 @@ from lorespark.session import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; labels outside the held-out fold are learned from."""
+    """Documents predicted toxic go; labels outside the held-out fold are learned from.
+
+    Null and empty texts get the score of texts without words; rows that repeat an id are
+    judged each; a very long text is read whole; without labels of both kinds all have one score.
+    """
     ship(spark)
     return without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
+    """Of each group of near copies, the document with the smallest doc_id stays.
+
+    Null and word-less texts are nobody's copies; rows that repeat an id stay or go together; a
+    similarity of exactly the threshold links; a very long text is compared as a whole.
+    """
     ship(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null texts hold none; rows that repeat an id are judged each; a very long text is scanned whole.
+    """
     ship(spark)
     return clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities become surrogates; n_chars follows the new text."""
+    """Entities become surrogates under the session's key; n_chars follows the new text.
+
+    Null stays null, empty stays empty; equal rows become equal rows; a very long text is read whole.
+    """
     ship(spark)
     out = pseudonymised(docs, session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: number of tokens and the digests of ids and decoded text."""
+    """Per document: number of tokens and the digests of ids and decoded text.
+
+    Null counts as empty; rows that repeat an id are encoded each; a very long text is encoded whole.
+    """
     ship(spark)
     return encode_decode(docs, vocabulary("word_bpe_49k.json"))
 
