@@ -128,7 +128,7 @@ def _set_name(c: Column) -> list[Column]:
     return [F.xxhash64(c).alias("s1"), F.xxhash64(c, F.lit(1)).alias("s2")]
 
 
-def relate_pairs(index: DataFrame, least: float = 0.5, stop: float = 0.2, few: int = 100) -> DataFrame:
+def relate_pairs(index: DataFrame, least: float = 0.5, stop: float = 0.02, few: int = 50) -> DataFrame:
     """(a, b, jaccard): for active chunks, candidates for the most related ones by topic and trigger words.
 
     Words of more than the share ``stop`` of all chunks (and more than ``few``) aren't words of any set. Chunks
@@ -165,7 +165,7 @@ def relate_pairs(index: DataFrame, least: float = 0.5, stop: float = 0.2, few: i
     return both.unionByName(alike.withColumn("jaccard", F.lit(1.0)))
 
 
-def relate_clusters(index: DataFrame, least: float = 0.5, stop: float = 0.2, few: int = 100) -> DataFrame:
+def relate_clusters(index: DataFrame, least: float = 0.5, stop: float = 0.02, few: int = 50) -> DataFrame:
     """(cluster, id): disjoint clusters of 2 to 4: mutual best pairs, and up to two that are nearest to a member."""
     order = Window.partitionBy("a").orderBy(F.desc("jaccard"), "b")
     best = relate_pairs(index, least, stop, few).withColumn("r", F.row_number().over(order)).where("r = 1").select("a", "b", "jaccard")

@@ -576,7 +576,7 @@ def dangling_related(spark, d):
 
 
 _PAIRS = D.CHUNKS + r""", r0 as (select chunk_id, unnest(""" + _TOK.format("topic || ' ' || array_to_string(triggers, ' ')") + r""") as token from chunks where status = 'active'),
-rt as (select * from r0 where token in (select token from r0 group by 1 having count(*) <= greatest(100, 0.2 * (select count(*) from chunks where status = 'active')))), sz as (select chunk_id, count(*) as n from rt group by 1),
+rt as (select * from r0 where token in (select token from r0 group by 1 having count(*) <= greatest(50, 0.02 * (select count(*) from chunks where status = 'active')))), sz as (select chunk_id, count(*) as n from rt group by 1),
 pr as (select a.chunk_id as a, b.chunk_id as b, count(*) as c from rt a join rt b on a.token = b.token and a.chunk_id < b.chunk_id group by 1, 2),
 jp as (select a, b, round(c / cast(x.n + y.n - c as double), 6) as jaccard from pr join sz x on x.chunk_id = a join sz y on y.chunk_id = b), jl as (select * from jp where jaccard >= 0.5),
 bo as (select a, b, jaccard from jl union all select b, a, jaccard from jl), be as (select * from (select *, row_number() over (partition by a order by jaccard desc, b) as r from bo) where r = 1),
