@@ -129,7 +129,7 @@ def validate_chunks(files: DataFrame) -> DataFrame:
 def mark_review(files: DataFrame, results: DataFrame) -> DataFrame:
     """Raw texts, in which failed chunks' first status line says review."""
     failed = results.where("not passed").select("file", F.lit(True).alias("failed"))
-    x = files.join(failed, "file", "left")
+    x = files.join(failed.hint("shuffle_merge"), "file", "left")
     at = F.regexp_instr("raw", F.lit(r"(?m)^status:.*$"))
     line = F.regexp_substr("raw", F.lit(r"(?m)^status:.*$"))
     marked = F.concat(F.substr("raw", F.lit(1), at - 1), F.lit("status: review"), F.substr("raw", at + F.length(line)))
@@ -241,14 +241,14 @@ def hash_sources(docs: DataFrame) -> DataFrame:
 def changed_sources(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     """(path, label): unchanged only with an equal hash and chunks on record."""
     old = manifest.select("path", F.col("hash").alias("old"), F.size("chunk_ids").alias("n"))
-    x = hash_sources(docs).join(old, "path", "left")
+    x = hash_sources(docs).join(old.hint("shuffle_merge"), "path", "left")
     label = F.when(F.col("old").isNull(), "new").when((F.col("old") == F.col("hash")) & (F.col("n") > 0), "unchanged").otherwise("changed")
     return x.select("path", label.alias("label"))
 
 
 def drop_stale(index: DataFrame, manifest: DataFrame, changed: DataFrame) -> DataFrame:
     """The index without chunks of older versions of changed sources."""
-    stale = manifest.join(changed.where("label = 'changed'"), "path", "left_semi").select(F.explode("chunk_ids").alias("chunk_id"))
+    stale = manifest.join(changed.where("label = 'changed'").hint("shuffle_merge"), "path", "left_semi").select(F.explode("chunk_ids").alias("chunk_id"))
     return index.join(stale.hint("shuffle_merge"), "chunk_id", "left_anti")
 
 
@@ -276,12 +276,12 @@ def upsert_counts(upserted: DataFrame) -> DataFrame:
 def record_extraction(manifest: DataFrame, run: DataFrame) -> DataFrame:
     """Rows of sources that produced chunks replace the old ones; others keep theirs."""
     done = run.where("size(chunk_ids) > 0")
-    return manifest.join(done, "path", "left_anti").unionByName(done)
+    return manifest.join(done.hint("shuffle_merge"), "path", "left_anti").unionByName(done)
 
 
 def chunk_ids_for_source(paths: DataFrame, manifest: DataFrame) -> DataFrame:
     """``paths`` with ``chunk_ids``: empty where the manifest doesn't have the path."""
-    return paths.join(manifest.select("path", "chunk_ids"), "path", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+    return paths.join(manifest.select("path", "chunk_ids").hint("shuffle_merge"), "path", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
 
 
 def source_for_chunk(manifest: DataFrame, policy: str = "first") -> DataFrame:

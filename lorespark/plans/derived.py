@@ -75,7 +75,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     doc = F.regexp_extract("source", r"doc-(\d+)\.pdf$", 1).cast("long")
     status = F.when(F.col("toxic") == 1, "deprecated").when(F.col("quality") == 0, "review").otherwise("active")
-    x = x.withColumn("doc_id", doc).join(labels, "doc_id", "left").withColumn("status", status).drop("toxic", "quality")
+    x = x.withColumn("doc_id", doc).join(labels.hint("shuffle_merge"), "doc_id", "left").withColumn("status", status).drop("toxic", "quality")
     return x.withColumn("related_chunks", F.array().cast("array<string>"))
 
 

@@ -572,7 +572,7 @@ def related_edges(spark, d):
 @query("dangling_related", _RELATED + ", e as (select chunk_id, unnest(related) as related_id from rel) select chunk_id, related_id from e where related_id not in (select 'v' || vec_id from embeddings where vec_id % 4 <> 0)")
 def dangling_related(spark, d):
     active = D.table(spark, d, "embeddings").where("vec_id % 4 <> 0").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("related_id"))
-    return related_edges(spark, d).join(active, "related_id", "left_anti").select("chunk_id", "related_id")
+    return related_edges(spark, d).join(active.hint("shuffle_merge"), "related_id", "left_anti").select("chunk_id", "related_id")
 
 
 _PAIRS = D.CHUNKS + r""", r0 as (select chunk_id, unnest(""" + _TOK.format("topic || ' ' || array_to_string(triggers, ' ')") + r""") as token from chunks where status = 'active'),
@@ -804,7 +804,7 @@ _POST_HISTORY = _POST.replace(_POST[_POST.index("qs as (") : _POST.index(", qt a
 @query("retrieve_with_history", "with " + D.CHUNKS + _POST_HISTORY + " select qid, rank, chunk_id, score from rk")
 def retrieve_with_history(spark, d):
     h = requests.history_window(D.table(spark, d, "conversations"))
-    asked = D.table(spark, d, "conversations").join(h, ["conv_id", "turn"])
+    asked = D.table(spark, d, "conversations").join(h.hint("shuffle_merge"), ["conv_id", "turn"])
     q = asked.groupBy("conv_id").agg(F.max_by(F.concat_ws(" ", "text", "history"), "turn").alias("question")).withColumnRenamed("conv_id", "qid")
     return retrieve.retrieve(q, D.chunks(spark, d)).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
