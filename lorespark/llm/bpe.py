@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lorespark.llm.memo import held
 
-CACHED = 150_000_000  # bytes that a generation of remembered encodings takes, about: two of them a worker
+CACHED = 120_000_000  # bytes that a generation of remembered encodings takes, about: two of them a worker
 EACH = 250  # of which an entry's objects, beside its letters
 #: White space as the normalizer has it; str.split also cuts at \x1c-\x1f.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import written
+from lorespark.llm.memo import let_go
 
 WIDTH = 10
 MOST = 400_000  # windows broadcast at a time
@@ -115,6 +116,7 @@ class WindowSet:
 
 def _scan(windows):
     def run(batches):
+        let_go()
         own = windows.value
         for batch in batches:
             ns, at, items = [], [], []
@@ -214,6 +216,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", widt
             continue
 
         def run(batches, windows=windows):
+            let_go()
             own = windows.value
             for batch in batches:
                 texts = batch.column(column).to_pylist()

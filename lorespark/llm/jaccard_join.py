@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import components, partitions_for, written
+from lorespark.llm.memo import let_go
 from lorespark.llm.shingles import bitmap, overlap, set_id, shingle_hashes, width_for
 from lorespark.llm.sigtree import best_partners, build, dual_traversal
 
@@ -55,6 +56,7 @@ def _scan(share: float):
     """(doc_id, n, cls) of each document and, in rows with n = -1, (token, count) of frequent tokens."""
 
     def run(batches):
+        let_go()
         held, size, done = [], 0, set()
 
         def frequent():
@@ -112,6 +114,7 @@ def _prefixes(frequent, num: int, den: int):
     """(key, n, cls): the prefix tokens of each class, frequent tokens last."""
 
     def run(batches):
+        let_go()
         late, keys, cls, ns, size = frequent.value, [], [], [], 0
 
         def out():
@@ -153,6 +156,7 @@ def _shared(num: int, den: int):
     """
 
     def run(batches):
+        let_go()
         last = None  # the last row, its hub and whether it is out already
         for batch in batches:
             k, n, c = (batch.column(i).to_numpy() for i in range(3))
@@ -190,6 +194,7 @@ def _class_rows(needed, per: int):
     """(cls, text, bits) of the classes that the filter lets through."""
 
     def run(batches):
+        let_go()
         wanted, cls, texts, maps, size = needed.value, [], [], [], 0
 
         def out():
@@ -222,6 +227,7 @@ def _filter_of(classes: DataFrame):
 
 def _verify(num: int, den: int):
     def run(batches):
+        let_go()
         seen = None, None  # rows come sorted by b: its set is made once
         for batch in batches:
             keep = []
@@ -272,6 +278,7 @@ def _search(num: int, den: int, traversal):
                 yield (a[2], b[2], a[3], b[3], most) if a[2] < b[2] else (b[2], a[2], b[3], a[3], most)
 
     def run(batches):
+        let_go()
         key, rows, done = None, [], set()
 
         def found():

@@ -17,10 +17,15 @@ def held(key: Hashable, make: Callable[[], T]) -> T:
     return _held[key]
 
 
+def let_go() -> None:
+    """For tasks that keep nothing themselves: what another operator left in this worker goes."""
+    _held.clear()
+
+
 class Memo:
     """Two generations of at most ``most`` chunks each; the older goes when the younger is full."""
 
-    def __init__(self, learn: Callable[[str], int], most: int = 400_000):
+    def __init__(self, learn: Callable[[str], int], most: int = 200_000):
         self.learn, self.most = learn, most
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
