@@ -192,8 +192,8 @@ class TrieBPE:
         return out
 
 
-def encoder(path: str) -> Cached:
-    return held(("bpe", path), lambda: Cached(path))
+def encoder(path: str, most: int = CACHED) -> Cached:
+    return held(("bpe", path, most), lambda: Cached(path, most))
 
 
 class Cached:
@@ -254,11 +254,11 @@ def _digest(parts: list[str]) -> str:
     return hashlib.sha256(" ".join(p for p in parts if p).encode()).hexdigest()
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. No shuffle."""
+def encode_decode(docs: DataFrame, path: str, most: int = CACHED) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. No shuffle. ``most``: bytes of a generation of remembered encodings."""
 
     def run(batches):
-        own = encoder(path)
+        own = encoder(path, most)
         for batch in batches:
             for rows, lists in _blocks(batch, 1):
                 known = own.learn({c for x in lists for c in x})
