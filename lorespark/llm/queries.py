@@ -14,9 +14,12 @@ from lorespark.llm.html_extract import extract
 from lorespark.llm.jaccard_join import jaccard_components
 from lorespark.llm.language_id import identified
 from lorespark.llm.license_scan import scan_licenses
+from lorespark.llm.mixing import mixed
 from lorespark.llm.pii import pseudonymised, session_key
+from lorespark.llm.spelling import spelling_groups
 from lorespark.llm.token_histogram import length_histogram
 from lorespark.llm.toxicity import scored
+from lorespark.llm.whitening import whitened
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -70,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_whitening": op11_whitening,
+    "op12_spelling": op12_spelling,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
