@@ -1,11 +1,18 @@
-"""Ranking chunks for tables of questions, contexts and answers, and relating chunks, over inverted indexes."""
+"""Ranking chunks for tables of questions, contexts around them, and how well the right ones are found."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import insort
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.scalars import base_name, tokens
+from lorespark.operators.requests import history_window
 from lorespark.sources.sinks import written
 
 SENT = 200_000  # rows of a counted table that are broadcast; more are shuffled
@@ -16,35 +23,142 @@ def sent(x: DataFrame) -> DataFrame:
     return F.broadcast(x) if x.count() <= SENT else x.hint("shuffle_merge")
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """(token, chunk_id, w): a token's weight in a chunk, topic 3, triggers 2, summary 1. Row by row, without a shuffle."""
+def weighted_tokens(index: DataFrame) -> DataFrame:
+    """(chunk_id, tokens, weights): all postings of a chunk in its own row; a token counts 3 in the topic, 2 in triggers, 1 in the summary. No shuffle."""
     x = index.select("chunk_id", tokens(F.col("topic")).alias("a"), tokens(F.array_join("triggers", " ")).alias("b"), tokens(F.col("summary")).alias("c"))
-    told = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
-    x = x.select("chunk_id", F.explode_outer(F.concat(told("a", 3), told("b", 2), told("c", 1))).alias("p"))
-    return x.where("p is not null").select("p.token", "chunk_id", "p.w")
+    parts = [F.coalesce(c, F.array().cast("array<string>")) for c in ("a", "b", "c")]
+    weight = lambda c, w: F.transform(c, lambda t: F.lit(w))
+    return x.select("chunk_id", F.concat(*parts).alias("tokens"), F.concat(*(weight(c, w) for c, w in zip(parts, (3, 2, 1), strict=True))).alias("weights"))
+
+
+class Asked:
+    """Questions' weighted tokens, by token: what a task scores chunks with."""
+
+    def __init__(self, rows: pa.Table):
+        self.questions = pc.unique(rows.column("qid"))
+        q = pc.index_in(rows.column("qid"), self.questions).to_numpy()
+        words, word = np.unique(np.array(rows.column("token").to_pylist(), object), return_inverse=True)
+        order = np.argsort(word, kind="stable")
+        self.words = {w: k for k, w in enumerate(words)}
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
+        self.question, self.idf = q[order], rows.column("idf").to_numpy()[order]
+
+    def scores(self, tokens: list[list[str]], weights: list[list[int]]) -> np.ndarray:
+        """A row a chunk, a column a question."""
+        n = len(self.questions)
+        at = [(r, self.words[t], w) for r, (ts, ws) in enumerate(zip(tokens, weights, strict=True)) for t, w in zip(ts, ws, strict=True) if t in self.words]
+        if not at:
+            return np.zeros((len(tokens), n))
+        row, word, weight = (np.array(c) for c in zip(*at, strict=True))
+        many = self.start[word + 1] - self.start[word]
+        each = np.repeat(np.arange(len(at)), many)
+        entry = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + self.start[word][each]
+        return np.bincount(row[each] * n + self.question[entry], weight[each] * self.idf[entry], len(tokens) * n).reshape(len(tokens), n)
+
+
+CELLS = 2_000_000  # scores that a task holds at once
+
+
+def _best_of_task(asked, k: int):
+    """(qid, chunk_id, score): for each question the task's k best chunks. What a task holds: scores of one block, k places a question."""
+
+    def run(batches):
+        told = asked.value
+        n = len(told.questions)
+        best: list[list[tuple[float, str]]] = [[] for _ in range(n)]  # (-score, chunk_id), sorted
+        least = np.zeros(n)  # the score to reach
+        for batch in batches:
+            size = max(1, CELLS // n)
+            for at in range(0, batch.num_rows, size):
+                ids, tokens, weights = (c.to_pylist() for c in batch.slice(at, size).columns)
+                score = told.scores(tokens, weights)
+                if len(ids) > k:
+                    kth = np.partition(score, len(ids) - k, axis=0)[len(ids) - k]
+                    floor = np.maximum(least, kth - 1e-6)
+                else:
+                    floor = least
+                row, question = np.nonzero((score > 0) & (score >= floor - 1e-6))
+                for q, s, r in zip(question.tolist(), (np.floor(score[row, question] * 1e6 + 0.5) / 1e6).tolist(), row.tolist(), strict=True):
+                    places, new = best[q], (-s, ids[r])
+                    if len(places) == k:
+                        if new >= places[-1]:
+                            continue
+                        places.pop()
+                    insort(places, new)
+                    if len(places) == k:
+                        least[q] = -places[-1][0]
+        flat = [(q, i, -s) for q, places in enumerate(best) for s, i in places]
+        if flat:
+            q, i, s = zip(*flat, strict=True)
+            yield pa.RecordBatch.from_arrays([told.questions.take(pa.array(q)), pa.array(i, pa.string()), pa.array(s)], names=["qid", "chunk_id", "score"])
+
+    return run
+
+
+def sliced(rows: DataFrame, key: str, most: int = SENT) -> list[DataFrame]:
+    """``rows`` by whole keys in slices of at most ``most`` counted rows (or one key); the number doubles until that holds."""
+    total, n = rows.count(), 1
+    if total <= most:
+        return [rows] if total else []
+    n = 1 << (-(-total // most) - 1).bit_length()
+    while True:
+        part = F.pmod(F.xxhash64(key), F.lit(n))
+        got = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(key) != F.max(key))
+        if got.where((F.col("n") > most) & F.col(got.columns[2])).isEmpty():
+            return [rows.where(part == r["part"]) for r in got.select("part").collect()]  # a row a slice
+        n *= 2
+
+
+def best_of_tasks(asked: DataFrame, index: DataFrame, k: int, most: int = SENT) -> DataFrame:
+    """(qid, chunk_id, score): of every task over ``index``, the k best chunks of each question of the written ``asked(qid, token, idf)``.
+
+    A slice of the questions is broadcast at a time, and the index scanned for it; at most k rows a
+    question and task come out.
+    """
+    spark, kind = index.sparkSession, asked.schema["qid"].dataType.simpleString()
+    x, out = weighted_tokens(index), None
+    for part in sliced(asked, "qid", most):
+        told = spark.sparkContext.broadcast(Asked(part.toArrow()))
+        found = x.mapInArrow(_best_of_task(told, k), f"qid {kind}, chunk_id string, score double")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], f"qid {kind}, chunk_id string, score double")
+
+
+def asked_weights(questions: DataFrame, active: DataFrame) -> DataFrame:
+    """(qid, token, idf): the questions' tokens that occur in active chunks, weighted by how rare they are. Written."""
+    asked = written(questions.select("qid", F.explode(tokens(F.col("question"))).alias("token")).distinct(), "asked-tokens")
+    words = written(asked.select("token").distinct(), "asked-words")
+    held = weighted_tokens(active).select(F.explode(F.array_distinct("tokens")).alias("token")).join(sent(words), "token", "left_semi")
+    n = active.agg(F.count("*").alias("n_chunks"))  # one row
+    df = held.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
+    weight = F.log(F.lit(1) + F.col("n_chunks") / F.col("df")).alias("idf")
+    return written(asked.join(df.hint("shuffle_merge"), "token").select("qid", "token", weight), "asked-weights")
 
 
 def retrieve(questions: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
     """(qid, rank, chunk_id, score): up to k active chunks by inverse-frequency-weighted overlap; ties by id.
 
-    Only postings of asked tokens go on: a counted, small set of them is broadcast, a larger
-    one met in a shuffled join, whose hot tokens a skew join splits. Scores are combined
-    before their shuffle. A question without a match has no row.
+    Chunks have ids of their own (``assign_chunk_ids``); questions that repeat a qid are one with
+    all their words. Every task scores its own chunks, each of which holds all its postings, and keeps k places a
+    question; only those are shuffled, at most questions x k x tasks rows. A question without a match has no row.
     """
     active = index.where("status = 'active'")
-    asked = written(questions.select("qid", F.explode(tokens(F.col("question"))).alias("token")), "asked-tokens")
-    words = written(asked.select("token").distinct(), "asked-words")
-    p = written(postings(active).join(sent(words), "token", "left_semi"), "postings")
-    n = active.agg(F.count("*").alias("n_chunks"))  # one row
-    df = p.groupBy("token").agg(F.count_distinct("chunk_id").alias("df")).crossJoin(F.broadcast(n))
-    weight = F.log(F.lit(1) + F.col("n_chunks") / F.col("df")).alias("idf")
-    asked = written(asked.join(df.hint("shuffle_merge"), "token").select("qid", "token", weight), "asked-weights")
-    hits = p.join(sent(asked), "token")
-    x = hits.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("idf")), 6).alias("score"))
+    x = best_of_tasks(asked_weights(questions, active), active, k)
     x = x.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")))
     return x.where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
 
 
+def with_history(turns: DataFrame, n: int = 20) -> DataFrame:
+    """(qid, question): of ``turns(conv_id, turn, role, text)``, each conversation's last user turn with the ``n`` messages before it."""
+    asked = turns.select("conv_id", "turn", "text").join(history_window(turns, n).hint("shuffle_merge"), ["conv_id", "turn"])
+    return asked.groupBy(F.col("conv_id").alias("qid")).agg(F.max_by(F.concat_ws(" ", "text", "history"), "turn").alias("question"))
+
+
+def retrieve_with_history(turns: DataFrame, index: DataFrame, k: int = 3, n: int = 20) -> DataFrame:
+    """``retrieve`` for the last user turn of each conversation, asked together with what was said before."""
+    return retrieve(with_history(turns, n), index, k)
+
+
 def assemble_context(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, context): bodies of retrieved chunks in index order, by file; unknown ids are dropped."""
     few = written(retrieved, "retrieved")
@@ -79,25 +193,61 @@ def attach_source(retrieved: DataFrame, sources: DataFrame, chunks: DataFrame) -
 # Evaluation
 
 
-def expected_chunks(items: DataFrame, chunks: DataFrame) -> DataFrame:
+TEXT_BYTES = 8_000_000  # of items' texts in one automaton
+
+
+def _holds(told):
+    """(item, chunk_id): the items whose whole text a chunk's body holds, each once; one pass over a body for all items."""
+
+    def run(batches):
+        searched = ahocorasick.Automaton()
+        for item, text in told.value:
+            searched.add_word(text, item)
+        searched.make_automaton()
+        for batch in batches:
+            items, ids = [], []
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {item for _, item in searched.iter(body)} if body else ()
+                items.extend(found)
+                ids.extend([chunk] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(ids, pa.string())], names=["item", "chunk_id"])
+
+    return run
+
+
+def text_slices(texts: DataFrame, most_bytes: int = TEXT_BYTES) -> list[DataFrame]:
+    """The written ``texts(item, text)`` in slices whose counted size is at most ``most_bytes`` (or one text)."""
+    size = F.octet_length("text").cast("long")
+    total = texts.agg(F.sum(size).alias("n")).first()["n"] or 0
+    n = 1
+    while total:
+        part = F.pmod(F.xxhash64("item"), F.lit(n))
+        got = texts.groupBy(part.alias("part")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
+        if got.where((F.col("bytes") > most_bytes) & (F.col("n") > 1)).isEmpty():
+            return [texts.where(part == r["part"]) for r in got.select("part").collect()]  # a row a slice
+        n *= 2
+    return []
+
+
+def expected_chunks(items: DataFrame, chunks: DataFrame, most_bytes: int = TEXT_BYTES) -> DataFrame:
     """(qid, chunk_id): the ``chunks(chunk_id, body)`` that hold the whole text of ``items(qid, text)``.
 
-    An item is looked for where its longest inner word occurs: its first and last may go on
-    in the chunk. Items of two words or fewer have no inner word; they are looked for in all.
+    The distinct texts go, in slices of a counted size, into an automaton that finds all of them in one pass over
+    a body. Any number and length of items; a null or empty text is in no chunk, as nothing is in a null body.
     """
-    words = F.split("text", r"\s+")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    x = written(items.select("qid", "text", longest.alias("word")), "items")
-    known = x.where("word <> ''")
-    short = x.where("word is null or word = ''").where("text <> ''")
-    held = chunks.select("chunk_id", "body", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("word"))
-    found = held.join(sent(known), "word").where(F.contains("body", F.col("text"))).select("qid", "chunk_id")
-    if short.isEmpty():
-        return found
-    if short.count() > SENT:
-        raise ValueError("too many items without an inner word to look for each in every chunk")
-    return found.unionByName(chunks.join(F.broadcast(short), F.contains("body", F.col("text"))).select("qid", "chunk_id"))
+    spark = chunks.sparkSession
+    x = written(items.where("text <> ''").select("qid", "text", F.sha2("text", 256).alias("name")), "items")
+    texts = written(x.groupBy("name").agg(F.first("text").alias("text")).withColumn("item", F.monotonically_increasing_id()), "item-texts")
+    out = None
+    for part in text_slices(texts.select("item", "text"), most_bytes):
+        told = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
+        found = chunks.select("chunk_id", "body").mapInArrow(_holds(told), "item long, chunk_id string")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return x.select("qid", F.lit(None).cast("string").alias("chunk_id")).limit(0)
+    found = written(out, "items-found")
+    names = x.select("qid", "name").join(texts.select("item", "name").hint("shuffle_merge"), "name").select("qid", "item")
+    return found.join(names.hint("shuffle_merge"), "item").select("qid", "chunk_id")
 
 
 def retrieval_hits(gold: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -119,60 +269,3 @@ def retrieval_score(hits: DataFrame) -> DataFrame:
 def missed_ids(hits: DataFrame) -> DataFrame:
     """(qid, missed): expected ids that weren't retrieved, of misses."""
     return hits.where("not hit").select("qid", F.array_sort(F.array_except("expected", "got")).alias("missed"))
-
-
-# Relating
-
-
-def _set_name(c: Column) -> list[Column]:
-    return [F.xxhash64(c).alias("s1"), F.xxhash64(c, F.lit(1)).alias("s2")]
-
-
-def relate_pairs(index: DataFrame, least: float = 0.5, stop: float = 0.02, few: int = 50) -> DataFrame:
-    """(a, b, jaccard): for active chunks, candidates for the most related ones by topic and trigger words.
-
-    Words of more than the share ``stop`` of all chunks (and more than ``few``) aren't words of any set. Chunks
-    of equal sets are one class. Classes that reach ``least`` share one of their rarest words,
-    the first n - ceil(least n) + 1 in order of frequency; those candidates are compared as
-    whole sets. Of a class with several chunks, each is paired with its first other one.
-    """
-    active = index.where("status = 'active'").select("chunk_id", F.array_sort(tokens(F.concat_ws(" ", F.col("topic"), F.array_join("triggers", " ")))).alias("tokens"))
-    x = written(active, "chunk-tokens")
-    n = x.agg(F.count("*").alias("n_chunks"))  # one row
-    df = written(x.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "token-counts")
-    rows = x.select("chunk_id", F.explode("tokens").alias("token")).join(df.hint("shuffle_merge"), "token").crossJoin(F.broadcast(n))
-    rows = rows.where(f"df <= greatest({few}, {stop} * n_chunks)")
-    own = rows.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    own = own.select("chunk_id", F.transform("t", lambda p: p["token"]).alias("tokens"))
-    classes = own.groupBy(*_set_name(F.array_sort("tokens"))).agg(F.min("chunk_id").alias("rep"), F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
-    classes = written(classes, "token-classes")
-    same = own.select("chunk_id", *_set_name(F.array_sort("tokens"))).join(classes.where("copies > 1").select("s1", "s2", "rep").hint("shuffle_merge"), ["s1", "s2"])
-    # the first of a class goes with its second, all others with its first
-    second = same.where("chunk_id <> rep").groupBy("rep").agg(F.min("chunk_id").alias("second"))
-    alike = same.where("chunk_id <> rep").select(F.col("chunk_id").alias("a"), F.col("rep").alias("b")).unionByName(second.select(F.col("rep").alias("a"), F.col("second").alias("b")))
-    size = F.size("tokens")
-    prefix = F.slice("tokens", F.lit(1), (size - F.ceil(size * least) + 1).cast("int"))
-    keys = classes.select("rep", "copies", size.alias("n"), F.explode(prefix).alias("token"))
-    a, b = (keys.select("token", F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("copies").alias("c" + c)) for c in "ab")
-    # a pair of classes that both have copies relates nobody: each has a nearer one
-    near = F.expr(f"a < b and na >= {least} * nb and nb >= {least} * na and (ca = 1 or cb = 1)")
-    pairs = written(a.join(b.hint("shuffle_merge"), "token").where(near).select("a", "b").distinct(), "related-candidates")
-    sets = lambda c: classes.select(F.col("rep").alias(c), F.col("tokens").alias("t" + c), F.col("copies").alias("c" + c)).hint("shuffle_merge")
-    common = F.size(F.array_intersect("ta", "tb"))
-    x = pairs.join(sets("a"), "a").join(sets("b"), "b").withColumn("common", common)
-    x = x.withColumn("jaccard", F.round(F.col("common") / (F.size("ta") + F.size("tb") - F.col("common")), 6)).where(F.col("jaccard") >= least)
-    both = x.where("ca = 1").select("a", "b", "jaccard").unionByName(x.where("cb = 1").select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    return both.unionByName(alike.withColumn("jaccard", F.lit(1.0)))
-
-
-def relate_clusters(index: DataFrame, least: float = 0.5, stop: float = 0.02, few: int = 50) -> DataFrame:
-    """(cluster, id): disjoint clusters of 2 to 4: mutual best pairs, and up to two that are nearest to a member."""
-    order = Window.partitionBy("a").orderBy(F.desc("jaccard"), "b")
-    best = relate_pairs(index, least, stop, few).withColumn("r", F.row_number().over(order)).where("r = 1").select("a", "b", "jaccard")
-    best = written(best, "best-related")
-    back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    mutual = best.join(back.hint("shuffle_merge"), ["a", "b"]).where("a < b").select(F.col("a").alias("cluster"), F.col("b").alias("mate"))
-    seeds = written(mutual.select("cluster", F.explode(F.array("cluster", "mate")).alias("id")), "seeds")
-    near = best.join(seeds.select("cluster", F.col("id").alias("b")).hint("shuffle_merge"), "b").join(seeds.select(F.col("id").alias("a")).hint("shuffle_merge"), "a", "left_anti")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("jaccard"), "a"))).where("r <= 2")
-    return seeds.unionByName(near.select("cluster", F.col("a").alias("id")))

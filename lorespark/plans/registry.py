@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import scalars as S
-from lorespark.operators import kb, outputs, reports, requests, retrieve, segment
+from lorespark.operators import kb, outputs, relate, reports, requests, retrieve, segment
 from lorespark.plans import derived as D
 from lorespark.sources import files, sinks
 from lorespark.sources.sinks import written
@@ -578,7 +578,7 @@ def dangling_related(spark, d):
 _PAIRS = D.CHUNKS + r""", r0 as (select chunk_id, unnest(""" + _TOK.format("topic || ' ' || array_to_string(triggers, ' ')") + r""") as token from chunks where status = 'active'),
 rt as (select * from r0 where token in (select token from r0 group by 1 having count(*) <= greatest(50, 0.02 * (select count(*) from chunks where status = 'active')))), sz as (select chunk_id, count(*) as n from rt group by 1),
 pr as (select a.chunk_id as a, b.chunk_id as b, count(*) as c from rt a join rt b on a.token = b.token and a.chunk_id < b.chunk_id group by 1, 2),
-jp as (select a, b, round(c / cast(x.n + y.n - c as double), 6) as jaccard from pr join sz x on x.chunk_id = a join sz y on y.chunk_id = b), jl as (select * from jp where jaccard >= 0.5),
+jp as (select a, b, round(c / cast(x.n + y.n - c as double), 6) as jaccard from pr join sz x on x.chunk_id = a join sz y on y.chunk_id = b), jl as (select * from jp),
 bo as (select a, b, jaccard from jl union all select b, a, jaccard from jl), be as (select * from (select *, row_number() over (partition by a order by jaccard desc, b) as r from bo) where r = 1),
 mu as (select x.a as cluster, x.b as mate from be x join be y on x.a = y.b and x.b = y.a where x.a < x.b), sd as (select cluster, unnest([cluster, mate]) as id from mu),
 nr as (select * from (select s.cluster, be.a as id, row_number() over (partition by s.cluster order by jaccard desc, be.a) as r from be join sd s on s.id = be.b where be.a not in (select id from sd)) where r <= 2)"""
@@ -586,7 +586,7 @@ nr as (select * from (select s.cluster, be.a as id, row_number() over (partition
 
 @query("relate_clusters", "with " + _PAIRS + " select cluster, id from sd union all select cluster, id from nr")
 def relate_clusters(spark, d):
-    return retrieve.relate_clusters(D.chunks(spark, d))
+    return relate.relate_clusters(D.chunks(spark, d))
 
 
 # Requests
@@ -803,10 +803,8 @@ _POST_HISTORY = _POST.replace(_POST[_POST.index("qs as (") : _POST.index(", qt a
 
 @query("retrieve_with_history", "with " + D.CHUNKS + _POST_HISTORY + " select qid, rank, chunk_id, score from rk")
 def retrieve_with_history(spark, d):
-    h = requests.history_window(D.table(spark, d, "conversations"))
-    asked = D.table(spark, d, "conversations").join(h.hint("shuffle_merge"), ["conv_id", "turn"])
-    q = asked.groupBy("conv_id").agg(F.max_by(F.concat_ws(" ", "text", "history"), "turn").alias("question")).withColumnRenamed("conv_id", "qid")
-    return retrieve.retrieve(q, D.chunks(spark, d)).select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
+    x = retrieve.retrieve_with_history(D.table(spark, d, "conversations"), _chunks(spark, d))
+    return x.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
 _QNA = D.QNA + r""", ln as (select source, heading, list_filter(list_transform(string_split(content, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') as l from sect),

@@ -226,27 +226,6 @@ def test_one_bad_prompt_costs_only_itself(spark):
     assert prompts.first().prompt == "A › Part 1|2–3|{{X}}|"
 
 
-def test_gold_is_the_whole_item(spark):
-    chunks = spark.createDataFrame([("a", "xx the quick brownish fox yy"), ("b", "the quick"), ("c", "see: the quick brownish fox"), ("d", "one two")], "chunk_id string, body string")
-    items = spark.createDataFrame([(1, "e quick brownish fo"), (2, "the quick"), (3, "absent words here now"), (4, "ne t")], "qid long, text string")
-    got = sorted((r.qid, r.chunk_id) for r in retrieve.expected_chunks(items, chunks).collect())
-    assert got == [(1, "a"), (1, "c"), (2, "a"), (2, "b"), (2, "c"), (4, "d")]
-
-
-def test_relating_equals_brute_force(spark):
-    import random
-
-    rng = random.Random(5)
-    words = [f"w{k:03d}" for k in range(60)]
-    index = [(f"c{k:03d}", "active", "topic", [" ".join(rng.sample(words, 8))]) for k in range(60)]
-    index += [(f"d{k}", "active", "topic", index[k // 3][3]) for k in range(9)] + [("e", "review", "topic", index[0][3])]
-    pairs = {(r.a, r.b): r.jaccard for r in retrieve.relate_pairs(spark.createDataFrame(index, "chunk_id string, status string, topic string, triggers array<string>"), least=0.3, stop=0.9, few=1).collect()}
-    sets = {i: set(t[0].split()) for i, s, _, t in index if s == "active"}  # "topic" is in all: no word of any set
-    best = lambda a, of: min(((-j, b) for (x, b), j in of.items() if x == a), default=None)
-    full = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in sets.items() for b, y in sets.items() if a != b and len(x & y) >= 0.3 * len(x | y)}
-    assert full and all(best(a, pairs) == best(a, full) for a in sets)
-
-
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as entry
 
