@@ -49,6 +49,15 @@ def _sent(x: DataFrame) -> DataFrame:
     return F.broadcast(x) if x.count() <= SENT_SOURCES else x.hint("shuffle_merge")
 
 
+FILE_ROWS = 50_000  # of the small tables of sources and sizes, that a task takes at least
+
+
+def _compact(x: DataFrame) -> DataFrame:
+    """A small table counted and written in as few files as its rows need, so that every step over it is a few tasks."""
+    n = x.count()
+    return written(x.coalesce(-(-max(n, 1) // FILE_ROWS)), "compact")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, key, size, c): ``docs(doc_id, source, text)`` by words, equal rows once with their count; ``key`` orders sources, null last."""
     source = F.col("source").cast("string")
@@ -92,6 +101,7 @@ def tilts(sizes: DataFrame, sources: DataFrame, most: float = MOST, steps: int =
 
     ``unit`` is the mean size of a word's document. A tilt is null where every rate is ``most`` (or nothing is to be taken).
     """
+    parts = -(-max(sources.count(), 1) // FILE_ROWS)
     squares = sizes.groupBy("key").agg(F.sum((F.col("size") * F.col("size") * F.col("m")).cast("decimal(38,0)")).cast("double").alias("sq"))
     state = sources.join(squares.hint("shuffle_merge"), "key").select("key", "target", F.col("source_size").cast("double").alias("own"), "sq")
     state = state.withColumn("open", (F.col("own") > 0) & (F.col("target") > 0) & (F.col("target") < F.col("own") * F.lit(most * (1 - CLOSE))))
@@ -100,7 +110,7 @@ def tilts(sizes: DataFrame, sources: DataFrame, most: float = MOST, steps: int =
         "key", "target", "open", F.when(F.col("own") > 0, F.col("sq") / F.col("own")).alias("unit"), F.when(F.col("open"), F.round(F.log(ratio), 12)).alias("tilt"),
         F.when(ratio > 1, 0.0).otherwise(float("-inf")).alias("low"), F.when(ratio < 1, 0.0).otherwise(float("inf")).alias("high"),
     )
-    state = written(state, "tilts")
+    state = written(state.coalesce(parts), "tilts")
     g = F.col("size") / F.col("unit")
     power = F.col("tilt") * g
     free = power < math.log(most)
@@ -125,7 +135,7 @@ def tilts(sizes: DataFrame, sources: DataFrame, most: float = MOST, steps: int =
         more = F.col("open") & ~F.coalesce("done", F.lit(True)) & (moved != F.col("tilt"))
         state = written(
             x.select("key", "target", more.alias("open"), "unit", F.when(more, moved).otherwise(F.col("tilt")).alias("tilt"),
-                     F.when(F.col("open"), F.col("low2")).otherwise(F.col("low")).alias("low"), F.when(F.col("open"), F.col("high2")).otherwise(F.col("high")).alias("high")), "tilts",
+                     F.when(F.col("open"), F.col("low2")).otherwise(F.col("low")).alias("low"), F.when(F.col("open"), F.col("high2")).otherwise(F.col("high")).alias("high")).coalesce(parts), "tilts",
         )
     return state.select("key", "tilt", "unit")
 
@@ -179,12 +189,12 @@ def numbered(rows: DataFrame, part: int = PART) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, part: int = PART) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, source, rate, copies) of every document of ``docs(doc_id, source, text)``."""
     rows = written(sized(docs), "sized")
-    sizes = written(rows.groupBy("key", "size").agg(F.sum("c").alias("m")), "sizes")
+    sizes = _compact(written(rows.groupBy("key", "size").agg(F.sum("c").alias("m")), "sizes"))
     sources = sizes.groupBy("key").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
-    sources = written(with_targets(written(weighed(sources, weights), "weighed"), share, most), "targets")
-    sources = written(sources.join(tilts(sizes, sources, most).hint("shuffle_merge"), "key"), "tilted")
+    sources = written(with_targets(_compact(written(weighed(sources, weights), "weighed")), share, most), "targets")
+    sources = _compact(written(sources.join(tilts(sizes, sources, most).hint("shuffle_merge"), "key"), "tilted"))
     groups = copies_by_size(sizes, sources, most).join(_sent(sources.select("key", "source_size", "target")), "key")
-    groups = written(groups, "copies-by-size")
+    groups = _compact(written(groups, "copies-by-size"))
     x = rows.join(groups.hint("shuffle_merge"), ["key", "size"])
     x = written(numbered(x, part), "numbered")
     # equal rows are listed again, in steps: no array is longer than MANY
