@@ -35,14 +35,18 @@ DOC_WITH_PAGES = SOURCE_DOCS + r""", docp as (select doc_id, path, array_to_stri
   lambda x, i: case when i > 1 and (i - 1) % 5 = 0 then chr(12) || x else x end), chr(10)) as text from source_docs)"""
 
 
-def doc_with_toc(spark: SparkSession, d: str) -> DataFrame:
+def with_toc(docs: DataFrame) -> DataFrame:
     """A contents page: the start of every 8th line at indent 0, of other 4th lines at indent 4; those starts repeated as heading lines."""
     lines = F.split("text", "\n")
     head = lambda x: F.regexp_replace(F.substring(x, 1, 24), r"^\s+|\s+$", "")
     entry = lambda x, i: F.when(i % 8 == 0, F.concat(head(x), F.lit("   "), (i + 1).cast("string"))).when(i % 4 == 0, F.concat(F.lit("    "), head(x), F.lit("   "), (i + 1).cast("string")))
     toc = F.array_join(F.array_compact(F.transform(lines, entry)), "\n")
     body = F.array_join(F.transform(lines, lambda x, i: F.when(i % 4 == 0, F.concat(head(x), F.lit("\n"), x)).otherwise(x)), "\n")
-    return source_docs(spark, d).withColumn("text", F.concat(F.lit("Contents\n"), toc, F.lit("\n-- 1 of 2 --\n\f"), body))
+    return docs.withColumn("text", F.concat(F.lit("Contents\n"), toc, F.lit("\n-- 1 of 2 --\n\f"), body))
+
+
+def doc_with_toc(spark: SparkSession, d: str) -> DataFrame:
+    return with_toc(source_docs(spark, d))
 
 
 DOC_WITH_TOC = SOURCE_DOCS + r""", doct as (select doc_id, path, 'Contents' || chr(10) || array_to_string(list_filter(list_transform(string_split(text, chr(10)),

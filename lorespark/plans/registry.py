@@ -12,7 +12,7 @@ from lorespark.operators import kb, outputs, relate, reports, requests, retrieve
 from lorespark.plans import derived as D
 from lorespark.sources import files, sinks
 from lorespark.sources.sinks import written
-from lorespark.streaming import log_stream
+from lorespark.streaming import keyed, log_stream
 
 FLAGSHIP = "retrieve"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -934,15 +934,53 @@ def stream_log_windows(spark, d):
     return spark.read.schema("hour timestamp, outcome string, requests long").parquet(out).select(F.unix_micros("hour").alias("hour_us"), "outcome", "requests")
 
 
-@query("stream_ingest", "with " + D.SOURCE_DOCS + r""", x as (select path, sha256(text) as hash, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '(?i)\.pdf$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:40] as topic from source_docs where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 400)
-select distinct path, hash, topic from x""")
+# What comes in a second wave: of every third document the first half of its lines, of others a line more, and the rest again as it was.
+_ARRIVED = D.SOURCE_DOCS.replace("text from documents", r"case doc_id % 3 when 0 then array_to_string(string_split(text, chr(10))[1 : (len(string_split(text, chr(10))) + 1) // 2], chr(10)) when 1 then text || chr(10) || 'one line more' else text end as text from documents")
+
+
+@query("stream_ingest", "with " + _SEGMENTS.replace(D.SOURCE_DOCS, _ARRIVED).replace("coalesce(min(h), 'document')", "min(h)") + r""",
+tp as (select path, d.doc_id, heading, sha256(d.text) as hash, case when o.text = s.text then 1 else 2 end as number, coalesce(heading, regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(path, '[^/]*$'), '(?i)\.pdf$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:40]) as topic
+ from sg join doct d using (doc_id) join source_docs s using (doc_id, path) join documents o on o.doc_id = d.doc_id where length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300)
+select distinct path, hash, number, topic, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(topic), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g')[1:50], '^-|-$', '', 'g') || '-' || sha256(regexp_extract(path, '[^/]*$') || topic)[1:8] as chunk_id from tp""")
 def stream_ingest(spark, d):
-    """Sources to segments and index entries by content version, in a stream run twice over the same files: the second adds nothing.
+    """All sources arrive, then a second wave of changed, shortened and unchanged ones, read by the stream anew from its checkpoint.
 
-    Texts here have no contents page, so each is one segment under its title; those near the limit of 300 characters aren't compared.
+    Entries of segments that the second version doesn't have are gone, unchanged sources stay at version 1.
     """
     path, out, state = (sinks.shared_folder(spark, n) for n in ("stream-sources", "stream-ingested", "stream-state"))
-    D.source_docs(spark, d).where(F.length(S.strip(F.col("text"))) >= 400).select("path", "text").write.parquet(path)
-    for _ in range(2):
+    lines = F.split("text", "\n")
+    half = F.array_join(F.slice(lines, F.lit(1), F.floor((F.size(lines) + 1) / 2).cast("int")), "\n")
+    text = F.when(F.col("doc_id") % 3 == 0, half).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("\none line more"))).otherwise(F.col("text"))
+    first = D.source_docs(spark, d)
+    for wave in (first, first.withColumn("text", text)):
+        D.with_toc(wave).select("path", "text").write.mode("append").parquet(path)
         log_stream.ingest_sources(spark, path, out, state).awaitTermination()
-    return log_stream.ingested_index(spark, out).select("path", "hash", "topic")
+    return log_stream.ingested_index(spark, out).select("path", "hash", "number", "topic", "chunk_id")
+
+
+_LIMITED = ORACLE_SQL["rate_limit_decisions"]
+
+
+@query("stream_rate_limit", _LIMITED)
+def stream_rate_limit(spark, d):
+    """The log replayed in two parts, the second after a restart from the checkpoint."""
+    path, out, state = (sinks.shared_folder(spark, n) for n in ("stream-log", "stream-limits", "stream-state"))
+    log = D.request_log(spark, d, dense=True)
+    half = log.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("t")).first()["t"] or 0
+    for part in (log.where(F.unix_micros("ts") <= half), log.where(F.unix_micros("ts") > half)):
+        sinks.write_log(part, path, "append")
+        keyed.start(keyed.rate_limits(log_stream.read_log_stream(spark, path, 1_000_000)), out, state).awaitTermination()
+    return spark.read.schema("session_id long, req_id long, admitted boolean").parquet(out)
+
+
+@query("stream_sessions", f"with {D.LOG}, acc as {_ACCESS}, s as (select *, sum(case when g > 1800000000 then 1 else 0 end) over (partition by session_id order by ts, req_id) as session_no from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by session_id order by ts, req_id) as g from acc)),"
+       " c as (select session_id, epoch_us(min(ts)) as started_us, epoch_us(max(ts)) as ended_us, count(*) as requests from s group by session_id, session_no) select * from c where (ended_us + 1800000000) // 1000 + 1 <= (select epoch_us(max(ts)) // 1000 from acc) - 1800000")
+def stream_sessions(spark, d):
+    """Sessions that end by timers as the log is replayed in two parts, the second after a restart; those still open when it ends aren't told."""
+    path, out, state = (sinks.shared_folder(spark, n) for n in ("stream-log", "stream-sessions", "stream-state"))
+    log = D.request_log(spark, d)
+    half = log.agg(F.percentile_approx(F.unix_micros("ts"), 0.5).alias("t")).first()["t"] or 0
+    for part in (log.where(F.unix_micros("ts") <= half), log.where(F.unix_micros("ts") > half)):
+        sinks.write_log(part, path, "append")
+        keyed.start(keyed.closed_sessions(log_stream.read_log_stream(spark, path, 1_000_000)), out, state).awaitTermination()
+    return spark.read.schema("session_id long, started_us long, ended_us long, requests long").parquet(out)

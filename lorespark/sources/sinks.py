@@ -58,6 +58,6 @@ def write_report(reports: DataFrame, kind: str, path: str) -> None:
     x.repartition("report").write.partitionBy("report").json(path)
 
 
-def write_log(log: DataFrame, path: str) -> None:
+def write_log(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """NDJSON of requests, times to the microsecond."""
-    log.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    log.write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)

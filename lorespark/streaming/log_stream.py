@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.scalars import base_name, chunk_id, root_title, strip
-from lorespark.operators.segment import segments
+from lorespark.operators.requests import NO_ACCESS
+from lorespark.operators.segment import drop_short, outline
+from lorespark.streaming.keyed import CHANGES, source_changes, start
 
 LOG_SCHEMA = "req_id long, ts timestamp, session_id long, mode string, question string, duration_ms long, outcome string"
 
@@ -22,8 +24,8 @@ def outcome_windows(stream: DataFrame, late: str = "30 minutes") -> DataFrame:
 
 
 def session_windows(stream: DataFrame, idle: str = "30 minutes", late: str = "30 minutes") -> DataFrame:
-    """Sessions by event time, closed by the watermark."""
-    x = stream.withWatermark("ts", late).groupBy(F.session_window("ts", idle), "session_id").agg(F.count("*").alias("requests"))
+    """Sessions by event time, closed by the watermark; requests that are turned away are no part of one."""
+    x = stream.where(~F.col("outcome").isin(*NO_ACCESS)).withWatermark("ts", late).groupBy(F.session_window("ts", idle), "session_id").agg(F.count("*").alias("requests"))
     return x.select("session_id", F.col("session_window.start").alias("started"), "requests")
 
 
@@ -34,46 +36,36 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
 
 
 SOURCE = "path string, text string"
-INGESTED = f"{SOURCE}, hash string, batch long"
 
 
-def ingested(spark: SparkSession, out: str) -> DataFrame:
-    """(path, text, hash, batch): every content version of a source that came in."""
-    return spark.read.schema(INGESTED).parquet(f"{out}/versions/batch=*")
+def with_entries(sources: DataFrame, least: int = 300) -> DataFrame:
+    """(path, hash, ids, topics, summaries) of ``sources(path, text)``: a version's index entries as arrays, one for each segment of ``least`` characters or more. Row by row."""
+    x = sources.where("path is not null").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("hash", F.sha2("text", 256)).withColumn("doc_id", F.col("path"))
+    x = drop_short(outline(x, root_title(base_name(F.col("path"))), keep=("path", "hash")), least)
+    each = lambda f: F.transform("segs", f)
+    return x.select(
+        "path", "hash", each(lambda s: chunk_id(F.col("path"), s["heading"])).alias("ids"), each(lambda s: s["heading"]).alias("topics"),
+        each(lambda s: strip(F.split(s["content"], r"[.!?]\s+")[0])).alias("summaries"),
+    )
 
 
-def ingested_index(spark: SparkSession, out: str) -> DataFrame:
-    """(path, hash, chunk_id, topic, summary, batch): the segments' index entries of the latest version of each source."""
-    x = spark.read.schema("path string, hash string, chunk_id string, topic string, summary string, batch long").parquet(f"{out}/entries/batch=*")
-    latest = ingested(spark, out).groupBy("path").agg(F.max_by("hash", F.struct("batch", "hash")).alias("hash"))
-    return x.join(latest.hint("shuffle_merge"), ["path", "hash"], "left_semi")
+def ingest_sources(spark: SparkSession, source: str, out: str, checkpoint: str, least: int = 300, per_trigger: int = 1000):
+    """Source files (Parquet of path, text) that arrive to changes of the index, exactly once by the checkpoint.
 
+    A batch meets the state of its own paths only, whatever came before. An unchanged source gives
+    nothing; a changed one replaces its entries, and those it has no more go. Of versions that come in one batch one counts.
+    """
+    stream = spark.readStream.schema(SOURCE).option("maxFilesPerTrigger", per_trigger).parquet(source)
+    return start(source_changes(with_entries(stream, least)), out, checkpoint)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
 
+def ingested(spark: SparkSession, out: str) -> DataFrame:
+    """(path, number, hash): every content version of a source that came in."""
+    return spark.read.schema(CHANGES).parquet(out).where("change = 'version'").select("path", "number", "hash")
 
-def ingest_sources(spark: SparkSession, source: str, out: str, checkpoint: str, least: int = 300):
-    """New source files (Parquet of path, text) to segments and index entries, once for each content version.
 
-    Each batch overwrites its own folders, so one that comes again after a failure leaves
-    nothing twice; versions of other batches are left out by (path, hash).
-    """
-    stream = spark.readStream.schema(SOURCE).parquet(source)
-
-    def one(batch: DataFrame, number: int) -> None:
-        s = batch.sparkSession
-        new = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["path", "hash"])
-        if _exists(s, f"{out}/versions/batch=*"):
-            other = ingested(s, out).where(F.col("batch") != number).select("path", "hash")
-            new = new.join(other.hint("shuffle_merge"), ["path", "hash"], "left_anti")
-        own = f"{out}/versions/batch={number}"
-        new.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(own)
-        rows = s.read.schema(INGESTED).parquet(own).withColumn("doc_id", F.col("hash"))
-        segs = segments(rows, root_title(base_name(F.col("path"))), least=least, keep=("path", "hash", "batch"))
-        entries = segs.select("path", "hash", chunk_id(F.col("path"), F.col("heading")).alias("chunk_id"), F.col("heading").alias("topic"), strip(F.split("content", r"[.!?]\s+")[0]).alias("summary"), "batch")
-        entries.dropDuplicates(["path", "hash", "chunk_id"]).write.mode("overwrite").parquet(f"{out}/entries/batch={number}")
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingested_index(spark: SparkSession, out: str) -> DataFrame:
+    """(path, hash, chunk_id, topic, summary, number): the entries that stand after all changes, each of its source's latest version."""
+    x = spark.read.schema(CHANGES).parquet(out).where("change <> 'version'")
+    last = x.groupBy("path", "chunk_id").agg(F.max_by(F.struct("change", "hash", "topic", "summary", "number"), "number").alias("c"))
+    return last.where("c.change = 'upsert'").select("path", "c.hash", "chunk_id", "c.topic", "c.summary", "c.number")
