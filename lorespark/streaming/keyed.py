@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,6 +36,17 @@ def start(stream: DataFrame, out: str, checkpoint: str):
         conf.set(STORE, before) if before else conf.unset(STORE)
 
 
+def _by_session(stream: DataFrame, *columns: str) -> GroupedData:
+    """By session; those without one go together (rows of a null key would come one by one)."""
+    session = F.col("session_id").cast("long")
+    at = F.unix_micros("ts").alias("at")
+    return stream.select(session.isNull().alias("nobody"), F.coalesce(session, F.lit(0)).alias("session_id"), *columns, "ts", at).groupBy("nobody", "session_id")
+
+
+def _session(key) -> int | None:
+    return None if key[0] else key[1]
+
+
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A key's rows of one batch by time; of these columns only."""
     return pd.concat(list(rows)).sort_values(["at", "req_id"], kind="stable", na_position="first")
@@ -65,11 +76,11 @@ class RateLimit(StatefulProcessor):
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.handle.registerTimer((last[-1] + self.window) // 1000 + 1)
-        yield pd.DataFrame({"session_id": [key[0]] * len(new), "req_id": new["req_id"].to_numpy(), "admitted": told})
+        yield pd.DataFrame({"session_id": pd.array([_session(key)] * len(new), dtype="Int64"), "req_id": new["req_id"].to_numpy(), "admitted": told})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.admitted.clear()
-        yield pd.DataFrame({"session_id": [], "req_id": [], "admitted": []}).astype({"session_id": "int64", "req_id": "int64", "admitted": "bool"})
+        yield pd.DataFrame({"session_id": pd.array([], dtype="Int64"), "req_id": pd.array([], dtype="int64"), "admitted": pd.array([], dtype="bool")})
 
     def close(self) -> None:
         pass
@@ -81,8 +92,8 @@ def rate_limits(stream: DataFrame, limit: int = 20, window_s: int = 60, late: st
     Requests of a batch are taken by time; one that comes in a later batch than others after it is
     judged by what was admitted by then. A session's times go when the watermark is a window past the last.
     """
-    x = stream.withWatermark("ts", late).select(F.col("session_id").cast("long").alias("session_id"), F.col("req_id").cast("long").alias("req_id"), "ts", F.unix_micros("ts").alias("at"))
-    return x.groupBy("session_id").transformWithStateInPandas(RateLimit(limit, window_s * 1_000_000), "session_id long, req_id long, admitted boolean", "Append", "EventTime")
+    x = _by_session(stream.withWatermark("ts", late).withColumn("req_id", F.col("req_id").cast("long")), "req_id")
+    return x.transformWithStateInPandas(RateLimit(limit, window_s * 1_000_000), "session_id long, req_id long, admitted boolean", "Append", "EventTime")
 
 
 class Sessions(StatefulProcessor):
@@ -125,7 +136,7 @@ class Sessions(StatefulProcessor):
         yield self._rows(key, ended)
 
     def _rows(self, key, spans):
-        return pd.DataFrame({"session_id": pd.array([key[0]] * len(spans), dtype="Int64"), **{c: pd.array([s[k] for s in spans], dtype="int64") for k, c in enumerate(("started_us", "ended_us", "requests"))}})
+        return pd.DataFrame({"session_id": pd.array([_session(key)] * len(spans), dtype="Int64"), **{c: pd.array([s[k] for s in spans], dtype="int64") for k, c in enumerate(("started_us", "ended_us", "requests"))}})
 
     def close(self) -> None:
         pass
@@ -136,9 +147,8 @@ def closed_sessions(stream: DataFrame, idle_s: int = 1800, late: str = "30 minut
 
     Requests that are turned away (invalid, rate-limited) neither open nor extend one.
     """
-    x = stream.where(~F.col("outcome").isin(*NO_ACCESS)).withWatermark("ts", late)
-    x = x.select(F.col("session_id").cast("long").alias("session_id"), "ts", F.unix_micros("ts").alias("at"))
-    return x.groupBy("session_id").transformWithStateInPandas(Sessions(idle_s * 1_000_000), "session_id long, started_us long, ended_us long, requests long", "Append", "EventTime")
+    x = _by_session(stream.where(~F.col("outcome").isin(*NO_ACCESS)).withWatermark("ts", late))
+    return x.transformWithStateInPandas(Sessions(idle_s * 1_000_000), "session_id long, started_us long, ended_us long, requests long", "Append", "EventTime")
 
 
 CHANGES = "path string, number long, hash string, change string, chunk_id string, topic string, summary string"
