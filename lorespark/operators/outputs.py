@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lorespark.functions.scalars import slugify, strip
+from lorespark.functions.scalars import error_class, slugify, strip
 
 _OPTIONS = {"allowSingleQuotes": "false"}
 ITEM = "struct<chunk_id:string,topic:string,summary:string,triggers:array<string>,has_conditions:boolean,status:string,context:string,conditions:string,constraints:string,response:string>"
@@ -104,38 +104,57 @@ def segment_prompts(segs: DataFrame, template: str) -> DataFrame:
     return segs.withColumn("prompt", render(template, {"HEADING": F.array_join("heading_path", " › "), "PAGES": pages, "CONTENT": F.col("content")}))
 
 
-def extract_chunks(segs: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 64, document: str | None = None) -> DataFrame:
-    """Apply a model function to ``prompt`` in batches: the segments' other columns, ``raw`` and ``failure``.
+Model = Callable[[list[str]], list[str]]
+CALLED = StructType([StructField("raw", StringType()), StructField("failure", StringType())])
 
-    In a batch that fails, each prompt is tried by itself; what then fails has no ``raw``, and
-    in ``failure`` why. ``document``: a column whose text each call carries before the prompt
-    (procedures; questions and answers are read from the segment alone).
+
+def called(prompt: Column, model: Model | None = None, load: Callable[[], Model] | None = None, batch: int = 64, tries: int = 2) -> Column:
+    """A model function over ``prompt`` in batches: a struct of ``raw`` and ``failure``, one of which is null; only prompts go to Python.
+
+    ``load`` gives the function, once a task. In a batch that fails, each prompt is tried by itself,
+    ``tries`` times; what then fails has its error's type and text in ``failure``. A null prompt isn't asked.
+    """
+    if (model is None) == (load is None):
+        raise ValueError("give either a model function or one that loads it")
+
+    def one(ask: Model, text: str) -> tuple[str | None, str | None]:
+        for k in range(tries):
+            try:
+                return ask([text])[0], None
+            except Exception as e:  # noqa: BLE001  the caller's function: one bad prompt doesn't cost the others
+                if k == tries - 1:
+                    return None, f"{type(e).__name__}: {e}"
+        return None, None
+
+    def some(ask: Model, texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            got = list(ask(texts))
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} outputs for {len(texts)} prompts")
+            return [(g, None) for g in got]
+        except Exception:  # noqa: BLE001
+            return [one(ask, t) for t in texts]
+
+    @F.pandas_udf(CALLED)
+    def ask_all(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ask = load() if load else model
+        for series in prompts:
+            texts = series.dropna()
+            told = [r for k in range(0, len(texts), batch) for r in some(ask, texts.iloc[k : k + batch].tolist())]
+            yield pd.DataFrame(told, columns=["raw", "failure"], index=texts.index, dtype=object).reindex(series.index).astype(object).where(lambda x: x.notna(), None)
+
+    return ask_all.asNondeterministic()(prompt)
+
+
+def extract_chunks(segs: DataFrame, model: Model | None = None, batch: int = 64, document: str | None = None, load: Callable[[], Model] | None = None, tries: int = 2) -> DataFrame:
+    """A model function (``called``) applied to ``prompt``: the segments' other columns, ``raw`` and ``failure``.
+
+    ``document``: a column whose text each call carries before the prompt (procedures; questions and
+    answers are read from the segment alone).
     """
     prompt = F.col("prompt") if document is None else F.concat(F.coalesce(F.col(document), F.lit("")), F.lit("\n\n"), F.col("prompt"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in frames:
-            raw: list[str | None] = []
-            why: list[str | None] = []
-            for k in range(0, len(b), batch):
-                part = b["prompt"].iloc[k : k + batch].tolist()
-                try:
-                    got = list(model(part))
-                    if len(got) != len(part):
-                        raise ValueError(f"{len(got)} outputs for {len(part)} prompts")
-                    raw, why = raw + got, why + [None] * len(part)
-                except Exception:  # noqa: BLE001  the caller's function: one bad prompt doesn't cost the others
-                    for one in part:
-                        try:
-                            raw.append(model([one])[0])
-                            why.append(None)
-                        except Exception as e:  # noqa: BLE001
-                            raw.append(None)
-                            why.append(f"{type(e).__name__}: {e}")
-            yield b.drop(columns="prompt").assign(raw=raw, failure=why)
-
-    x = segs.withColumn("prompt", prompt)
-    return x.mapInPandas(run, StructType([*segs.drop("prompt").schema.fields, StructField("raw", StringType()), StructField("failure", StringType())]))
+    x = segs.withColumn("called", called(prompt, model, load, batch, tries))
+    return x.select(*[c for c in segs.columns if c != "prompt"], "called.raw", "called.failure")
 
 
 def extraction_failures(extracted: DataFrame) -> DataFrame:
@@ -318,3 +337,15 @@ def answer(contexts: DataFrame) -> DataFrame:
     plain = F.to_json(F.struct(F.lit("steps").alias("type"), F.struct(F.lit("Steps").alias("title"), steps.alias("steps")).alias("data")))
     raw = F.when(kind == "text", text).when(kind == "alert", alert).when(kind == "choices", choices).otherwise(plain)
     return contexts.select("qid", kind.alias("kind"), raw.alias("raw"))
+
+
+def answer_by_model(asked: DataFrame, model: Model | None = None, load: Callable[[], Model] | None = None, batch: int = 16, tries: int = 2) -> DataFrame:
+    """``asked(qid, question, block, ...)`` with ``raw`` and ``failure``: a model's answer to the context block and the question.
+
+    A call that fails twice gives the alert that its error's class calls for, so every question has an answer; ``parse_chat_response`` reads both.
+    """
+    prompt = F.concat(F.coalesce("block", F.lit("")), F.lit("\n\nQUESTION: "), F.coalesce("question", F.lit("")))
+    x = asked.withColumn("called", called(prompt, model, load, batch, tries))
+    failure = F.col("called.failure")
+    alert = error_to_alert(error_class(failure, F.lit(0)))
+    return x.withColumns({"raw": F.when(failure.isNotNull(), alert).otherwise(F.coalesce("called.raw", F.lit(""))), "failure": failure}).drop("called")

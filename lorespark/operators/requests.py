@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.sources.sinks import written
+
 NO_ACCESS = ("invalid", "rate_limited")  # requests that are turned away before they touch a session
 
 
@@ -100,12 +102,44 @@ def error_breakdown(errors: DataFrame) -> DataFrame:
     return errors.groupBy(F.window("ts", "1 hour").alias("w"), "class").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "class", "n")
 
 
+def value_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, n) of values that aren't null, written."""
+    return written(rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n")), "value-counts")
+
+
+def exact_quantiles(counts: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each of ``shares``) of the written ``counts(by, value, n)``: exact quantiles, between two values by their distance.
+
+    The histogram is sorted over partitions; how many values lie before a partition is a sum of counts
+    of partitions, and only inside one are values counted on. Of each group the rows around the places looked for go on.
+    """
+    spark = counts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = written(counts.repartitionByRange(parts, *by, "value").withColumn("part", F.spark_partition_id()), "value-counts-sorted")
+    blocks = x.groupBy(*by, "part").agg(F.sum("n").alias("own"))  # a row a partition, and one more a group
+    order = Window.partitionBy(*by).orderBy("part")
+    blocks = blocks.withColumns({"before": F.sum("own").over(order) - F.col("own"), "total": F.sum("own").over(Window.partitionBy(*by))}).drop("own")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "part"]]
+    x = x.alias("x").join(written(blocks, "value-blocks").alias("b").hint("shuffle_merge"), same).select("x.*", "b.before", "b.total")
+    upto = F.sum("n").over(Window.partitionBy(*by, "part").orderBy("value")) + F.col("before")
+    x = x.withColumn("upto", upto)
+    at = {name: (F.lit(p) * (F.col("total") - 1)) for name, p in shares.items()}
+    holds = lambda place: (F.col("upto") - F.col("n") <= place) & (place < F.col("upto"))
+    ends = [F.max(F.when(holds(f(a)), F.col("value"))).alias(f"{name}_{end}") for name, a in at.items() for end, f in (("low", F.floor), ("high", F.ceil))]
+    got = x.groupBy(*by).agg(F.max("total").alias("total"), *ends)
+    part = {name: a - F.floor(a) for name, a in at.items()}
+    return got.select(*by, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * part[n]).alias(n) for n in shares])
+
+
 def latency_report(log: DataFrame, limit_ms: int = 120_000) -> DataFrame:
-    """Per mode: requests, mean, exact median and 95th percentile, share at or over the limit."""
-    return log.groupBy("mode").agg(
-        F.count("*").alias("requests"),
-        F.round(F.avg("duration_ms"), 3).alias("mean_ms"),
-        F.round(F.percentile("duration_ms", 0.5), 3).alias("p50_ms"),
-        F.round(F.percentile("duration_ms", 0.95), 3).alias("p95_ms"),
-        F.round(F.avg((F.col("duration_ms") >= limit_ms).cast("int")), 6).alias("over_limit"),
+    """Per mode: requests, mean, exact median and 95th percentile, share at or over the limit. Requests without a duration count, but have none."""
+    counts = value_counts(log, ["mode"], "duration_ms")
+    q = exact_quantiles(counts, ["mode"], {"p50_ms": 0.5, "p95_ms": 0.95})
+    value = F.col("value")
+    known = counts.groupBy("mode").agg(F.sum("n").alias("known"), F.sum(value * F.col("n")).alias("sum"), F.sum(F.when(value >= limit_ms, F.col("n")).otherwise(0)).alias("over"))
+    x = log.groupBy("mode").agg(F.count("*").alias("requests")).alias("r")
+    for name, other in (("k", known), ("q", q)):
+        x = x.join(other.alias(name).hint("shuffle_merge"), F.col("r.mode").eqNullSafe(F.col(f"{name}.mode")), "left")
+    return x.select(
+        "r.mode", "requests", F.round(F.col("sum") / F.col("known"), 3).alias("mean_ms"), F.round("p50_ms", 3).alias("p50_ms"), F.round("p95_ms", 3).alias("p95_ms"), F.round(F.col("over") / F.col("known"), 6).alias("over_limit")
     )

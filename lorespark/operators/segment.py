@@ -8,8 +8,10 @@ test of the array below the steps that make it. Functions with ``docs`` take row
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from lorespark.functions.scalars import NOISE, segment_id, strip
 
@@ -87,12 +89,30 @@ def _with_headings(docs: DataFrame, tolerance: int = 1) -> DataFrame:
     return x.withColumn("headings", F.coalesce(F.array_distinct(F.array_compact(own)), _none())).drop("toc")
 
 
+FEW = 32  # headings that a line is compared with one by one
+
+
+def _among(lines: pd.Series, headings: pd.Series) -> pd.Series:
+    """For each line whether it is one of the headings: a hash set a document."""
+    return pd.Series([None if own is None else (lambda known: [t in known for t in own])(set(told)) for own, told in zip(lines, headings, strict=True)])
+
+
+def is_heading(lines: Column) -> Column:
+    """For each of the trimmed ``lines`` whether it is one of the document's ``headings``: one pass, whatever their number."""
+    many = F.size("headings") > FEW
+    by_set = F.pandas_udf(_among, ArrayType(BooleanType())).asNondeterministic()(F.when(many, lines), F.when(many, F.col("headings")))
+    return F.when(many, by_set).otherwise(F.transform(lines, lambda t: F.array_contains(F.col("headings"), t)))
+
+
 def _with_body(docs: DataFrame, per_page: int = 300, tolerance: int = 1) -> DataFrame:
     """``docs`` with ``headings``, ``pages`` and ``first``: the first page that holds a heading line, 0 if none does."""
     x = _with_headings(docs, tolerance).withColumn("pages", marked_pages(F.col("text")))
     x = x.withColumn("pages", F.when(F.size("pages") > 1, F.col("pages")).otherwise(counted_pages(F.col("text"), per_page)))
-    holds = F.transform("pages", lambda p: F.exists(F.split(p, "\n"), lambda s: F.array_contains(F.col("headings"), strip(s))))
-    return x.withColumn("first", F.greatest(F.array_position(holds, True) - 1, F.lit(0)).cast("int"))
+    # all lines in a row with their pages; the first that is a heading tells the page
+    lines = F.flatten(F.transform("pages", lambda p, i: F.transform(F.split(p, "\n"), lambda s: F.struct(i.alias("page"), strip(s).alias("t")))))
+    x = x.withColumn("own", lines)
+    found = F.array_position(is_heading(F.transform("own", lambda s: s["t"])), True).cast("int")
+    return x.withColumn("first", F.coalesce(F.get("own", found - 1)["page"], F.lit(0)).cast("int")).drop("own")
 
 
 # Tables
@@ -141,8 +161,8 @@ def outline(docs: DataFrame, title: Column | None = None, per_page: int = 300, k
     line = lambda p, i: F.transform(F.split(p, "\n"), lambda s: F.struct((i + F.col("first") + 1).alias("page"), s.alias("line"), strip(s).alias("t")))
     body = F.flatten(F.transform(F.slice("pages", F.col("first") + 1, F.size("pages")), line))
     x = x.withColumn("n_pages", F.size("pages")).withColumn("lines", F.filter(body, lambda s: ~s["t"].rlike(NOISE))).drop("pages")
-    places = F.transform("lines", lambda s, i: F.when(F.array_contains(F.col("headings"), s["t"]), i + 1))
-    x = x.withColumn("starts", F.array_compact(places))
+    x = x.withColumn("opens", is_heading(F.transform("lines", lambda s: s["t"])))
+    x = x.withColumn("starts", F.array_compact(F.transform("opens", lambda o, i: F.when(o, i + 1)))).drop("opens")
     # text before the first heading is segment 0
     x = x.withColumn("early", (F.size("lines") > 0) & (F.coalesce(F.get("starts", F.lit(0)), F.lit(0)) != 1))
     x = x.withColumn("starts", F.when(F.col("early"), F.concat(F.array(F.lit(1)), F.col("starts"))).otherwise(F.col("starts")))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import scalars as S
-from lorespark.operators import kb, outputs, relate, reports, requests, retrieve, segment
+from lorespark.operators import kb, neighbors, outputs, relate, reports, requests, retrieve, segment
 from lorespark.plans import derived as D
-from lorespark.sources import files, sinks
+from lorespark.sources import files, sinks, versions
 from lorespark.sources.sinks import written
 from lorespark.streaming import keyed, log_stream
 
@@ -430,6 +432,21 @@ def record_extraction(spark, d):
     return kb.record_extraction(D.manifest(spark, d).select("path", "chunk_ids"), run).withColumn("chunk_ids", F.array_join("chunk_ids", "|"))
 
 
+@query("write_manifest", "with " + D.MANIFEST + r""", run as (select path, sha256(text) as hash, '2025-01-01T00:00:00.000Z' as extracted_at, ['r' || doc_id] as chunk_ids, strlen(text) as size_bytes from source_docs where doc_id % 2 = 0)
+select 1 as version, path, hash, extracted_at, array_to_string(chunk_ids, '|') as chunk_ids, size_bytes from manifest union all
+select 2, path, hash, extracted_at, array_to_string(chunk_ids, '|'), size_bytes from manifest where path not in (select path from run) union all select 2, path, hash, extracted_at, array_to_string(chunk_ids, '|'), size_bytes from run""")
+def write_manifest(spark, d):
+    """A manifest, and the one after a run, as versions: the first can still be read."""
+    root = sinks.shared_folder(spark, "manifest-versions")
+    versions.write_manifest_version(D.manifest(spark, d), root)
+    docs = kb.hash_sources(D.source_docs(spark, d).where("doc_id % 2 = 0"))
+    number = F.regexp_extract("path", r"doc-(\d+)\.pdf$", 1)
+    run = docs.select("path", "hash", F.lit("2025-01-01T00:00:00.000Z").alias("extracted_at"), "size_bytes", F.array(F.concat(F.lit("r"), number)).alias("chunk_ids"), number.cast("long").alias("position"))
+    versions.write_manifest_version(kb.record_extraction(versions.read_manifest_version(spark, root), run.select("path", "hash", "extracted_at", "chunk_ids", "size_bytes", "position")), root)
+    both = versions.read_manifest_version(spark, root, 1).withColumn("version", F.lit(1)).unionByName(versions.read_manifest_version(spark, root).withColumn("version", F.lit(2)))
+    return both.select("version", "path", "hash", "extracted_at", joined("chunk_ids"), "size_bytes")
+
+
 @query("chunk_ids_for_source", "with " + D.MANIFEST + " select s.path, coalesce(array_to_string(chunk_ids, '|'), '') as chunk_ids from source_docs s left join manifest m on m.path = s.path")
 def chunk_ids_for_source(spark, d):
     return kb.chunk_ids_for_source(D.source_docs(spark, d).select("path"), D.manifest(spark, d)).select("path", joined("chunk_ids"))
@@ -469,9 +486,11 @@ def _questions(spark, d):
     return D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
-def _chunks(spark, d):
-    """Chunks worked out once, with file and body."""
-    return written(D.chunks(spark, d).withColumn("file", F.concat("chunk_id", F.lit(".md"))).withColumn("body", F.col("response")), "chunks")
+def _chunks(spark, d, *more):
+    """The chunks' index columns and ``more``, worked out once; with the chunk's file, and its body where ``response`` is asked for."""
+    x = written(D.chunks(spark, d).select("chunk_id", "status", "topic", "triggers", "summary", *more), "chunks")
+    x = x.withColumn("file", F.concat("chunk_id", F.lit(".md")))
+    return x.withColumn("body", F.col("response")) if "response" in more else x
 
 
 @query("retrieve", "with " + D.CHUNKS + _POST + " select qid, rank, chunk_id, score from rk")
@@ -482,14 +501,14 @@ def retrieve_chunks(spark, d):
 
 @query("assemble_context", "with " + D.CHUNKS + _POST + " select qid, sha256(string_agg('=== Chunk: ' || chunk_id || ' ===' || chr(10) || response, chr(10) || chr(10) order by chunk_id)) as context_hash from rk join chunks using (chunk_id) group by 1")
 def assemble_context(spark, d):
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "response")
     return retrieve.assemble_context(retrieve.retrieve(_questions(spark, d), chunks), chunks).select("qid", F.sha2("context", 256).alias("context_hash"))
 
 
 @query("attach_source", "with " + D.CHUNKS + _POST + " select qid, chunk_id, case when rank = 2 then chunk_id || '.md' else regexp_extract(source, '[^/]*$') end as source from (select *, min(rank) over (partition by chunk_id) as least from rk) join chunks using (chunk_id)".replace("rank = 2", "least = 2"))
 def attach_source(spark, d):
     """Chunks that are at best second have no source on record: their own file counts."""
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "source")
     got = written(retrieve.retrieve(_questions(spark, d), chunks), "retrieved")
     least = got.groupBy("chunk_id").agg(F.min("rank").alias("least")).where("least <> 2")
     known = chunks.join(least.hint("shuffle_merge"), "chunk_id", "left_semi").select("chunk_id", S.base_name(F.col("source")).alias("source"))
@@ -501,7 +520,7 @@ hits as (select g.qid, list_filter(expected, lambda x: x is not null) as expecte
 
 
 def _hits(spark, d):
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "response")
     items = D.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     found = retrieve.expected_chunks(items, chunks).groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("expected"))
     gold = items.select("qid").join(found.hint("shuffle_merge"), "qid", "left")
@@ -589,6 +608,21 @@ def relate_clusters(spark, d):
     return relate.relate_clusters(D.chunks(spark, d))
 
 
+# Vectors
+
+
+@query("knn_retrieve", r"""with ok as (select vec_id, v, sqrt(list_inner_product(v, v)) as l from (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+ where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0) where list_inner_product(v, v) > 0),
+un as (select vec_id, list_transform(v, lambda x: x / l) as u from ok),
+pr as (select q.vec_id, x.vec_id as neighbor_id, round(list_inner_product(q.u, x.u), 9) as c from un q join un x on q.vec_id <> x.vec_id where q.vec_id % 50 = 0)
+select vec_id, rank, neighbor_id, round(c, 6) as cosine from (select *, row_number() over (partition by vec_id order by c desc, neighbor_id) as rank from pr) where rank <= 5""")
+def knn_retrieve(spark, d):
+    """The five nearest of all vectors for each of the stated query set: ids divisible by 50."""
+    v = D.table(spark, d, "embeddings")
+    x = neighbors.knn_retrieve(v, v.where("vec_id % 50 = 0"))
+    return x.select("vec_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", F.round("cosine", 6).alias("cosine"))
+
+
 # Requests
 
 
@@ -685,11 +719,13 @@ def source_failures(spark, d):
 # Model outputs and responses
 
 
-def _raw_outputs(spark, d):
+def _raw_outputs(spark, d, short=False):
     m = lambda k: F.col("doc_id") % k == 0
     triggers = F.when(m(29), F.array().cast("array<string>")).otherwise(F.col("triggers"))
     flag = F.when(m(17), F.lit(True)).otherwise(F.col("has_conditions"))
     one = F.to_json(F.struct("chunk_id", "topic", "summary", triggers.alias("triggers"), flag.alias("has_conditions"), F.lit("active").alias("status"), "context", "conditions", "constraints", "response"))
+    if short:
+        one = F.to_json(F.struct("chunk_id", "topic", "summary", triggers.alias("triggers"), flag.alias("has_conditions"), F.lit("active").alias("status"), "context"))
     raw = F.when(m(8), one).otherwise(F.concat(F.lit("Here: ["), one, F.when(m(5), F.lit(", ]")).otherwise(F.lit("]")), F.lit(" done")))
     raw = F.when(m(23), F.substr(raw, F.lit(1), F.floor(F.length(raw) / 2).cast("int"))).otherwise(raw)
     raw = F.when(m(3), F.concat(F.lit("```json\n"), raw, F.lit("\n```"))).otherwise(raw)
@@ -705,9 +741,16 @@ def parse_model_output(spark, d):
     return x.select("own_id", "item.chunk_id", "item.topic", F.size("item.triggers").cast("long").alias("n_triggers"), F.sha2("item.response", 256).alias("response_hash"))
 
 
-@query("clean_outputs", "with " + _OUT + " select chunk_id as own_id, doc % 23 <> 0 as ok from outs")
+# A model's output as it is written: text before and after, fences, a comma too many, or cut in half.
+_ITEM = r"""cast(json_object('chunk_id', chunk_id, 'topic', topic, 'summary', summary, 'triggers', case when doc % 29 = 0 then [] else triggers end, 'has_conditions', doc % 17 = 0 or has_conditions, 'status', 'active', 'context', context) as varchar)"""
+
+
+@query("clean_outputs", "with " + _OUT + f""", js as (select chunk_id as own_id, doc, {_ITEM} as item from outs)
+select own_id, doc % 23 <> 0 as ok, case when doc % 23 <> 0 then sha256(case when doc % 8 = 0 then item else '[' || item || ']' end) end as cleaned_hash from js""")
 def clean_outputs(spark, d):
-    return outputs.clean_outputs(_raw_outputs(spark, d)).select("own_id", "ok")
+    """The cleaned text of those that can be parsed is the item itself; field by field as it was, without the fields of long texts."""
+    x = outputs.clean_outputs(_raw_outputs(spark, d, short=True))
+    return x.select("own_id", "ok", F.when(F.col("ok"), F.sha2("cleaned", 256)).alias("cleaned_hash"))
 
 
 @query("validate_model_output", "with " + _OUT + r""" select chunk_id as own_id, array_to_string(list_filter([case when not regexp_matches(chunk_id, '^[a-z0-9-]+$') then 'chunk_id' end, case when topic = '' then 'topic' end, case when summary = '' then 'summary' end, case when doc % 29 = 0 then 'triggers' end], lambda x: x is not null), '|') as issues from outs where doc % 23 <> 0""")
@@ -720,21 +763,27 @@ def flag_missing_conditions(spark, d):
     return outputs.flag_missing_conditions(outputs.parse_model_output(_raw_outputs(spark, d))).select("own_id", "status")
 
 
-@query("quarantine_outputs", "with " + _OUT + " select chunk_id as own_id, true as short from outs where doc % 23 = 0")
+@query("quarantine_outputs", "with " + _OUT + f""", js as (select chunk_id as own_id, doc, {_ITEM} as item from outs where doc % 23 = 0),
+wr as (select own_id, doc, case when doc % 8 = 0 then item else 'Here: [' || item || case when doc % 5 = 0 then ', ]' else ']' end || ' done' end as r from js),
+ct as (select own_id, r[1 : length(r) // 2] as r from wr) select own_id, sha256(regexp_replace(rtrim(r), '^[^\[{{]*', '')[1:500]) as preview_hash from ct""")
 def quarantine_outputs(spark, d):
-    return outputs.quarantine_outputs(_raw_outputs(spark, d)).select("own_id", (F.length("preview") <= 500).alias("short"))
+    """Outputs cut in half: from the first bracket on, the first 500 characters."""
+    return outputs.quarantine_outputs(_raw_outputs(spark, d, short=True)).select("own_id", F.sha2("preview", 256).alias("preview_hash"))
 
 
 def _extracted(spark, d):
-    """A model that returns what it is asked, but fails for every seventh document."""
+    """A model, loaded once a task, that returns what it is asked, but fails for every seventh document."""
+
+    def load():
+        def echo(prompts: list[str]) -> list[str]:
+            if any('"seventh"' in p for p in prompts):
+                raise RuntimeError("no answer")
+            return ["```json\n[" + p.split("\n\n", 1)[1] + ",]\n```" for p in prompts]
 
-    def echo(prompts: list[str]) -> list[str]:
-        if any('"seventh"' in p for p in prompts):
-            raise RuntimeError("no answer")
-        return ["```json\n[" + p.split("\n\n", 1)[1] + ",]\n```" for p in prompts]
+        return echo
 
     item = F.to_json(F.struct("chunk_id", "topic", "summary", "triggers", "has_conditions", "status", "context", "response", F.when(F.col("doc_id") % 7 == 0, "seventh").alias("note")))
-    return outputs.extract_chunks(D.chunks(spark, d).select("source", F.col("chunk_id").alias("own_id"), item.alias("prompt")), echo, document="source")
+    return outputs.extract_chunks(D.chunks(spark, d).select("source", F.col("chunk_id").alias("own_id"), item.alias("prompt")), load=load, document="source")
 
 
 @query("extract_chunks", "with " + _OUT + " select chunk_id, topic from outs where doc % 7 <> 0")
@@ -778,7 +827,7 @@ def parse_retrieval(spark, d):
 select item_id as qid, sha256(chr(10) || chr(10) || 'RELEVANT CHUNK DOCUMENTATION:' || chr(10) || coalesce(c, 'No matching chunks found for this query.') || chr(10) || chr(10) || 'CURRENT MODE: ' || case when item_id % 2 = 0 then 'ANSWER' || chr(10) || 'Answer mode. Go directly to steps if documentation supports it.'
  else 'CLARIFY' || chr(10) || 'The user needs clarification. Prefer choices or alert responses.' end) as block_hash from benchmark left join cx on qid = item_id""")
 def context_block(spark, d):
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "response")
     c = retrieve.assemble_context(retrieve.retrieve(_questions(spark, d), chunks), chunks)
     x = _questions(spark, d).select("qid", F.when(F.col("qid") % 2 == 0, "answer").otherwise("clarify").alias("mode")).join(c.hint("shuffle_merge"), "qid", "left")
     return retrieve.context_block(x).select("qid", F.sha2("block", 256).alias("block_hash"))
@@ -788,7 +837,7 @@ def context_block(spark, d):
 select item_id as qid, case when chunk_id is null then 'text' when constraints <> '' then 'alert' when conditions <> '' then 'choices' else 'steps' end as kind,
  case when chunk_id is null or constraints <> '' then 0 when conditions <> '' then len(string_split(conditions, '. ')) else len(list_filter(regexp_split_to_array(response, '\n+'), lambda s: s <> '')) end as parts from benchmark left join b on qid = item_id""")
 def answer(spark, d):
-    chunks = _chunks(spark, d)
+    chunks = _chunks(spark, d, "response", "constraints", "conditions")
     best = retrieve.retrieve(_questions(spark, d), chunks, 1).join(chunks.select("chunk_id", "constraints", "conditions", F.col("response").alias("context")).hint("shuffle_merge"), "chunk_id")
     x = outputs.answer(_questions(spark, d).select("qid").join(best.hint("shuffle_merge"), "qid", "left"))
     parsed = F.from_json("raw", outputs.RESPONSE)
@@ -796,6 +845,33 @@ def answer(spark, d):
     return x.select("qid", "kind", parts.cast("long").alias("parts"))
 
 
+@query("answer_by_model", "with " + D.CHUNKS + _POST + r""", cx as (select qid, max(chunk_id) as last from rk group by 1)
+select item_id as qid, case when item_id % 7 = 0 then 'alert' else 'text' end as type, case when item_id % 7 = 0 then '""" + outputs.ALERTS["rate_limit"] + r"""' else coalesce(last, 'none') || ': ' || length(text) end as body from benchmark left join cx on qid = item_id""")
+def answer_by_model(spark, d):
+    """A model that names the last chunk of its context and the question's length, and is over its quota for every seventh question."""
+
+    def load():
+        def reply(prompts: list[str]) -> list[str]:
+            out = []
+            for p in prompts:
+                block, question = p.rsplit("\n\nQUESTION: ", 1)
+                number, text = question.split("|", 1)
+                if int(number) % 7 == 0:
+                    raise RuntimeError("quota exceeded")
+                names = re.findall(r"(?m)^=== Chunk: (.*) ===$", block)
+                out.append(json.dumps({"type": "text", "data": {"body": f"{max(names, default='none')}: {len(text)}"}}))
+            return out
+
+        return reply
+
+    chunks, asked = _chunks(spark, d, "response"), _questions(spark, d)
+    c = retrieve.assemble_context(retrieve.retrieve(asked, chunks), chunks)
+    x = retrieve.context_block(asked.withColumn("mode", F.lit("answer")).join(c.hint("shuffle_merge"), "qid", "left"))
+    x = x.withColumn("question", F.concat(F.col("qid").cast("string"), F.lit("|"), F.col("question")))
+    parsed = outputs.parse_chat_response(outputs.answer_by_model(x, load=load))
+    return outputs.response_components(parsed, ["qid"]).select("qid", "type", F.col("text").alias("body"))
+
+
 _ASKED = r"""hw as (select conv_id, turn, role, text, string_agg(role || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between 20 preceding and 1 preceding) as h from conversations),
 qs as (select conv_id as qid, arg_max(text || ' ' || coalesce(h, ''), turn) as question from hw where role = 'user' group by 1)"""
 _POST_HISTORY = _POST.replace(_POST[_POST.index("qs as (") : _POST.index(", qt as (")], _ASKED)
