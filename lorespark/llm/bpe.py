@@ -16,7 +16,8 @@ parameter; a task loads it once in its Python worker.
 Defined results. Null counts as empty: no tokens, both digests of "". Repeated
 rows give equal rows, an empty table no rows; other columns are ignored. A very long
 text is encoded whole, and so is a word as long as its text. What a worker remembers is
-bounded in bytes; it changes no result.
+bounded in bytes: chunks' encodings by ``most``, which pairs of tokens may stand together by ``PAIRS``
+of about ``PAIR_BYTES``, two generations of each. It changes no result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from lorespark.llm.memo import held
 
 CACHED = 120_000_000  # bytes that a generation of remembered encodings takes, about: two of them a worker
 EACH = 250  # of which an entry's objects, beside its letters
+PAIRS, PAIR_BYTES = 60_000, 170  # remembered pairs of tokens in a generation, of two; bytes that one takes
 #: White space as the normalizer has it; str.split also cuts at \x1c-\x1f.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -51,7 +53,7 @@ def byte_letters() -> list[str]:
 class TrieBPE:
     """The vocabulary, its merges, and the trie encoder."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pairs: int = PAIRS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -71,14 +73,21 @@ class TrieBPE:
             self.parts.setdefault(c, (a, b))
         self.born = {c: self.rank[p] for c, p in self.parts.items()}
         self.longest = max(len(s.removesuffix(_END)) for s in self.vocab)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.pairs = pairs
+        self.fits: dict[tuple[int, int], bool] = {}  # the younger generation; when it is full the older one goes
+        self.fitted: dict[tuple[int, int], bool] = {}
+        self.whole: dict[int, bool] = {}  # of tokens: no more than the vocabulary
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the encoding of a's and b's joined strings is [a, b]."""
         known = self.fits.get((a, b))
         if known is None:
-            known = self.fits[a, b] = self._follows(a, b)
+            known = self.fitted.get((a, b))
+            if known is None:
+                known = self._follows(a, b)
+            if len(self.fits) >= self.pairs:
+                self.fitted, self.fits = self.fits, {}
+            self.fits[a, b] = known
         return known
 
     def _follows(self, x: int, y: int) -> bool:
