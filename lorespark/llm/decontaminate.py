@@ -6,8 +6,8 @@ it is shorter. Each task maps document words to the benchmark vocabulary,
 hashes only windows made of such words, and verifies each hit word by word.
 
 The set is broadcast only up to ``most`` windows, counted first, held in arrays of about
-``BYTES`` each; a larger benchmark is dealt into slices of that size by window hash, each
-scanned in turn, and the hits of all slices are merged by row: the documents are numbered in a
+``BYTES`` each; a larger benchmark is dealt into slices, counted to hold no more, by window and
+item, so that a window of very many items goes to many; each is scanned in turn, and the hits of all slices are merged by row: the documents are numbered in a
 written table before, so rows that repeat an id, or have none, stay rows. One slice or many,
 the results are the same.
 
@@ -135,13 +135,16 @@ def _scan(windows):
 
 
 def _sliced(benchmark: DataFrame, width: int, most: int):
-    """The benchmark's distinct windows in broadcast sets of about ``most`` each; at least one set."""
+    """The benchmark's distinct (window, item) rows in broadcast sets of ``most`` at the most; at least one set."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).where("item is not null")
     grams = written(items.mapInArrow(_item_windows(width), "item string, gram binary").distinct(), "benchmark-windows")
     slices = max(1, -(-grams.count() // most))
+    part = lambda n: F.pmod(F.xxhash64("gram", "item"), F.lit(n))
+    while slices > 1 and grams.groupBy(part(slices)).count().agg(F.max("count")).first()[0] > most:
+        slices += -(-slices // 4)
     for k in range(slices):
-        own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k) if slices > 1 else grams
+        own = grams.where(part(slices) == k) if slices > 1 else grams
         yield slices, spark.sparkContext.broadcast(WindowSet(own.toArrow()))
 
 

@@ -184,3 +184,38 @@ def test_mixing_of_nothing(spark):
     assert mixing.mixed(empty).count() == 0
     blank = spark.createDataFrame([(1, "a", ""), (2, None, None)], empty.schema)
     assert sorted((r.doc_id, r.taken, r.target) for r in mixing.mixed(blank).collect()) == [(1, 0, 0.0), (2, 0, 0.0)]
+
+
+def test_the_encoder_remembers_within_bounds():
+    """200,000 random words: pairs and encodings stay below their limits in bytes, and what is forgotten is found again."""
+    import sys
+
+    from lorespark.llm import bpe, common
+
+    rng = random.Random(1)
+    path = common.vocabulary("word_bpe_49k.json")
+    held, fresh = bpe.Cached(path, most=4_000_000), bpe.TrieBPE(path)
+    first = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(500)}
+    before = held.learn(first)
+    for _ in range(200):
+        held.learn({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(1000)})
+    own = held.bpe
+    assert max(len(own.fits), len(own.fitted)) <= bpe.PAIRS and len(own.whole) <= len(own.strings)
+    entry = sys.getsizeof((1, 2)) + sum(map(sys.getsizeof, (1000, 1000)))
+    assert sum(sys.getsizeof(d) + entry * len(d) for d in (own.fits, own.fitted)) <= 2 * bpe.PAIRS * bpe.PAIR_BYTES * 1.5
+    taken = [bpe.EACH + len(c) + len(x[1]) + len(x[2]) for d in (held.young, held.old) for c, x in d.items()]
+    assert sum(taken) <= 2 * 4_000_000
+    assert held.learn(first) == before == {c: (len(t), " ".join(map(str, t)), " ".join(fresh.strings[i] for i in t)) for c, t in ((c, fresh.encode_words(set(w))[w[0]]) for c, w in ((c, own.words_of(c)) for c in first))}
+
+
+def test_a_window_of_very_many_items_is_dealt_out(spark):
+    """3,000 items that open with one prompt: every broadcast set stays within its bound, and the rows are those of one set."""
+    from lorespark.llm import decontaminate
+
+    prompt = "answer the following question with one of these four letters"
+    bench = spark.createDataFrame([(k, f"{prompt} item{k} a b") for k in range(3000)], "item_id long, text string")
+    sizes = [sum(len(of) for _, _, of in w.value.by.values()) for _, w in decontaminate._sliced(bench, 10, 900)]
+    assert len(sizes) > 9 and max(sizes) <= 900 and sum(sizes) == 3000 * 4
+    docs = spark.createDataFrame([(1, f"see: {prompt}"), (2, "clean"), (3, f"{prompt} item7 a")], "doc_id long, text string")
+    got = [sorted(map(str, decontaminate.contamination(docs, bench, most=m).collect())) for m in (10**6, 900)]
+    assert got[0] == got[1] and "n_items=3000" in got[0][0]
