@@ -126,6 +126,12 @@ def validate_chunks(files: DataFrame) -> DataFrame:
     return chunk_issues(parse_front_matter(files)).where("status = 'active'").select("file", "chunk_id", "passed", "issues")
 
 
+def validation_counts(results: DataFrame) -> DataFrame:
+    """(issue, n) of ``results(passed, issues)``: how many chunks have each issue, and how many ``passed``."""
+    told = F.when(F.col("passed"), F.array(F.lit("passed"))).otherwise(F.col("issues"))
+    return results.select(F.explode(told).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
 def mark_review(files: DataFrame, results: DataFrame) -> DataFrame:
     """Raw texts, in which failed chunks' first status line says review."""
     failed = results.where("not passed").select("file", F.lit(True).alias("failed"))
@@ -322,23 +328,39 @@ def _relates(index: DataFrame, related: DataFrame) -> DataFrame:
     return index.agg((F.count_if(F.col("status") == "active") >= 2).alias("enough")).crossJoin(F.broadcast(some)).select((F.col("some") & F.col("enough")).alias("relates"))
 
 
+def _linked(index: DataFrame, related: DataFrame) -> DataFrame:
+    """``index`` with the links it gets, and ``relates``: whether the relate pass changes anything."""
+    new = related.withColumnRenamed("related_chunks", "new")
+    empty = F.array().cast("array<string>")
+    x = index.join(new.hint("shuffle_merge"), "chunk_id", "left").crossJoin(F.broadcast(_relates(index, related)))
+    set_anew = F.col("relates") & (F.col("status") == "active")
+    return x.withColumn("related_chunks", F.when(set_anew, F.coalesce("new", empty)).otherwise(F.col("related_chunks"))).drop("new")
+
+
 def apply_related(index: DataFrame, related: DataFrame) -> DataFrame:
     """Links of active chunks set anew: none where a chunk is in no cluster.
 
     Without any cluster, or with fewer than two active chunks, nothing changes.
     """
-    new = related.withColumnRenamed("related_chunks", "new")
-    empty = F.array().cast("array<string>")
-    x = index.join(new.hint("shuffle_merge"), "chunk_id", "left").crossJoin(F.broadcast(_relates(index, related)))
-    set_anew = F.col("relates") & (F.col("status") == "active")
-    return x.withColumn("related_chunks", F.when(set_anew, F.coalesce("new", empty)).otherwise(F.col("related_chunks"))).drop("new", "relates")
+    return _linked(index, related).drop("relates")
+
+
+def related_edges(index: DataFrame) -> DataFrame:
+    """(chunk_id, related_id): a row for each link of ``index(chunk_id, related_chunks)``."""
+    return index.select("chunk_id", F.explode("related_chunks").alias("related_id"))
+
+
+def dangling_related(index: DataFrame) -> DataFrame:
+    """(chunk_id, related_id): links of ``index(chunk_id, status, related_chunks)`` that lead to no active chunk."""
+    active = index.where("status = 'active'").select(F.col("chunk_id").alias("related_id"))
+    return related_edges(index).join(active.hint("shuffle_merge"), "related_id", "left_anti").select("chunk_id", "related_id")
 
 
 def rewrite_related(files: DataFrame, related: DataFrame) -> DataFrame:
     """``files(file, raw)`` of active chunks with their link lines set anew, on the terms of ``apply_related``."""
     x = parse_front_matter(files).select("file", "raw", "chunk_id", "status")
     x = x.withColumn("related_chunks", F.array().cast("array<string>"))
-    linked = apply_related(x, related).crossJoin(F.broadcast(_relates(x, related)))
+    linked = _linked(x, related)
     lines = F.array_join(F.concat(F.array(F.lit("related_chunks:")), F.transform("related_chunks", lambda r: F.concat(F.lit("  - "), strip(F.regexp_replace(r, "(?i)^chunk_id:", ""))))), "\n")
     old = r"(?m)^related_chunks:(?:(?!^status:)[\s\S])*(?=^status:)"
     at, text = F.regexp_instr("raw", F.lit(old)), F.regexp_substr("raw", F.lit(old))

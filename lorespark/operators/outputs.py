@@ -190,7 +190,12 @@ PERSONAL = [
     (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "[address]"),
     (r"\+?[0-9(][0-9() -]{6,}[0-9]", "[number]"),
     (r"(?i)(#|\b(ticket|case|order|account)\s+(no\.?\s*)?)[0-9]{3,}", "[reference]"),
-    (r"\b(Mr|Mrs|Ms|Dr|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [A-Z][a-z]+( [A-Z][a-z]+)?", "[name]"),
+    (r"\b(Mr|Mrs|Ms|Dr|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? \p{Lu}\p{L}+([ -]\p{Lu}\p{L}+)*", "[name]"),
+    # who somebody says to be, is greeted as, or signs as
+    (r"\b((?i:my name is|i am called|ich heiße|mein name ist|je m.appelle|me llamo|mi nombre es)) \p{Lu}\p{L}+([ -]\p{Lu}\p{L}+)*", "$1 [name]"),
+    (r"\b((?i:this is|here is|it is|i am|i.m)) \p{Lu}\p{L}+([ -]\p{Lu}\p{L}+)* ((?i:from|of|speaking|here|calling|writing))\b", "$1 [name] $3"),
+    (r"\b((?i:hi|hello|hey|dear|hallo|liebe|lieber|bonjour|hola)) \p{Lu}\p{L}+([ -]\p{Lu}\p{L}+)*([,!:])", "$1 [name]$3"),
+    (r"\b((?i:regards|cheers|sincerely|grüße|saludos|cordialement|yours)),?\s+\p{Lu}\p{L}+([ -]\p{Lu}\p{L}+)*", "$1, [name]"),
 ]
 
 

@@ -33,3 +33,9 @@ def source_failures(results: DataFrame) -> DataFrame:
     """One row of ``results(source, new_chunks, updated_chunks, failed)``: sources, chunks created and updated by those that didn't fail, sources failed."""
     went = lambda c: F.coalesce(F.sum(F.when(~F.col("failed"), F.col(c))), F.lit(0)).cast("long")
     return results.agg(F.count("*").alias("sources"), went("new_chunks").alias("created"), went("updated_chunks").alias("updated"), F.count_if("failed").alias("failed"))
+
+
+def retrieval_report(hits: DataFrame, score: DataFrame) -> DataFrame:
+    """What an evaluation run leaves: ``hits(qid, question, expected, got, hit, ...)`` as results, each with the run's ``score(score, hits, misses)``."""
+    run = score.select(F.col("score"), F.col("hits").alias("passed"), F.col("misses").alias("failed"))  # one row
+    return hits.select("question", "expected", F.col("got").alias("retrieved"), "hit").crossJoin(F.broadcast(run))

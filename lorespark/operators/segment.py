@@ -193,9 +193,14 @@ def heading_segments(docs: DataFrame, title: Column | None = None, per_page: int
     return rows_of(outline(docs, title, per_page))
 
 
+def long_enough(content: Column, least: int = 300) -> Column:
+    """Whether a segment stays: ``least`` characters or more without white space at its ends."""
+    return F.length(strip(content)) >= least
+
+
 def drop_short(outlines: DataFrame, least: int = 300) -> DataFrame:
     """Segments under ``least`` characters vanish."""
-    return outlines.withColumn("segs", F.filter("segs", lambda s: F.length(strip(s["content"])) >= least))
+    return outlines.withColumn("segs", F.filter("segs", lambda s: long_enough(s["content"], least)))
 
 
 def merge_short(outlines: DataFrame, least: int = 300) -> DataFrame:

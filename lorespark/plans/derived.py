@@ -56,19 +56,19 @@ DOC_WITH_TOC = SOURCE_DOCS + r""", doct as (select doc_id, path, 'Contents' || c
 
 
 def segs(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, source, seg, heading, content): pages of five lines under their first four words."""
-    from lorespark.operators.segment import fixed_pages
+    """(doc_id, source, seg, heading, content): pages of five lines under their first four words, short ones dropped as the segmentation does."""
+    from lorespark.operators.segment import fixed_pages, long_enough
 
     x = fixed_pages(source_docs(spark, d), 5, keep=("path",)).withColumnRenamed("path", "source")
     heading = F.array_join(F.slice(F.split("content", r"\s+"), 1, 4), " ")
-    return x.where(F.length("content") >= 300).select("doc_id", "source", F.col("page").alias("seg"), heading.alias("heading"), "content")
+    return x.where(long_enough(F.col("content"))).select("doc_id", "source", F.col("page").alias("seg"), heading.alias("heading"), "content")
 
 
 _FIXED = r"""fixed as (select doc_id, p as page, array_to_string(l[p * {n} + 1 : p * {n} + {n}], chr(10)) as content
   from (select doc_id, l, unnest(range(0, cast((len(l) - 1) // {n} as bigint) + 1)) as p from (select doc_id, string_split(text, chr(10)) as l from {src}))) """
 
 SEGS = SOURCE_DOCS + ", " + _FIXED.format(n=5, src="source_docs") + r""", segs as (select f.doc_id, s.path as source, f.page as seg,
-  array_to_string(regexp_split_to_array(content, '\s+')[1:4], ' ') as heading, content from fixed f join source_docs s using (doc_id) where length(content) >= 300)"""
+  array_to_string(regexp_split_to_array(content, '\s+')[1:4], ' ') as heading, content from fixed f join source_docs s using (doc_id) where length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 300)"""
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

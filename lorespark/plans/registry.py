@@ -131,12 +131,12 @@ def valid_requests(spark, d):
 
 
 @query("page_lines", r"""with x as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer)\b.*?</(script|style|nav|footer)>', '', 'g'), '(?i)</?(p|div|h[1-6]|li|br|tr|article|section)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') as t from pages),
-l as (select page_id, unnest(list_filter(list_transform(string_split(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) as line from x)
-select page_id, count(*) as lines, sum(length(line)) as chars from l group by 1""")
+l as (select page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ls from x)
+select page_id, i - 1 as line_no, sha256(ls[i]) as line_hash from (select *, unnest(range(1, len(ls) + 1)) as i from l)""")
 def page_lines(spark, d):
     from lorespark.sources.pages import page_lines as lines
 
-    return lines(D.table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    return lines(D.table(spark, d, "pages")).select("page_id", F.col("line_no").cast("long").alias("line_no"), F.sha2("line", 256).alias("line_hash"))
 
 
 @query("conversation_transcripts", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as transcript from conversations group by 1")
@@ -282,7 +282,7 @@ def assign_chunk_ids(spark, d):
 def _sql_chat(c: str) -> str:
     """Personal data and pleasantries out of a text."""
     for pattern, name in outputs.PERSONAL:
-        c = f"regexp_replace({c}, '{pattern}', '{name}', 'g')"
+        c = f"regexp_replace({c}, '{pattern}', '{name.replace('$', chr(92))}', 'g')"
     said = f"string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))"
     told = outputs.PLEASANTRY.replace("'", "''")
     return f"array_to_string(list_filter({said}, lambda s: not regexp_matches(s, '{told}') and regexp_replace(s, '^\\s+|\\s+$', '', 'g') <> ''), ' ')"
@@ -314,8 +314,7 @@ def mark_review(spark, d):
 
 @query("validation_counts", "with " + D.CHUNK_MD + " select coalesce(issue, 'passed') as issue, count(*) as n from (select unnest(case when len(issues) = 0 then ['passed'] else issues end) as issue from issues where status = 'active') group by 1")
 def validation_counts(spark, d):
-    x = kb.validate_chunks(D.chunk_md(spark, d))
-    return x.select(F.explode(F.when(F.col("passed"), F.array(F.lit("passed"))).otherwise(F.col("issues"))).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    return kb.validation_counts(kb.validate_chunks(D.chunk_md(spark, d)))
 
 
 @query("rebuild_index", "with " + D.CHUNK_MD + " select file, chunk_id, topic from parsed where chunk_id <> '' and topic <> '' and status = 'active'")
@@ -543,6 +542,17 @@ def missed_ids(spark, d):
     return retrieve.missed_ids(_hits(spark, d)).select("qid", joined("missed"))
 
 
+@query("write_retrieval_report", "with " + D.CHUNKS + _POST + _GOLD + r""", s as (select count(*) filter (where list_has_any(expected, got)) as passed, count(*) as n from hits where len(expected) > 0)
+select 'eval-retrieval-2025-01-02T03-04-05-678Z.json' as file, b.text as question, array_to_string(expected, '|') as expected, array_to_string(list_sort(got), '|') as retrieved, list_has_any(expected, got) as hit, cast(floor(100.0 * passed / n + 0.5) as bigint) as score, passed, n - passed as failed from hits join benchmark b on b.item_id = qid cross join s where len(expected) > 0""")
+def write_retrieval_report(spark, d):
+    """The evaluation's report as it is read back: every gold query with its result, and the run's score."""
+    hits = written(_hits(spark, d).where("size(expected) > 0").join(_questions(spark, d).hint("shuffle_merge"), "qid"), "hits")
+    folder = sinks.shared_folder(spark, "reports")
+    sinks.write_retrieval_report(reports.retrieval_report(hits, retrieve.retrieval_score(hits)), "2025-01-02T03:04:05.678Z", folder)
+    x = files.read_retrieval_reports(spark, folder)
+    return x.select("file", "question", joined("expected"), joined("retrieved"), "hit", "score", "passed", "failed")
+
+
 _CLUSTERS = "cl as (select (row_number() over (partition by label order by vec_id) - 1) // 3 as k, label, 'v' || vec_id as id, vec_id from embeddings), clusters as (select label * 100000 + k as cluster, id from cl union all select label * 100000 + k + 1, id from cl where vec_id % 10 = 0)"
 
 
@@ -570,28 +580,30 @@ def apply_related(spark, d):
     return kb.apply_related(i, written(kb.related_from_clusters(_clusters(spark, d)), "related")).select("chunk_id", "status", joined("related_chunks"))
 
 
-@query("rewrite_related", "with " + D.CHUNK_MD + r""", rel as (select chunk_id, [lag(chunk_id) over (order by chunk_id)] as related from chunks qualify lag(chunk_id) over (order by chunk_id) is not null)
+@query("rewrite_related", "with " + D.CHUNK_MD + r""", rel as (select chunk_id, [lag(chunk_id) over (partition by source order by chunk_id)] as related from chunks qualify lag(chunk_id) over (partition by source order by chunk_id) is not null)
 select file, sha256(case when status = 'active' and has_fm and regexp_matches(raw, '(?m)^related_chunks:') then regexp_replace(raw, '(?m)^related_chunks:\n(  - .*\n)*', 'related_chunks:' || chr(10) || coalesce('  - ' || related[1] || chr(10), '')) when status = 'active' and regexp_matches(raw, '(?m)^related_chunks:')
  then regexp_replace(raw, '(?m)^related_chunks:\n(  - .*\n)*', 'related_chunks:' || chr(10)) else raw end) as raw_hash from parsed left join rel using (chunk_id)""")
 def rewrite_related(spark, d):
-    """Each chunk linked with the one before it in order of ids."""
+    """Each chunk linked with the one before it in order of ids, of those from its source."""
     from pyspark.sql import Window
 
     files = written(D.chunk_md(spark, d), "chunk-files")
-    before = F.lag("chunk_id").over(Window.orderBy("chunk_id"))
-    related = D.chunks(spark, d).select("chunk_id").withColumn("related_chunks", F.array(before)).where("related_chunks[0] is not null")
+    before = F.lag("chunk_id").over(Window.partitionBy("source").orderBy("chunk_id"))
+    related = D.chunks(spark, d).withColumn("related_chunks", F.array(before)).where("related_chunks[0] is not null").select("chunk_id", "related_chunks")
     return kb.rewrite_related(files, written(related, "related")).select("file", F.sha2("raw", 256).alias("raw_hash"))
 
 
 @query("related_edges", _RELATED + " select chunk_id, unnest(related) as related_id from rel")
 def related_edges(spark, d):
-    return kb.related_from_clusters(_clusters(spark, d)).select("chunk_id", F.explode("related_chunks").alias("related_id"))
+    return kb.related_edges(kb.related_from_clusters(_clusters(spark, d)))
 
 
 @query("dangling_related", _RELATED + ", e as (select chunk_id, unnest(related) as related_id from rel) select chunk_id, related_id from e where related_id not in (select 'v' || vec_id from embeddings where vec_id % 4 <> 0)")
 def dangling_related(spark, d):
-    active = D.table(spark, d, "embeddings").where("vec_id % 4 <> 0").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("related_id"))
-    return related_edges(spark, d).join(active.hint("shuffle_merge"), "related_id", "left_anti").select("chunk_id", "related_id")
+    status = F.when(F.col("vec_id") % 4 == 0, "review").otherwise("active")
+    i = D.table(spark, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("chunk_id"), status.alias("status"))
+    links = written(kb.related_from_clusters(_clusters(spark, d)), "related")
+    return kb.dangling_related(i.join(links.hint("shuffle_merge"), "chunk_id", "left"))
 
 
 _PAIRS = D.CHUNKS + r""", r0 as (select chunk_id, unnest(""" + _TOK.format("topic || ' ' || array_to_string(triggers, ' ')") + r""") as token from chunks where status = 'active'),
@@ -919,10 +931,10 @@ def read_index_text(spark, d):
     return x.select("chunk_id", "source", "topic", "summary", joined("triggers"), "has_conditions", "status")
 
 
-@query("write_index", "with " + D.CHUNKS + f""" select {len(kb.INDEX_HEADER)} + sum(length(array_to_string({_ENTRY_LINES}, chr(10))) + 1) as chars, 1 as headers, count(*) as entries from chunks""")
+@query("write_index", "with " + D.CHUNKS + f""" select sha256(line) as line_hash, count(*) as n from (select unnest({_ENTRY_LINES}) as line from chunks union all select unnest({kb.INDEX_HEADER.split(chr(10))!r}) as line) group by 1""")
 def write_index(spark, d):
-    x = spark.read.text(_index_text(spark, d)).agg(F.sum(F.length("value") + 1).alias("chars"), F.count_if(F.col("value") == "chunks:").alias("headers"), F.count_if(F.col("value").startswith("  - chunk_id: ")).alias("entries"))
-    return x.select((F.col("chars") - 1).alias("chars"), "headers", "entries")
+    """The index text line by line, header and entries."""
+    return spark.read.text(_index_text(spark, d)).groupBy(F.sha2("value", 256).alias("line_hash")).agg(F.count("*").alias("n"))
 
 
 @query("active_count", "with " + D.CHUNKS + " select count(*) as active from chunks where status = 'active'")
@@ -936,33 +948,35 @@ def validate_index(spark, d):
     return kb.validate_index(files.read_index_text(spark, _index_text(spark, d))).select("chunk_id", joined("issues"))
 
 
-@query("read_manifest", "with " + D.MANIFEST + " select path, hash, extracted_at, array_to_string(chunk_ids, '|') as chunk_ids, size_bytes, row_number() over (order by position) as rank from manifest")
+@query("read_manifest", "with " + D.MANIFEST + " select path, hash, extracted_at, array_to_string(chunk_ids, '|') as chunk_ids, size_bytes, row_number() over (partition by hash[1:1] order by position) as rank from manifest")
 def read_manifest(spark, d):
-    """Written in its order, and read back in it."""
+    """Written in its order, and read back in it: the places among those whose hashes begin alike."""
     from pyspark.sql import Window
 
     path = sinks.shared_folder(spark, "manifest")
     sinks.write_manifest(D.manifest(spark, d), path)
-    x = files.read_manifest(spark, path, lines=True).withColumn("rank", F.row_number().over(Window.orderBy("position")).cast("long"))
+    x = files.read_manifest(spark, path, lines=True).withColumn("rank", F.row_number().over(Window.partitionBy(F.substring("hash", 1, 1)).orderBy("position")).cast("long"))
     return x.select("path", "hash", "extracted_at", joined("chunk_ids"), "size_bytes", "rank")
 
 
-@query("read_sources", "select source, sum(strlen(text) + 1) as bytes from documents where text is not null group by 1")
+@query("read_sources", "select source, sha256(line) as line_hash, count(*) as n from (select source, unnest(string_split(text, chr(10))) as line from documents where text is not null) group by 1, 2")
 def read_sources(spark, d):
-    """The documents as text files, a folder for each source; the files' names are Spark's, so their ending is given."""
+    """The documents as text files, a folder for each source, line by line; the files' names are Spark's, so their ending is given."""
     path = sinks.shared_folder(spark, "sources")
     D.table(spark, d, "documents").where("text is not null").select("source", "text").write.partitionBy("source").text(path)
     x = files.read_sources(spark, f"{path}/*", ending="txt")
-    return x.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("length").alias("bytes"))
+    lines = F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\n\z", ""), "\n")
+    x = x.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), F.explode(F.transform(lines, lambda s: F.sha2(s, 256))).alias("line_hash"))
+    return x.groupBy("source", "line_hash").agg(F.count("*").alias("n"))
 
 
-@query("read_chunks", "with " + D.CHUNK_MD + " select count(*) as chunks, sum(length(raw) + 1) as chars from files")
+@query("read_chunks", "with " + D.CHUNK_MD + " select sha256(line) as line_hash, count(*) as n from (select unnest(string_split(raw, chr(10))) as line from files) group by 1")
 def read_chunks(spark, d):
-    """Chunk files of many chunks each, with Spark's names and ending."""
+    """Chunk files of many chunks each, with Spark's names and ending, line by line."""
     path = sinks.shared_folder(spark, "chunk-files")
     D.chunk_md(spark, d).select("raw").write.text(path)
-    x = files.read_chunks(spark, path, ending="txt")
-    return x.agg(F.sum(F.regexp_count("raw", F.lit(r"(?m)^## Context$"))).alias("chunks"), F.sum(F.length("raw")).alias("chars"))
+    lines = F.split(F.regexp_replace("raw", r"\n\z", ""), "\n")
+    return files.read_chunks(spark, path, ending="txt").select(F.explode(F.transform(lines, lambda s: F.sha2(s, 256))).alias("line_hash")).groupBy("line_hash").agg(F.count("*").alias("n"))
 
 
 @query("read_gold_queries", "select text as question, 'e' || item_id as expected, 'n' as notes from benchmark")

@@ -80,3 +80,13 @@ def read_reports(spark: SparkSession, folder: str, kind: str = "ingest", corrupt
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("req_id long, ts timestamp, session_id long, mode string, question string, duration_ms long, outcome string").json(path)
+
+
+RETRIEVAL_REPORT = "runAt string, score long, passed long, failed long, question string, expected array<string>, retrieved array<string>, hit boolean"
+
+
+def read_retrieval_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, runAt, score, passed, failed, question, expected, retrieved, hit) of the evaluation reports of a folder."""
+    x = spark.read.schema(RETRIEVAL_REPORT).option("recursiveFileLookup", "true").json(folder, mode="DROPMALFORMED")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"(?:^|/)(eval-retrieval-[^/]*\.json)(?:/[^/]*)?$", 1)
+    return x.withColumn("file", name).where("file <> ''")

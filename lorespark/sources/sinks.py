@@ -58,6 +58,13 @@ def write_report(reports: DataFrame, kind: str, path: str) -> None:
     x.repartition("report").write.partitionBy("report").json(path)
 
 
+def write_retrieval_report(report: DataFrame, at: str, folder: str) -> str:
+    """A run's ``retrieval_report`` at ``eval-retrieval-<time>.json``, a JSON object for each result; the place. A report of that time isn't written twice."""
+    name = "eval-retrieval-" + "".join("-" if c in ":." else c for c in at) + ".json"
+    report.withColumn("runAt", F.lit(at)).write.json(f"{folder}/{name}")
+    return f"{folder}/{name}"
+
+
 def write_log(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """NDJSON of requests, times to the microsecond."""
     log.write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)

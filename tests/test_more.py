@@ -177,3 +177,16 @@ def test_many_headings_take_linear_time(spark):
 def test_manifest_of_a_run_is_kept(spark):
     run = manifest_of(spark, ["a"]).withColumn("chunk_ids", F.array().cast("array<string>"))
     assert kb.record_extraction(manifest_of(spark, ["a"]), run).first().chunk_ids == ["a1"]
+
+
+def test_names_without_titles_are_redacted(spark):
+    told = [
+        ("Hello John Smith, my name is Mary-Ann Jones and order 12345 fails.", "Hello [name], my name is [name] and [reference] fails."),
+        ("This is Paul from Sales. I'm Ann Lee speaking", "This is [name] from Sales. I'm [name] speaking"),
+        ("Ich heiße Jürgen Müller", "Ich heiße [name]"),
+        ("Best regards, Zoë Ångström", "Best regards, [name]"),
+        ("Frau Müller-Lüdenscheid rief an", "[name] rief an"),
+        ("This is Windows again. I am sure, hello world", "This is Windows again. I am sure, hello world"),
+    ]
+    x = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(told)], "k int, t string")
+    assert [r.t for r in x.select("k", outputs.without_personal(F.col("t")).alias("t")).orderBy("k").collect()] == [w for _, w in told]
