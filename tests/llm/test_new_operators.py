@@ -219,3 +219,17 @@ def test_a_window_of_very_many_items_is_dealt_out(spark):
     docs = spark.createDataFrame([(1, f"see: {prompt}"), (2, "clean"), (3, f"{prompt} item7 a")], "doc_id long, text string")
     got = [sorted(map(str, decontaminate.contamination(docs, bench, most=m).collect())) for m in (10**6, 900)]
     assert got[0] == got[1] and "n_items=3000" in got[0][0]
+
+
+def test_names_inside_an_article_take_nothing_away():
+    """Class names that only resemble boilerplate stay; adverts and comments in the article go, as do bars and boxes around it."""
+    from lorespark.llm.html_extract import blocks, is_boilerplate, main_text
+
+    kept = ['<section class="related-work"><p>a</p></section>', '<div class="form-factor">b</div>', '<p class="notice-period">c</p>', '<div class="search results">d</div>', '<ul class="menu"><li>e</li></ul>', '<div id="share-of-votes">f</div>']
+    gone = ['<div class="ad">x</div>', '<div class="comments"><p>y</p></div>', "<form>z</form>", "<nav>n</nav>"]
+    page = f'<body><div class="site-header">top</div><article>{"".join(kept + gone)}</article><div class="cookie-banner">bar</div></body>'
+    assert main_text(page, None) == "a\nb\nc\nd\ne\nf"
+    loose = f'<body><div class="site-header">top</div><div class="x"><p class="notice-period">c</p></div><div class="related-posts">r</div><div class="comment-list">k</div><div class="left-sidebar">s</div></body>'
+    assert main_text(loose, None) == "c"
+    assert [is_boilerplate(n) for n in ("ad", "share-buttons", "related-work", "form-factor", "main-content", "ad-hoc")] == [True, True, False, False, False, False]
+    assert [t for _, t in blocks("<p title=it's>hello</p><p title='a>b'>c</p><p data-x=\"1 > 0\" class=q>d</p><p a=b\">e</p><p =>f<p x='g>")] == ["hello", "c", "d", "e", "f"]
