@@ -15,7 +15,7 @@ name met under neutral titles only has the gender that the corpus gives it elsew
 Collisions are checked over the whole corpus: distinct entities and surrogates are
 grouped (combined before the shuffle); a surrogate that two entities share, or that
 is itself an entity, is drawn again for all but the smallest value, until none is
-left. Given names of all genders are checked together. Only redrawn entities and resolved
+left; where a format's values run out, surrogates get longer. Given names of all genders are checked together. Only redrawn entities and resolved
 genders are sent to the tasks: by broadcast up to ``most`` of them, else joined by document.
 
 Defined results. Null text stays null, empty text empty; text without entities is
@@ -125,8 +125,24 @@ def normalised(kind: str, value: str) -> str:
     return value
 
 
+WIDEN = 6  # the draw from which a surrogate gets longer each time, so that no format runs out
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The surrogate of a normalised value."""
+    """The surrogate of a normalised value; from draw ``WIDEN`` on by a sign more each time, an IPv4 address as an IPv6 one."""
+    if attempt < WIDEN or kind == "surname" or kind.startswith("given"):  # names get longer anyway
+        return _surrogate(key, kind, value, attempt)
+    if kind in ("ip", "ip6"):
+        return _surrogate(key, "ip6", value, attempt)
+    more, draw = attempt - WIDEN + 1, Stream(key, kind, value, attempt, "more")
+    if kind == "email":
+        local, at, rest = _surrogate(key, kind, value, attempt).partition("@")
+        return local + "".join(chr(97 + draw.below(26)) for _ in range(more)) + at + rest
+    signs = "0123456789abcdef" if kind == "mac" else "0123456789"
+    return _surrogate(key, kind, value, attempt) + "".join(signs[draw.below(len(signs))] for _ in range(more))
+
+
+def _surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     draw = Stream(key, kind, value, attempt)
     if kind == "email":
         local, domain = value.split("@")
@@ -169,7 +185,7 @@ def shaped(kind: str, original: str, new: str) -> str:
     """The surrogate in the separators and case of a mention."""
     if kind in ("card", "iban", "phone", "ssn", "mac"):
         letters = iter(re.sub(r"[ .()-]", "", new))
-        new = "".join(c if c in " .():-" else next(letters) for c in original)
+        new = "".join(c if c in " .():-" else next(letters) for c in original) + "".join(letters)  # a widened one goes on
     return new.upper() if kind not in ("iban", "ip6") and original.isupper() else new
 
 
@@ -261,7 +277,7 @@ def _resolved(found: DataFrame) -> DataFrame:
     return x.select("kind", "value", F.when(F.col("kind") == "given:n", F.coalesce("own", "kind")).otherwise(F.col("kind")).alias("own"))
 
 
-def draws(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
+def draws(docs: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, own, attempt, surrogate) of every distinct entity: no two of a kind share a surrogate, none is an entity.
 
     ``own`` is the kind under which it is drawn; given names are of one kind here.
@@ -273,7 +289,7 @@ def draws(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
     table = written(first.mapInArrow(_drawn(key), schema), "surrogates")
     group = F.split_part("kind", F.lit(":"), F.lit(1)).alias("group")  # what must differ within
     values = table.select(group, F.col("value").alias("surrogate")).distinct()
-    for _ in range(rounds):
+    while True:  # every draw after the first few has ten times the values of the one before
         own = F.struct("value", "kind")
         named = table.select("*", group)
         firsts = named.groupBy("group", "surrogate").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "surrogate", "first")
@@ -286,7 +302,6 @@ def draws(docs: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
             return found.join(drawn.hint("shuffle_merge"), ["own", "value"]).select("kind", "value", "own", "attempt", "surrogate")
         redo = x.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_drawn(key), schema)
         table = written(x.where("not again").drop("again").select("kind", "value", "attempt", "surrogate").unionByName(redo), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds: a format has too few values")
 
 
 _session_keys: dict[str, bytes] = {}

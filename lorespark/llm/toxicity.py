@@ -87,6 +87,9 @@ def learn_lexicon(sample: DataFrame, terms: int = TERMS) -> dict[str, float]:
     return {r[0]: r[1] for r in c.orderBy(F.desc(F.expr("odds * sqrt(toxic)")), "term").limit(terms).select("term", "odds").collect()}
 
 
+WIDE = 255  # letters of a chunk up to which every count has room in its code
+
+
 class Reader:
     """Features of a text, from codes that pack what each chunk holds."""
 
@@ -124,16 +127,22 @@ class Reader:
         if len(hit):
             you = np.concatenate(([0], np.cumsum((v >> 1) & 1)))
             near = int((you[np.minimum(hit + 6, n)] > you[np.maximum(hit - 5, 0)]).sum())
-        letters = max(1, int((v >> 52).sum()))
+        letters, capitals, marks = int((v >> 52).sum()), int(((v >> 32) & 0xFFF).sum()), int(((v >> 44) & 0xFF).sum())
+        for c in chunks:
+            if len(c) > WIDE:  # what its code has no room for
+                core, signs = c.strip(_EDGE), c.count("!") + c.count("?")
+                shown = sum(map(str.isupper, core)) if core != core.lower() else 0
+                letters, capitals, marks = letters + max(0, len(core) - 2047), capitals + max(0, shown - 4095), marks + max(0, signs - 255)
+        letters = max(1, letters)
         return [
             100.0 * len(hit) / n,
             float(len(np.unique((v[hit] >> 16) & 0xFFFF))),
             float(((v[hit] >> 8) & 0xFF).sum()) / 16 / math.sqrt(n),
             100.0 * near / n,
             100.0 * int(((v >> 4) & 1).sum()) / n,
-            int(((v >> 32) & 0xFFF).sum()) / letters,
+            capitals / letters,
             int(((v >> 2) & 1).sum()) / n,
-            int(((v >> 44) & 0xFF).sum()) / n,
+            marks / n,
             int(((v >> 3) & 1).sum()) / n,
             math.log1p(n),
         ]

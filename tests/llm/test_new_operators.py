@@ -233,3 +233,25 @@ def test_names_inside_an_article_take_nothing_away():
     assert main_text(loose, None) == "c"
     assert [is_boilerplate(n) for n in ("ad", "share-buttons", "related-work", "form-factor", "main-content", "ad-hoc")] == [True, True, False, False, False, False]
     assert [t for _, t in blocks("<p title=it's>hello</p><p title='a>b'>c</p><p data-x=\"1 > 0\" class=q>d</p><p a=b\">e</p><p =>f<p x='g>")] == ["hello", "c", "d", "e", "f"]
+
+
+def test_counts_of_a_wide_chunk_are_whole():
+    """A chunk of very many capitals or marks counts them all, as many short ones do."""
+    from lorespark.llm.toxicity import FEATURES, Reader
+
+    f = lambda t: dict(zip(FEATURES, Reader({}).features(t), strict=True))
+    assert len({tuple(Reader({}).features("A" * n + " b")) for n in (2000, 4095, 5000, 10_000)}) == 4
+    assert len({tuple(Reader({}).features("a" + "!" * n)) for n in (100, 255, 256, 1000)}) == 4
+    wide, near = f("A" * 6000 + "a" * 6000), f("A" * 100 + "a" * 100)
+    assert [wide[k] for k in FEATURES[:-1]] == [near[k] for k in FEATURES[:-1]]  # half capitals, whatever the length
+
+
+def test_surrogates_get_longer_where_a_format_runs_out():
+    from lorespark.llm import pii
+
+    key = b"k"
+    for kind, value in (("phone", "5551234567"), ("ssn", "123456789"), ("card", "4111111111111111"), ("secret", "deadbeef"), ("mac", "0a1b2c3d4e5f"), ("email", "a@b.org"), ("iban", "DE44500105175407324931")):
+        sizes = [len(pii.surrogate(key, kind, value, k)) for k in (0, pii.WIDEN - 1, pii.WIDEN, pii.WIDEN + 3)]
+        assert sizes[0] == sizes[1] and sizes[2] == sizes[1] + 1 and sizes[3] == sizes[1] + 4, kind
+    assert pii.surrogate(key, "ip", "10.0.0.1", pii.WIDEN).startswith("2001:db8:")
+    assert pii.shaped("phone", "555-123-4567", "55512345670") == "555-123-45670" and pii.shaped("phone", "555-123-4567", "5551234567") == "555-123-4567"
