@@ -7,12 +7,9 @@ RocksDB store, which such operators need; ``start`` sets it for one query.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -47,11 +44,6 @@ def _session(key) -> int | None:
     return None if key[0] else key[1]
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of one batch by time; of these columns only."""
-    return pd.concat(list(rows)).sort_values(["at", "req_id"], kind="stable", na_position="first")
-
-
 class RateLimit(StatefulProcessor):
     """Admits a request where fewer than ``limit`` were admitted in the window before it. State: the times of the last ``limit``, until a window after the last."""
 
@@ -63,24 +55,24 @@ class RateLimit(StatefulProcessor):
         self.admitted = handle.getListState("admitted", "at long")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = _in_order(rows)
-        last = [t for (t,) in self.admitted.get()] if self.admitted.exists() else []
-        told = np.zeros(len(new), bool)
-        for k, at in enumerate(new["at"].tolist()):
-            known = at == at and at is not None  # neither NaN nor missing
-            told[k] = self.limit > 0 and (not known or len(last) < self.limit or at - last[0] >= self.window)
-            if told[k] and known:
-                last = [*last, int(at)][-self.limit :]
-        if last:
+        # a key's rows of one batch by time, those without one first
+        new = sorted(((r.at, r.req_id) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0))
+        last = [t for (t,) in self.admitted.get()]
+        before = last
+        for at, request in new:
+            told = self.limit > 0 and (at is None or len(last) < self.limit or at - last[0] >= self.window)
+            if told and at is not None:
+                last = [*last, at][-self.limit :]
+            yield Row(session_id=_session(key), req_id=request, admitted=told)
+        if last != before:
             self.admitted.put([(t,) for t in last])
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.handle.registerTimer((last[-1] + self.window) // 1000 + 1)
-        yield pd.DataFrame({"session_id": pd.array([_session(key)] * len(new), dtype="Int64"), "req_id": new["req_id"].to_numpy(), "admitted": told})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.admitted.clear()
-        yield pd.DataFrame({"session_id": pd.array([], dtype="Int64"), "req_id": pd.array([], dtype="int64"), "admitted": pd.array([], dtype="bool")})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -93,7 +85,7 @@ def rate_limits(stream: DataFrame, limit: int = 20, window_s: int = 60, late: st
     judged by what was admitted by then. A session's times go when the watermark is a window past the last.
     """
     x = _by_session(stream.withWatermark("ts", late).withColumn("req_id", F.col("req_id").cast("long")), "req_id")
-    return x.transformWithStateInPandas(RateLimit(limit, window_s * 1_000_000), "session_id long, req_id long, admitted boolean", "Append", "EventTime")
+    return x.transformWithState(RateLimit(limit, window_s * 1_000_000), "session_id long, req_id long, admitted boolean", "Append", "EventTime")
 
 
 class Sessions(StatefulProcessor):
@@ -119,24 +111,22 @@ class Sessions(StatefulProcessor):
             self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        spans = [tuple(s) for s in self.open.get()] if self.open.exists() else []
-        for at in sorted(int(t) for frame in rows for t in frame["at"].dropna().tolist()):
+        spans = [tuple(s) for s in self.open.get()]
+        for at in sorted(r.at for r in rows if r.at is not None):
             near = [s for s in spans if s[0] - self.idle <= at <= s[1] + self.idle]
             spans = [s for s in spans if s not in near]
             near.append((at, at, 1))
             spans.append((min(s[0] for s in near), max(s[1] for s in near), sum(s[2] for s in near)))
         self._keep(spans)
-        yield self._rows(key, [])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        spans = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        spans = [tuple(s) for s in self.open.get()]
         ended = [s for s in spans if s[1] + self.idle < now]
         self._keep([s for s in spans if s not in ended])
-        yield self._rows(key, ended)
-
-    def _rows(self, key, spans):
-        return pd.DataFrame({"session_id": pd.array([_session(key)] * len(spans), dtype="Int64"), **{c: pd.array([s[k] for s in spans], dtype="int64") for k, c in enumerate(("started_us", "ended_us", "requests"))}})
+        for started, last, requests in ended:
+            yield Row(session_id=_session(key), started_us=started, ended_us=last, requests=requests)
 
     def close(self) -> None:
         pass
@@ -148,7 +138,7 @@ def closed_sessions(stream: DataFrame, idle_s: int = 1800, late: str = "30 minut
     Requests that are turned away (invalid, rate-limited) neither open nor extend one.
     """
     x = _by_session(stream.where(~F.col("outcome").isin(*NO_ACCESS)).withWatermark("ts", late))
-    return x.transformWithStateInPandas(Sessions(idle_s * 1_000_000), "session_id long, started_us long, ended_us long, requests long", "Append", "EventTime")
+    return x.transformWithState(Sessions(idle_s * 1_000_000), "session_id long, started_us long, ended_us long, requests long", "Append", "EventTime")
 
 
 CHANGES = "path string, number long, hash string, change string, chunk_id string, topic string, summary string"
@@ -161,21 +151,20 @@ class Versions(StatefulProcessor):
         self.last = handle.getValueState("last", "number long, hash string, chunk_ids array<string>")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = None
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                if new is None or r.hash > new.hash:  # of versions that come together the greatest hash counts
-                    new = r
-        number, had, ids = self.last.get() if self.last.exists() else (0, None, [])
-        out = []
-        if had != new.hash:
-            number += 1
-            own = {i: (t, s) for i, t, s in zip(new.ids, new.topics, new.summaries, strict=True)}  # of equal ids the last counts
-            out.append((key[0], number, new.hash, "version", None, None, None))
-            out += [(key[0], number, new.hash, "upsert", i, *ts) for i, ts in own.items()]
-            out += [(key[0], number, new.hash, "delete", i, None, None) for i in ids if i not in own]
-            self.last.update((number, new.hash, list(own)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")]).astype({"number": "int64"})
+        new = max(rows, key=lambda r: r.hash)  # of versions that come together the greatest hash counts
+        number, had, ids = self.last.get() or (0, None, [])
+        if had == new.hash:
+            return
+        number += 1
+        change = lambda kind, i=None, topic=None, summary=None: Row(path=key[0], number=number, hash=new.hash, change=kind, chunk_id=i, topic=topic, summary=summary)
+        own = {i: (t, s) for i, t, s in zip(new.ids, new.topics, new.summaries, strict=True)}  # of equal ids the last counts
+        yield change("version")
+        for i, (topic, summary) in own.items():
+            yield change("upsert", i, topic, summary)
+        for i in ids:
+            if i not in own:
+                yield change("delete", i)
+        self.last.update((number, new.hash, list(own)))
 
     def close(self) -> None:
         pass
@@ -184,4 +173,4 @@ class Versions(StatefulProcessor):
 def source_changes(sources: DataFrame) -> DataFrame:
     """Changes of the index (``CHANGES``) as versions of ``sources(path, hash, ids, topics, summaries)`` arrive: an equal hash gives none, another
     one a ``version``, an ``upsert`` for each of its chunks and a ``delete`` for each that it has no more."""
-    return sources.groupBy("path").transformWithStateInPandas(Versions(), CHANGES, "Append", "None")
+    return sources.groupBy("path").transformWithState(Versions(), CHANGES, "Append", "None")
