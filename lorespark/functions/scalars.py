@@ -61,18 +61,23 @@ def is_noise(line: Column) -> Column:
     return strip(line).rlike(NOISE)
 
 
+#: What a failing call's message or status says, in the order in which it counts.
+ERRORS = {
+    "auth": ((401, 403), ("api key", "unauthorized", "forbidden")),
+    "rate_limit": ((429,), ("rate limit", "too many requests", "quota")),
+    "token_limit": ((413,), ("token", "context length", "maximum context", "content too large")),
+}
+
+
 def error_class(message: Column, status: Column) -> Column:
     """auth, rate_limit, token_limit, transient or unknown; the first that fits."""
     m = F.lower(F.coalesce(message, F.lit("")))
     s = F.coalesce(status, F.lit(0))
-    says = lambda *words: F.array_max(F.array(*[F.contains(m, F.lit(w)) for w in words]))
-    return (
-        F.when(s.isin(401, 403) | says("api key", "unauthorized", "forbidden"), "auth")
-        .when((s == 429) | says("rate limit", "too many requests", "quota"), "rate_limit")
-        .when((s == 413) | says("token", "context length", "maximum context", "content too large"), "token_limit")
-        .when(s >= 500, "transient")
-        .otherwise("unknown")
-    )
+    out = None
+    for name, (statuses, words) in ERRORS.items():
+        test = s.isin(*statuses) | F.array_max(F.array(*[F.contains(m, F.lit(w)) for w in words]))
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out.when(s >= 500, "transient").otherwise("unknown")
 
 
 def tokens(c: Column) -> Column:

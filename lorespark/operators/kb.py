@@ -80,25 +80,37 @@ def index_entry() -> Column:
     return F.array_join(lines, "\n")
 
 
+#: The front matter of a chunk file, its fields and the items of its lists.
+FRONT_MATTER = r"(?s)^---\n(.*?)\n---"
+FIELDS = {
+    "chunk_id": r"(?m)^chunk_id:\s*(.+)$",
+    "source": r"(?m)^source:\s*(.+)$",
+    "topic": r"(?m)^topic:\s*(.+)$",
+    "summary": r"(?m)^summary:\s*>\s*\n\s+(.+)$",
+    "has_conditions": r"(?m)^has_conditions:\s*(true|false)$",
+    "status": r"(?m)^status:\s*(\w+)$",
+}
+LISTS = {"triggers": r"(?m)^triggers:\s*\n((?:\s+- .+\n?)*)", "related_chunks": r"(?m)^related_chunks:\s*\n((?:\s+- .+\n?)*)"}
+QUOTED, PLAIN = r'(?m)- "?(.+?)"?\s*$', r"(?m)- (.+?)\s*$"
+
+
 def parse_front_matter(files: DataFrame) -> DataFrame:
     """``files(file, raw)`` with the front matter's eight columns and their defaults."""
-    fm = F.regexp_extract("raw", r"(?s)^---\n(.*?)\n---", 1)
-    field = lambda pattern, default: F.coalesce(F.nullif(strip(F.regexp_extract("fm", pattern, 1)), F.lit("")), F.lit(default))
-    items = lambda name: F.regexp_extract("fm", rf"(?m)^{name}:\s*\n((?:\s+- .+\n?)*)", 1)
-    triggers = F.transform(F.regexp_extract_all(items("triggers"), F.lit(r'(?m)- "?(.+?)"?\s*$'), 1), strip)
-    related = F.regexp_extract_all(items("related_chunks"), F.lit(r"(?m)- (.+?)\s*$"), 1)
-    return files.withColumn("fm", fm).select(
+    text = lambda name: F.regexp_extract("fm", FIELDS[name], 1)
+    field = lambda name, default="": F.coalesce(F.nullif(strip(text(name)), F.lit("")), F.lit(default)).alias(name)
+    items = lambda name, form: F.regexp_extract_all(F.regexp_extract("fm", LISTS[name], 1), F.lit(form), 1)
+    return files.withColumn("fm", F.regexp_extract("raw", FRONT_MATTER, 1)).select(
         "file",
         "raw",
-        F.col("raw").rlike(r"(?s)^---\n(.*?)\n---").alias("has_front_matter"),
-        field(r"(?m)^chunk_id:\s*(.+)$", "").alias("chunk_id"),
-        field(r"(?m)^source:\s*(.+)$", "unknown").alias("source"),
-        field(r"(?m)^topic:\s*(.+)$", "").alias("topic"),
-        field(r"(?m)^summary:\s*>\s*\n\s+(.+)$", "").alias("summary"),
-        triggers.alias("triggers"),
-        (F.regexp_extract("fm", r"(?m)^has_conditions:\s*(true|false)$", 1) == "true").alias("has_conditions"),
-        normalize_related(related).alias("related_chunks"),
-        field(r"(?m)^status:\s*(\w+)$", "active").alias("status"),
+        F.col("raw").rlike(FRONT_MATTER).alias("has_front_matter"),
+        field("chunk_id"),
+        field("source", "unknown"),
+        field("topic"),
+        field("summary"),
+        F.transform(items("triggers", QUOTED), strip).alias("triggers"),
+        (text("has_conditions") == "true").alias("has_conditions"),
+        normalize_related(items("related_chunks", PLAIN)).alias("related_chunks"),
+        field("status", "active"),
     )
 
 

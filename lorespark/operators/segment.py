@@ -264,6 +264,6 @@ def extraction_strategy(docs: DataFrame, counts: DataFrame, limit: int = 2 * 102
 
     ``counts(doc_id, n_segments)``, a row for each document that has segments.
     """
-    x = docs.join(counts.select("doc_id", "n_segments"), "doc_id", "left")
+    x = docs.join(counts.select("doc_id", "n_segments").hint("shuffle_merge"), "doc_id", "left")
     many = (F.col("size_bytes") >= limit) & (F.length("text") > 200) & (F.coalesce("n_segments", F.lit(0)) >= 1)
     return x.withColumn("strategy", F.when(many, "segmented").otherwise("single")).drop("n_segments")

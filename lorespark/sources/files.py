@@ -30,22 +30,36 @@ def skipped_chunks(spark: SparkSession, folder: str, ending: str = "md") -> Data
     return listed.crossJoin(F.broadcast(read)).select("files", (F.col("files") - F.col("read")).alias("skipped"))
 
 
+#: The fields of an entry of the index text, and the items of its lists.
+ENTRY_FIELDS = {
+    "chunk_id": r"^\s*([^\n]+)",
+    "source": r"\n\s+source:\s*(.+)",
+    "topic": r"\n\s+topic:\s*(.+)",
+    "summary": r"summary:\s*>\s*\n\s+(.+)",
+    "has_conditions": r"\n\s+has_conditions:\s*(true|false)",
+    "status": r"\n\s+status:\s*(\w+)",
+}
+QUOTED, PLAIN = r'(?m)- "?(.+?)"?\s*$', r"(?m)- (.+?)\s*$"
+ENTRY_LISTS = {"triggers": r"\n\s+triggers:\s*\n((?:\s+- .+\n?)*)", "related_chunks": r"\n\s+related_chunks:\s*\n((?:\s+- .+\n?)*)"}
+
+
 def read_index_text(spark: SparkSession, path: str) -> DataFrame:
     """Entries of an index text: one row per block, read in parallel; those without id or topic are dropped."""
     # the first block of a file still has what the others are cut at
     b = F.regexp_replace("value", r"^\s*- chunk_id:", "")
-    field = lambda p, default: F.coalesce(F.nullif(strip(F.regexp_extract("b", p, 1)), F.lit("")), F.lit(default))
-    items = lambda n: F.regexp_extract("b", rf"\n\s+{n}:\s*\n((?:\s+- .+\n?)*)", 1)
+    text = lambda name: F.regexp_extract("b", ENTRY_FIELDS[name], 1)
+    field = lambda name, default="": F.coalesce(F.nullif(strip(text(name)), F.lit("")), F.lit(default)).alias(name)
+    items = lambda name, form: F.regexp_extract_all(F.regexp_extract("b", ENTRY_LISTS[name], 1), F.lit(form), 1)
     x = spark.read.option("lineSep", "\n  - chunk_id:").text(path).select(b.alias("b")).where(~strip(F.col("b")).startswith("#") & (strip(F.col("b")) != ""))
     return x.select(
-        field(r"^\s*([^\n]+)", "").alias("chunk_id"),
-        field(r"\n\s+source:\s*(.+)", "unknown").alias("source"),
-        field(r"\n\s+topic:\s*(.+)", "").alias("topic"),
-        field(r"summary:\s*>\s*\n\s+(.+)", "").alias("summary"),
-        F.transform(F.regexp_extract_all(items("triggers"), F.lit(r'(?m)- "?(.+?)"?\s*$'), 1), strip).alias("triggers"),
-        (F.regexp_extract("b", r"\n\s+has_conditions:\s*(true|false)", 1) == "true").alias("has_conditions"),
-        normalize_related(F.regexp_extract_all(items("related_chunks"), F.lit(r"(?m)- (.+?)\s*$"), 1)).alias("related_chunks"),
-        field(r"\n\s+status:\s*(\w+)", "active").alias("status"),
+        field("chunk_id"),
+        field("source", "unknown"),
+        field("topic"),
+        field("summary"),
+        F.transform(items("triggers", QUOTED), strip).alias("triggers"),
+        (text("has_conditions") == "true").alias("has_conditions"),
+        normalize_related(items("related_chunks", PLAIN)).alias("related_chunks"),
+        field("status", "active"),
     ).where("chunk_id <> '' and topic <> ''")
 
 
