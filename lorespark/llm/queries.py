@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorespark.llm import oracle
 from lorespark.llm.bpe import encode_decode, token_counts
 from lorespark.llm.common import read_table, vocabulary
 from lorespark.llm.decontaminate import contamination
@@ -47,7 +48,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_mixing": op13_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": oracle.JACCARD,
+    "op7_decontamination": oracle.DECONTAMINATION,
+    "op12_spelling": oracle.SPELLING,
+}
