@@ -1,15 +1,16 @@
 """Streams with state by key: the rate limit, sessions, and the versions of sources.
 
 Each class is what a key's state does with new rows and with an event-time timer. State is on the
-RocksDB store, which such operators need; ``start`` sets it for one query.
+RocksDB store, which such operators need; it is set for one query as it starts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, GroupedData, Row
+from pyspark.sql import DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,15 +23,56 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def start(stream: DataFrame, out: str, checkpoint: str):
-    """The stream's rows into Parquet at ``out``, each once by the checkpoint, until all that is there is read."""
-    conf = stream.sparkSession.conf
-    before = conf.get(STORE, None)
-    conf.set(STORE, ROCKSDB)
+def _started(writer, session):
+    """The writer's query, with its state on RocksDB, until all that is there is read."""
+    before = session.conf.get(STORE, None)
+    session.conf.set(STORE, ROCKSDB)
     try:
-        return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        return writer.outputMode("append").trigger(availableNow=True).start()
     finally:
-        conf.set(STORE, before) if before else conf.unset(STORE)
+        session.conf.set(STORE, before) if before else session.conf.unset(STORE)
+
+
+def start(stream: DataFrame, out: str, checkpoint: str):
+    """The stream's rows into Parquet at ``out``, each once by the checkpoint."""
+    return _started(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint), stream.sparkSession)
+
+
+def start_runs(stream: DataFrame, out: str, checkpoint: str):
+    """The stream's rows into a folder of the checkpoint's run under ``out``, a batch each.
+
+    A batch that comes again overwrites its own folder. Where a checkpoint is lost, another one's first batch starts a new run, of
+    which ``last_run`` reads alone: state and rows always belong together.
+    """
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def one(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        runs = _runs(session, out)
+        if number == 0 and (not runs or not runs[-1].endswith(own)):
+            run = f"run-{len(runs):06d}-{own}"
+        else:
+            run = next(r for r in reversed(runs) if r.endswith(own))
+        if number == 0:  # whatever an earlier state left
+            batch.where("false").write.mode("overwrite").parquet(f"{out}/{run}")
+        batch.write.mode("overwrite").parquet(f"{out}/{run}/batch={number}")
+
+    return _started(stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint), stream.sparkSession)
+
+
+def _runs(spark: SparkSession, out: str) -> list[str]:
+    """Names of the runs under ``out``, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/run-*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().getName() for f in found or [])
+
+
+def last_run(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """The rows of the last run under ``out``; none before the first."""
+    runs = _runs(spark, out)
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/{runs[-1]}")
 
 
 def _by_session(stream: DataFrame, *columns: str) -> GroupedData:

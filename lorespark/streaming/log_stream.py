@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.functions.scalars import base_name, chunk_id, root_title, strip
 from lorespark.operators.requests import NO_ACCESS
 from lorespark.operators.segment import drop_short, outline
-from lorespark.streaming.keyed import CHANGES, source_changes, start
+from lorespark.streaming.keyed import CHANGES, last_run, source_changes, start_runs
 
 LOG_SCHEMA = "req_id long, ts timestamp, session_id long, mode string, question string, duration_ms long, outcome string"
 
@@ -50,22 +50,22 @@ def with_entries(sources: DataFrame, least: int = 300) -> DataFrame:
 
 
 def ingest_sources(spark: SparkSession, source: str, out: str, checkpoint: str, least: int = 300, per_trigger: int = 1000):
-    """Source files (Parquet of path, text) that arrive to changes of the index, exactly once by the checkpoint.
+    """Source files (Parquet of path, text) that arrive to changes of the index, exactly once by the checkpoint; with another checkpoint all starts anew.
 
     A batch meets the state of its own paths only, whatever came before. An unchanged source gives
     nothing; a changed one replaces its entries, and those it has no more go. Of versions that come in one batch one counts.
     """
     stream = spark.readStream.schema(SOURCE).option("maxFilesPerTrigger", per_trigger).parquet(source)
-    return start(source_changes(with_entries(stream, least)), out, checkpoint)
+    return start_runs(source_changes(with_entries(stream, least)), out, checkpoint)
 
 
 def ingested(spark: SparkSession, out: str) -> DataFrame:
     """(path, number, hash): every content version of a source that came in."""
-    return spark.read.schema(CHANGES).parquet(out).where("change = 'version'").select("path", "number", "hash")
+    return last_run(spark, out, CHANGES).where("change = 'version'").select("path", "number", "hash")
 
 
 def ingested_index(spark: SparkSession, out: str) -> DataFrame:
     """(path, hash, chunk_id, topic, summary, number): the entries that stand after all changes, each of its source's latest version."""
-    x = spark.read.schema(CHANGES).parquet(out).where("change <> 'version'")
+    x = last_run(spark, out, CHANGES).where("change <> 'version'")
     last = x.groupBy("path", "chunk_id").agg(F.max_by(F.struct("change", "hash", "topic", "summary", "number"), "number").alias("c"))
     return last.where("c.change = 'upsert'").select("path", "c.hash", "chunk_id", "c.topic", "c.summary", "c.number")
