@@ -115,5 +115,5 @@ def test_a_frequent_word_is_cut_into_blocks(spark):
     x = spark.createDataFrame(index, "chunk_id string, status string, topic string, triggers array<string>")
     got = {r.a: r.b for r in relate.nearest(x, stop=1.0, few=1000, block=50).collect()}
     assert got == {f"c{k:03d}": f"c{k ^ 1:03d}" for k in range(400)}
-    sets = relate.word_sets(x, 1.0, 1000).select(F.size("words").alias("n")).distinct().collect()
+    sets = relate.word_sets(x, 1.0, 1000)[0].select(F.size("words").alias("n")).distinct().collect()
     assert [r.n for r in sets] == [3]
