@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from lorespark.functions import scalars as S
-from lorespark.operators import kb, outputs, reports, requests, retrieve, segment
+from lorespark.operators import kb, outputs, reports, requests, segment
 from lorespark.plans import registry
 from pyspark.sql import functions as F
 
