@@ -22,6 +22,7 @@ of about ``PAIR_BYTES``, two generations of each. It changes no result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -73,6 +74,12 @@ class TrieBPE:
             self.parts.setdefault(c, (a, b))
         self.born = {c: self.rank[p] for c, p in self.parts.items()}
         self.longest = max(len(s.removesuffix(_END)) for s in self.vocab)
+        # the longest token that ends in three letters: longer tails with that end needn't be looked up
+        self.reach: dict[str, int] = {}
+        self.reach_end: dict[str, int] = {}
+        for t in self.vocab:
+            own, into = (t[: -len(_END)], self.reach_end) if t.endswith(_END) else (t, self.reach)
+            into[own[-3:]] = max(len(own), into.get(own[-3:], 0))
         self.pairs = pairs
         self.fits: dict[tuple[int, int], bool] = {}  # the younger generation; when it is full the older one goes
         self.fitted: dict[tuple[int, int], bool] = {}
@@ -146,34 +153,39 @@ class TrieBPE:
                 node = nxt
             node.setdefault("", []).append(w)
         out: dict[str, tuple[int, ...]] = {}
-        path, last = [], [-1]  # letters so far; last[d]: last token of the first d letters' encoding
-        stack = [iter(root.items())]
+        last, longest = [-1], self.longest  # last[d]: last token of the first d letters' encoding
+        stack = [(iter(root.items()), "")]  # a node's branches, and the last letters on the way to it
         while stack:
-            for c, sub in stack[-1]:
+            nodes, tail = stack[-1]
+            for c, sub in nodes:
                 if c == "":
                     for w in sub:
                         out[w] = self._read_back(w, last)
                     continue
-                path.append(c)
-                last.append(self._last("".join(path[-self.longest :]), len(path), last, ""))
-                stack.append(iter(sub.items()))
+                tail = tail + c if len(tail) < longest else tail[1:] + c
+                last.append(self._last(tail, len(last), last, ""))
+                stack.append((iter(sub.items()), tail))
                 break
             else:
                 stack.pop()
-                if path:
-                    path.pop()
-                    last.pop()
+                last.pop()
         return out
 
     def _last(self, tail: str, depth: int, last: list[int], end: str) -> int:
         """The token that ends the encoding of the first ``depth`` letters, whose tail is given."""
-        vocab = self.vocab
-        for k in range(len(tail)):
+        vocab, size = self.vocab, len(tail)
+        most = max(2, (self.reach_end if end else self.reach).get(tail[-3:], 0))
+        fits, whole = self.fits, self.whole
+        for k in range(size - most if most < size else 0, size):
             t = vocab.get(tail[k:] + end if end else tail[k:])
             if t is None:
                 continue
-            before = depth - len(tail) + k
-            if (before == 0 or self.follows(last[before], t)) and self.is_whole(t):
+            before = depth - size + k
+            if before:
+                fit = fits.get((last[before], t))
+                if not (self.follows(last[before], t) if fit is None else fit):
+                    continue
+            if whole.get(t) or self.is_whole(t):
                 return t
         raise ValueError(f"no token ends {tail!r}")
 
@@ -214,7 +226,16 @@ class Cached:
         self.old: dict[str, tuple[int, str, str]] = {}
 
     def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
-        """(number of tokens, their ids, their strings) of every chunk."""
+        """(number of tokens, their ids, their strings) of every chunk. The cycle collector rests: there are no cycles, and it would go through all that is remembered."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._learn(chunks)
+        finally:
+            if on:
+                gc.enable()
+
+    def _learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
         out, new, more = {}, {}, {}
         for c in chunks:
             got = self.young.get(c)
