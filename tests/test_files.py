@@ -39,6 +39,15 @@ def test_gold_and_manifest(spark, tmp_path):
     assert [(r.path, r.hash, r.extracted_at, r.chunk_ids, r.size_bytes, r.position) for r in got] == [("a.pdf", "h", "t", ["c"], 9, 0)]
 
 
+def test_manifest_of_lines_in_order_of_its_files(spark, tmp_path):
+    """Spark reads the largest file first; the places are those of the files' names and lines."""
+    line = lambda k: json.dumps({f"{k}.pdf": {"hash": "h" * 9, "extracted_at": "t", "chunk_ids": ["c"], "size_bytes": k}})
+    (tmp_path / "part-00000").write_text("\n".join(line(k) for k in range(2)))
+    (tmp_path / "part-00001").write_text("\n".join(line(k) for k in range(2, 40)))
+    got = files.read_manifest(spark, str(tmp_path), lines=True).collect()
+    assert sorted((r.position, r.path) for r in got) == [(k, f"{k}.pdf") for k in range(40)]
+
+
 def test_index_text_round_trip(spark, tmp_path):
     rows = [(i, "s", "T " + i, "sum", ['say "x"', "b"], False, ["r"], "active") for i in ("b", "a")]
     x = spark.createDataFrame(rows, "chunk_id string, source string, topic string, summary string, triggers array<string>, has_conditions boolean, related_chunks array<string>, status string")
