@@ -190,3 +190,10 @@ def test_names_without_titles_are_redacted(spark):
     ]
     x = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(told)], "k int, t string")
     assert [r.t for r in x.select("k", outputs.without_personal(F.col("t")).alias("t")).orderBy("k").collect()] == [w for _, w in told]
+
+
+def test_a_manifest_is_ranked_as_a_whole(spark):
+    from lorespark.plans import registry
+
+    got = sorted(r["rank"] for r in registry.QUERIES["read_manifest"](spark, "/root/testdata/sf0.001").select("rank").collect())
+    assert got == list(range(1, len(got) + 1))
