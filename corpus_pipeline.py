@@ -64,7 +64,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null counts as empty; rows that repeat an id are encoded each; a very long text is encoded whole.
     """
     ship(spark)
-    return encode_decode(docs, vocabulary("word_bpe_49k.json"), most=60_000_000)  # the stages before leave less memory
+    return encode_decode(docs, vocabulary("word_bpe_49k.json"), most=30_000_000, block=700_000)  # the stages before leave less memory
 
 
 STAGES = [

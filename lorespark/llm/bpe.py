@@ -37,6 +37,7 @@ from lorespark.llm.memo import held
 
 CACHED = 120_000_000  # bytes that a generation of remembered encodings takes, about: two of them a worker
 EACH = 250  # of which an entry's objects, beside its letters
+BLOCK = 2_000_000  # letters of texts that are encoded at once
 PAIRS, PAIR_BYTES = 60_000, 170  # remembered pairs of tokens in a generation, of two; bytes that one takes
 #: White space as the normalizer has it; str.split also cuts at \x1c-\x1f.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -268,7 +269,7 @@ def chunks_of(text: str | None) -> list[str]:
     return [c for c in _SPACES.split(text) if c] if _ODD.search(text) else text.split()
 
 
-def _blocks(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
+def _blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK):
     """(row range, chunk lists) of about ``most`` letters each."""
     texts, start, size, held = batch.column(column), 0, 0, []
     for k in range(batch.num_rows):
@@ -284,13 +285,13 @@ def _digest(parts: list[str]) -> str:
     return hashlib.sha256(" ".join(p for p in parts if p).encode()).hexdigest()
 
 
-def encode_decode(docs: DataFrame, path: str, most: int = CACHED) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. No shuffle. ``most``: bytes of a generation of remembered encodings."""
+def encode_decode(docs: DataFrame, path: str, most: int = CACHED, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. No shuffle. ``most``: bytes of a generation of remembered encodings; ``block``: letters that are encoded at once, with their words' trie."""
 
     def run(batches):
         own = encoder(path, most)
         for batch in batches:
-            for rows, lists in _blocks(batch, 1):
+            for rows, lists in _blocks(batch, 1, block):
                 known = own.learn({c for x in lists for c in x})
                 ns, ids, decoded = [], [], []
                 for x in lists:

@@ -91,3 +91,15 @@ def test_every_stage_keeps_columns_and_empty_tables(spark, corpus, tmp_path):
     tables(spark, f"{tmp_path}/none", [(1, "x")], [(1, 1, 0)], [(1, "y z")])
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "encoding"]
+
+
+def test_small_blocks_and_memories_change_no_encoding(spark):
+    """What the pipeline's stage gives its encoder, and less: the same rows."""
+    from lorespark.llm import bpe
+    from lorespark.llm.common import vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    docs = spark.createDataFrame([(k, " ".join(f"word{j * k} thing{j}s, été" for j in range(40))) for k in range(200)], "doc_id long, text string").coalesce(1)
+    want = sorted(bpe.encode_decode(docs, path).collect())
+    assert want == sorted(bpe.encode_decode(docs, path, most=30_000_000, block=700_000).collect())
+    assert want == sorted(bpe.encode_decode(docs, path, most=200_000, block=3_000).collect())
