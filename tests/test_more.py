@@ -197,3 +197,53 @@ def test_a_manifest_is_ranked_as_a_whole(spark):
 
     got = sorted(r["rank"] for r in registry.QUERIES["read_manifest"](spark, "/root/testdata/sf0.001").select("rank").collect())
     assert got == list(range(1, len(got) + 1))
+
+
+def test_each_id_follows_the_one_before_it_across_ranges(spark):
+    from lorespark.operators import relate
+
+    ids = [f"c{k * 7919 % 1000:03d}" for k in range(1000)]
+    got = {(r.chunk_id, r.before) for r in relate.ids_before(spark.createDataFrame([(i,) for i in ids], "chunk_id string").repartition(7)).collect()}
+    assert got == {(b, a) for a, b in zip(sorted(ids), sorted(ids)[1:], strict=False)}
+
+
+def test_related_chunks_cross_sources(spark):
+    """The chunk before in order of all ids, whatever its source: not the first of each source alone has none."""
+    from lorespark.plans import registry
+
+    sql = registry.ORACLE_SQL["rewrite_related"]
+    assert "lag(chunk_id) over (order by chunk_id)" in sql and "partition by source order by chunk_id" not in sql
+
+
+def test_review_is_marked_without_a_join(spark):
+    text = "---\nchunk_id: {}\nsource: s\ntopic: t\nsummary: >\n  u\ntriggers:\nhas_conditions: false\nrelated_chunks:\nstatus: {}\n---\n\n## Context\n\n## Response\n"
+    rows = [("a.md", text.format("a", "active")), ("b.md", text.format("B", "active")), ("c.md", text.format("C", "review")), ("d.md", "none")]
+    x = spark.createDataFrame(rows, "file string, raw string")
+    one = kb.mark_review(x)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = {r.file: r.raw for r in one.collect()}
+    assert got == {r.file: r.raw for r in kb.mark_review(x, kb.validate_chunks(x)).collect()}
+    assert got == dict(rows) | {"b.md": rows[1][1].replace("status: active", "status: review")}
+
+
+def test_files_read_whole_are_bounded(spark, monkeypatch):
+    """Twice the files for half the rows a file: a file doesn't grow with the table."""
+    from lorespark.plans import registry
+    from lorespark.sources import files
+
+    seen = []
+    read = files.read_chunks
+    monkeypatch.setattr(files, "read_chunks", lambda *a, **k: seen.append(read(*a, **k)) or seen[-1])
+    for rows in (10, 20):
+        monkeypatch.setattr(sinks, "FILE_ROWS", rows)
+        registry.QUERIES["read_chunks"](spark, "/root/testdata/sf0.001")
+    per_file = [max(r.n for r in x.select(F.regexp_count("raw", F.lit(r"(?m)^chunk_id: ")).alias("n")).collect()) for x in seen]
+    assert 0 < per_file[0] <= 10 and 0 < per_file[1] <= 20 and seen[0].count() > seen[1].count() > 1
+
+
+def test_every_fiftieth_conversation_asks(spark):
+    from lorespark.plans import registry
+
+    got = {r.qid for r in registry.QUERIES["retrieve_with_history"](spark, "/root/testdata/sf0.001").select("qid").collect()}
+    assert got == {0}
