@@ -247,3 +247,19 @@ def test_every_fiftieth_conversation_asks(spark):
 
     got = {r.qid for r in registry.QUERIES["retrieve_with_history"](spark, "/root/testdata/sf0.001").select("qid").collect()}
     assert got == {0}
+
+
+def test_outputs_of_a_model_arent_held_for_a_whole_arrow_batch(spark):
+    def load():
+        def told(prompts):
+            with open("/proc/self/statm") as f:
+                mb = int(f.read().split()[1]) * 4096 // 1_000_000
+            return ["x" * 40_000 + f"|{mb}" for _ in prompts]
+
+        return told
+
+    asked = spark.range(6000).coalesce(1).select("id", F.when(F.col("id") % 5 > 0, F.lit("p")).alias("prompt"))
+    got = outputs.extract_chunks(asked, load=load, batch=64).select("id", F.substring_index("raw", "|", -1).cast("int").alias("mb")).collect()
+    assert len(got) == 6000 and all((r.mb is None) == (r.id % 5 == 0) for r in got)
+    used = [r.mb for r in got if r.mb is not None]
+    assert max(used) - used[0] < 120  # of 192 MB of outputs
