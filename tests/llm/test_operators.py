@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 
@@ -277,6 +278,22 @@ def test_wrappers_without_article_tags(spark):
     assert one.text(page(3).replace("<h2>", "<table><tr><td>cell</td></tr></table><h2>")) == "\n".join(["Head 3", "quote 3", "body 3", "cell", "Summary", "see 3"])
 
 
+def test_wrappers_come_from_all_pages_of_a_host(spark):
+    """Each of 40 pages among 120 has a block of its own place and kind: the wrapper matches every page."""
+
+    def page(k):
+        rare = f"<section class='kind-{k // 3} w-1/2'><p>rare {k}</p></section>" if k % 3 == 0 else ""
+        return f"<body><p>Home</p><h1>Head {k}</h1>{rare}<p>body {k}</p><p>All rights reserved</p></body>"
+
+    pages = [(k, "https://h.example/", page(k), "h.example") for k in range(120)]
+    x = spark.createDataFrame(pages, "page_id long, url string, html string, host string").repartition(5)
+    told = [html_extract.wrappers(x, most, groups).collect() for most, groups in ((html_extract.MOST, 64), (0, 4))]
+    for (row,) in told:
+        one = html_extract.Wrapper(json.loads(row.wrapper))
+        assert all(one.matched(html_extract.blocks(p[2])) is not None for p in pages)
+        assert [one.text(p[2]) for p in pages] == ["\n".join([f"Head {k}"] + [f"rare {k}"] * (k % 3 == 0) + [f"body {k}"]) for k in range(120)]
+
+
 def test_surrogates_keep_format_and_stay_distinct(spark):
     text = 'Mail ann.b@mail6.example.com, ANN.B@MAIL6.EXAMPLE.COM or +1 (947) 555-7668, card 4532-0151-1283-0366, ip 55.63.178.142, token = "9f1d09af2da8b", Mr. John Smith said. Smith left.'
     new, kinds = pii.replaced(text, KEY, {})
