@@ -107,6 +107,31 @@ def test_nearest_equals_brute_force(spark, least, block):
     assert got == want and "c001" in got and "f" not in got
 
 
+def test_a_word_of_many_chunks_sends_each_row_once(spark, monkeypatch):
+    """4,000 chunks of one word: what goes to tasks are their rows, not rows times blocks; pieces and two-byte words give the same partners."""
+    monkeypatch.setattr(relate, "OFTEN", 500)
+    index = [(f"c{k:04d}", "active", "shared", [f"own{k:04d} pair{k // 2:04d}"]) for k in range(4000)]
+    x = spark.createDataFrame(index, "chunk_id string, status string, topic string, triggers array<string>")
+    seen = spark.sparkContext.accumulator(0)
+    meet = relate._meet
+
+    def counted(*args):
+        def run(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            return meet(*args)(each())
+
+        return run
+
+    monkeypatch.setattr(relate, "_meet", counted)
+    got = {r.a: r.b for r in relate.nearest(x, stop=1.0, few=10_000).collect()}
+    assert got == {f"c{k:04d}": f"c{k ^ 1:04d}" for k in range(4000)}
+    assert seen.value <= 2 * 2 * 4000  # at most two words that others have, in two rounds
+
+
 def test_a_frequent_word_is_cut_into_blocks(spark):
     """400 chunks share one word; no task gets it whole, and all find their best."""
     index = [(f"c{k:03d}", "active", "shared", [f"own{k:03d} pair{k // 2:03d}"]) for k in range(400)]
