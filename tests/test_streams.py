@@ -48,6 +48,33 @@ def test_expired_sessions_come_out_once(spark):
         (0, us(0), us(0), 1), (1, us(0), us(900), 2), (1, us(2800), us(2800), 1), (2, us(100), us(3500), 3)]
 
 
+def state_rows(query) -> int:
+    return max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def test_sessions_share_keys(spark):
+    """300 sessions have 3 state rows and their timers, not some a session; each ends as by itself."""
+    base = 1.7e9
+    rng = random.Random(7)
+    at = {k: sorted(round(rng.uniform(0, 9000), 3) for _ in range(rng.choice([1, 3, 6]))) for k in range(300)}
+    rows = [(k * 10 + n, base + s, k if k else None, "ok") for k, own in at.items() for n, s in enumerate(own)] + [(9000, base + 90_000, 999, "ok")]
+    path, out, state = (sinks.shared_folder(spark, n) for n in ("log", "out", "state"))
+    sinks.write_log(log_of(spark, rows), path, "append")
+    query = keyed.start(keyed.closed_sessions(log_stream.read_log_stream(spark, path), 1800, "1 hour", buckets=3), out, state)
+    query.awaitTermination()
+    want = []
+    for k, own in at.items():
+        spans = []
+        for s in own:
+            if spans and s - spans[-1][1] <= 1800:
+                spans[-1] = (spans[-1][0], s, spans[-1][2] + 1)
+            else:
+                spans.append((s, s, 1))
+        want += [(k, int((base + a) * 1_000_000), int((base + b) * 1_000_000), n) for a, b, n in spans]
+    assert sorted((r.session_id or 0, r.started_us, r.ended_us, r.requests) for r in spark.read.parquet(out).collect()) == sorted(want)
+    assert state_rows(query) <= 30
+
+
 def test_sources_arrive_change_and_shrink(spark):
     path, out, state = (sinks.shared_folder(spark, n) for n in ("sources", "changes", "state"))
     page = "Contents\nAlpha   3\nBeta   5\n-- 1 of 2 --\n\fAlpha\nfirst words. more\nBeta\nsecond words. more"
