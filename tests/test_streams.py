@@ -93,3 +93,17 @@ def test_sources_arrive_change_and_shrink(spark):
     assert told[1] == (9, one + [("b/x.pdf", "Alpha", "Alpha\nfirst words", 1), ("b/x.pdf", "Beta", "Beta\nsecond words", 1)])
     assert [r for r in told[2][1] if r[0][0] == "a"] == [("a/x.pdf", "Alpha", "Alpha\nother words", 2)]
     assert sorted((r.path, r.number) for r in log_stream.ingested(spark, out).collect()) == [("a/x.pdf", 1), ("a/x.pdf", 2), ("a/y.pdf", 1), ("a/y.pdf", 2), ("a/z.pdf", 1), ("b/x.pdf", 1)]
+
+
+def test_sources_share_keys(spark):
+    """200 sources have 3 state rows, not one each; a source that changes and one that shrinks do so alone."""
+    path, out, state = (sinks.shared_folder(spark, n) for n in ("sources", "changes", "state"))
+    waves = [[(f"s/{k}.pdf", f"text {k}") for k in range(200)], [(f"s/{k}.pdf", "other" if k == 7 else "" if k == 8 else f"text {k}") for k in range(200)]]
+    for wave in waves:
+        spark.createDataFrame(wave, log_stream.SOURCE).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(log_stream.SOURCE).parquet(path)
+        query = keyed.start_runs(keyed.source_changes(log_stream.with_entries(stream, 1), buckets=3), out, state)
+        query.awaitTermination()
+        assert state_rows(query) <= 3
+    got = {(r.path, r.summary, r.number) for r in log_stream.ingested_index(spark, out).collect()}
+    assert got == {(f"s/{k}.pdf", f"text {k}", 1) for k in range(200) if k not in (7, 8)} | {("s/7.pdf", "other", 2)}
