@@ -72,6 +72,87 @@ def test_tasks_score_in_blocks():
     assert rows == single == sorted([(7, "c2", 3.0), (7, "c5", 3.0), (7, "c1", 2.0), (8, "c5", 3.0), (8, "c0", 1.0), (8, "c2", 1.0)])
 
 
+def test_postings_are_worked_out_once(spark, monkeypatch):
+    """Word weights and scores read the written postings: no plan but theirs splits the index's texts."""
+    plans, write = {}, retrieve.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(retrieve, "written", seen)
+    _, index = small_index(spark)
+    got = retrieve.retrieve(spark.createDataFrame([(1, "w01 w02")], "qid long, question string"), index)
+    assert "split(lower(" in plans["postings"]
+    assert "split(lower(" not in plans["asked-weights"] + got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_by_whole_columns():
+    """2,000 chunks of 100 tokens: not a Python step for each of the 200,000."""
+    import sys
+
+    import pyarrow as pa
+
+    told = retrieve.Asked(pa.table({"qid": [1, 2], "token": ["a", "b"], "idf": [1.0, 2.0]}))
+    tokens, weights = pa.array([["a", "x"] * 50] * 1000 + [["b", "y"] * 50] * 1000), pa.array([[1] * 100] * 2000)
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event in ("line", "call")
+        return count
+
+    sys.settrace(count)
+    try:
+        score = told.scores(tokens, weights)
+    finally:
+        sys.settrace(None)
+    assert score[:1000].tolist() == [[50.0, 0.0]] * 1000 and score[1000:].tolist() == [[0.0, 100.0]] * 1000
+    assert steps < 2000
+    assert told.scores(tokens.slice(5, 0), weights.slice(5, 0)).shape == (0, 2) and told.scores(pa.array([[], ["z"]], pa.list_(pa.string())), pa.array([[], [1]], pa.list_(pa.int32()))).tolist() == [[0.0, 0.0]] * 2
+
+
+def _chunk_tables(spark, folder, docs, labels=()):
+    spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, toxic int, quality int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_written_chunks_are_the_chunks(spark, tmp_path, monkeypatch, most):
+    """Ids that repeat in a document, copies, a missing source and labels: the rows of ``chunks``, and no body in a shuffle after the cut."""
+    from lorespark.plans import derived as D
+
+    page = lambda head, n: f"{head} one two three " + f"word{n} " * 50 + ". more\nlast  \n\u000b\n\n"
+    docs = [(k, None if k == 7 else "s", page("same", 1) + "\n" + page("same", k % 3) + "\n" + page("own", k) + "\n" + page("same", 1)) for k in range(1, 12)] + [(20, "s", None), (21, "s", "short")]
+    d = _chunk_tables(spark, tmp_path, docs, [(1, 1, 1), (2, 0, 0), (2, 0, 1), (3, 0, 1)])
+    plans, write = {}, D.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(D, "written", seen)
+    monkeypatch.setattr(D, "SENT", most)
+    monkeypatch.setattr("lorespark.operators.retrieve.SENT", most)
+    columns = ["chunk_id", "status", "topic", "triggers", "summary", "response", "source", "doc_id"]
+    key = lambda r: tuple(map(str, r))
+    got = sorted(D.written_chunks(spark, d, *columns).collect(), key=key)
+    assert got == sorted(D.chunks(spark, d).select(*columns).collect(), key=key)
+    assert len(got) > 20 and {r.status for r in got} == {"active", "review", "deprecated"} and len({r.chunk_id for r in got}) == len(got)
+    assert "Window" not in plans["chunks"] and "response" not in plans["chunks-gone"].split("Relation")[0] and ("chunks-kept" in plans) == (most == 2)
+
+
+def test_pages_split_a_text_once(spark):
+    """The text isn't split again for every page, which takes time by the square of its lines."""
+    from lorespark.operators.segment import counted_pages
+
+    texts = spark.createDataFrame([("a\nb\nc\nd\ne",), ("",), (None,), ("\n\n",)], "text string")
+    x = texts.select(counted_pages(F.col("text"), 2).alias("p"))
+    assert [r.p for r in x.collect()] == [["a\nb", "c\nd", "e"], [""], None, ["\n", ""]]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 @pytest.mark.parametrize("most_bytes", [8_000_000, 25])
 def test_gold_is_the_whole_item(spark, most_bytes):
     chunks = spark.createDataFrame([("a", "xx the quick brownish fox yy"), ("b", "the quick"), ("c", "see: the quick brownish fox"), ("d", "one two"), ("e", None), ("f", "")], "chunk_id string, body string")
