@@ -263,3 +263,14 @@ def test_outputs_of_a_model_arent_held_for_a_whole_arrow_batch(spark):
     assert len(got) == 6000 and all((r.mb is None) == (r.id % 5 == 0) for r in got)
     used = [r.mb for r in got if r.mb is not None]
     assert max(used) - used[0] < 120  # of 192 MB of outputs
+
+
+def test_every_conversation_asks(spark):
+    """No conversation is left out: each with a user turn that shares a word with an active chunk has a row."""
+    from lorespark.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    got = {r.qid for r in registry.QUERIES["retrieve_with_history"](spark, d).select("qid").collect()}
+    asked = {r.conv_id for r in spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'").select("conv_id").distinct().collect()}
+    assert len(asked) > 10 and got == asked
+    assert "% 50" not in registry.ORACLE_SQL["retrieve_with_history"]
