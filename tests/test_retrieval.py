@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,29 @@ def test_a_frequent_word_is_cut_into_blocks(spark):
     assert got == {f"c{k:03d}": f"c{k ^ 1:03d}" for k in range(400)}
     sets = relate.word_sets(x, 1.0, 1000)[0].select(F.size("words").alias("n")).distinct().collect()
     assert [r.n for r in sets] == [3]
+
+
+@pytest.mark.parametrize("cell", [4096, 2])
+def test_a_pair_is_counted_once(spark, monkeypatch, cell):
+    """Chunks with many frequent words in common: each asker looks at a chunk of a block once, not once a word; partners and ties as by brute force."""
+    rng = random.Random(11)
+    words = [f"w{k:02d}" for k in range(30)]
+    index = [(f"c{k:03d}", "active", "", [" ".join(rng.sample(words, rng.choice([1, 3, 12, 29])))]) for k in range(150)]
+    index.append(("z", "active", "", [" ".join(words + [f"x{k}" for k in range(1200)])]))  # a large set: similarities that round to the same
+    index += [(f"y{k}", "active", "", [" ".join([f"x{j}" for j in range(600 + k)])]) for k in range(3)]
+    monkeypatch.setattr(relate, "CELL", cell)
+    x = spark.createDataFrame(index, "chunk_id string, status string, topic string, triggers array<string>")
+    got = {r.a: (r.b, round(r.jaccard, 6)) for r in relate.nearest(x, stop=1.0, few=1000, block=40).collect()}
+    sets = {i: set(t[0].split()) for i, _, _, t in index}
+    want = {}
+    for a, p in sets.items():
+        near = min(((-math.floor(1e6 * len(p & q) / len(p | q) + 0.5), b) for b, q in sets.items() if b != a and p & q), default=None)
+        if near:
+            want[a] = near[1], -near[0] / 1e6
+    assert got == want
+
+    block = relate.Block([(np.array([5, 7, 9]), np.array([3, 3, 4]), np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 5], np.int32), np.array([0, 0, 0, 1, 1, 1, 2, 2, 2, 2]))])
+    starts, ends = (v.tolist() for v in block.lists(np.array([1, 2, 3, 6])))
+    assert [j - i for i, j in zip(starts, ends, strict=True)] == [3, 3, 2, 0]
+    assert block.place_of(np.array([5, 6, 9])).tolist() == [0, -1, 2]
+    assert block.nearest(-1, 4, starts, ends) == (750_000, 5) and block.nearest(0, 4, starts, ends) == (600_000, 9) and not block.counts[1].any()
