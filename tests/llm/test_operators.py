@@ -426,3 +426,34 @@ def test_toxicity(spark):
     left = toxicity.without_toxic(docs, marks)
     assert left.columns == docs.columns and {5000, 5001, None} <= {x.doc_id for x in left.collect()}
     assert all(x.score == 0 for x in toxicity.scored(docs, marks.limit(0)).collect())
+
+
+def test_long_pages_are_aligned(spark):
+    """Pages of over 4,000 tokens that don't fold shape their host's wrapper like others, and it matches them."""
+
+    def page(k):
+        parts = [f"<div class=k{j}><p>text {k} {j}</p></div>" for j in range(1700) if j % 50 != k]
+        return "<body><div class=menu><p>Home</p></div><article>" + "".join(parts) + f"</article><div class='share e{k}'><p>Share</p></div></body>"
+
+    pages = [(k, f"http://long.example/{k}", page(k), "long.example") for k in range(6)]
+    x = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
+    assert all(len(html_extract.folded(html_extract.stream(html_extract.blocks(p[2]), set()))) > 4000 for p in pages)
+    row = html_extract.wrappers(x).first()
+    for w in (json.loads(row.wrapper), html_extract.infer([p[2] for p in pages])):
+        one = html_extract.Wrapper(w)
+        assert all(one.matched(html_extract.blocks(p[2])) is not None for p in pages)
+    got = {r.page_id: r.text for r in html_extract.extract(x).collect()}
+    assert got == {k: "\n".join(f"text {k} {j}" for j in range(1700) if j % 50 != k) for k in range(6)}
+
+
+def test_a_common_subsequence_is_longest(monkeypatch):
+    rng = random.Random(2)
+    for bits in (1 << 28, 64):
+        monkeypatch.setattr(html_extract, "BITS", bits)
+        for _ in range(60):
+            a, b = ([rng.choice(letters) for _ in range(rng.randrange(25))] for letters in ("abcd", "abce"))
+            row = [0] * (len(b) + 1)
+            for x in a:
+                row = list(itertools.accumulate(range(len(b)), lambda left, j, x=x, row=row: row[j] + 1 if x == b[j] else max(left, row[j + 1]), initial=0))
+            got = html_extract._common(a, b)
+            assert len(got) == row[-1] and all(a[i] == b[j] for i, j in got) and got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
