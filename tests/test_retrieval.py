@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,29 @@ def test_a_pair_is_counted_once(spark, monkeypatch, cell):
     assert [j - i for i, j in zip(starts, ends, strict=True)] == [3, 3, 2, 0]
     assert block.place_of(np.array([5, 6, 9])).tolist() == [0, -1, 2]
     assert block.nearest(-1, 4, starts, ends) == (750_000, 5) and block.nearest(0, 4, starts, ends) == (600_000, 9) and not block.counts[1].any()
+
+
+def test_scores_by_products_reach_the_same_places(monkeypatch):
+    """Frequent tokens by a product of matrices in single precision, others one by one: scores are those in double precision, for blocks of any size."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    pick = lambda n: [w for k, w in enumerate(words) if rng.random() < n / (k + 2)]
+    rows = [(q, t, math.log(1 + 60 / (words.index(t) + 1))) for q in range(9) for t in pick(4) or ["w0"]]
+    asked = pa.table(dict(zip(("qid", "token", "idf"), zip(*rows, strict=True), strict=True)))
+    chunks = [(f"c{k:03d}", pick(6) * rng.choice([1, 2])) for k in range(200)]
+    told = retrieve.Asked(asked)
+    assert 0 < len(told.matrix) <= len(told.words)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunks]), pa.array([t for _, t in chunks], pa.list_(pa.string())), pa.array([[k % 3 + 1 for k in range(len(t))] for _, t in chunks], pa.list_(pa.int32()))], names=["chunk_id", "tokens", "weights"])
+    idf = {(q, t): w for q, t, w in zip(*(asked.column(c).to_pylist() for c in ("qid", "token", "idf")), strict=True)}
+    want = set()
+    for q in {q for q, _ in idf}:
+        score = lambda t, q=q: math.floor(1e6 * sum((k % 3 + 1) * idf.get((q, x), 0) for k, x in enumerate(t)) + 0.5) / 1e6
+        want |= {(q, i, -s) for s, i in sorted((-score(t), i) for i, t in chunks if score(t) > 0)[:3]}
+    for cells, frequent in ((2_000_000, 512), (45, 512), (45, 0), (2_000_000, 5)):
+        monkeypatch.setattr(retrieve, "CELLS", cells)
+        monkeypatch.setattr(retrieve, "FREQUENT", frequent)
+        told = retrieve.Asked(asked)
+        assert len(told.matrix) <= frequent
+        got = [r for b in retrieve._best_of_task(type("B", (), {"value": told}), 3)([batch]) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert {(q, i, round(s, 6)) for q, i, s in got} == {(q, i, round(s, 6)) for q, i, s in want} and len(got) == len(want)
+        assert (abs(told.scored(*batch.columns[1:]).about() / np.maximum(told.scores(*batch.columns[1:]), 1e-9) - 1)[told.scores(*batch.columns[1:]) > 0] < retrieve.NEAR).all()
